@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.coords import floor_div
 
@@ -103,7 +104,7 @@ def shrink(tiles: DataFrame, levels: int = 3) -> DataFrame:
     return rows.groupBy("layer", "px", "py").applyInPandas(build, TILES)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_png(size: pd.Series, rgba: pd.Series) -> pd.Series:
     """PNG of a tile; null for a wholly transparent one (K1, K2)."""
 

@@ -183,7 +183,7 @@ def G24_tiles_rough(spark, d):
 
 
 _OCT = ["(x - y - 1, x + y - 7)", "(x - y + 1, x + y - 7)", "(x + w - 1 - y + 1, x + w - 1 + y - 7)", "(x + w - 1 - y + 1, x + w - 1 + y + 1)", "(x + w - 1 - (y + h - 1) + 1, x + w - 1 + y + h - 1 + 1)", "(x + w - 1 - (y + h - 1) - 1, x + w - 1 + y + h - 1 + 1)", "(x - (y + h - 1) - 1, x + y + h - 1 + 1)", "(x - (y + h - 1) - 1, x + y + h - 1 - 7)"]
-_VERTS = " UNION ALL ".join(f"SELECT id, {i} AS k, {p.strip('()').rsplit(', ', 1)[0] if False else p[1:-1].rsplit(', ', 1)[0]} AS vx, {p[1:-1].rsplit(', ', 1)[1]} AS vy FROM v_rects" for i, p in enumerate(_OCT))
+_VERTS = " UNION ALL ".join(f"SELECT id, {i} AS k, {p[1:-1].rsplit(', ', 1)[0]} AS vx, {p[1:-1].rsplit(', ', 1)[1]} AS vy FROM v_rects" for i, p in enumerate(_OCT))
 
 
 @query(f"""WITH v AS ({_VERTS}), e AS (SELECT a.id, CASE WHEN a.vy > b.vy THEN b.vx ELSE a.vx END AS x0, least(a.vy, b.vy) AS y0, CASE WHEN a.vy > b.vy THEN a.vx ELSE b.vx END AS x1, greatest(a.vy, b.vy) AS y1 FROM v a JOIN v b ON a.id = b.id AND b.k = (a.k + 1) % 8),
@@ -207,11 +207,12 @@ def G27_run_segments(spark, d):
     return r.groupBy("id").agg(F.sum(F.col("s.w") * F.col("s.h")).alias("squares"), F.sum("s.h").alias("row_parts"), F.min("s.y").alias("first_row"), F.max(F.col("s.y") + F.col("s.h") - 1).alias("last_row"))
 
 
-@query(_CLIP.format(src="v_segments", a=-100, b=-80, c=120, e=60) + """SELECT id, round(x0 + (t0 + t1) / 2 * dx, 6) + 0.0 AS x, round(y0 + (t0 + t1) / 2 * dy, 6) + 0.0 AS y FROM t WHERE t0 <= t1""")
+# a shift keeps exact halves away from where numbers are cut
+@query(_CLIP.format(src="v_segments", a=-100, b=-80, c=120, e=60) + """SELECT id, CAST(floor((x0 + (t0 + t1) / 2 * dx) * 1000 + 0.3) AS BIGINT) AS x_milli, CAST(floor((y0 + (t0 + t1) / 2 * dy) * 1000 + 0.3) AS BIGINT) AS y_milli FROM t WHERE t0 <= t1""")
 def G28_label_position(spark, d):
     points = F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (0, 1, 1)))
     p = view(spark, d, "v_segments").select("id", G.longest_visible(points, (-100, -80, 120, 60)).alias("p")).filter("p is not null")
-    return p.select("id", (F.round("p.x", 6) + 0.0).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"))
+    return p.select("id", *(F.floor(F.col(f"p.{k}") * 1000 + 0.3).cast("bigint").alias(f"{k}_milli") for k in "xy"))
 
 
 @query(f"WITH c AS (SELECT id, unnest(range({_D('x', 32)}, {_D('x + w - 1', 32)} + 1)) AS cx, {_D('y', 32)} AS a, {_D('y + h - 1', 32)} AS b FROM v_rects) SELECT id, cx, unnest(range(a, b + 1)) AS cy FROM c")
@@ -279,3 +280,38 @@ def C1_components(spark, d):
     r = view(spark, d, "v_rects").filter("id < 400")
     edges = J.rect_join(r, r, "open", on=("layer",)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     return J.components(r.select("id"), edges)
+
+
+_BY_TYPE = "s AS (SELECT DISTINCT type, x, unnest(range(y, y + h)) AS y FROM (SELECT type, unnest(range(x, x + w)) AS x, y, h FROM v_rects))"
+
+
+@query(f"WITH {_BY_TYPE} SELECT type, CAST(count(*) AS BIGINT) AS area FROM s GROUP BY type")
+def G16_polygon_areas(spark, d):
+    """Rings around each type's squares; outer rings and holes turn opposite ways, so that their signed areas add up to the squares."""
+    from ..operators.borders import polygons
+
+    squares = view(spark, d, "v_rects").select("type", F.explode(G.squares_of("x", "y", "w", "h")).alias("p")).select("type", "p.x", "p.y").distinct()
+    rings = polygons(squares, ["type"])
+    cross = F.aggregate(F.zip_with("points", G.rotated("points"), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    return rings.withColumn("c", cross).groupBy("type").agg(F.call_function("div", F.sum("c"), F.lit(2)).alias("area"))
+
+
+@query(f"WITH {_BY_TYPE} SELECT type, CAST(count(*) AS BIGINT) AS area, CAST(count(*) AS BIGINT) AS squares, CAST(sum(x * 1000 + y) AS BIGINT) AS places FROM s GROUP BY type")
+def G18_disjoint_cover(spark, d):
+    """The cover's area and the squares it holds: equal, as no square is covered twice."""
+    from ..operators.borders import disjoint_cover
+
+    cover = disjoint_cover(view(spark, d, "v_rects").select("type", "x", "y", "w", "h"), ["type"])
+    area = cover.groupBy("type").agg(F.sum(F.col("w") * F.col("h")).alias("area"))
+    squares = cover.select("type", F.explode(G.squares_of("x", "y", "w", "h")).alias("p")).select("type", "p.x", "p.y").distinct()
+    return area.join(squares.groupBy("type").agg(F.count("*").alias("squares"), F.sum(F.col("x") * 1000 + F.col("y")).alias("places")), "type")
+
+
+@query("""WITH e AS (SELECT a.id AS id, greatest(a.y, b.y) AS s, least(a.y + a.h, b.y + b.h) AS e FROM v_rects a JOIN v_rects b ON a.id <> b.id AND a.layer = b.layer AND b.x + b.w >= a.x + a.w AND b.x <= a.x + a.w AND greatest(a.y, b.y) < least(a.y + a.h, b.y + b.h)),
+  p AS (SELECT DISTINCT id, unnest(range(s, e)) AS y FROM e) SELECT id, CAST(count(*) AS BIGINT) AS hidden FROM p GROUP BY id""")
+def G12_covered_edge(spark, d):
+    """How much of each rectangle's right edge neighbours cover."""
+    r = view(spark, d, "v_rects").select("id", "layer", "x", "y", "w", "h")
+    pairs = J.rect_join(r, r, "closed", on=("layer",)).filter("a.id <> b.id and b.x + b.w >= a.x + a.w and b.x <= a.x + a.w")
+    parts = pairs.select(F.col("a.id").alias("id"), F.greatest("a.y", "b.y").alias("s"), F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h")).alias("e")).filter("s < e")
+    return W.merge_intervals(parts, ["id"]).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("hidden"))

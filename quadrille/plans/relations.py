@@ -269,3 +269,92 @@ def X10_layer_range(spark, d):
 def X25_tile_fan_in(spark, d):
     t = view(spark, d, "v_rects").groupBy(C.floor_div("x", 8).alias("tx"), C.floor_div("y", 8).alias("ty")).agg(F.count("*").alias("n"))
     return t.agg(F.max("n").alias("fan_in"), F.count("*").alias("tiles"))
+
+
+
+@query("""WITH t AS (SELECT ['americanholly', 'americanlinden', 'canadianhemlock', 'carolinasilverbell', 'cockspurhawthorn', 'dogwood', 'easternredbud', 'redmaple', 'riverbirch', 'virginiapine', 'yellowwood'] AS n)
+  SELECT 'vegetation_foliage_01_' || i AS name, 'f_bushes_1_' || (i % 8) || ',f_bushes_1_' || (i % 8 + 48) || ',f_bushes_1_' || (i + 80) AS textures FROM range(16) r(i)
+  UNION ALL SELECT 'vegetation_groundcover_01_' || i, 'd_plants_1_' || (i % 8 + 8) || ',d_plants_1_' || ((i % 24) // 8 * 16 + 24 + i % 8) FROM range(48) r(i)
+  UNION ALL SELECT 'vegetation_trees_01_' || i, 'e_' || n[1 + i % 11] || '_1_2' || CASE WHEN i % 11 IN (0, 2, 9) THEN '' ELSE ',e_' || n[1 + i % 11] || '_1_22' END FROM range(33) r(i), t
+  UNION ALL SELECT 'jumbo_tree_01_0', 'e_americanlindenJUMBO_1_1,e_americanlindenJUMBO_1_11'""")
+def P31_vegetation(spark, d):
+    from ..functions.vegetation import vegetation
+
+    v = vegetation(spark, season="autumn", flower=True, jumbo_size=5, jumbo_type=2)
+    return v.select("name", F.array_join("textures", ",").alias("textures"))
+
+
+@query("SELECT id, CAST(row_number() OVER (PARTITION BY type ORDER BY visible_zoom_level DESC, (SELECT CAST(list_sum(list_transform(range(0, 9), lambda i: ((m.x >> i) & 1) * (1 << (2 * i)) + ((m.y >> i) & 1) * (1 << (2 * i + 1)))) AS BIGINT)), id) AS BIGINT) AS task FROM v_marks m")
+def T2_task_order(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("type").orderBy(F.desc("visible_zoom_level"), C.morton("x", "y"), "id")
+    return view(spark, d, "v_marks").select("id", F.row_number().over(order).cast("bigint").alias("task"))
+
+
+@query("SELECT type, id FROM (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY w * h, id) AS n, count(*) OVER (PARTITION BY type) AS c FROM v_rects) WHERE n <= (c + 1) // 2")
+def T4_lower_half(spark, d):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("type")
+    ranked = view(spark, d, "v_rects").select("type", "id", F.row_number().over(by.orderBy(F.col("w") * F.col("h"), "id")).alias("n"), F.count("*").over(by).alias("c"))
+    return ranked.filter("n <= (c + 1) div 2").select("type", "id")
+
+
+@query("SELECT layer, x, y, string_agg(type, ',' ORDER BY id) AS types, CAST(count(*) AS BIGINT) AS n FROM v_rects GROUP BY layer, x, y")
+def X1_square_labels(spark, d):
+    r = view(spark, d, "v_rects").groupBy("layer", "x", "y").agg(F.array_sort(F.collect_list(F.struct("id", "type"))).alias("l"))
+    return r.select("layer", "x", "y", F.array_join(F.transform("l", lambda e: e["type"]), ",").alias("types"), F.size("l").cast("bigint").alias("n"))
+
+
+@query("SELECT gx, gy, (gx + gy) // 2 AS sx, (gy - gx) // 2 AS sy FROM (SELECT i - 20 AS gx FROM range(50) a(i)), (SELECT j - 7 AS gy FROM range(33) b(j)) WHERE (gx + gy) % 2 = 0")
+def X6_visible_grid(spark, d):
+    """Grid points of a screen that are squares: one parity."""
+    grid = spark.range(1).select(F.explode(F.sequence(F.lit(-20).cast("bigint"), F.lit(29).cast("bigint"))).alias("gx")).withColumn("gy", F.explode(F.sequence(F.lit(-7).cast("bigint"), F.lit(25).cast("bigint"))))
+    sx, sy = C.from_grid("gx", "gy")
+    return grid.select("gx", "gy", sx.alias("sx"), sy.alias("sy")).filter("sx is not null")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN x ELSE NULL END AS ax, CASE WHEN id % 3 = 0 THEN y ELSE NULL END AS ay FROM v_rects")
+def X13_label_anchor(spark, d):
+    from ..functions.values import absolute_anchor
+
+    text = F.when(F.col("id") % 3 == 0, F.format_string("abs(%d,%d)", "x", "y")).when(F.col("id") % 3 == 1, "centroid").otherwise("abs(1)")
+    return view(spark, d, "v_rects").select("id", absolute_anchor(text).alias("p")).select("id", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"))
+
+
+@query("SELECT event_id, CAST(json_valid(props) AS BOOLEAN) AS valid FROM events")
+def X17_json_or_null(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("try_parse_json(props) is not null").alias("valid"))
+
+
+@query("SELECT id, name AS map, 'a=b' AS q, CAST(x AS VARCHAR) AS x FROM v_rects")
+def X16_query_string(spark, d):
+    text = F.concat(F.lit("map="), "name", F.lit("&q=a=b&x="), "x")
+    pairs = F.map_from_entries(F.transform(F.split(text, "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), p.substr(F.instr(p, "=") + 1, F.length(p)).alias("v"))))
+    return view(spark, d, "v_rects").select("id", pairs.alias("m")).select("id", *(F.col("m")[k].alias(k) for k in ("map", "q", "x")))
+
+
+@query("SELECT id, (type, layer) IN (SELECT (type, layer) FROM v_rects WHERE id < 5) AS known, CASE WHEN id % 2 = 0 THEN id * 10 ELSE -id END AS key FROM v_rects")
+def X20_X22_keys(spark, d):
+    r = view(spark, d, "v_rects")
+    known = r.filter("id < 5").select("type", "layer").distinct().withColumn("hit", F.lit(True))
+    return r.join(known, ["type", "layer"], "left").select("id", F.coalesce("hit", F.lit(False)).alias("known"), F.when(F.col("id") % 2 == 0, F.col("id") * 10).otherwise(-F.col("id")).alias("key"))
+
+
+@query("SELECT id, CASE WHEN w > 3 THEN ROUND(100.0 / w, 3) END AS result, CASE WHEN w <= 3 THEN 'too small' END AS error FROM v_rects")
+def X28_results_or_errors(spark, d):
+    """A parallel map that keeps failures as values."""
+    return view(spark, d, "v_rects").select("id", F.when(F.col("w") > 3, F.round(100.0 / F.col("w"), 3)).alias("result"), F.when(F.col("w") <= 3, "too small").alias("error"))
+
+
+@query("SELECT layer, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT x * 1000 + y) AS BIGINT) AS squares FROM v_points WHERE layer BETWEEN -2 AND 4 GROUP BY layer")
+def X21_layers_without_padding(spark, d):
+    return view(spark, d, "v_points").filter(F.col("layer").between(-2, 4)).groupBy("layer").agg(F.count("*").alias("n"), F.count_distinct(F.col("x") * 1000 + F.col("y")).alias("squares"))
+
+
+@query(f"SELECT {_D('x', 2)} AS tx, {_D('y', 2)} AS ty, bool_or(x % 2 = 0 AND y % 2 = 0) AS nw, CAST(count(*) AS BIGINT) AS present FROM (SELECT DISTINCT x, y FROM v_points WHERE layer = 0) GROUP BY 1, 2")
+def J18_tile_children(spark, d):
+    """Which children a tile has, by grouping on the shifted key: no join."""
+    t = view(spark, d, "v_points").filter("layer = 0").select("x", "y").distinct()
+    return t.groupBy(C.parent("x").alias("tx"), C.parent("y").alias("ty")).agg(F.bool_or((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)).alias("nw"), F.count("*").alias("present"))
