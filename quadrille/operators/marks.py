@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coords import GRID_ROWS_PER_LAYER, morton
+from ..functions.coords import GRID_ROWS_PER_LAYER, col, morton
 
 SCHEMA = "id string, type string, name string, desc string, layer int, visible_zoom_level int, color string, x double, y double, rects array<struct<x:double,y:double,width:double,height:double>>, points array<struct<x:double,y:double>>, width double"
 
@@ -107,3 +107,19 @@ def exported(marks: DataFrame, defaults: dict) -> DataFrame:
     """JSON of each mark without columns at their defaults."""
     kept = [F.nullif(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in sorted(marks.columns)]
     return marks.select("id", F.to_json(F.struct(*kept)).alias("json"))
+
+
+def moved(rects, index: int, dx, dy) -> Column:
+    """Rectangles of an area with one moved."""
+    return F.transform(rects, lambda r, i: F.when(i == index, F.struct((r["x"] + dx).alias("x"), (r["y"] + dy).alias("y"), r["w"].alias("w"), r["h"].alias("h"))).otherwise(r))
+
+
+def resized(rects, index: int, w, h) -> Column:
+    """Rectangles of an area with one at another size, at least one square."""
+    one = F.lit(1).cast("bigint")
+    return F.transform(rects, lambda r, i: F.when(i == index, F.struct(r["x"].alias("x"), r["y"].alias("y"), F.greatest(w, one).alias("w"), F.greatest(h, one).alias("h"))).otherwise(r))
+
+
+def without_rect(rects, index: int) -> Column:
+    """Rectangles of an area without one; an area keeps its last."""
+    return F.when(F.size(rects) > 1, F.filter(rects, lambda r, i: i != index)).otherwise(col(rects))

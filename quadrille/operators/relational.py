@@ -69,3 +69,27 @@ def selection_state(blocks: DataFrame, per_cell: int) -> DataFrame:
     counts = blocks.groupBy(floor_div("bx", per_cell).alias("cx"), floor_div("by", per_cell).alias("cy")).agg(F.count_if("saved").alias("saved"), F.count_if(F.col("selected") & F.col("saved")).alias("selected"))
     state = F.when((F.col("selected") > 0) & (F.col("selected") == F.col("saved")), "all selected").when(F.col("selected") > 0, "some selected").when(F.col("saved") == full, "all saved").otherwise("some saved")
     return counts.withColumn("state", state)
+
+
+def with_defaults(entries: DataFrame, defaults: dict[str, str], paths: tuple[str, ...] = ()) -> DataFrame:
+    """Catalogue entries with defaults for unset values, and {name} marks in path columns filled in from the entry."""
+    from ..functions.values import filled
+
+    full = entries.withColumns({c: F.coalesce(c, F.lit(v)) if c in entries.columns else F.lit(v) for c, v in defaults.items()})
+    others = [c for c in full.columns if c not in paths]
+    return full.withColumns({p: filled(p, {c: F.col(c) for c in others}) for p in paths})
+
+
+def listing(maps: DataFrame, columns: list[str]) -> DataFrame:
+    """One JSON array of all maps in order (K14); a catalogue, not data, so that one row holds it."""
+    return maps.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias("json"))
+
+
+def write_languages(long: DataFrame, path: str) -> None:
+    """Texts (key, lang, text) as JSON, a folder for each language."""
+    long.write.partitionBy("lang").mode("overwrite").json(path)
+
+
+def quarantined(decoded: DataFrame, key: list[str]) -> DataFrame:
+    """One row with its error for each unit that could not be decoded."""
+    return decoded.filter("error is not null").dropDuplicates(key).select(*key, "error")

@@ -217,9 +217,12 @@ def S22_page_scrape(spark, d):
     return p.select("page_id", S.page_title("html").alias("title"), F.array_join(S.page_links("html"), " ").alias("links"))
 
 
-@query("SELECT DISTINCT ON (k) doc_id % 10 AS k, max(n_chars) OVER (PARTITION BY doc_id % 10) AS n FROM documents")
-def S20_defaults(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").groupBy((F.col("doc_id") % 10).alias("k")).agg(F.max("n_chars").alias("n"))
+@query("""SELECT id, coalesce(CASE WHEN id % 3 > 0 THEN type END, 'vanilla') AS map_name, coalesce(CASE WHEN id % 2 = 0 THEN '{root}/mods/{map_name}' END, '{root}/maps/') AS raw, 'utf8' AS encoding,
+  CASE WHEN id % 2 = 0 THEN '/pz/mods/' || coalesce(CASE WHEN id % 3 > 0 THEN type END, 'vanilla') ELSE '/pz/maps/' END AS map_path FROM v_rects""")
+def S20_map_defaults(spark, d):
+    entries = view(spark, d, "v_rects").select("id", F.when(F.col("id") % 3 > 0, F.col("type")).alias("map_name"), F.when(F.col("id") % 2 == 0, "{root}/mods/{map_name}").alias("map_path"))
+    full = R.with_defaults(entries, {"map_name": "vanilla", "map_path": "{root}/maps/", "encoding": "utf8", "root": "/pz"})
+    return R.with_defaults(full.withColumn("raw", F.col("map_path")), {}, ("map_path",)).select("id", "map_name", "raw", "encoding", "map_path")
 
 
 @query("""WITH l AS (SELECT id, 'maps/' || x || '_' || y || CASE id % 3 WHEN 0 THEN '.lotheader' WHEN 1 THEN '.bin' ELSE '.txt' END AS path, x, y FROM v_rects) SELECT id, path, CASE id % 3 WHEN 0 THEN 'map' ELSE 'save' END AS kind, x AS ux, y AS uy FROM l WHERE id % 3 < 2""")
@@ -358,3 +361,59 @@ def J18_tile_children(spark, d):
     """Which children a tile has, by grouping on the shifted key: no join."""
     t = view(spark, d, "v_points").filter("layer = 0").select("x", "y").distinct()
     return t.groupBy(C.parent("x").alias("tx"), C.parent("y").alias("ty")).agg(F.bool_or((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0)).alias("nw"), F.count("*").alias("present"))
+
+
+@query("""SELECT '[' || string_agg('{"type":"' || type || '","n":' || n || '}', ',' ORDER BY type) || ']' AS json FROM (SELECT type, count(*) AS n FROM v_rects GROUP BY type)""")
+def K14_map_listing(spark, d):
+    return R.listing(view(spark, d, "v_rects").groupBy("type").agg(F.count("*").alias("n")), ["type", "n"])
+
+
+@query("""SELECT '{"sqr":1,"w":' || max(x) || ',"layers":' || (max(layer) + 1) || '}' AS json FROM v_rects""")
+def K6_map_info(spark, d):
+    facts = view(spark, d, "v_rects").agg(F.max("x").alias("w"), (F.max("layer") + 1).alias("layers"))
+    return facts.select(F.to_json(F.struct(F.lit(1).alias("sqr"), "w", "layers")).alias("json"))
+
+
+@query("SELECT CAST(CASE WHEN greatest(abs(x1 - x0), abs(y1 - y0)) * 2 > 512 OR id % 16 > 12 THEN 0 WHEN greatest(abs(x1 - x0), abs(y1 - y0)) * 2 > 256 OR id % 16 > 8 THEN 1 ELSE 2 END AS BIGINT) AS class, CAST(count(*) AS BIGINT) AS n FROM v_segments GROUP BY 1")
+def A15_street_counts(spark, d):
+    from ..functions.values import street_class
+
+    points = F.array(*(F.struct((F.col(f"x{i}") * 2).alias("x"), (F.col(f"y{i}") * 2).alias("y")) for i in (0, 1)))
+    return view(spark, d, "v_segments").groupBy(street_class(points, F.col("id") % 16).cast("bigint").alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, x, y FROM v_rects WHERE NOT (x < 128 AND y < 128)")
+def F11_stash_coordinates(spark, d):
+    return view(spark, d, "v_rects").filter(~((F.col("x") < 128) & (F.col("y") < 128))).select("id", "x", "y")
+
+
+@query("SELECT DISTINCT tile FROM v_packs WHERE regexp_matches(pack || '.pack', '[.]pack$') AND NOT regexp_matches(CAST(pack AS VARCHAR), '1') AND tile IN (SELECT tile FROM v_stacks)")
+def F10_pack_names(spark, d):
+    name = F.concat(F.col("pack").cast("string"), F.lit(".pack"))
+    return view(spark, d, "v_packs").filter(name.rlike("[.]pack$") & ~F.col("pack").cast("string").rlike("1")).select("tile").distinct().join(view(spark, d, "v_stacks"), "tile", "left_semi")
+
+
+@query("SELECT DISTINCT a.layer, a.x, a.y FROM v_rects a WHERE EXISTS (SELECT 1 FROM v_points p WHERE p.x = a.x AND p.y = a.y AND p.v > 10)")
+def F4_non_empty_sources(spark, d):
+    full = view(spark, d, "v_points").filter("v > 10").select("x", "y")
+    return view(spark, d, "v_rects").select("layer", "x", "y").distinct().join(full, ["x", "y"], "left_semi")
+
+
+@query("SELECT DISTINCT x AS tx, y AS ty FROM v_points p WHERE layer = 0 AND NOT EXISTS (SELECT 1 FROM v_points q WHERE q.layer = 3 AND q.x = p.x AND q.y = p.y)")
+def X23_stale_removal(spark, d):
+    p = view(spark, d, "v_points")
+    return p.filter("layer = 0").select("x", "y").distinct().join(p.filter("layer = 3").select("x", "y"), ["x", "y"], "left_anti").toDF("tx", "ty")
+
+
+@query("SELECT a.id, round((b.x - a.x) * 4.0 / a.w, 4) AS dx, round((b.y - a.y) * 4.0 / a.w, 4) AS dy, round(b.w / CAST(a.w AS DOUBLE), 4) AS scale FROM v_rects a JOIN v_rects b ON b.id = 0")
+def X11_relative_placement(spark, d):
+    r = view(spark, d, "v_rects")
+    base = r.filter("id = 0").select(F.col("x").alias("bx"), F.col("y").alias("b_y"), F.col("w").alias("bw"))  # one row
+    placed = r.crossJoin(F.broadcast(base))
+    return placed.select("id", F.round((F.col("bx") - F.col("x")) * 4.0 / F.col("w"), 4).alias("dx"), F.round((F.col("b_y") - F.col("y")) * 4.0 / F.col("w"), 4).alias("dy"), F.round(F.col("bw") / F.col("w"), 4).alias("scale"))
+
+
+@query("""WITH t AS (SELECT CAST(floor(x / 8.0) AS BIGINT) AS tx, CAST(floor(y / 8.0) AS BIGINT) AS ty, id FROM v_rects) SELECT tx, ty, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS sources FROM t GROUP BY tx, ty""")
+def X24_tile_sources(spark, d):
+    t = view(spark, d, "v_rects").groupBy(C.floor_div("x", 8).alias("tx"), C.floor_div("y", 8).alias("ty")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return t.select("tx", "ty", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("sources"))

@@ -127,3 +127,18 @@ def A22_total_overlap(spark, d):
     pairs = rect_join(m, m, "open", on=("layer",)).filter("a.id < b.id")
     area = overlap_area(*({k: F.col(f"{t}.{k}") for k in "xywh"} for t in "ab"))
     return pairs.groupBy(F.col("a.layer").alias("layer")).agg(F.sum(area).alias("overlap"))
+
+
+@query("SELECT id, x + 3 AS moved_x, y - 2 AS moved_y, greatest(w - 5, 1) AS new_w, CAST(1 AS BIGINT) AS left_over, x + 10 AS kept_x FROM v_marks")
+def D8_area_edits(spark, d):
+    rects = F.array(F.struct("x", "y", "w", "h"), F.struct((F.col("x") + 10).alias("x"), "y", "w", "h"))
+    m = view(spark, d, "v_marks").select("id", rects.alias("r"), "w", "h")
+    out = m.select("id", M.moved("r", 0, 3, -2)[0].alias("m"), M.resized("r", 0, F.col("w") - 5, F.col("h"))[0].alias("s"), M.without_rect("r", 0).alias("rest"))
+    return out.select("id", F.col("m.x").alias("moved_x"), F.col("m.y").alias("moved_y"), F.col("s.w").alias("new_w"), F.size("rest").cast("bigint").alias("left_over"), F.col("rest")[0]["x"].alias("kept_x"))
+
+
+@query("SELECT id, (x + w - y - 6 * 0 >= -20) AS right_of, x - y AS diff, x + y - 6 * layer AS total FROM v_marks WHERE x - y BETWEEN -30 AND 80 AND x + y - 6 * layer BETWEEN 60 AND 220")
+def X7_range_contains(spark, d):
+    diff, total = C.to_grid("x", "y")
+    m = view(spark, d, "v_marks").withColumn("diff", diff).withColumn("total", total - F.col("layer") * C.GRID_ROWS_PER_LAYER)
+    return m.filter(F.col("diff").between(-30, 80) & F.col("total").between(60, 220)).select("id", (F.col("x") + F.col("w") - F.col("y") >= -20).alias("right_of"), "diff", "total")
