@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ def reliable(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quadrille-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
 

@@ -417,3 +417,8 @@ def X11_relative_placement(spark, d):
 def X24_tile_sources(spark, d):
     t = view(spark, d, "v_rects").groupBy(C.floor_div("x", 8).alias("tx"), C.floor_div("y", 8).alias("ty")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return t.select("tx", "ty", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("sources"))
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS keeper FROM documents")
+def D10_keepers(spark, d):
+    return R.first_copies(spark.read.parquet(f"{d}/documents.parquet"), "text", "doc_id")
