@@ -19,7 +19,8 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     calls, results = tool_calls.from_turns(table(spark, sf_dir, "conversations"))
     rows = ", ".join(f"('{n}', '{p}', '{t}', {str(r).lower()})" for n, p, t, r in tool_calls.TURN_SCHEMAS)
-    return tool_calls.link(calls, results, spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, param, type, required)"))
+    linked = tool_calls.link(calls, results, spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, param, type, required)"))
+    return linked.withColumn("problems", F.array_join("problems", "; "))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,21 @@ def queries() -> dict:
 
 
 ORACLE = {
+    "op1_tool_calls": """
+WITH RECURSIVE u AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, text FROM conversations WHERE role = 'user'),
+deps AS (SELECT a.conv_id, a.turn, b.turn AS need FROM u a LEFT JOIN u b ON a.conv_id = b.conv_id AND b.turn = a.turn // 2 AND a.turn > 0),
+lv(conv_id, turn, level) AS (SELECT conv_id, turn, 0 FROM deps WHERE need IS NULL UNION ALL SELECT d.conv_id, d.turn, lv.level + 1 FROM deps d JOIN lv ON d.conv_id = lv.conv_id AND d.need = lv.turn),
+c AS (SELECT u.conv_id, 'call-' || u.conv_id || '-' || u.turn AS call_id, CASE WHEN length(text) >= 200 THEN 'read' ELSE 'ask' END AS name, level,
+  row_number() OVER (PARTITION BY u.conv_id ORDER BY level, u.turn) - 1 AS position, u.turn, text,
+  '{' || CASE WHEN text IS NULL THEN '' ELSE '"n_words":' || len(regexp_split_to_array(trim(text), '\\s+')) || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"turn":' || u.turn || '}' AS arguments
+  FROM u JOIN lv ON u.conv_id = lv.conv_id AND u.turn = lv.turn),
+r AS (SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant')
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, name,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'answered' END AS status, level, position,
+  CASE WHEN c.call_id IS NULL THEN NULL WHEN c.text IS NULL THEN 'missing text' ELSE '' END AS problems,
+  CAST(c.call_id IS NOT NULL AS BIGINT) AS n_calls, CAST(r.call_id IS NOT NULL AS BIGINT) AS n_results,
+  '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":"' || coalesce(c.call_id, r.call_id) || '","name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS canonical
+FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id""",
     "op3_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS q FROM embeddings
