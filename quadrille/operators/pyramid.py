@@ -46,12 +46,12 @@ def square_colours(stacks: DataFrame, textures: DataFrame, how: str, water: tupl
     """
     if how == "mean":
         chosen = stacks
-    else:
-        lowest = stacks.filter("pos = 0")
-        chosen = lowest
-        if how == "water":
-            above = stacks.filter((F.col("pos") > 0) & F.col("tile").isin(*water)).groupBy("square").agg(F.min_by(F.struct("pos", "tile"), "pos").alias("t")).select("square", "t.pos", "t.tile")
-            chosen = lowest.select("square", "pos", "tile").union(above)
+    elif how == "first":
+        chosen = stacks.filter("pos = 0")
+    else:  # both tiles in one pass over a square's stack
+        above = F.when((F.col("pos") > 0) & F.col("tile").isin(*water), F.col("pos"))
+        both = stacks.groupBy("square").agg(F.min_by("tile", F.when(F.col("pos") == 0, F.col("pos"))).alias("a"), F.min_by("tile", above).alias("b"))
+        chosen = both.select("square", F.explode(F.array_compact(F.array("a", "b"))).alias("tile"))
     return chosen.join(textures, "tile").groupBy("square").agg(*mean_colour())
 
 
