@@ -207,7 +207,7 @@ class FMIndex:
 
 
 def _find(docs: DataFrame) -> DataFrame:
-    """(anchor, seg, doc_id, text_key, start, n) of all segments."""
+    """(anchor, seg, doc_id, text_key, starts, n) of all distinct segments of each document: lines that go on repeating give one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +215,13 @@ def _find(docs: DataFrame) -> DataFrame:
             ids, keys = batch["doc_id"].to_numpy(), batch["text_key"].to_numpy()
             for a, b in chunks(map(len, texts), SPAN):
                 anchor, seg, text, start, n = segments([t.encode().split() for t in texts[a:b]])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seg), pa.array(ids[a + text]), pa.array(keys[a + text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "seg", "doc_id", "text_key", "start", "n"])
+                order = np.lexsort((start, seg, anchor, text))
+                anchor, seg, text, start, n = (v[order] for v in (anchor, seg, text, start, n))
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(anchor) != 0) | (np.diff(seg) != 0)])) if len(text) else text
+                starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(text)), pa.int32()), pa.array(start, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(seg[first]), pa.array(ids[a + text[first]]), pa.array(keys[a + text[first]]), starts, pa.array(n[first], pa.int32())], ["anchor", "seg", "doc_id", "text_key", "starts", "n"])
 
-    return docs.mapInArrow(run, "anchor bigint, seg bigint, doc_id bigint, text_key bigint, start int, n int")
+    return docs.mapInArrow(run, "anchor bigint, seg bigint, doc_id bigint, text_key bigint, starts array<int>, n int")
 
 
 def _spell(docs: DataFrame) -> DataFrame:
@@ -278,7 +282,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs has doc_id, text and text_key (a hash of the text, for ids that are repeated), none of them null.
     """
     rows = stored(_find(docs), "segments")
-    least = F.min(F.struct("doc_id", "text_key", "start", "n")).alias("m")
+    least = F.min(F.struct("doc_id", "text_key", F.col("starts")[0].alias("start"), "n")).alias("m")
     # distinct segments: equal ones count once, before the shuffle already
     distinct = rows.groupBy("anchor", "seg").agg(least, F.max("doc_id").alias("last")).select("anchor", "seg", "m.*", "last")
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("segs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("segs > 1 and least < most")
@@ -296,8 +300,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     verdict = distinct.select("anchor", "seg", F.col("doc_id").alias("keeper"), "last").join(partial, ["anchor", "seg"], "left").filter("last > keeper or parts is not null")
     hit = rows.join(verdict, ["anchor", "seg"]).filter("doc_id > keeper or parts is not null")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    spans = F.transform(F.when(F.col("doc_id") > F.col("keeper"), whole).otherwise(F.col("parts")), lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
-    return hit.select("doc_id", "text_key", F.explode(spans).alias("span")).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
+    parts = F.when(F.col("doc_id") > F.col("keeper"), whole).otherwise(F.col("parts"))
+    spans = F.flatten(F.transform("starts", lambda at: F.transform(parts, lambda s: F.struct((s["a"] + at).alias("a"), (s["b"] + at).alias("b")))))
+    return hit.select("doc_id", "text_key", spans.alias("spans")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one document
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
