@@ -298,6 +298,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     partial = by_index.union(by_hash).groupBy("anchor", "seg").agg(F.collect_set(F.struct("a", "b")).alias("parts"))  # of one segment
 
     verdict = distinct.select("anchor", "seg", F.col("doc_id").alias("keeper"), "last").join(partial, ["anchor", "seg"], "left").filter("last > keeper or parts is not null")
+    verdict = stored(verdict, "verdict")  # so that the join below starts from two shuffles, whose hot keys can be split
     hit = rows.join(verdict, ["anchor", "seg"]).filter("doc_id > keeper or parts is not null")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     parts = F.when(F.col("doc_id") > F.col("keeper"), whole).otherwise(F.col("parts"))
