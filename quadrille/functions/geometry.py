@@ -242,3 +242,9 @@ def longest_visible(points, box: tuple) -> Column:
     sized = F.transform(F.filter(pairs, lambda s: s["c"].isNotNull()), lambda s: F.struct((-((s["c"]["xb"] - s["c"]["xa"]) * (s["c"]["xb"] - s["c"]["xa"]) + (s["c"]["yb"] - s["c"]["ya"]) * (s["c"]["yb"] - s["c"]["ya"]))).alias("d"), s["i"].alias("i"), ((s["c"]["xa"] + s["c"]["xb"]) / 2).alias("x"), ((s["c"]["ya"] + s["c"]["yb"]) / 2).alias("y")))
     best = F.array_min(sized)
     return F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y"), (-best["d"]).alias("d2")))
+
+
+def corners(x, y, w, h) -> Column:
+    """Corners of a rectangle clockwise, as a ring to clip with."""
+    x, y, w, h = (col(v) for v in (x, y, w, h))
+    return F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))))

@@ -315,3 +315,20 @@ def G12_covered_edge(spark, d):
     pairs = J.rect_join(r, r, "closed", on=("layer",)).filter("a.id <> b.id and b.x + b.w >= a.x + a.w and b.x <= a.x + a.w")
     parts = pairs.select(F.col("a.id").alias("id"), F.greatest("a.y", "b.y").alias("s"), F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h")).alias("e")).filter("s < e")
     return W.merge_intervals(parts, ["id"]).groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("hidden"))
+
+
+@query("SELECT id, i AS corner, CASE WHEN i IN (1, 2) THEN x + w ELSE x END - CASE WHEN i >= 2 THEN y + h ELSE y END AS gx, CASE WHEN i IN (1, 2) THEN x + w ELSE x END + CASE WHEN i >= 2 THEN y + h ELSE y END AS gy FROM v_rects, range(0, 4) t(i)")
+def G29_clip_ring(spark, d):
+    """Corners of rectangles on the isometric grid."""
+    r = view(spark, d, "v_rects").select("id", F.posexplode(G.corners("x", "y", "w", "h")).alias("corner", "p"))
+    gx, gy = C.to_grid("p.x", "p.y")
+    return r.select("id", F.col("corner").cast("bigint").alias("corner"), gx.alias("gx"), gy.alias("gy"))
+
+
+@query("""WITH o AS (SELECT id, x, y, w, h FROM v_rects WHERE id % 4 <> 0 UNION ALL SELECT id, x, y, CAST(1 AS BIGINT), h FROM v_rects WHERE id % 4 = 0 UNION ALL SELECT id, x + 2, y, CAST(1 AS BIGINT), h FROM v_rects WHERE id % 4 = 0 AND w > 2) SELECT id, x, y, w, h FROM o""")
+def G20_object_rects(spark, d):
+    """Rectangles as they are; other shapes (here: two columns of squares) as covers of their squares."""
+    r = view(spark, d, "v_rects").select("id", "x", "y", "w", "h")
+    plain = r.filter("id % 4 <> 0")
+    shapes = r.filter("id % 4 = 0").select("id", "x", "w", F.explode(G.squares_of("x", "y", "w", "h")).alias("p")).filter("p.x - x in (0, 2)")
+    return plain.unionByName(W.rect_cover(shapes.select("id", "p.x", "p.y"), ["id"]).select("id", "x", "y", "w", "h"))

@@ -85,3 +85,11 @@ def J15_pixel_colours(spark, d):
     p = view(spark, d, "v_points").select("x", "y", (F.col("v") % 3).alias("pixel"))
     zones = spark.sql("SELECT * FROM VALUES (0L, 'red'), (1L, 'unknown'), (2L, 'skip') AS t(pixel, zone)")  # a fixed table of three rows
     return p.join(F.broadcast(zones), "pixel").groupBy("x", "y").agg(F.min(V.colour("zone", "gray", 128)).alias("colour"))
+
+
+@query("""WITH k AS (SELECT p_brand AS cell, list(p_partkey ORDER BY p_partkey) AS tiles FROM part GROUP BY p_brand) SELECT r.id, k.tiles[1 + (r.id % 50)] AS tile FROM v_rects r JOIN k ON k.cell = r.type""")
+def J1_dictionary_codes(spark, d):
+    """Codes looked up in the dictionary of their own cell; a code beyond it is null."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    cells = part.groupBy(F.col("p_brand").alias("type")).agg(F.array_sort(F.collect_list("p_partkey")).alias("tiles"))  # a cell's dictionary
+    return view(spark, d, "v_rects").join(cells, "type").select("id", F.get("tiles", (F.col("id") % 50).cast("int")).alias("tile"))
