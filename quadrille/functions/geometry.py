@@ -191,32 +191,46 @@ def octagon(x, y, w, h, margin) -> list[tuple[Column, Column]]:
     return out
 
 
-def octagon_span(x, y, w, h, margin, gy0, gy1) -> Column:
-    """Least and largest grid column (rounded outwards) of the octagon between two grid rows; null where it isn't there."""
-    ring = octagon(x, y, w, h, margin)
-    lows, highs = [], []
-    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
-        swap = ay > by
-        x0, y0, x1, y1 = F.when(swap, bx).otherwise(ax), F.least(ay, by), F.when(swap, ax).otherwise(bx), F.greatest(ay, by)
-        seen = (y1 >= gy0) & (y0 <= gy1)
-        dy = F.when(y1 == y0, 1).otherwise(y1 - y0)
-        n0, n1 = (F.greatest(y0, gy0) - y0) * (x1 - x0), (F.least(y1, gy1) - y0) * (x1 - x0)
-        flat = y0 == y1
-        lows.append(F.when(seen, F.when(flat, F.least(x0, x1)).otherwise(x0 + floor_div(F.least(n0, n1), dy))))
-        highs.append(F.when(seen, F.when(flat, F.greatest(x0, x1)).otherwise(x0 - floor_div(-F.greatest(n0, n1), dy))))
-    return F.struct(F.least(*lows).alias("low"), F.greatest(*highs).alias("high"))
+def octagon_edges(x, y, w, h, margin) -> Column:
+    """Edges of the octagon from top to bottom, as structs (x0, y0, x1, y1)."""
+    ring = F.array(*(F.struct(a.cast("bigint").alias("x"), b.cast("bigint").alias("y")) for a, b in octagon(x, y, w, h, margin)))
+
+    def edge(a: Column, b: Column) -> Column:
+        down = a["y"] <= b["y"]
+        pick = lambda p, q, k: F.when(down, p[k]).otherwise(q[k])
+        return F.struct(pick(a, b, "x").alias("x0"), pick(a, b, "y").alias("y0"), pick(b, a, "x").alias("x1"), pick(b, a, "y").alias("y1"))
+
+    return F.zip_with(ring, F.concat(F.slice(ring, 2, 7), F.slice(ring, 1, 1)), edge)
+
+
+def edges_span(edges, gy0, gy1) -> Column:
+    """Least and largest grid column (rounded outwards) of edges between two grid rows; null where none is there."""
+
+    def reach(e: Column) -> Column:
+        dx, dy = e["x1"] - e["x0"], F.when(e["y1"] == e["y0"], 1).otherwise(e["y1"] - e["y0"])
+        n0, n1 = (F.greatest(e["y0"], gy0) - e["y0"]) * dx, (F.least(e["y1"], gy1) - e["y0"]) * dx
+        flat = e["y0"] == e["y1"]
+        low = F.when(flat, F.least(e["x0"], e["x1"])).otherwise(e["x0"] + floor_div(F.least(n0, n1), dy))
+        high = F.when(flat, F.greatest(e["x0"], e["x1"])).otherwise(e["x0"] - floor_div(-F.greatest(n0, n1), dy))
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    seen = F.transform(F.filter(col(edges), lambda e: (e["y1"] >= gy0) & (e["y0"] <= gy1)), reach)
+    return F.struct(F.array_min(F.transform(seen, lambda r: r["low"])).alias("low"), F.array_max(F.transform(seen, lambda r: r["high"])).alias("high"))
 
 
 def rect_tiles(df, x="x", y="y", w="w", h="h", margin=None, per_tile=(16, 32), origin=(0, 0)):
-    """Rows of df with each isometric tile (tx, ty) that their square rectangle really reaches."""
+    """Rows of df with each isometric tile (tx, ty) that their square rectangle really reaches.
+
+    Rows of tiles come from the octagon's height; in each, the edges' span gives the tiles.
+    """
     m = margin or affected_margin(render_margin(False))
     ring = octagon(x, y, w, h, m)
     low, high = F.least(*(p[1] for p in ring)), F.greatest(*(p[1] for p in ring))
-    rows = df.withColumn("ty", F.explode(F.sequence(floor_div(low - origin[1], per_tile[1]), floor_div(high - origin[1] - 1, per_tile[1]))))
+    rows = df.withColumn("_edges", octagon_edges(x, y, w, h, m)).withColumn("ty", F.explode(F.sequence(floor_div(low - origin[1], per_tile[1]), floor_div(high - origin[1] - 1, per_tile[1]))))
     gy0 = F.col("ty") * per_tile[1] + origin[1]
-    rows = rows.withColumn("_span", octagon_span(x, y, w, h, m, gy0, gy0 + per_tile[1])).filter("_span.low is not null")
-    first, last = floor_div(F.col("_span.low") - origin[0], per_tile[0]), floor_div(F.col("_span.high") - origin[0] - 1, per_tile[0])
-    return rows.filter(first <= last).withColumn("tx", F.explode(F.sequence(first, last))).drop("_span")
+    span = F.transform(F.array(edges_span("_edges", gy0, gy0 + per_tile[1])), lambda s: F.struct(floor_div(s["low"] - origin[0], per_tile[0]).alias("a"), floor_div(s["high"] - origin[0] - 1, per_tile[0]).alias("b")))
+    txs = F.flatten(F.transform(F.filter(span, lambda t: t["a"] <= t["b"]), lambda t: F.sequence(t["a"], t["b"])))
+    return rows.withColumn("tx", F.explode(txs)).drop("_edges")
 
 
 def rect_tiles_top(x, y, w, h, tile: int, origin=(0, 0)) -> Column:
