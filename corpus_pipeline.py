@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import byte_bpe, decontam, quality, simhash, substring_dedup
+from quadrille.llm import byte_bpe, decontam, quality, simhash, similar, substring_dedup
 from quadrille.llm.common import cut, id_crc, stored, table
 
 
@@ -19,11 +19,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of linked SimHash fingerprints; of repeated ids, each row."""
+    """By op10's contract (three words, 3 bits), not the stages' rule: what tests hold against op10; the pipeline runs near_copies."""
     groups = simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked by five-word shingles with a similarity of 0.8 or more: the least id's."""
+    return similar.without_copies(docs)
+
+
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 50 words or more out of documents if a smaller id has them; a text that loses all its words goes."""
 
@@ -53,7 +58,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("decontamination", decontaminate), ("tokens", tokenise)]
+STAGES = [("quality", quality_filter), ("near_dedup", near_copies), ("passage_dedup", passage_dedup), ("decontamination", decontaminate), ("tokens", tokenise)]
 
 #: A learned classifier and a fingerprint of hashes are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
