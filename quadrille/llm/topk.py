@@ -1,7 +1,7 @@
 """Operator 3: exact top-k search by tiled matrix products.
 
 Queries go out in blocks of bounded size; every task multiplies its tiles of candidates with the block, selects the
-best of each tile and merges it with the best so far. Per-query lists of all tasks are merged in a tree of FAN-way
+best of each tile, each vec_id once, and merges it with the best so far. Per-query lists of all tasks are merged in a tree of FAN-way
 window steps, so that the last step sees at most FAN lists for each query, however many tasks there were.
 """
 
@@ -68,7 +68,12 @@ def _best(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple
 
 
 def _merge(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query row."""
+    """The k best ids of each query row, each with its best score."""
+    order = np.lexsort((-score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    once = np.ones(len(query), bool)
+    once[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+    query, ids, score = query[once], ids[once], score[once]
     order = np.lexsort((ids, -score, query))
     query, ids, score = query[order], ids[order], score[order]
     first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
@@ -90,9 +95,14 @@ def _search(block, k: int):
                 order = np.argsort(ids, kind="stable")
                 ids, matrix = ids[order], matrix[order]
                 for t in range(0, len(ids), TILE):
+                    start = np.flatnonzero(np.diff(ids[t : t + TILE], prepend=ids[t] - 1))  # an id's rows stand together
+                    once = ids[t + start]
                     for i in range(0, len(own), ROWS):
-                        row, column, score = _best(_products(queries[i : i + ROWS], matrix[t : t + TILE]), own[i : i + ROWS], ids[t : t + TILE], k)
-                        found.append((number[i + row], ids[t + column], score))
+                        scores = _products(queries[i : i + ROWS], matrix[t : t + TILE])
+                        if len(once) < scores.shape[1]:
+                            scores = np.maximum.reduceat(scores, start, axis=1)
+                        row, column, score = _best(scores, own[i : i + ROWS], once, k)
+                        found.append((number[i + row], once[column], score))
             held = _merge(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["query", "vec_id", "score"])
 
