@@ -46,9 +46,10 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which tiles cover 0.8 or more of a benchmark item."""
-    leaks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Drops documents in which tiles cover 0.8 or more of a benchmark item; the text decides, whatever the id, null too."""
+    texts = docs.select(similar.text_key().alias("doc_id"), "text")
+    leaks = decontam.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", similar.text_key()).join(leaks, "_key", "left_anti").select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
