@@ -39,7 +39,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     marked = substring_dedup.with_spans(docs)
     text = F.when(F.col("_spans").isNotNull(), shortened(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = marked.withColumn("text", text).filter("_spans is null or length(trim(text)) > 0")
+    out = marked.withColumn("text", text).filter(F.col("_spans").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

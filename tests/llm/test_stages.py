@@ -10,3 +10,10 @@ def test_leaks_by_text(make_docs, spark):
     docs = make_docs([(None, item), (None, "no leak"), (7, item + " and more"), (7, "another text under the same id"), (8, None)])
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()), key=str)
     assert got == sorted([(None, "no leak"), (7, "another text under the same id"), (8, None)], key=str)
+
+
+def test_no_words_left(make_docs, spark):
+    long = " ".join(f"t{k}" for k in range(60))
+    docs = make_docs([(1, long), (2, long + "\n"), (3, long + "\t \r\n"), (4, long + "\nmore"), (5, " \n")])
+    got = {r.doc_id: r.text for r in corpus_pipeline.passage_dedup(spark, docs, SF).collect()}
+    assert got == {1: long, 4: "\nmore", 5: " \n"}
