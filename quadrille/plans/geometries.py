@@ -282,6 +282,15 @@ def C1_components(spark, d):
     return J.components(r.select("id"), edges)
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM v_rects a JOIN v_rects b ON a.layer = b.layer AND {_MODES['open']}),
+  r(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a) SELECT id, min(other) AS component FROM r GROUP BY id""")
+def C1_components_whole(spark, d):
+    """Over all rectangles; SQL's transitive closure is quadratic, so that it is held against small tables."""
+    r = view(spark, d, "v_rects")
+    edges = J.rect_join(r, r, "open", on=("layer",)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return J.components(r.select("id"), edges)
+
+
 _BY_TYPE = "s AS (SELECT DISTINCT type, x, unnest(range(y, y + h)) AS y FROM (SELECT type, unnest(range(x, x + w)) AS x, y, h FROM v_rects))"
 
 
