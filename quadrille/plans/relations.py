@@ -36,6 +36,13 @@ def J13_dependency_closure(spark, d):
     return J.closure(e.filter("node % 97 = 0").select(F.col("node").alias("root")), e)
 
 
+@query("""WITH RECURSIVE r(root, node) AS (SELECT node, node FROM v_deps UNION ALL SELECT r.root, v_deps.needs FROM r JOIN v_deps ON r.node = v_deps.node) SELECT root, node FROM r""")
+def J13_dependency_closure_whole(spark, d):
+    """From every node."""
+    e = view(spark, d, "v_deps")
+    return J.closure(e.select(F.col("node").alias("root")), e)
+
+
 @query("""SELECT coalesce(a.c, b.c) AS c, a.n AS orders, b.n AS customers, CASE WHEN a.c IS NULL THEN 'no order' WHEN b.c IS NULL THEN 'no customer' ELSE 'both' END AS state
   FROM (SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_custkey % 4 <> 1 GROUP BY 1) a FULL JOIN (SELECT c_custkey AS c, count(*) AS n FROM customer WHERE c_custkey % 4 <> 2 GROUP BY 1) b ON a.c = b.c""")
 def J14_id_mapping(spark, d):
@@ -45,6 +52,17 @@ def J14_id_mapping(spark, d):
     return o.join(c, "c", "full_outer").select("c", "orders", "customers", state.alias("state"))
 
 
+@query("""SELECT coalesce(a.c, b.c) AS c, a.n AS orders, b.n AS customers, CASE WHEN a.c IS NULL THEN 'no order' WHEN b.c IS NULL THEN 'no customer' ELSE 'both' END AS state
+  FROM (SELECT CASE WHEN o_custkey % 4 = 1 THEN -1 - o_custkey ELSE o_custkey END AS c, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT c_custkey AS c, count(*) AS n FROM customer GROUP BY 1) b ON a.c = b.c""")
+def J14_id_mapping_whole(spark, d):
+    """All rows of both sides; keys on one side only come from mapping a quarter of the orders' keys below zero."""
+    key = F.when(F.col("o_custkey") % 4 == 1, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    o = spark.read.parquet(f"{d}/orders.parquet").groupBy(key.alias("c")).agg(F.count("*").alias("orders"))
+    c = spark.read.parquet(f"{d}/customer.parquet").groupBy(F.col("c_custkey").alias("c")).agg(F.count("*").alias("customers"))
+    state = F.when(F.col("orders").isNull(), "no order").when(F.col("customers").isNull(), "no customer").otherwise("both")
+    return o.join(c, "c", "full_outer").select("c", "orders", "customers", state.alias("state"))
+
+
 @query("SELECT type, CAST(count(*) AS BIGINT) AS rooms FROM v_rects GROUP BY type")
 def A7_rooms_by_name(spark, d):
     return view(spark, d, "v_rects").groupBy("type").agg(F.count("*").alias("rooms"))

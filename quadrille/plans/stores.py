@@ -32,6 +32,15 @@ def F3_in_any_rect(spark, d):
     return point_join(p, view(spark, d, "v_rects").filter("id < 30")).select("p.x", "p.y").distinct()
 
 
+@query("SELECT DISTINCT x, y FROM v_points p WHERE EXISTS (SELECT 1 FROM v_rects r WHERE p.x >= r.x AND p.x < r.x + r.w AND p.y >= r.y AND p.y < r.y + r.h)")
+def F3_in_any_rect_whole(spark, d):
+    """Of all rectangles."""
+    from ..operators.joins import point_join
+
+    p = view(spark, d, "v_points").select("x", "y").distinct()
+    return point_join(p, view(spark, d, "v_rects")).select("p.x", "p.y").distinct()
+
+
 @query("SELECT layer, CAST(floor(x / 256.0) AS BIGINT) AS cx, CAST(floor(y / 256.0) AS BIGINT) AS cy FROM v_points GROUP BY 1, 2, 3 HAVING max(v) > 49")
 def F5_populated_cells(spark, d):
     cells = view(spark, d, "v_points").groupBy("layer", C.floor_div("x", 256).alias("cx"), C.floor_div("y", 256).alias("cy")).agg(F.max("v").alias("most"))
@@ -59,6 +68,15 @@ def F8_covers(spark, d):
     return M.covered(m, r, exclude, ("Brand#11",), (7,)).select("id")
 
 
+@query("""WITH m AS (SELECT * FROM v_marks WHERE type <> 'Brand#11' AND id <> 7), a AS (SELECT DISTINCT m.id FROM m JOIN v_rects r ON least(m.x + m.w, r.x + r.w) > greatest(m.x, r.x) AND least(m.y + m.h, r.y + r.h) > greatest(m.y, r.y)),
+  s AS (SELECT m.id, sum((least(m.x + m.w, g.x + 50) - greatest(m.x, g.x)) * (least(m.y + m.h, g.y + 50) - greatest(m.y, g.y))) AS shared FROM m JOIN (VALUES (0, 0), (50, 0), (100, 100)) g(x, y) ON least(m.x + m.w, g.x + 50) > greatest(m.x, g.x) AND least(m.y + m.h, g.y + 50) > greatest(m.y, g.y) GROUP BY m.id)
+  SELECT m.id FROM m JOIN a USING (id) LEFT JOIN s USING (id) WHERE s.shared IS NULL OR s.shared <> m.w * m.h""")
+def F8_covers_whole(spark, d):
+    m, r = view(spark, d, "v_marks"), view(spark, d, "v_rects")
+    exclude = spark.sql("SELECT * FROM VALUES (0L, 0L, 50L, 50L), (50L, 0L, 50L, 50L), (100L, 100L, 50L, 50L) AS t(x, y, w, h)")
+    return M.covered(m, r, exclude, ("Brand#11",), (7,)).select("id")
+
+
 _JSON = """CASE id % 4 WHEN 0 THEN '{"id":"m' || id || '","type":"point","x":' || x || ',"y":' || y || '}' WHEN 1 THEN '{"id":"m' || id || '","type":"area","layer":2,"rects":[{"x":1,"y":2,"width":' || (id % 3) || ',"height":4}]}' WHEN 2 THEN '{"id":"m' || id || '","type":"polyline","points":[{"x":1,"y":2}]}' ELSE '{"id":"m' || id || '","type":"polygon","name":"p","points":[{"x":1,"y":2},{"x":3,"y":4}]}' END"""
 
 
