@@ -240,6 +240,15 @@ def P33_packed(spark, d):
     return m.select("conv_id", "packed", F.size(V.unpacked("packed")).cast("bigint").alias("n"))
 
 
+@query("""WITH t AS (SELECT conv_id, lang, arg_min(text, turn) AS text FROM v_whole_texts GROUP BY conv_id, lang)
+  SELECT conv_id, string_agg(lang || ':' || text, '&&' ORDER BY lang || ':' || text) AS packed, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY conv_id""")
+def P33_packed_whole(spark, d):
+    """Over whole texts."""
+    t = view(spark, d, "v_whole_texts").groupBy("conv_id", "lang").agg(F.min_by("text", "turn").alias("text"))
+    m = t.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "text"))).alias("m")).select("conv_id", V.packed("m").alias("packed"))
+    return m.select("conv_id", "packed", F.size(V.unpacked("packed")).cast("bigint").alias("n"))
+
+
 @query("""SELECT conv_id, arg_min(text, turn) FILTER (WHERE lang = 'user') AS "user", arg_min(text, turn) FILTER (WHERE lang = 'assistant') AS assistant, arg_min(text, turn) FILTER (WHERE lang = 'system') AS "system" FROM v_texts GROUP BY conv_id""")
 def P34_wide_long(spark, d):
     from ..operators.relational import long_options, wide_options
@@ -250,6 +259,17 @@ def P34_wide_long(spark, d):
     return wide_options(long_options(wide, ["conv_id"], "name"), ["conv_id"], langs)
 
 
+@query("""SELECT conv_id, arg_min(text, turn) FILTER (WHERE lang = 'user') AS "user", arg_min(text, turn) FILTER (WHERE lang = 'assistant') AS assistant, arg_min(text, turn) FILTER (WHERE lang = 'system') AS "system" FROM v_whole_texts GROUP BY conv_id""")
+def P34_wide_long_whole(spark, d):
+    """Over whole texts."""
+    from ..operators.relational import long_options, wide_options
+
+    langs = ["user", "assistant", "system"]
+    t = view(spark, d, "v_whole_texts").groupBy("conv_id", "lang").agg(F.min_by("text", "turn").alias("text"))
+    wide = wide_options(t, ["conv_id"], langs).select("conv_id", *(F.col(x).alias(f"name_{x}") for x in langs))
+    return wide_options(long_options(wide, ["conv_id"], "name"), ["conv_id"], langs)
+
+
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN 'a=1;b=9' ELSE 'a=1;b=2' END || ';c=' || w AS merged FROM v_rects")
 def P35_merge(spark, d):
     old = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))

@@ -270,6 +270,14 @@ def X15_localised(spark, d):
     return R.localised(keys, t.withColumnRenamed("conv_id", "key"), "system", "assistant")
 
 
+@query("""WITH t AS (SELECT conv_id AS key, lang, min(text) AS text FROM v_whole_texts GROUP BY 1, 2) SELECT k.key, coalesce(a.text, b.text, CAST(k.key AS VARCHAR)) AS text FROM (SELECT DISTINCT conv_id * 2 // 3 AS key FROM v_whole_texts) k LEFT JOIN t a ON a.key = k.key AND a.lang = 'system' LEFT JOIN t b ON b.key = k.key AND b.lang = 'assistant'""")
+def X15_localised_whole(spark, d):
+    """Over whole texts."""
+    t = view(spark, d, "v_whole_texts")
+    keys = t.select(F.expr("conv_id * 2 div 3").alias("key")).distinct()
+    return R.localised(keys, t.withColumnRenamed("conv_id", "key"), "system", "assistant")
+
+
 @query("""WITH b AS (SELECT layer, id, w FROM v_rects), s AS (SELECT id, w FROM b WHERE id % 4 <> 0), n AS (SELECT id, CASE WHEN id % 3 = 0 THEN w + 1 ELSE w END AS w FROM b WHERE id % 5 <> 0)
   SELECT coalesce(s.id, n.id) AS id, CASE WHEN s.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'remove' WHEN s.w <> n.w THEN 'replace' ELSE 'keep' END AS action FROM s FULL JOIN n ON s.id = n.id""")
 def X12_render_sync(spark, d):
