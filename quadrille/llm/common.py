@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def free_name(name: str, docs: DataFrame, *taken: str) -> str:
+    """name, with underscores behind it until docs has no such column (names differ by more than case) and it isn't taken."""
+    used = {c.lower() for c in (*docs.columns, *taken)}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lineage ends in files of the shared folder."""
     shared_dir(df.sparkSession)

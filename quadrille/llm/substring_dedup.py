@@ -1,15 +1,18 @@
 """Operator 8: repeated passages by compressed FM-indexes over shards of text.
 
 A document can only repeat what has the same words, so shards are made by content: each window of WINDOW words has an
-anchor, the run of ANCHOR words in it with the least hash, and equal windows have equal anchors. Consecutive windows with
-one anchor are a segment. Segments that are equal need no search: all but those of the least document are
-repeats. Distinct segments that share an anchor meet in one shard, which holds an FM-index (a wavelet matrix of packed bits over the
-Burrows-Wheeler transform) of them; each segment is streamed through it by backward search, which
-gives matching statistics among smaller documents, and intervals of WINDOW words or more are reported.
-
-Anchors with more distinct segments than HOT don't gather in a shard: their windows are compared by hash in a grouped
-minimum, which combines before it shuffles, and is exact as well. Only anchors, hashes and places are shuffled for most of the text; words
-are sent only for distinct segments that share an anchor.
+anchor, the run of words in it with the least hash, and equal windows have equal anchors. Consecutive windows with one
+anchor are a segment, and what is shared lies in segments whose anchor several documents have. Equal segments (128 bits
+of hashes) are spelled and searched once, with their least document and their greatest.
+
+A shard holds whole anchors and an FM-index of their segments: a wavelet matrix of the Burrows-Wheeler transform and one
+of the documents in the order of suffixes, both packed bits. Each segment is streamed through its index by backward
+search, which gives how far some smaller document goes along with it; matches of WINDOW words or more are reported.
+
+Anchors of few words may be common. Where more than GROUP different segments share one, its segments are dealt again by
+longer anchors (ANCHORS); those of WINDOW words have one segment each, so that groups are bounded whatever the text.
+Results do not depend on GROUP. Only anchors, hashes and places are shuffled for most of the text; words are sent only for
+segments that share an anchor.
 """
 
 from __future__ import annotations
@@ -25,18 +28,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, offsets, stored
+from .common import chunks, free_name, mix64, offsets, stored
 
 WINDOW = 50
-ANCHOR = 25
-#: Distinct segments of an anchor that a shard takes.
-HOT = 2000
+#: Words of an anchor: the first for all text, each next for the segments of anchors that were too common.
+ANCHORS = (25, 38, 46, WINDOW)
+#: Different segments of an anchor that go to one index.
+GROUP = 256
 #: Words in an index, about.
 INDEX_WORDS = 400_000
 SPAN = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
+SPANS = "array<struct<a:int,b:int>>"
 
 
 def word_hashes(split: list[list[bytes]]) -> np.ndarray:
@@ -80,16 +85,16 @@ class Prefix:
         return mix64((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64) * BASE2)
 
 
-def segments(split: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """anchor, hash, text number, start and words of all segments."""
+def segments(split: list[list[bytes]], anchor: int = ANCHORS[0]) -> tuple[np.ndarray, ...]:
+    """anchor, hash, text number, start and words of all segments, for anchors of so many words."""
     split = [s if len(s) >= WINDOW else [] for s in split]
     at = offsets([len(s) for s in split])
     none = np.zeros(0, np.int64)
     if at[-1] < WINDOW:
         return none, none, none, none, none
     h = word_hashes(split)
-    x = run_hashes(h, ANCHOR, BASE)
-    width = WINDOW - ANCHOR + 1
+    x = run_hashes(h, anchor, BASE)
+    width = WINDOW - anchor + 1
     least = np.lib.stride_tricks.sliding_window_view(x, width).argmin(axis=1)
     first = np.arange(len(least))
     text = np.searchsorted(at, first, side="right") - 1
@@ -101,109 +106,122 @@ def segments(split: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     return x[place[change]].view(np.int64), Prefix(h)(a, b).view(np.int64), text[change], a - at[text[change]], b - a
 
 
-class FMIndex:
-    """An FM-index of segments of word codes (from 1), which knows the least document of any range of suffixes."""
+class Wavelet:
+    """A wavelet matrix: for each bit of the values, highest first, packed bits and the number of ones before each 64."""
 
-    def __init__(self, parts: list[np.ndarray], documents: np.ndarray):
-        sizes = [len(p) + 1 for p in parts]
-        self.at = offsets(sizes)
-        text = np.zeros(self.at[-1], np.int64)  # 0 ends each segment
-        for p, a in zip(parts, self.at, strict=False):
-            text[a : a + len(p)] = p
-        self.text, n = text, len(text)
-        order = self._sorted(text)
-        transformed = text[order - 1]
-        self.bits = max(1, int(text.max()).bit_length())
-        counts = np.bincount(text, minlength=int(text.max()) + 2)
-        self.before = np.concatenate([[0], np.cumsum(counts)])[: len(counts)]
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.bits = max(1, int(values.max(initial=0)).bit_length())
         self.words, self.ranks, self.zeros = [], [], []
-        level = transformed
         for bit in range(self.bits - 1, -1, -1):
-            ones = (level >> bit) & 1
+            ones = (values >> bit) & 1
             padded = np.zeros((n // 64 + 1) * 64, np.uint8)
             padded[:n] = ones
             packed = np.packbits(padded, bitorder="little").view("<u8")
             self.words.append(packed)
             self.ranks.append((np.cumsum(np.bitwise_count(packed), dtype=np.int64) - np.bitwise_count(packed)).astype(np.int32))
             self.zeros.append(int(n - ones.sum()))
-            level = np.concatenate([level[ones == 0], level[ones == 1]])
-        self.first = self._map(np.arange(len(counts)), np.zeros(len(counts), np.int64))
-        owner = np.repeat(documents, sizes)[order]
-        self.least = [owner]
-        while (width := 1 << len(self.least)) <= n:
-            low = self.least[-1]
-            self.least.append(np.minimum(low[: n - width + 1], low[width // 2 : width // 2 + n - width + 1]))
+            values = np.concatenate([values[ones == 0], values[ones == 1]])
+
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones among the first `at` bits of a level."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ranks[level][word] + np.bitwise_count(self.words[level][word] & mask)
+
+    def follow(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the occurrences of a value among the first `at` places end on the last level."""
+        for level, bit in enumerate(range(self.bits - 1, -1, -1)):
+            ones = self._ones(level, at)
+            at = np.where((value >> bit) & 1, self.zeros[level] + ones, at - ones)
+        return at
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least value of each non-empty range [low, high)."""
+        both, out = np.concatenate([low, high]), np.zeros(len(low), np.int64)
+        for level in range(self.bits):
+            ones = self._ones(level, both)
+            zeros = both - ones
+            some = zeros[len(low) :] > zeros[: len(low)]
+            out = 2 * out + ~some
+            both = np.where(np.concatenate([some, some]), zeros, self.zeros[level] + ones)
+        return out
+
+
+class FMIndex:
+    """An FM-index of segments of word codes (from 1) that knows the least document of what a pattern matches.
+
+    Kept are two wavelet matrices and a count for each code: of the transformed text, and of the documents of the
+    suffixes in their order. The text itself is not kept.
+    """
+
+    def __init__(self, parts: list[np.ndarray], documents: np.ndarray):
+        sizes = np.array([len(p) + 1 for p in parts], np.int64)
+        at = offsets(sizes)
+        text = np.zeros(at[-1], np.int64)  # 0 ends each segment
+        for p, a in zip(parts, at, strict=False):
+            text[a : a + len(p)] = p
+        order = self._sorted(text, at[1:] - 1)
+        self.n = len(text)
+        counts = np.bincount(text, minlength=int(text.max(initial=0)) + 2)
+        self.transform = Wavelet(text[order - 1])
+        self.documents, rank = np.unique(documents, return_inverse=True)
+        self.owners = Wavelet(np.repeat(rank, sizes)[order])
+        # a step of backward search goes to: suffixes with smaller codes + occurrences before the place
+        self.base = np.concatenate([[0], np.cumsum(counts)])[: len(counts)] - self.transform.follow(np.arange(len(counts)), np.zeros(len(counts), np.int64))
 
     @staticmethod
-    def _sorted(text: np.ndarray) -> np.ndarray:
-        """Suffixes in the order of their first 64 words, by doubling; backward search over no more than that needs no deeper order."""
-        rank, width = text.copy(), 1
+    def _sorted(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Suffixes in order, by doubling; ends differ from each other, so that the order is complete when all have got theirs."""
+        rank, width, n = text + len(ends), 1, len(text)
+        rank[ends] = np.arange(len(ends))
         while True:
-            second = np.zeros(len(text), np.int64)
-            second[:-width] = rank[width:] + 1 if width < len(text) else second[:-width]
-            key = rank * (len(text) + int(text.max()) + 2) + second
+            second = np.zeros(n, np.int64)
+            second[:-width] = rank[width:] + 1
+            key = rank * (int(rank.max()) + 2) + second
             order = np.argsort(key, kind="stable")
-            rank = np.empty(len(text), np.int64)
+            rank = np.empty(n, np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
             width *= 2
-            if width >= 128 or width >= len(text):
+            if rank[order[-1]] == n - 1 or width >= n:
                 return order
 
-    def _map(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where the first `at` symbols' occurrences of a code end on the last level."""
-        for level, bit in enumerate(range(self.bits - 1, -1, -1)):
-            word = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.ranks[level][word] + np.bitwise_count(self.words[level][word] & mask)
-            at = np.where((code >> bit) & 1, self.zeros[level] + ones, at - ones)
-        return at
-
     def extend(self, code: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: suffixes that start with code and then with what [low, high) starts with."""
-        base = self.before[code] - self.first[code]
-        both = self._map(np.concatenate([code, code]), np.concatenate([low, high]))
-        return both[: len(low)] + base, both[len(low) :] + base
-
-    def least_document(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Least document of each non-empty range."""
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.int64)
-        for k in np.unique(level):
-            own = level == k
-            out[own] = np.minimum(self.least[k][low[own]], self.least[k][high[own] - (1 << k)])
-        return out
+        both = self.transform.follow(np.concatenate([code, code]), np.concatenate([low, high])) + np.concatenate([self.base[code], self.base[code]])
+        return both[: len(low)], both[len(low) :]
 
-    def repeats(self, documents: np.ndarray, search: np.ndarray) -> list[tuple[int, int, int]]:
-        """(segment, start, end) of runs of WINDOW words or more that smaller documents of the index have.
+    def repeats(self, parts: list[np.ndarray], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part, start, end) of the longest runs of WINDOW codes or more that documents below the part's limit have.
 
-        For each segment the match that ends at its last word is extended backwards as far as a smaller document goes
+        For each part the match that ends at its last code is extended backwards as far as a smaller document goes
         along; then the same for the next end at which a window could reach further to the left.
         """
-        size = np.diff(self.at) - 1
-        own = np.flatnonzero(search & (size >= WINDOW))
-        end = size[own].copy()
-        start, low, high = end.copy(), np.zeros(len(own), np.int64), np.full(len(own), len(self.text))
+        at = offsets([len(p) for p in parts])
+        text = np.concatenate([*parts, np.zeros(1, np.int64)])
+        limit = np.searchsorted(self.documents, limits)  # in numbers of the documents here
+        end = np.diff(at)
+        own = np.flatnonzero((end >= WINDOW) & (limit > 0))
+        end = end[own]
+        start, low, high = end.copy(), np.zeros(len(own), np.int64), np.full(len(own), self.n)
         out = []
         while len(own):
-            can = start > 0
-            code = self.text[self.at[own] + np.maximum(start - 1, 0)]
+            code = text[at[own] + np.maximum(start - 1, 0)]
             new_low, new_high = self.extend(code, low, high)
-            some = can & (new_high > new_low)
-            smaller = np.zeros(len(own), bool)
-            smaller[some] = self.least_document(new_low[some], new_high[some]) < documents[own[some]]
-            # beyond 64 words the order of suffixes is not kept: a match of that length is reported and begun anew
-            smaller &= end - start < 63
-            start = start - smaller
-            low, high = np.where(smaller, new_low, 0), np.where(smaller, new_high, len(self.text))
-            stop = ~smaller
-            hit = stop & (end - start >= WINDOW)
-            out += list(zip(own[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True))
-            over = stop & (start == 0)
-            end = np.where(stop, np.where(hit, np.minimum(end - 1, start + WINDOW - 1), end - 1), end)
-            start = np.where(stop, end, start)
+            some = np.flatnonzero((start > 0) & (new_high > new_low))
+            longer = np.zeros(len(own), bool)
+            longer[some] = self.owners.least(new_low[some], new_high[some]) < limit[own[some]]
+            start = start - longer
+            low, high = np.where(longer, new_low, 0), np.where(longer, new_high, self.n)
+            hit = ~longer & (end - start >= WINDOW)
+            out.append((own[hit], start[hit], end[hit]))
+            over = ~longer & (start == 0)
+            end = np.where(longer, end, np.where(hit, start + WINDOW - 1, end - 1))
+            start = np.where(longer, start, end)
             keep = ~over & (end >= WINDOW)
             own, end, start, low, high = own[keep], end[keep], start[keep], low[keep], high[keep]
-        return out
+        part, a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in range(3))
+        return part, a, b
 
 
 def _find(docs: DataFrame) -> DataFrame:
@@ -224,31 +242,46 @@ def _find(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor bigint, seg bigint, doc_id bigint, text_key bigint, starts array<int>, n int")
 
 
+def _shared(distinct: DataFrame) -> DataFrame:
+    """Segments (anchor, seg, keeper, last) whose anchor several documents have, with the anchor's number of segments and least document."""
+    shared = distinct.groupBy("anchor").agg(F.count("*").alias("segs"), F.min("keeper").alias("least"), F.max("last").alias("most")).filter("least < most").drop("most")
+    return distinct.join(shared, "anchor")
+
+
 def _spell(docs: DataFrame) -> DataFrame:
-    """Words of the segments listed with each document, or hashes of their windows where the anchor is hot."""
+    """Words of the segments listed with each document."""
+    names = ["anchor", "seg", "keeper", "last", "segs", "least", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "seg", "doc_id", "least", "words", "place", "hash1", "hash2"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
             for doc_id, text, wanted in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
                 words = text.encode().split()
                 for w in wanted:
-                    own = words[w["start"] : w["start"] + w["n"]]
-                    if not w["hot"]:
-                        rows.append((w["anchor"], w["seg"], doc_id, w["least"], b" ".join(own), None, None, None))
-                        continue
-                    h = word_hashes([own])
-                    for place, (x, y) in enumerate(zip(run_hashes(h, WINDOW, BASE).view(np.int64).tolist(), run_hashes(mix64(h), WINDOW, BASE2).view(np.int64).tolist(), strict=True)):
-                        rows.append((w["anchor"], w["seg"], doc_id, w["least"], None, place, x, y))
+                    rows.append((w["anchor"], w["seg"], doc_id, w["last"], w["segs"], w["least"], b" ".join(words[w["start"] : w["start"] + w["n"]])))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "anchor bigint, seg bigint, doc_id bigint, least bigint, words binary, place int, hash1 bigint, hash2 bigint")
+    return docs.mapInArrow(run, "anchor bigint, seg bigint, keeper bigint, last bigint, segs bigint, least bigint, words binary")
+
+
+def _dealt_again(rows: DataFrame, anchor: int) -> DataFrame:
+    """Segments by anchors of so many words within spelled segments; whole_anchor, whole_seg and place tell where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [w.split(b" ") for w in batch["words"].to_pylist()]
+            for low, high in chunks(map(len, split), SPAN // 8):
+                own, seg, text, start, n = segments(split[low:high], anchor)
+                words = [b" ".join(split[low + t][s : s + k]) for t, s, k in zip(text.tolist(), start.tolist(), n.tolist(), strict=True)]
+                taken = batch.take(pa.array(low + text))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seg), taken["keeper"], taken["last"], pa.array(words, pa.binary()), taken["anchor"], taken["seg"], pa.array(start, pa.int32())], ["anchor", "seg", "keeper", "last", "words", "whole_anchor", "whole_seg", "place"])
+
+    return rows.mapInArrow(run, "anchor bigint, seg bigint, keeper bigint, last bigint, words binary, whole_anchor bigint, whole_seg bigint, place int")
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,62 +289,83 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     total = 0
     for batch in batches:
-        for row in zip(batch["anchor"].to_pylist(), batch["seg"].to_pylist(), batch["doc_id"].to_pylist(), batch["least"].to_pylist(), batch["words"].to_pylist(), strict=True):
+        for row in zip(*(batch[c].to_pylist() for c in ("anchor", "seg", "keeper", "last", "least", "words")), strict=True):
             if total >= INDEX_WORDS and row[0] != held[-1][0]:
                 yield _shard(held)
                 held, total = [], 0
-            words = row[4].split(b" ")
-            held.append((*row[:4], words))
+            words = row[5].split(b" ")
+            held.append((*row[:5], words))
             total += len(words)
     if held:
         yield _shard(held)
 
 
 def _shard(held: list[tuple]) -> pa.RecordBatch:
-    codes, _ = pd.factorize(np.array([w for row in held for w in row[4]], object))
-    parts = np.split(codes.astype(np.int64) + 1, np.cumsum([len(row[4]) for row in held])[:-1])
-    documents, least = (np.array([row[i] for row in held], np.int64) for i in (2, 3))
-    found = FMIndex(parts, documents).repeats(documents, documents > least)
-    rows = [(held[k][0], held[k][1], a, b) for k, a, b in found]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["anchor", "seg", "a", "b"])
-
-
-def repeats(docs: DataFrame) -> DataFrame:
+    """anchor, seg, keeper and what of the segment smaller documents have: than the keeper (own), than all others that have it (others)."""
+    codes, _ = pd.factorize(np.array([w for row in held for w in row[5]], object))
+    parts = np.split(codes.astype(np.int64) + 1, np.cumsum([len(row[5]) for row in held])[:-1])
+    keeper, last, least = (np.array([row[i] for row in held], np.int64) for i in (2, 3, 4))
+    index = FMIndex(parts, keeper)
+    columns = []
+    for which, limit in ((np.flatnonzero(keeper > least), keeper), (np.flatnonzero(last > keeper), last)):
+        part, a, b = index.repeats([parts[i] for i in which], limit[which])
+        order = np.argsort(part, kind="stable")
+        count = np.zeros(len(held), np.int64)
+        count[which] = np.bincount(part, minlength=len(which))
+        pair = pa.StructArray.from_arrays([pa.array(a[order], pa.int32()), pa.array(b[order], pa.int32())], ["a", "b"])
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets(count), pa.int32()), pair))
+    return pa.RecordBatch.from_arrays([pa.array([row[0] for row in held], pa.int64()), pa.array([row[1] for row in held], pa.int64()), pa.array(keeper), *columns], ["anchor", "seg", "keeper", "own", "others"])
+
+
+def _shifted(spans, by):
+    return F.transform(spans, lambda s: F.struct((s["a"] + by).cast("int").alias("a"), (s["b"] + by).cast("int").alias("b")))
+
+
+def _decided(spelled: DataFrame, level: int, group: int) -> DataFrame:
+    """(anchor, seg, keeper, own, others) of spelled segments, one row each: what smaller documents have than the keeper, than the others."""
+    few, many = spelled.filter(F.col("segs") <= group), spelled.filter(F.col("segs") > group)
+    out = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, f"anchor bigint, seg bigint, keeper bigint, own {SPANS}, others {SPANS}")
+    if level + 1 == len(ANCHORS) or many.isEmpty():  # anchors as long as a window have one segment
+        return out
+    parts = stored(_dealt_again(many, ANCHORS[level + 1]), "dealt-again")
+    distinct = parts.groupBy("anchor", "seg").agg(F.min("keeper").alias("keeper"), F.max("last").alias("last"), F.first("words").alias("words"))
+    below = _decided(stored(_shared(distinct), "spelled-again"), level + 1, group)
+    found = parts.join(below.withColumnRenamed("keeper", "first"), ["anchor", "seg"])
+    own = F.when(F.col("keeper") > F.col("first"), F.col("others")).otherwise(F.col("own"))
+    found = found.select("whole_anchor", "whole_seg", "keeper", _shifted(own, F.col("place")).alias("own"), _shifted(F.col("others"), F.col("place")).alias("others"))
+    # the parts of one segment, WINDOW + 1 at most
+    whole = found.groupBy(F.col("whole_anchor").alias("anchor"), F.col("whole_seg").alias("seg"), "keeper").agg(F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("others")).alias("others"))
+    return out.union(whole)
+
+
+def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, text_key, spans) of documents with repeated passages: spans are an array of (a, b), words a to b - 1 in no order, that may overlap.
 
-    docs has doc_id, text and text_key (a hash of the text, for ids that are repeated), none of them null.
+    docs has doc_id, text and text_key (a hash of the text, for ids that are repeated), none of them null. Repeated rows
+    count once.
     """
     rows = stored(_find(docs), "segments")
     least = F.min(F.struct("doc_id", "text_key", F.col("starts")[0].alias("start"), "n")).alias("m")
-    # distinct segments: equal ones count once, before the shuffle already
-    distinct = rows.groupBy("anchor", "seg").agg(least, F.max("doc_id").alias("last")).select("anchor", "seg", "m.*", "last")
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("segs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("segs > 1 and least < most")
-    distinct = stored(distinct.join(shared.select("anchor", "segs", "least"), "anchor", "left").filter("segs is not null or last > doc_id"), "distinct")
-
-    entry = F.struct("anchor", "seg", "start", "n", "least", (F.col("segs") > HOT).alias("hot"))
-    wanted = distinct.filter("segs is not null").groupBy("doc_id", "text_key").agg(F.collect_list(entry).alias("wanted"))  # of one document
-    spelled = stored(_spell(docs.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text", "wanted")), "spelled")
-    by_index = spelled.filter("words is not null").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, "anchor bigint, seg bigint, a int, b int")
-    windows = spelled.filter("words is null")
-    first = windows.groupBy("hash1", "hash2").agg(F.min("doc_id").alias("first"))
-    by_hash = windows.join(first, ["hash1", "hash2"]).filter("doc_id > first").select("anchor", "seg", F.col("place").alias("a"), (F.col("place") + WINDOW).alias("b"))
-    partial = by_index.union(by_hash).groupBy("anchor", "seg").agg(F.collect_set(F.struct("a", "b")).alias("parts"))  # of one segment
-
-    verdict = distinct.select("anchor", "seg", F.col("doc_id").alias("keeper"), "last").join(partial, ["anchor", "seg"], "left").filter("last > keeper or parts is not null")
-    verdict = stored(verdict, "verdict")  # so that the join below starts from two shuffles, whose hot keys can be split
-    hit = rows.join(verdict, ["anchor", "seg"]).filter("doc_id > keeper or parts is not null")
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    parts = F.when(F.col("doc_id") > F.col("keeper"), whole).otherwise(F.col("parts"))
-    spans = F.flatten(F.transform("starts", lambda at: F.transform(parts, lambda s: F.struct((s["a"] + at).alias("a"), (s["b"] + at).alias("b")))))
-    return hit.select("doc_id", "text_key", spans.alias("spans")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one document
-
-
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs (all its columns) with _spans, null where nothing is repeated."""
+    # equal segments count once, before the shuffle already
+    distinct = rows.groupBy("anchor", "seg").agg(least, F.max("doc_id").alias("last")).select("anchor", "seg", "m.text_key", "m.start", "m.n", F.col("m.doc_id").alias("keeper"), "last")
+    entry = F.struct("anchor", "seg", "start", "n", "last", "segs", "least")
+    wanted = _shared(distinct).groupBy(F.col("keeper").alias("doc_id"), "text_key").agg(F.collect_list(entry).alias("wanted"))  # of one document
+    matched = docs.join(wanted, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    verdict = stored(_decided(stored(_spell(matched), "spelled"), 0, group), "verdict")  # so that the join below starts from two shuffles, whose hot keys can be split
+
+    spans = F.when(F.col("doc_id") > F.col("keeper"), F.col("others")).otherwise(F.col("own"))
+    hit = rows.join(verdict.filter(F.size("own") + F.size("others") > 0), ["anchor", "seg"]).withColumn("found", spans).filter(F.size("found") > 0)
+    placed = F.flatten(F.transform("starts", lambda at: _shifted(F.col("found"), at)))
+    return hit.select("doc_id", "text_key", placed.alias("spans")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # of one document
+
+
+def with_spans(docs: DataFrame, name: str = "_spans", group: int = GROUP) -> DataFrame:
+    """docs (all its columns) with a column of this name, which docs must not have: the spans, null where nothing is repeated."""
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_key", F.xxhash64(text))
-    found = repeats(keyed.filter("doc_id is not null and text is not null").select(F.col("_id").alias("doc_id"), text.alias("text"), F.col("_key").alias("text_key")))
-    return keyed.join(found.toDF("_id", "_key", "_spans"), ["_id", "_key"], "left").drop("_id", "_key")
+    own, key = free_name("_id", docs, name), free_name("_key", docs, name)
+    keyed = docs.withColumn(own, F.col("doc_id").cast("bigint")).withColumn(key, F.xxhash64(text))
+    found = repeats(keyed.filter("doc_id is not null and text is not null").select(F.col(own).alias("doc_id"), text.alias("text"), F.col(key).alias("text_key")), group)
+    return keyed.join(found.toDF(own, key, name), [own, key], "left").drop(own, key)
 
 
 def removed(n: int, spans) -> np.ndarray:
@@ -323,7 +377,7 @@ def removed(n: int, spans) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of docs.
 
     Words are runs of characters other than ASCII white space, unchanged. A word is removed if a window of WINDOW
@@ -345,7 +399,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(cut_, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(own).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return with_spans(own, group=group).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_spans(text: str, spans) -> str:

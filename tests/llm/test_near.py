@@ -53,16 +53,47 @@ def passages(seed, n=60):
     return rows + [(i + n, rows[i][1]) for i in range(5)]
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("group", [substring_dedup.GROUP, 2, 1])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup(make_docs, monkeypatch, seed, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+def test_substring_dedup(make_docs, monkeypatch, seed, group):
+    """Anchors with more segments than group go through all lengths of anchors; the result is the same."""
     monkeypatch.setattr(substring_dedup, "INDEX_WORDS", 300)
     rows = passages(seed) + [(1000 + i, t) for i, t in enumerate(ODD)] + [(1007, ODD[6]), (None, ODD[6]), (7, None)]
-    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(make_docs(rows)).collect()]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(make_docs(rows), group).collect()]
     assert sorted(got, key=str) == brute_dedup(rows)
 
 
+def test_common_passage(make_docs):
+    """One passage in the middle of many different texts: many segments share its anchors."""
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(70)]
+    rows = [(i, " ".join([*rng.choices("abcdefgh", k=rng.randrange(30, 60)), *passage[: rng.randrange(48, 71)], *rng.choices("abcdefgh", k=rng.randrange(30))])) for i in range(80)]
+    for group in (substring_dedup.GROUP, 8):
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(make_docs(rows), group).collect()]
+        assert sorted(got, key=str) == brute_dedup(rows)
+
+
+def test_repeated_rows_count_once(make_docs):
+    """A text that is repeated under one id has the same spans as one row of it, and each row gets them."""
+    rng = random.Random(6)
+    text = " ".join(rng.choices([f"w{k}" for k in range(500)], k=3000))
+    once = substring_dedup.with_spans(make_docs([(1, text), (2, text)])).filter("doc_id = 2").first()["_spans"]
+    many = substring_dedup.with_spans(make_docs([(1, text)] * 3 + [(2, text)] * 200)).filter("doc_id = 2").collect()
+    assert len(many) == 200 and {len(r["_spans"]) for r in many} == {len(once)}
+
+
+def test_long_text_and_clashing_columns(make_docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    text = " ".join(rng.choices([f"w{k}" for k in range(5000)], k=60_000))
+    rows = [(1, text), (2, "new words before " + text), (3, " ".join(text.split()[30_000:30_060]))]
+    docs = make_docs(rows).withColumn("_id", F.lit("x")).withColumn("_KEY", F.lit("y")).withColumn("keeper", F.lit(0)).withColumn("wanted", F.lit(0))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(docs).collect()]
+    assert sorted(got, key=str) == brute_dedup(rows)
+    assert [(r["_id"], r["_KEY"]) for r in substring_dedup.with_spans(docs).select("_id", "_KEY").distinct().collect()] == [("x", "y")]
+
+
 def test_substring_dedup_empty(make_docs):
     assert substring_dedup.deduplicate(make_docs([])).count() == 0
 
@@ -73,13 +104,13 @@ def test_index_counts_occurrences():
     index = substring_dedup.FMIndex(parts, np.arange(30))
     for _ in range(200):
         pattern = rng.integers(1, 5, rng.integers(1, 6))
-        low, high = np.array([0]), np.array([len(index.text)])
+        low, high = np.array([0]), np.array([index.n])
         for code in pattern[::-1]:
             low, high = index.extend(np.array([code]), low, high)
         holders = [k for k, p in enumerate(parts) for i in range(len(p) - len(pattern) + 1) if (p[i : i + len(pattern)] == pattern).all()]
         assert high[0] - low[0] == len(holders)
         if holders:
-            assert index.least_document(low, high)[0] == min(holders)
+            assert index.documents[index.owners.least(low, high)[0]] == min(holders)
 
 
 def test_text_without_spans_keeps_the_rest():
