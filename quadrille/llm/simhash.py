@@ -43,21 +43,24 @@ def _hashes(text: str, shingle: int) -> list[int]:
     return [digest(data[a:b], 42) for a, b in zip(begin, end, strict=True)]
 
 
-def fingerprints(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is set in more than half of the hashes; 0 for texts without words."""
-    hashes = [_hashes(t, shingle) for t in texts]
-    at = offsets([len(h) for h in hashes])
-    every = np.array([x for h in hashes for x in h], np.uint64)
-    out = np.zeros(len(texts), np.uint64)
+def majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Fingerprints of runs of hashes, at[i] to at[i + 1]: a bit is set if it is set in more than half; 0 for empty runs."""
+    out = np.zeros(len(at) - 1, np.uint64)
     some = np.flatnonzero(np.diff(at))
     if len(some):
-        bits = np.unpackbits(every.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, at[some], axis=0, dtype=np.int32)
         most = 2 * ones > np.diff(at)[some][:, None]
         out[some] = np.packbits(most, axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 
+def fingerprints(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit fingerprints of texts; 0 for those without words."""
+    hashes = [_hashes(t, shingle) for t in texts]
+    return majority(np.array([x for h in hashes for x in h], np.uint64), offsets([len(h) for h in hashes]))
+
+
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each row."""
 
@@ -71,13 +74,12 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _spanning(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) that connect what is linked within a tile (side all 0) or between two (sides 1 and 2)."""
+def _tile_pairs(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) within the radius of a tile (side all 0) or between two (sides 1 and 2), each once."""
     count = np.bitwise_count(fp).astype(np.int16)
     order = np.argsort(count, kind="stable")
-    label = np.arange(len(fp))
     step = 256
-    hits = []
+    hits = [(order[:0], order[:0])]
     for i in range(0, len(order), step):
         left = order[i : i + step]
         for j in range(i, len(order), step):
@@ -85,15 +87,21 @@ def _spanning(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray
             if count[right[0]] - count[left[-1]] > radius:
                 break  # population counts of all later tiles differ more
             near = np.bitwise_count(fp[left][:, None] ^ fp[right][None, :]) <= radius
+            if i == j:
+                near = np.triu(near, 1)
             if side.any():
                 near &= side[left][:, None] != side[right][None, :]
             x, y = np.nonzero(near)
             hits.append((left[x], right[y]))
-    a, b = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
-    keep = a != b
-    a, b = a[keep], b[keep]
+    return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+
+
+def _spanning(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect what is linked within a tile or between two."""
+    a, b = _tile_pairs(fp, side, radius)
     if len(a) <= 2 * len(fp):
         return a, b
+    label = np.arange(len(fp))
     while True:  # least label over links until nothing changes: a star for each local component
         new = label.copy()
         np.minimum.at(new, a, label[b])
@@ -106,48 +114,52 @@ def _spanning(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray
     return i, label[i]
 
 
-def _compare(rows: pa.Table, radius: int) -> pa.RecordBatch:
-    """Links within each run of equal cells."""
-    cell, fp, rep, side = (rows[c].to_numpy() for c in ("cell", "fp", "rep", "side"))
-    fp = fp.view(np.uint64)
-    edges = np.flatnonzero(np.diff(cell)) + 1
-    at = np.concatenate([[0], edges, [len(cell)]])
+def compared(cell: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int, pairs=_tile_pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) within the radius of each run of equal cells; `pairs` compares a run of more than 32 rows."""
+    at = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
     size = np.diff(at)
-    a, b = [], []
-    small = np.repeat(size <= 32, size)
-    where = np.flatnonzero(small)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    where = np.flatnonzero(np.repeat(size <= 32, size))
     for shift in range(1, 32):  # all small cells at once: each row with the one `shift` rows on
         where = where[where + shift < len(cell)]
         where = where[cell[where] == cell[where + shift]]
         if not len(where):
             break
         near = np.bitwise_count(fp[where] ^ fp[where + shift]) <= radius
+        near &= (side[where] == 0) | (side[where] != side[where + shift])
         a.append(where[near])
         b.append(where[near] + shift)
     for k in np.flatnonzero(size > 32):
-        x, y = _spanning(fp[at[k] : at[k + 1]], side[at[k] : at[k + 1]], radius)
+        x, y = pairs(fp[at[k] : at[k + 1]], side[at[k] : at[k + 1]], radius)
         a.append(x + at[k])
         b.append(y + at[k])
-    x, y = (np.concatenate([*p, np.zeros(0, np.int64)]).astype(np.int64) for p in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(rep[x]), pa.array(rep[y])], ["a", "b"])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[pa.Table]:
+    """Batches sorted by cell as tables of about so many rows or more, which don't part a cell."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held)
+        last = table["cell"][-1].as_py()
+        whole = int(np.searchsorted(table["cell"].to_numpy(), last)) if table["cell"][0].as_py() != last else 0
+        if whole:  # the last cell may go on
+            yield table.slice(0, whole)
+            held, rows = table.slice(whole).to_batches(), table.num_rows - whole
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
 def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 50_000:
-                continue
-            table = pa.Table.from_batches(held)
-            last = table["cell"][-1].as_py()
-            whole = int(np.searchsorted(table["cell"].to_numpy(), last)) if table["cell"][0].as_py() != last else 0
-            if whole:  # the last cell may go on
-                yield _compare(table.slice(0, whole), radius)
-                held, rows = table.slice(whole).to_batches(), table.num_rows - whole
-        if rows:
-            yield _compare(pa.Table.from_batches(held), radius)
+        for rows in whole_cells(batches):
+            cell, fp, rep, side = (rows[c].to_numpy() for c in ("cell", "fp", "rep", "side"))
+            x, y = compared(cell, fp.view(np.uint64), side, radius, _spanning)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[x]), pa.array(rep[y])], ["a", "b"])
 
     return run
 

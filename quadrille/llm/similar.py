@@ -1,12 +1,13 @@
 """Near copies by the stages' rule: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are found by operator 10's way: tiles of all distinct fingerprints (three words, which differ less between
-edited copies than those of five) are compared with exclusive-or and bit counts within RADIUS bits. Tiles are in the
-order of set sizes, so that sizes too far apart for the similarity are not compared, and a sketch of least hashes sorts out most
-pairs that are near by chance. Each pair left is held against the sets themselves before it links.
-
-So that a large group of copies costs no square of pairs, the first rounds take a few nearest partners of each text;
-later ones only compare what is still in different components, and the last takes every pair left.
+Pairs are found by operator 10's comparison: fingerprints in a tile, exclusive-or, bit counts within RADIUS. At 0.8 that
+radius is too wide for blocks of bits to deal the tiles, and all pairs of tiles would grow with the square of the texts; so
+that tiles hold texts that agree on one of BANDS bands of ROWS least hashes. At 0.8 a pair misses all bands with a
+probability of 0.0004, at 0.85 of 0.00002. Each pair found is held against the sets themselves before it links.
+
+So that a large group of copies costs no square of pairs, each text is first held against one partner, the nearest of the
+least texts of its cells; later rounds only compare texts of a cell that are still in different components, a few
+nearest partners first, and the last takes every pair left.
 """
 
 from __future__ import annotations
@@ -18,19 +19,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix64, offsets, stored
+from .common import chunks, cut, free_name, mix64, offsets, stored
 from .components import components
-from .simhash import SPAN, _hashes, fingerprints
+from .simhash import SPAN, compared, majority, whole_cells
+from .substring_dedup import BASE, run_hashes, word_hashes
 
 SHINGLE = 5
 SIMILAR = (4, 5)
-#: At 0.8 of five-word shingles, fingerprints of three words differ in 8 bits about, with a deviation below 3.
-RADIUS = 16
-#: Least hashes in a sketch, and how many have to agree: at 0.8 it is 51 with a deviation of 3.
-SKETCH, AGREE = 64, 38
-#: Partners of each text in the rounds; None takes all.
+#: At 0.8 of five-word shingles, fingerprints of three words differ in 7 bits about, with a deviation below 3.
+RADIUS = 20
+BANDS, ROWS = 20, 5
+#: Texts of a cell that are compared in one tile; more make several tiles.
+TILE = 1024
+#: Partners of each text of a cell in the rounds; None takes all.
 ROUNDS = (4, 64, None)
-_FACTORS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def text_key() -> Column:
@@ -39,9 +42,34 @@ def text_key() -> Column:
     return F.when(F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)), F.xxhash64(text)).otherwise(F.lit(0).cast("bigint"))
 
 
-def shingles(text: str) -> np.ndarray:
-    """Distinct hashes of the five-word shingles; a text with fewer words is one shingle."""
-    return np.unique(np.array(_hashes(text, SHINGLE), np.uint64))
+def shingles(texts: list[str], sizes: tuple[int, ...] = (SHINGLE,)) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size: hashes of all shingles of so many words, and where those of each text start; shorter texts are one shingle."""
+    split = [t.encode().lower().split() for t in texts]
+    length = np.array([len(s) for s in split], np.int64)
+    at = offsets(length)
+    h = word_hashes(split) if at[-1] else np.zeros(0, np.uint64)
+    out = []
+    for n in sizes:
+        runs = run_hashes(h, n, BASE)
+        first = np.arange(len(runs))
+        text = np.searchsorted(at, first, side="right") - 1
+        inside = first + n <= at[text + 1]
+        hashes, owner = [runs[inside]], [text[inside]]
+        for k in range(1, n):  # texts of k words
+            short = np.flatnonzero(length == k)
+            if len(short):
+                hashes.append(run_hashes(h, k, BASE)[at[short]])
+                owner.append(short)
+        hashes, owner = np.concatenate(hashes), np.concatenate(owner)
+        order = np.argsort(owner, kind="stable")
+        out.append((hashes[order], offsets(np.bincount(owner, minlength=len(texts)))))
+    return out
+
+
+def sets(texts: list[str]) -> list[np.ndarray]:
+    """Distinct shingles of each text."""
+    hashes, at = shingles(texts)[0]
+    return [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -49,114 +77,82 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
-def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A byte of the least hash of each of SKETCH orders; zeros for empty sets."""
-    out = np.zeros((len(sets), SKETCH), np.uint8)
-    size = np.array([len(s) for s in sets], np.int64)
-    some = np.flatnonzero(size)
+def bands(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """BANDS cells of each text, hashes of ROWS least hashes each; zeros for texts without shingles."""
+    out = np.zeros((len(at) - 1, BANDS), np.uint64)
+    some = np.flatnonzero(np.diff(at))
     if len(some):
-        every, at = np.concatenate([sets[i] for i in some]), offsets(size[some])[:-1]
         for k, factor in enumerate(_FACTORS):
-            out[some, k] = mix64(np.minimum.reduceat(every * factor, at)).astype(np.uint8)
+            band = k // ROWS
+            out[some, band] = mix64(out[some, band] * BASE + np.minimum.reduceat(hashes * factor, at[some]) + np.uint64(band))
     return out
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, key, fp, size (of the set of shingles) and sketch of each row."""
+    """doc_id, key, fp, size (of the set of shingles) and cells of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch["text"].to_pylist()]
             for a, b in chunks(map(len, texts), SPAN):
-                sets = [shingles(t) for t in texts[a:b]]
-                columns = [pa.array(fingerprints(texts[a:b]).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in _sketches(sets)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), *columns], ["doc_id", "key", "fp", "size", "sketch"])
+                three, five = shingles(texts[a:b], (3, SHINGLE))
+                size = [len(np.unique(five[0][x:y])) for x, y in zip(five[1][:-1], five[1][1:], strict=True)]
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(bands(*five).view(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(majority(*three).view(np.int64)), pa.array(size, pa.int32()), cells], ["doc_id", "key", "fp", "size", "cells"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, key bigint, fp bigint, size int, sketch binary")
-
-
-def _near(rows: pa.Table, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of keys within a tile (side all 0) or between two (sides 1 and 2); (key, its own) tells that partners of key were left out."""
-    rows = rows.sort_by("size")
-    fp, key, size, component, side = (rows[c].to_numpy() for c in ("fp", "key", "size", "component", "side"))
-    fp = fp.view(np.uint64)
-    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-    between, step = side.any(), max(8, min(256, (1 << 22) // max(1, len(fp))))
-    for i in range(0, len(fp), step):
-        j = slice(i, int(np.searchsorted(size, size[min(i + step, len(fp)) - 1] * SIMILAR[1] / SIMILAR[0], side="right")))
-        near = np.bitwise_count(fp[i : i + step, None] ^ fp[None, j]) <= RADIUS
-        x, y = np.nonzero(near)
-        x, y = x + i, y + i
-        keep = (x < y) & (SIMILAR[1] * size[x].astype(np.int64) >= SIMILAR[0] * size[y].astype(np.int64)) & (component[x] != component[y])
-        if between:
-            keep &= side[x] != side[y]
-        x, y = x[keep], y[keep]
-        agree = np.concatenate([(sketch[x[a : a + 65536]] == sketch[y[a : a + 65536]]).sum(1) for a in range(0, len(x), 65536)] or [np.zeros(0, np.int64)])
-        x, y, agree = x[agree >= AGREE], y[agree >= AGREE], agree[agree >= AGREE]
-        if most is not None and len(x):
-            order = np.lexsort((y, -agree, x))
-            x, y = x[order], y[order]
-            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-            left_out = np.unique(x[rank >= most])
-            yield key[left_out], key[left_out]
-            x, y = x[rank < most], y[rank < most]
-        if len(x):
-            yield key[x], key[y]
-
-
-def _candidates(nodes: DataFrame, n: int, most: int | None, tile: int | None) -> DataFrame:
-    """Distinct pairs a < b of near keys in different components, and a = b where partners of a were left out."""
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, fp bigint, size int, cells array<bigint>")
+
+
+def _pivots(cells: DataFrame) -> DataFrame:
+    """One pair (a, b) for each key that has one: with the nearest of the least keys of its cells."""
+    least = cells.groupBy("cell").agg(F.min(F.struct("key", "fp", "size")).alias("p"))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp")))
+    small, large = F.least("size", "p.size"), F.greatest("size", "p.size")
+    near = cells.join(least, "cell").filter((F.col("key") != F.col("p.key")) & (bits <= RADIUS) & (SIMILAR[1] * small >= SIMILAR[0] * large))
+    best = near.groupBy("key").agg(F.min(F.struct(bits.alias("bits"), F.col("p.key").alias("pivot"))).alias("m"))
+    return best.select(F.least("key", "m.pivot").alias("a"), F.greatest("key", "m.pivot").alias("b")).distinct()
+
+
+def _candidates(cells: DataFrame, reach: DataFrame, most: int | None, tile: int) -> DataFrame:
+    """Distinct pairs a < b of near keys of a cell in different components, and a = b where partners of a were left out."""
+    rows = cells.join(reach.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = stored(rows, "near-cells")
+    count = rows.groupBy("cell", "component").agg(F.count("*").alias("c")).groupBy("cell").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("major"), F.count("*").alias("several"))
+    rows = rows.join(count.filter("several > 1").drop("several"), "cell")
+    # a cell with more texts than a tile: those of its largest component need no comparison with each other
+    minor = F.col("component") != F.col("major.component")
+    parts = lambda n: F.ceil(n / tile).cast("int")
+    minors, majors = parts(F.col("n") - F.col("major.c")), parts(F.col("major.c"))
+    own = F.pmod(F.xxhash64("key"), F.when(minor, minors).otherwise(majors)).cast("int")
+    place = lambda kind, i, j, side: F.struct(F.xxhash64("cell", F.lit(kind), i, j).alias("cell"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(upto(minors), lambda j: place(1, F.least(own, j), F.greatest(own, j), F.when(own < j, 1).when(own > j, 2).otherwise(0)))
+    mixed = F.transform(upto(majors), lambda j: place(2, own, j, F.lit(1)))
+    against = F.transform(upto(minors), lambda i: place(2, i, own, F.lit(2)))
+    whole = F.array(F.struct("cell", F.lit(0).alias("side")))
+    where = F.when(F.col("n") <= tile, whole).when(minor, F.concat(among, mixed)).otherwise(against)
+    dealt = rows.select(F.explode(where).alias("t"), "key", "fp", "size", "component").select("t.*", "key", "fp", "size", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def found() -> Iterator[pa.RecordBatch]:
-            for a, b in _near(pa.Table.from_batches(held), most):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for table in whole_cells(batches):
+            cell, fp, key, size, component, side = (table[c].to_numpy() for c in ("cell", "fp", "key", "size", "component", "side"))
+            x, y = compared(cell, fp.view(np.uint64), side, RADIUS)
+            small, large = np.minimum(size[x], size[y]).astype(np.int64), np.maximum(size[x], size[y])
+            keep = (component[x] != component[y]) & (SIMILAR[1] * small >= SIMILAR[0] * large)
+            x, y = x[keep], y[keep]
+            out = [np.zeros(0, np.int64)]
+            if most is not None and len(x):
+                order = np.lexsort((key[y], np.bitwise_count(fp[x].view(np.uint64) ^ fp[y].view(np.uint64)), x))
+                x, y = x[order], y[order]
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+                out.append(np.unique(key[x[rank >= most]]))
+                x, y = x[rank < most], y[rank < most]
+            left = np.concatenate(out)
+            a, b = np.minimum(key[x], key[y]), np.maximum(key[x], key[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, left])), pa.array(np.concatenate([b, left]))], ["a", "b"])
 
-        for batch in batches:
-            cell = batch["cell"].to_numpy()
-            at = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                if a == b:
-                    continue
-                if held and held[0]["cell"][0].as_py() != cell[a]:
-                    yield from found()
-                    held.clear()
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from found()
-
-    parts = max(1, -(-n // (tile or (1 << 14 if n < 1 << 20 else 1 << 18))))
-    # parts of equal numbers of rows by size: distant ones need no comparison
-    edges = nodes.approxQuantile("size", [k / parts for k in range(1, parts)], 0.001) if parts > 1 else []
-    part = F.lit(0)
-    for k, e in enumerate(sorted(set(edges)), 1):
-        part = F.when(F.col("size") > e, k).otherwise(part)
-    rows = nodes.withColumn("range", part).withColumn("bits", F.xxhash64("key"))
-    stat = rows.groupBy("range").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n")).collect()
-    tiles = []  # (range, part within it), low, high; a size that many texts share makes several
-    goal = -(-n // parts)
-    split = {r["range"]: -(-r["n"] // (2 * goal)) for r in stat}
-    for r in stat:
-        tiles += [(r["range"], p, r["low"], r["high"]) for p in range(split[r["range"]])]
-    tiles.sort()
-    number = {t[:2]: k for k, t in enumerate(tiles)}
-    ends = []  # (range, part, cell, side)
-    for k, s in enumerate(tiles):
-        for m in range(k, len(tiles)):
-            t = tiles[m]
-            if SIMILAR[0] * t[2] <= SIMILAR[1] * s[3]:
-                cell = k * len(tiles) + m
-                ends += [(*s[:2], cell, 0)] if k == m else [(*s[:2], cell, 1), (*t[:2], cell, 2)]
-    assert len(number) == len(tiles)
-    spark = nodes.sparkSession
-    deal = spark.createDataFrame(ends, "range int, part int, cell bigint, side int")
-    many = spark.createDataFrame(list(split.items()), "range int, parts int")
-    dealt = rows.join(F.broadcast(many), "range").withColumn("part", F.pmod("bits", F.col("parts")).cast("int")).join(F.broadcast(deal), ["range", "part"])
-    dealt = dealt.select("cell", "side", "key", "fp", "size", "component", "sketch")
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -164,59 +160,60 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets of shingles are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
         for batch in batches:
-            a, b = batch["text_a"].to_pylist(), batch["text_b"].to_pylist()
-            ok, last, held = [], None, None
-            for x, y in zip(a, b, strict=True):
-                if x is not last and x != last:
-                    last, held = x, shingles(x)
-                ok.append(similar(held, shingles(y)))
+            b, text_a, text_b = batch["b"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist()
+            ok = []
+            for low, high in chunks(map(len, text_a), SPAN):
+                for key, own, other in zip(b[low:high], sets(text_a[low:high]), text_b[low:high], strict=True):
+                    if key != last:  # rows of one b stand together
+                        last, held = key, sets([other])[0]
+                    ok.append(similar(own, held))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     return one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, nodes: DataFrame, tile: int | None = None) -> tuple[DataFrame | None, list[DataFrame]]:
-    """(id, component) of the keys that are linked, or None where none is; and the pairs held against their sets."""
-    n = nodes.count()
-    reach, tested, linked = None, [], None
-    for most in ROUNDS if n else ():
-        now = nodes.withColumn("component", F.col("key")) if reach is None else nodes.join(reach.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        found = cut(_candidates(now, n, most, tile))
+def links(docs: DataFrame, nodes: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of the keys that are linked, and all pairs (a, b) that were held against their sets."""
+    cells = nodes.select("key", "fp", "size", F.explode("cells").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
+    cells = stored(cells.join(shared, "cell"), "near-cells")
+    keyed = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    reach = tested = linked = None
+    for most in ("pivot", *ROUNDS):
+        found = cut(_pivots(cells) if most == "pivot" else _candidates(cells, reach, most, tile))
         pairs = found.filter("a < b")
-        for before in tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested.append(pairs)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).join(ids, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        texts = keyed.join(ids, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
         good = cut(_verified(pairs, stored(texts, "near-texts")))
+        tested = pairs if tested is None else tested.union(pairs)
         linked = good if linked is None else linked.union(good)
         reach = cut(components(linked))
-        if not found.filter("a = b").limit(1).count():
+        if most != "pivot" and found.filter("a = b").isEmpty():
             break
     return reach, tested
 
 
-def without_copies(docs: DataFrame, tile: int | None = None) -> DataFrame:
+def without_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """The rows of docs without near copies: of all texts that links reach, the one with the least (doc_id, hash of text) stays, once.
 
     Rows are told apart by id and text: of two texts under one id each has its own verdict. Equal texts are copies, and
-    so are texts without words. Rows with a null doc_id take no part and stay. An empty table gives no rows.
+    so are texts without words; a text of fewer than five words is one shingle. Repeated rows are one. Rows with a null
+    doc_id take no part and stay. An empty table gives no rows. Other columns stay as they are, whatever their names.
     """
     marked = cut(_marked(docs))
     some = marked.filter("doc_id is not null")
-    nodes = cut(some.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-    reach, _ = links(docs, nodes.filter("size > 0").select("key", "fp", "size", "sketch"), tile)
-    own = nodes.select("key", "least")
-    if reach is not None:
-        own = own.join(reach.withColumnRenamed("id", "key"), "key", "left")
-    else:
-        own = own.withColumn("component", F.lit(None).cast("bigint"))
-    best = own.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min(F.struct("least", "key")).alias("k")).select(F.col("k.least").alias("_id"), F.col("k.key").alias("_key"))
-    rows = docs.withColumn("_key", text_key()).withColumn("_id", F.col("doc_id").cast("bigint"))
-    kept = rows.filter("_id is not null").join(best, ["_id", "_key"], "left_semi")
-    once = Window.partitionBy("_id", "_key").orderBy(F.lit(1))
-    kept = kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    return kept.select(docs.columns).union(rows.filter("_id is null").select(docs.columns))
+    nodes = cut(some.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("cells").alias("cells")))
+    reach, _ = links(docs, nodes.filter("size > 0"), tile)
+    own = nodes.select("key", "least").join(reach.withColumnRenamed("id", "key"), "key", "left")
+    key, id_, rank = (free_name(n, docs) for n in ("_key", "_id", "_n"))
+    best = own.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min(F.struct("least", "key")).alias("k")).select(F.col("k.least").alias(id_), F.col("k.key").alias(key))
+    rows = docs.withColumn(key, text_key()).withColumn(id_, F.col("doc_id").cast("bigint"))
+    kept = rows.filter(F.col(id_).isNotNull()).join(best, [id_, key], "left_semi")
+    once = Window.partitionBy(id_, key).orderBy(F.lit(1))
+    kept = kept.withColumn(rank, F.row_number().over(once)).filter(F.col(rank) == 1)
+    return kept.select(docs.columns).union(rows.filter(F.col(id_).isNull()).select(docs.columns))

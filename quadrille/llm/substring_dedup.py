@@ -402,8 +402,10 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
     return with_spans(own, group=group).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def without_spans(text: str, spans) -> str:
+def without_spans(text: str | None, spans) -> str | None:
     """The text without the words that spans cover; white space before a removed word goes with it, all else stays."""
+    if text is None or spans is None:
+        return text
     data = text.encode()
     found = list(SPACE.finditer(data))
     gone = removed(len(found), spans)

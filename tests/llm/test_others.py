@@ -196,7 +196,7 @@ def test_deep_and_wide_conversations(spark):
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
-    from .test_near import brute_components, brute_dedup, brute_fingerprint
+    from .test_near import brute_dedup
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = C.quality_filter(spark, docs, SF)
@@ -204,10 +204,7 @@ def test_pipeline_stages(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     ids = {r.doc_id for r in kept.collect()}
     assert not {i for i, q in labels.items() if q == 1} - ids
-    one = C.near_dedup(spark, docs, SF)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = {i for i, _, c in brute_components([(i, brute_fingerprint(t)) for i, t in rows]) if i == c}
-    assert {r.doc_id for r in one.collect()} == want
     short = {r.doc_id: r.text for r in C.passage_dedup(spark, docs, SF).collect()}
     texts = dict(rows)
     for i, n, gone, _ in brute_dedup(rows):

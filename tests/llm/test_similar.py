@@ -53,7 +53,7 @@ def edited(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("tile", [None, 20])
+@pytest.mark.parametrize("tile", [similar.TILE, 4])
 def test_edited_copies(make_docs, tile):
     rows = edited(1)
     got = [r.doc_id for r in similar.without_copies(make_docs(rows), tile).collect()]
@@ -68,11 +68,11 @@ def test_documents(spark):
 
 
 def test_many_near_copies(make_docs, monkeypatch):
-    """Rounds of one partner each, then all: a large group still comes together."""
+    """Rounds of one partner each, then all, in tiles of 16: a large group still comes together."""
     monkeypatch.setattr(similar, "ROUNDS", (1, None))
     base = [f"b{k}" for k in range(120)]
     rows = [(k + 1, " ".join(base[:k] + ["edit"] + base[k + 1 :])) for k in range(100)] + [(500, "alone in the world of words")]
-    assert {r.doc_id for r in similar.without_copies(make_docs(rows)).collect()} == {1, 500}
+    assert {r.doc_id for r in similar.without_copies(make_docs(rows), 16).collect()} == {1, 500}
 
 
 def test_ids_and_texts(make_docs):
@@ -80,3 +80,42 @@ def test_ids_and_texts(make_docs):
     rows = [(1, long), (2, long + " more"), (2, "a text of its own under the same id"), (3, "again and again"), (3, "again and again"), (None, long), (4, ""), (5, " \n")]
     got = sorted(((r.doc_id, r.text) for r in similar.without_copies(make_docs(rows)).collect()), key=str)
     assert got == sorted([(1, long), (2, "a text of its own under the same id"), (3, "again and again"), (None, long), (4, "")], key=str)
+
+
+def test_pairs_found(spark):
+    """Of all pairs of texts with a similarity of 0.8 or more, found by comparing all: at least 0.99 are candidates or linked already."""
+    import numpy as np
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").select("text").distinct().collect()]
+    extra = []
+    rng = random.Random(3)
+    for t in texts:
+        w = t.split()
+        if len(w) > 40:
+            for _ in range(max(1, len(w) // 60)):
+                w[rng.randrange(len(w))] = "changed"
+            extra.append(" ".join(w))
+    both = texts + extra
+    sets = similar.sets(both)
+    pairs = [(i, len(texts) + k) for k, i in enumerate(i for i, t in enumerate(texts) if len(t.split()) > 40)]
+    near = [(a, b) for a, b in pairs if similar.similar(sets[a], sets[b])]
+    hashes, at = similar.shingles(both)[0]
+    cells = similar.bands(hashes, at)
+    three = similar.majority(*similar.shingles(both, (3,))[0])
+    found = [(cells[a] == cells[b]).any() and np.bitwise_count(three[a] ^ three[b]) <= similar.RADIUS for a, b in near]
+    assert len(near) > 500 and np.mean(found) >= 0.99
+
+
+def test_shingles_of_short_texts():
+    a = similar.sets(["one two", "ONE  two", "one two three four five", "", "one two three four five six"])
+    assert [len(x) for x in a] == [1, 1, 1, 0, 2] and a[0][0] == a[1][0] and a[2][0] in a[4]
+
+
+def test_clashing_columns(make_docs):
+    from pyspark.sql import functions as F
+
+    docs = make_docs([(1, "some words here"), (2, "some words here"), (3, None)])
+    for c in ("_id", "_key", "_n", "key", "cell", "fp", "size", "least", "component"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    out = similar.without_copies(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r["_id"], r["_n"]) for r in out.collect()) == [(1, "kept", "kept"), (3, "kept", "kept")]
