@@ -98,10 +98,14 @@ def _tile_pairs(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarr
 
 def _spanning(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that connect what is linked within a tile or between two."""
-    a, b = _tile_pairs(fp, side, radius)
-    if len(a) <= 2 * len(fp):
+    return forest(*_tile_pairs(fp, side, radius), len(fp))
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """No more than 2 n links that connect the same of n rows as links (a, b) do."""
+    if len(a) <= 2 * n:
         return a, b
-    label = np.arange(len(fp))
+    label = np.arange(n)
     while True:  # least label over links until nothing changes: a star for each local component
         new = label.copy()
         np.minimum.at(new, a, label[b])
@@ -110,7 +114,7 @@ def _spanning(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray
         if (new == label).all():
             break
         label = new
-    i = np.flatnonzero(label != np.arange(len(fp)))
+    i = np.flatnonzero(label != np.arange(n))
     return i, label[i]
 
 

@@ -1,13 +1,13 @@
 """Near copies by the stages' rule: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Pairs are found by operator 10's comparison: fingerprints in a tile, exclusive-or, bit counts within RADIUS. At 0.8 that
+Texts are compared by operator 10's way: fingerprints in tiles, exclusive-or, bit counts within RADIUS. At 0.8 that
 radius is too wide for blocks of bits to deal the tiles, and all pairs of tiles would grow with the square of the texts; so
-that tiles hold texts that agree on one of BANDS bands of ROWS least hashes. At 0.8 a pair misses all bands with a
+that only texts meet that agree on one of BANDS bands of ROWS least hashes. At 0.8 a pair misses all bands with a
 probability of 0.0004, at 0.85 of 0.00002. Each pair found is held against the sets themselves before it links.
 
 So that a large group of copies costs no square of pairs, each text is first held against one partner, the nearest of the
-least texts of its cells; later rounds only compare texts of a cell that are still in different components, a few
-nearest partners first, and the last takes every pair left.
+least texts of its cells. What is then still in different components, but shares cells, makes a cluster; tiles of a
+cluster compare all that is in different components, with the sets in the task, and only a forest of links leaves them.
 """
 
 from __future__ import annotations
@@ -16,23 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, free_name, mix64, offsets, stored
 from .components import components
-from .simhash import SPAN, compared, majority, whole_cells
+from .simhash import SPAN, _tile_pairs, forest, majority, whole_cells
 from .substring_dedup import BASE, run_hashes, word_hashes
 
 SHINGLE = 5
 SIMILAR = (4, 5)
 #: At 0.8 of five-word shingles, fingerprints of three words differ in 7 bits about, with a deviation below 3.
-RADIUS = 20
+RADIUS = 16
 BANDS, ROWS = 20, 5
-#: Texts of a cell that are compared in one tile; more make several tiles.
-TILE = 1024
-#: Partners of each text of a cell in the rounds; None takes all.
-ROUNDS = (4, 64, None)
+#: Texts of a cluster that are compared in one tile; more make several tiles.
+TILE = 512
 _FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -114,46 +113,76 @@ def _pivots(cells: DataFrame) -> DataFrame:
     return best.select(F.least("key", "m.pivot").alias("a"), F.greatest("key", "m.pivot").alias("b")).distinct()
 
 
-def _candidates(cells: DataFrame, reach: DataFrame, most: int | None, tile: int) -> DataFrame:
-    """Distinct pairs a < b of near keys of a cell in different components, and a = b where partners of a were left out."""
-    rows = cells.join(reach.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rows = stored(rows, "near-cells")
-    count = rows.groupBy("cell", "component").agg(F.count("*").alias("c")).groupBy("cell").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("major"), F.count("*").alias("several"))
-    rows = rows.join(count.filter("several > 1").drop("several"), "cell")
-    # a cell with more texts than a tile: those of its largest component need no comparison with each other
+def _clusters(cells: DataFrame, nodes: DataFrame, reach: DataFrame, tile: int) -> DataFrame:
+    """(cell, side, key, fp, component) of the tiles in which texts that share cells, in different components, meet."""
+    whole = reach.withColumnRenamed("id", "key")
+    rows = stored(cells.select("cell", "key").join(whole, "key", "left").select("cell", "key", F.coalesce("component", "key").alias("component")), "near-cells")
+    mixed = rows.groupBy("cell").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("cell", "least")
+    near = components(rows.join(mixed, "cell").select(F.col("component").alias("a"), F.col("least").alias("b")).distinct())
+    own = rows.select("key", "component").distinct().join(near.toDF("component", "cell"), "component")
+    members = stored(own.join(nodes.select("key", "fp"), "key"), "near-clusters")
+
+    count = members.groupBy("cell", "component").agg(F.count("*").alias("c")).groupBy("cell").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("major"))
+    rows = members.join(count, "cell")
+    # a cluster with more texts than a tile: those of its largest component need no comparison with each other
     minor = F.col("component") != F.col("major.component")
     parts = lambda n: F.ceil(n / tile).cast("int")
     minors, majors = parts(F.col("n") - F.col("major.c")), parts(F.col("major.c"))
-    own = F.pmod(F.xxhash64("key"), F.when(minor, minors).otherwise(majors)).cast("int")
+    part = F.pmod(F.xxhash64("key"), F.when(minor, minors).otherwise(majors)).cast("int")
     place = lambda kind, i, j, side: F.struct(F.xxhash64("cell", F.lit(kind), i, j).alias("cell"), side.cast("int").alias("side"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    among = F.transform(upto(minors), lambda j: place(1, F.least(own, j), F.greatest(own, j), F.when(own < j, 1).when(own > j, 2).otherwise(0)))
-    mixed = F.transform(upto(majors), lambda j: place(2, own, j, F.lit(1)))
-    against = F.transform(upto(minors), lambda i: place(2, i, own, F.lit(2)))
-    whole = F.array(F.struct("cell", F.lit(0).alias("side")))
-    where = F.when(F.col("n") <= tile, whole).when(minor, F.concat(among, mixed)).otherwise(against)
-    dealt = rows.select(F.explode(where).alias("t"), "key", "fp", "size", "component").select("t.*", "key", "fp", "size", "component")
+    among = F.transform(upto(minors), lambda j: place(1, F.least(part, j), F.greatest(part, j), F.when(part < j, 1).when(part > j, 2).otherwise(0)))
+    mixed = F.transform(upto(majors), lambda j: place(2, part, j, F.lit(1)))
+    against = F.transform(upto(minors), lambda i: place(2, i, part, F.lit(2)))
+    where = F.when(F.col("n") <= tile, F.array(F.struct("cell", F.lit(0).alias("side")))).when(minor, F.concat(among, mixed)).otherwise(against)
+    return rows.select(F.explode(where).alias("t"), "key", "fp", "component").select("t.*", "key", "fp", "component")
+
+
+def _shared_counts(own: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles the sets x[i] and y[i] share: products of 0-1 matrices over what two sets or more have."""
+    which = np.unique(np.concatenate([x, y]))
+    size = np.array([len(own[i]) for i in which])
+    _, column, times = np.unique(np.concatenate([own[i] for i in which]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(which)), size)
+    some = times[column] > 1
+    row, column = row[some], (np.cumsum(times > 1) - 1)[column[some]]
+    both = np.zeros((len(which), len(which)), np.float32)  # counts stay far below what it holds exactly
+    order = np.argsort(column, kind="stable")
+    row, column, width = row[order], column[order], 4096
+    for a in range(0, int(column.max(initial=-1)) + 1, width):
+        low, high = np.searchsorted(column, (a, a + width))
+        part = np.zeros((len(which), width), np.float32)
+        part[row[low:high], column[low:high] - a] = 1
+        both += part @ part.T
+    return both[np.searchsorted(which, x), np.searchsorted(which, y)].astype(np.int64)
+
+
+def _exact_links(tiles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all similar texts of different components that meet in a tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_cells(batches):
-            cell, fp, key, size, component, side = (table[c].to_numpy() for c in ("cell", "fp", "key", "size", "component", "side"))
-            x, y = compared(cell, fp.view(np.uint64), side, RADIUS)
-            small, large = np.minimum(size[x], size[y]).astype(np.int64), np.maximum(size[x], size[y])
-            keep = (component[x] != component[y]) & (SIMILAR[1] * small >= SIMILAR[0] * large)
-            x, y = x[keep], y[keep]
-            out = [np.zeros(0, np.int64)]
-            if most is not None and len(x):
-                order = np.lexsort((key[y], np.bitwise_count(fp[x].view(np.uint64) ^ fp[y].view(np.uint64)), x))
-                x, y = x[order], y[order]
-                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-                rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-                out.append(np.unique(key[x[rank >= most]]))
-                x, y = x[rank < most], y[rank < most]
-            left = np.concatenate(out)
-            a, b = np.minimum(key[x], key[y]), np.maximum(key[x], key[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, left])), pa.array(np.concatenate([b, left]))], ["a", "b"])
-
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+        for table in whole_cells(batches, 500):
+            cell, side, key, fp, component = (table[c].to_numpy() for c in ("cell", "side", "key", "fp", "component"))
+            at = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for low, high in zip(at[:-1], at[1:], strict=True):
+                x, y = _tile_pairs(fp[low:high].view(np.uint64), side[low:high], RADIUS)
+                keep = component[low + x] != component[low + y]
+                x, y = x[keep], y[keep]
+                if not len(x):
+                    continue
+                needed = np.unique(np.concatenate([x, y]))
+                own: dict[int, np.ndarray] = {}
+                spelled = table["text"].take(pa.array(low + needed))
+                for a, b in chunks(pc.utf8_length(spelled).to_pylist(), SPAN):
+                    own |= dict(zip(needed[a:b].tolist(), sets(spelled.slice(a, b - a).to_pylist()), strict=True))
+                size = np.array([len(own.get(i, ())) for i in range(high - low)])
+                shared = _shared_counts(own, x, y)
+                good = SIMILAR[1] * shared >= SIMILAR[0] * (size[x] + size[y] - shared)
+                a, b = forest(x[good], y[good], high - low)
+                yield pa.RecordBatch.from_arrays([pa.array(key[low + a]), pa.array(key[low + b])], ["a", "b"])
+
+    rows = tiles.join(texts, "key").select("cell", "side", "key", "fp", "component", "text")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -162,40 +191,30 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            b, text_a, text_b = batch["b"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist()
-            ok = []
-            for low, high in chunks(map(len, text_a), SPAN):
-                for key, own, other in zip(b[low:high], sets(text_a[low:high]), text_b[low:high], strict=True):
+            size = pc.add(pc.utf8_length(batch["text_a"]), pc.utf8_length(batch["text_b"])).to_pylist()
+            for low, high in chunks(size, SPAN):  # a batch may hold many times the text that is looked at together
+                rows = batch.slice(low, high - low)
+                ok = []
+                for key, own, other in zip(rows["b"].to_pylist(), sets(rows["text_a"].to_pylist()), rows["text_b"], strict=True):
                     if key != last:  # rows of one b stand together
-                        last, held = key, sets([other])[0]
+                        last, held = key, sets([other.as_py()])[0]
                     ok.append(similar(own, held))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([rows["a"], rows["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     return one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, nodes: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of the keys that are linked, and all pairs (a, b) that were held against their sets."""
+def links(docs: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """(id, component) of the keys that are linked."""
     cells = nodes.select("key", "fp", "size", F.explode("cells").alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
     cells = stored(cells.join(shared, "cell"), "near-cells")
-    keyed = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    reach = tested = linked = None
-    for most in ("pivot", *ROUNDS):
-        found = cut(_pivots(cells) if most == "pivot" else _candidates(cells, reach, most, tile))
-        pairs = found.filter("a < b")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        texts = keyed.join(ids, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-        good = cut(_verified(pairs, stored(texts, "near-texts")))
-        tested = pairs if tested is None else tested.union(pairs)
-        linked = good if linked is None else linked.union(good)
-        reach = cut(components(linked))
-        if most != "pivot" and found.filter("a = b").isEmpty():
-            break
-    return reach, tested
+    met = cells.select("key").distinct()
+    texts = stored(docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).join(met, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "near-texts")
+    first = cut(_verified(_pivots(cells), texts))
+    reach = cut(components(first))
+    return components(first.union(_exact_links(_clusters(cells, nodes, reach, tile), texts)))
 
 
 def without_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
@@ -208,7 +227,7 @@ def without_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
     marked = cut(_marked(docs))
     some = marked.filter("doc_id is not null")
     nodes = cut(some.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("cells").alias("cells")))
-    reach, _ = links(docs, nodes.filter("size > 0"), tile)
+    reach = links(docs, nodes.filter("size > 0"), tile)
     own = nodes.select("key", "least").join(reach.withColumnRenamed("id", "key"), "key", "left")
     key, id_, rank = (free_name(n, docs) for n in ("_key", "_id", "_n"))
     best = own.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min(F.struct("least", "key")).alias("k")).select(F.col("k.least").alias(id_), F.col("k.key").alias(key))

@@ -40,6 +40,8 @@ INDEX_WORDS = 400_000
 SPAN = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
+#: For each place in a word of 64 bits, those below it.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
 SPANS = "array<struct<a:int,b:int>>"
 
@@ -126,14 +128,13 @@ class Wavelet:
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones among the first `at` bits of a level."""
         word = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ranks[level][word] + np.bitwise_count(self.words[level][word] & mask)
+        return self.ranks[level][word] + np.bitwise_count(self.words[level][word] & BELOW[at & 63])
 
     def follow(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the occurrences of a value among the first `at` places end on the last level."""
         for level, bit in enumerate(range(self.bits - 1, -1, -1)):
             ones = self._ones(level, at)
-            at = np.where((value >> bit) & 1, self.zeros[level] + ones, at - ones)
+            at = np.where(value & (1 << bit), self.zeros[level] + ones, at - ones)
         return at
 
     def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -208,8 +209,9 @@ class FMIndex:
         while len(own):
             code = text[at[own] + np.maximum(start - 1, 0)]
             new_low, new_high = self.extend(code, low, high)
-            some = np.flatnonzero((start > 0) & (new_high > new_low))
-            longer = np.zeros(len(own), bool)
+            longer = (start > 0) & (new_high > new_low)
+            # as many suffixes as before one word less are of the same documents: no need to look again
+            some = np.flatnonzero(longer & (new_high - new_low < high - low))
             longer[some] = self.owners.least(new_low[some], new_high[some]) < limit[own[some]]
             start = start - longer
             low, high = np.where(longer, new_low, 0), np.where(longer, new_high, self.n)
@@ -328,7 +330,7 @@ def _decided(spelled: DataFrame, level: int, group: int) -> DataFrame:
     if level + 1 == len(ANCHORS) or many.isEmpty():  # anchors as long as a window have one segment
         return out
     parts = stored(_dealt_again(many, ANCHORS[level + 1]), "dealt-again")
-    distinct = parts.groupBy("anchor", "seg").agg(F.min("keeper").alias("keeper"), F.max("last").alias("last"), F.first("words").alias("words"))
+    distinct = stored(parts.groupBy("anchor", "seg").agg(F.min("keeper").alias("keeper"), F.max("last").alias("last"), F.first("words").alias("words")), "distinct-again")
     below = _decided(stored(_shared(distinct), "spelled-again"), level + 1, group)
     found = parts.join(below.withColumnRenamed("keeper", "first"), ["anchor", "seg"])
     own = F.when(F.col("keeper") > F.col("first"), F.col("others")).otherwise(F.col("own"))

@@ -67,9 +67,8 @@ def test_documents(spark):
     assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()} == brute_kept(rows)
 
 
-def test_many_near_copies(make_docs, monkeypatch):
-    """Rounds of one partner each, then all, in tiles of 16: a large group still comes together."""
-    monkeypatch.setattr(similar, "ROUNDS", (1, None))
+def test_many_near_copies(make_docs):
+    """In tiles of 16 a large group still comes together."""
     base = [f"b{k}" for k in range(120)]
     rows = [(k + 1, " ".join(base[:k] + ["edit"] + base[k + 1 :])) for k in range(100)] + [(500, "alone in the world of words")]
     assert {r.doc_id for r in similar.without_copies(make_docs(rows), 16).collect()} == {1, 500}
@@ -106,6 +105,22 @@ def test_pairs_found(spark):
     assert len(near) > 500 and np.mean(found) >= 0.99
 
 
+def test_unlike_members_of_a_large_cluster(make_docs):
+    """Texts of one pattern that are mostly below 0.8 to each other, in tiles of 8."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 5])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    want = brute_kept(rows)
+    assert 3 < len(want) < 80
+    for tile in (similar.TILE, 8):
+        assert {r.doc_id for r in similar.without_copies(make_docs(rows), tile).collect()} == want
+
+
 def test_shingles_of_short_texts():
     a = similar.sets(["one two", "ONE  two", "one two three four five", "", "one two three four five six"])
     assert [len(x) for x in a] == [1, 1, 1, 0, 2] and a[0][0] == a[1][0] and a[2][0] in a[4]
