@@ -55,6 +55,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(parts: Iterator[DataFrame], n: int, name: str) -> DataFrame:
+    """The rows of n tables of one schema; more than one are written to the shared folder in turn, so that no plan holds them all."""
+    first = next(parts)
+    if n == 1:
+        return first
+    spark = first.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    first.write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(first.schema).parquet(path)
+
+
 def chunks(lengths: Iterable[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of consecutive items with at most `limit` characters together, or one item that alone is longer."""
     start, held, n = 0, 0, 0

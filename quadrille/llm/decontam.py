@@ -2,7 +2,7 @@
 
 Documents are joined to benchmark items by shared seeds: SEED consecutive words that both have. Of each pair that shares
 enough seeds to reach the threshold at all, greedy string tiling marks the longest matches that don't overlap, again and
-again, found by Karp-Rabin hashing; the share of the item that tiles cover decides. Tiles may lie anywhere in the document, so
+again, found by running Karp-Rabin hashes of a length that falls; the share of the item that tiles cover decides. Tiles may lie anywhere in the document, so
 that reordered passages count.
 
 The benchmark is the stated query set: it goes out in blocks of bounded bytes, and each block meets all documents once.
@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, offsets
+from .common import chunks, gathered, mix64, offsets
 
 SEED = 5
 THRESHOLD = 0.8
@@ -27,6 +26,7 @@ BLOCK_BYTES = 8 << 20
 SPAN = 1 << 19
 SCHEMA = "doc_id bigint, item_id bigint, item_words int, covered_words int, coverage double, n_tiles int, longest int"
 WORD = re.compile(r"\w+")
+PRIME, FACTOR = (1 << 61) - 1, 1_000_003
 
 
 def words(text: str) -> list[str]:
@@ -34,42 +34,52 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def tiles(item: list, document: list, least: int) -> list[tuple[int, int, int]]:
+def tiles(item: list[int], document: list[int], least: int) -> list[tuple[int, int, int]]:
     """(start in item, start in document, length) of greedy tiles of at least `least` elements.
 
-    Each round looks for the longest match of unmarked elements and marks all of that length that don't overlap, from left to right:
-    rolling hashes (Karp-Rabin) of unmarked runs of the length sought are joined, and candidates compared element by element.
+    The search length starts at the item's and is halved when a scan finds no match, down to `least`. A scan joins the
+    running hashes (Karp-Rabin) of all unmarked runs of the search length, compares candidates element by element and
+    as far as they go; all of the longest matches that don't overlap are marked, from left to right.
     """
     marked_i, marked_d, out = [False] * len(item), [False] * len(document), []
+    search = max(least, min(len(item), len(document)))
     while True:
-        longest, found = least - 1, []
+        longest, found = search - 1, []
         where: dict[int, list[int]] = {}
-        for j in _runs(marked_d, least):
-            where.setdefault(hash(tuple(document[j : j + least])), []).append(j)
-        for i in _runs(marked_i, least):
-            for j in where.get(hash(tuple(item[i : i + least])), ()):
+        for h, i in _running(item, marked_i, search):
+            where.setdefault(h, []).append(i)
+        for h, j in _running(document, marked_d, search) if where else ():
+            for i in where.get(h, ()):
                 n = 0
                 while i + n < len(item) and j + n < len(document) and item[i + n] == document[j + n] and not marked_i[i + n] and not marked_d[j + n]:
                     n += 1
                 if n > longest:
                     longest, found = n, []
-                if n == longest and n >= least:
+                if n == longest and n >= search:
                     found.append((i, j))
-        if not found:
-            return out
-        for i, j in found:
+        for i, j in sorted(found):
             if not any(marked_i[i : i + longest]) and not any(marked_d[j : j + longest]):
                 marked_i[i : i + longest] = marked_d[j : j + longest] = [True] * longest
                 out.append((i, j, longest))
+        if not found:
+            if search == least:
+                return out
+            search = max(least, search // 2)
 
 
-def _runs(marked: list[bool], n: int) -> Iterator[int]:
-    """Starts of n unmarked elements."""
-    free = 0
+def _running(codes: list[int], marked: list[bool], n: int) -> Iterator[tuple[int, int]]:
+    """(hash, start) of all runs of n unmarked elements: each from the one before by what leaves and what comes."""
+    top, h, free = pow(FACTOR, n - 1, PRIME), 0, 0
     for i, m in enumerate(marked):
-        free = 0 if m else free + 1
+        if m:
+            h = free = 0
+            continue
+        if free >= n:
+            h -= codes[i - n] * top
+        h = (h * FACTOR + codes[i]) % PRIME
+        free += 1
         if free >= n:
-            yield i - n + 1
+            yield h, i - n + 1
 
 
 class Index:
@@ -96,7 +106,7 @@ class Index:
 
     @staticmethod
     def hashes(codes: np.ndarray, n: int) -> np.ndarray:
-        """Rolling hashes of all runs of n codes; 0 where a word is none of the benchmark's."""
+        """Hashes of all runs of n codes, the seeds; 0 where a word is none of the benchmark's."""
         if len(codes) < n:
             return np.zeros(0, np.uint64)
         h, known = np.zeros(len(codes) - n + 1, np.uint64), np.ones(len(codes) - n + 1, bool)
@@ -155,11 +165,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, thresh
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    parts = []
-    for b in range(blocks):
-        own = [(r["item_id"], words(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
-        parts.append(_scan(docs, [x for x in own if x[1]], seed, threshold))
-    return reduce(DataFrame.union, parts)
+
+    def scans() -> Iterator[DataFrame]:
+        for b in range(blocks):
+            own = [(r["item_id"], words(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
+            yield _scan(docs, [x for x in own if x[1]], seed, threshold)
+
+    return gathered(scans(), blocks, "leaks")
 
 
 def _scan(docs: DataFrame, items: list, seed: int, threshold: float) -> DataFrame:

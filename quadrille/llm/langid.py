@@ -83,7 +83,12 @@ def _rows(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, learn: Column) -> Model:
-    """A model from the rows of docs (text, lang) where `learn` holds and neither text nor lang is null."""
+    """A model from the rows of docs (text, lang) where `learn` holds and neither text nor lang is null.
+
+    The matrix has MAX_BUCKETS buckets for up to 512 languages; with more it has half as many for each doubling, so that
+    n-grams share buckets and accuracy falls. More than 65536 different names raise a ValueError: the matrix would
+    outgrow MATRIX_BYTES.
+    """
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MATRIX_BYTES // 1024 + 1).collect())
     if len(languages) * 1024 > MATRIX_BYTES:

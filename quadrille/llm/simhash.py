@@ -169,7 +169,11 @@ def _links(radius: int):
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between `rep` ids of distinct fingerprints (fp, rep) that connect all pairs within `radius` bits."""
+    """Links (a, b) between `rep` ids of distinct fingerprints (fp, rep) that connect all pairs within `radius` bits.
+
+    Any number of blocks above the radius finds all links. Where it isn't given it follows the number of fingerprints: for
+    3 bits each has 4 copies, 10 from 2^24 fingerprints and 20 from 2^30, so that what they agree on stays rare.
+    """
     if blocks is None:  # enough bits in common that a value of the chosen blocks stays rare
         n = distinct.count()
         blocks = radius + (1 if n < 1 << 24 else 2 if n < 1 << 30 else 3)

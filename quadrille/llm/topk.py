@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import gathered, stored
+
 #: Bytes of queries broadcast at once.
 BLOCK_BYTES = 16 << 20
 TILE = 4096
@@ -112,7 +114,8 @@ def _search(block, k: int):
 def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best candidates of each query, best first, ties to the smaller vec_id.
 
-    Components are floor(1024 x); the score is the integer inner product (held to 64 bits where it would not fit).
+    Components are floor(1024 x), and so are at most 64-bit integers: larger ones are held to that. The score is the
+    integer inner product, held to 64 bits as well where it would not fit.
     Candidates are all rows with another vec_id and a vector of the query's length. Rows with a null vec_id, a null vector, or null or
     non-finite components take no part; an empty vector scores 0 against empty ones. A vec_id that is repeated
     searches with its least vector and is found once, with its best score. Fewer candidates than k give fewer rows; an
@@ -123,19 +126,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
     per_query = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
     blocks = max(1, -(-per_query[0] * (8 * per_query[1] + 64) // BLOCK_BYTES))
+    if blocks > 1:  # or each block would make the queries anew
+        queries = stored(queries, "queries")
     parts = rows.rdd.getNumPartitions()
-    out = None
-    for b in range(blocks):  # a block has BLOCK_BYTES, about: the hash deals ids evenly
-        block = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().sort_by("vec_id").combine_chunks()
-        own = block["vec_id"].to_numpy()
-        groups = {}
-        if len(own):
-            for ids, matrix in _matrices(own, block["q"].chunk(0)):
-                groups[matrix.shape[1]] = (ids, ids, matrix)
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(groups), k), "query bigint, vec_id bigint, score bigint")
-        out = found if out is None else out.union(found)
-    out = out.withColumn("part", F.spark_partition_id())
-    parts *= blocks
+
+    def found() -> Iterator[DataFrame]:
+        for b in range(blocks):  # a block has BLOCK_BYTES, about: the hash deals ids evenly
+            block = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().sort_by("vec_id").combine_chunks()
+            own = block["vec_id"].to_numpy()
+            groups = {}
+            if len(own):
+                for ids, matrix in _matrices(own, block["q"].chunk(0)):
+                    groups[matrix.shape[1]] = (ids, ids, matrix)
+            # a query is in one block only: lists of equal numbers meet in any order
+            yield rows.mapInArrow(_search(spark.sparkContext.broadcast(groups), k), "query bigint, vec_id bigint, score bigint").withColumn("part", F.spark_partition_id())
+
+    out = gathered(found(), blocks, "top-lists")
     while parts > FAN:  # lists of FAN tasks become one
         parts = -(-parts // FAN)
         out = out.withColumn("part", F.pmod("part", F.lit(parts)))

@@ -72,3 +72,57 @@ def test_collapsed_scores_are_the_network():
         vectors = np.concatenate([c.vectors[bucket[by[w] : by[w + 1]]] for w in codes] + [c.vectors[[quality.REPEAT]]] * int(again.sum()))
         logits = c.layer @ vectors.mean(axis=0) + c.bias
         assert s == pytest.approx(1 / (1 + np.exp(logits[0] - logits[1])), abs=1e-4)
+
+
+def test_language_against_plain_naive_bayes(spark):
+    """Counts, smoothing, log-probabilities and posteriors, text by text."""
+    import math
+    from collections import Counter, defaultdict
+
+    docs = table(spark, SF, "documents").filter("doc_id < 250")
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    grams = {i: Counter(np.concatenate(langid.ngrams([t], langid.MAX_BUCKETS)[0]).tolist()) for i, t, _ in rows}
+    counts, number = defaultdict(Counter), Counter()
+    for i, _, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang] += grams[i]
+            number[lang] += 1
+    total = {lang: sum(c.values()) + 0.1 * langid.MAX_BUCKETS for lang, c in counts.items()}
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t):
+            continue
+        logs = {lang: math.log(number[lang] / sum(number.values())) + sum(n * math.log((counts[lang][g] + 0.1) / total[lang]) for g, n in grams[i].items()) for lang in counts}
+        best = max(sorted(logs), key=logs.get)
+        assert got[i].lang_pred == best
+        assert got[i].score == pytest.approx(1 / sum(math.exp(max(x - logs[best], -700)) for x in logs.values()), abs=1e-2)
+
+
+def test_training_against_plain_descent(monkeypatch):
+    """The same steps, word by word and n-gram by n-gram."""
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    texts, labels = ["good words here", "bad bad text", "", "more good words words", "bad"], [1, 0, 0, 1, 0]
+    c = quality.Classifier()
+    vectors, layer, bias = c.vectors.astype(np.float64), c.layer.astype(np.float64), c.bias.astype(np.float64)
+    c.fit(texts, np.array(labels))
+    rng = quality.Classifier().rng
+    rng.uniform(-1, 1, 0)
+    steps = 0
+    for _ in range(2):
+        for i in rng.permutation(len(texts)):
+            rate, steps = quality.RATE * (1 - steps / 10), steps + 1
+            features, split = [], texts[i].split()
+            for k, w in enumerate(split):
+                bucket, at = quality._word_buckets([w])
+                features += bucket[at[0] : at[1]].tolist() + [quality.REPEAT] * (k > 0 and split[k - 1] == w)
+            often = {f: features.count(f) / len(features) for f in features}
+            mean = sum((vectors[f] * n for f, n in often.items()), np.zeros(quality.DIM))
+            logits = layer @ mean + bias
+            error = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+            error[labels[i]] -= 1
+            back = error @ layer
+            layer -= rate * np.outer(error, mean)
+            bias -= rate * error
+            for f, n in often.items():
+                vectors[f] -= rate * n / max(often.values()) * back
+    assert np.allclose(c.layer, layer, atol=1e-4) and np.allclose(c.bias, bias, atol=1e-4) and np.allclose(c.vectors, vectors, atol=1e-4)
