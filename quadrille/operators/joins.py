@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coords import col, floor_div
 from ..functions.geometry import in_rect, related
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+from ..storage import reliable
 
 
 def _spans(low: Column, high: Column, size: int) -> Column:

@@ -8,17 +8,34 @@ from pyspark.sql import functions as F
 from ..functions.coords import floor_div, parent
 
 
+#: Levels of a pyramid that are made in one step: blocks of 4^STEP squares lie in one task.
+STEP = 5
+
+
 def pyramid(points: DataFrame, levels: int, sums: tuple[str, ...] = ("v",), maxima: tuple[str, ...] = ("v",)) -> DataFrame:
     """n, sums and maxima of points (layer, x, y) by (level, layer, tx, ty), for levels 0 to `levels`.
 
-    Points are aggregated to squares once; higher levels are made of the squares' partial results, in one further
-    shuffle, in which tiles of high levels are combined before they travel.
+    Points are aggregated to squares once. Squares are dealt by blocks, in which STEP levels are made without another
+    shuffle; the next levels are made of the blocks' tops in the same way, so that each step shuffles 1/1024 of the last.
     """
-    key = ["layer", "x", "y"]
-    base = points.groupBy(*key).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in sums), *(F.max(c).alias(f"max_{c}") for c in maxima))
-    rows = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    rows = rows.withColumn("tx", F.call_function("shiftright", F.col("x"), F.col("level"))).withColumn("ty", F.call_function("shiftright", F.col("y"), F.col("level")))
-    return rows.groupBy("level", "layer", "tx", "ty").agg(F.sum("n").alias("n"), *(F.sum(f"sum_{c}").alias(f"sum_{c}") for c in sums), *(F.max(f"max_{c}").alias(f"max_{c}") for c in maxima))
+    shift = lambda c, k: F.call_function("shiftright", F.col(c), k)
+    whole = lambda: [F.sum("n").alias("n"), *(F.sum(f"sum_{c}").alias(f"sum_{c}") for c in sums), *(F.max(f"max_{c}").alias(f"max_{c}") for c in maxima)]
+    squares = points.groupBy("layer", "x", "y").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in sums), *(F.max(c).alias(f"max_{c}") for c in maxima))
+    names = ["layer", "tx", "ty", *squares.columns[3:]]
+    below, done, out = squares.toDF(*names), 0, None
+    while True:
+        up = min(STEP, levels - done)
+        block = ["layer", "bx", "by"]
+        rows = below.withColumn("bx", shift("tx", F.lit(STEP))).withColumn("by", shift("ty", F.lit(STEP))).repartition(*block)
+        rows = rows.withColumn("k", F.explode(F.sequence(F.lit(min(done, 1)), F.lit(up))))
+        rows = rows.withColumn("tx", shift("tx", F.col("k"))).withColumn("ty", shift("ty", F.col("k")))
+        own = rows.groupBy(*block, "k", "tx", "ty").agg(*whole())
+        part = own.select((F.col("k") + done).alias("level"), *names)
+        out = part if out is None else out.union(part)
+        done += up
+        if done == levels:
+            return out
+        below = own.filter(F.col("k") == up).select(*names)
 
 
 def heat_blocks(points: DataFrame, block: int = 8) -> DataFrame:

@@ -186,11 +186,16 @@ _OCT = ["(x - y - 1, x + y - 7)", "(x - y + 1, x + y - 7)", "(x + w - 1 - y + 1,
 _VERTS = " UNION ALL ".join(f"SELECT id, {i} AS k, {p[1:-1].rsplit(', ', 1)[0]} AS vx, {p[1:-1].rsplit(', ', 1)[1]} AS vy FROM v_rects" for i, p in enumerate(_OCT))
 
 
-@query(f"""WITH v AS ({_VERTS}), e AS (SELECT a.id, CASE WHEN a.vy > b.vy THEN b.vx ELSE a.vx END AS x0, least(a.vy, b.vy) AS y0, CASE WHEN a.vy > b.vy THEN a.vx ELSE b.vx END AS x1, greatest(a.vy, b.vy) AS y1 FROM v a JOIN v b ON a.id = b.id AND b.k = (a.k + 1) % 8),
+_G25 = f"""WITH v AS ({_VERTS}), e AS (SELECT a.id, CASE WHEN a.vy > b.vy THEN b.vx ELSE a.vx END AS x0, least(a.vy, b.vy) AS y0, CASE WHEN a.vy > b.vy THEN a.vx ELSE b.vx END AS x1, greatest(a.vy, b.vy) AS y1 FROM v a JOIN v b ON a.id = b.id AND b.k = (a.k + 1) % 8),
   r AS (SELECT id, min({_D('y0', 32)}) AS t0, max({_D('y1 - 1', 32)}) AS t1 FROM e GROUP BY id), y AS (SELECT id, unnest(range(t0, t1 + 1)) AS ty FROM r),
   c AS (SELECT e.id, ty, x0, x1, y0, y1, (greatest(y0, ty * 32) - y0) * (x1 - x0) AS n0, (least(y1, ty * 32 + 32) - y0) * (x1 - x0) AS n1 FROM e JOIN y ON e.id = y.id AND y1 >= ty * 32 AND y0 <= ty * 32 + 32),
   s AS (SELECT id, ty, min(CASE WHEN y0 = y1 THEN least(x0, x1) ELSE x0 + CAST(floor(least(n0, n1) / CAST(y1 - y0 AS DOUBLE)) AS BIGINT) END) AS lo, max(CASE WHEN y0 = y1 THEN greatest(x0, x1) ELSE x0 + CAST(ceil(greatest(n0, n1) / CAST(y1 - y0 AS DOUBLE)) AS BIGINT) END) AS hi FROM c GROUP BY id, ty)
-  SELECT id, unnest(range({_D('lo', 16)}, {_D('hi - 1', 16)} + 1)) AS tx, ty FROM s""")
+  SELECT id, unnest(range({_D('lo', 16)}, {_D('hi - 1', 16)} + 1)) AS tx, ty FROM s"""
+_G25_PARTS, _G25_ROWS = _G25.rsplit("\n", 1)
+_G25_TABLE = f"{_G25_PARTS}, g AS (SELECT DISTINCT * FROM ({_G25_ROWS}))"
+
+
+@query(_G25)
 def G25_tiles_octagon(spark, d):
     return G.rect_tiles(view(spark, d, "v_rects").select("id", "x", "y", "w", "h")).select("id", "tx", "ty")
 
@@ -238,10 +243,40 @@ def J16_overlaid_by_later(spark, d):
     return J.rect_join(r, r, "open", on=("layer",)).filter("b.id > a.id").select(F.col("a.id").alias("id")).distinct()
 
 
-@query("SELECT p.x, p.y, 16 AS w, min(p.layer) AS low, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(floor(x / 16.0) AS BIGINT) AS x, CAST(floor(y / 16.0) AS BIGINT) AS y, layer FROM v_points) p GROUP BY p.x, p.y")
+def _on_tiles(spark, d):
+    """Units with each isometric tile that their square rectangle reaches."""
+    return G.rect_tiles(view(spark, d, "v_rects").select("id", "layer", "x", "y", "w", "h")).select("id", "layer", "tx", "ty").distinct()
+
+
+@query(f"{_G25_TABLE} SELECT tx, ty, CAST(count(*) AS BIGINT) AS units, min(id) AS least, max(id) AS most, CAST(sum(layer) AS BIGINT) AS layers FROM g JOIN v_rects USING (id) GROUP BY tx, ty")
 def J9_units_on_tiles(spark, d):
-    p = view(spark, d, "v_points").select(C.floor_div("x", 16).alias("x"), C.floor_div("y", 16).alias("y"), "layer")
-    return p.groupBy("x", "y").agg(F.lit(16).alias("w"), F.min("layer").alias("low"), F.count("*").alias("n"))
+    """Source units by the tiles that they reach."""
+    return _on_tiles(spark, d).groupBy("tx", "ty").agg(F.count("*").alias("units"), F.min("id").alias("least"), F.max("id").alias("most"), F.sum("layer").alias("layers"))
+
+
+@query(f"{_G25_TABLE} SELECT tx, ty, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS sources FROM g GROUP BY tx, ty")
+def X24_tile_sources(spark, d):
+    """The units that contribute to each tile, in order."""
+    t = _on_tiles(spark, d).groupBy("tx", "ty").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return t.select("tx", "ty", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("sources"))
+
+
+@query(f"{_G25_TABLE} SELECT CAST(max(n) AS BIGINT) AS fan_in, CAST(count(*) AS BIGINT) AS tiles, CAST(sum(n) AS BIGINT) AS links FROM (SELECT count(*) AS n FROM g GROUP BY tx, ty)")
+def X25_tile_fan_in(spark, d):
+    """The index from tiles to units: how many units its fullest tile has."""
+    t = _on_tiles(spark, d).groupBy("tx", "ty").agg(F.count("*").alias("n"))
+    return t.agg(F.max("n").alias("fan_in"), F.count("*").alias("tiles"), F.sum("n").alias("links"))
+
+
+@query(f"""{_G25_TABLE}, b AS (SELECT id, {_D('x - (y + h - 1) - 1', 16)} AS a, {_D('x + w - 1 - y + 1', 16)} AS c, {_D('x + y - 7', 32)} AS e, {_D('x + w - 1 + y + h - 1 + 1', 32)} AS f FROM v_rects),
+  t AS (SELECT id, unnest(range(a, c + 1)) AS tx, e, f FROM b), rough AS (SELECT id, tx, unnest(range(e, f + 1)) AS ty FROM t)
+  SELECT CAST(count(*) FILTER (WHERE r.id IS NOT NULL AND g.id IS NOT NULL) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE g.id IS NULL) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE r.id IS NULL) AS BIGINT) AS fn FROM rough r FULL JOIN g ON r.id = g.id AND r.tx = g.tx AND r.ty = g.ty""")
+def A23_precision_recall(spark, d):
+    """The rough cover of units by tiles held against the exact one: what it finds rightly, too much, and not."""
+    truth = _on_tiles(spark, d).select("id", "tx", "ty", F.lit(True).alias("truth"))
+    rough = view(spark, d, "v_rects").select("id", F.explode(G.rect_tiles_rough("x", "y", "w", "h")).alias("t")).select("id", "t.tx", "t.ty", F.lit(True).alias("found"))
+    both = rough.join(truth, ["id", "tx", "ty"], "full_outer")
+    return both.agg(F.count_if(F.col("found") & F.col("truth")).alias("tp"), F.count_if(F.col("found") & F.col("truth").isNull()).alias("fp"), F.count_if(F.col("found").isNull()).alias("fn"))
 
 
 @query("""WITH s AS (SELECT DISTINCT layer, x, y FROM v_points), i AS (SELECT layer, x, y, y - row_number() OVER (PARTITION BY layer, x ORDER BY y) AS k FROM s) SELECT layer, x, min(y) AS start, CAST(count(*) AS BIGINT) AS length FROM i GROUP BY layer, x, k""")
@@ -273,19 +308,10 @@ def W6_slices(spark, d):
     return W.slices(view(spark, d, "v_rects").select("type", "id"), 7, ["id"], ["type"]).withColumn("slice", F.col("slice").cast("bigint"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM v_rects a JOIN v_rects b ON a.layer = b.layer AND {_MODES['open']} AND a.id < 400 AND b.id < 400),
-  r(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a) SELECT id, min(other) AS component FROM r GROUP BY id""")
+@query(f"""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM v_rects a JOIN v_rects b ON a.layer = b.layer AND a.id <> b.id AND {_MODES['open']}),
+  r(id, component) USING KEY (id) AS (SELECT id, id FROM v_rects UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.id JOIN recurring.r AS old ON old.id = e.b WHERE r.component < old.component GROUP BY e.b) SELECT id, component FROM r""")
 def C1_components(spark, d):
-    """Over part of the rectangles: SQL's transitive closure is quadratic; tests hold the whole against union-find."""
-    r = view(spark, d, "v_rects").filter("id < 400")
-    edges = J.rect_join(r, r, "open", on=("layer",)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return J.components(r.select("id"), edges)
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM v_rects a JOIN v_rects b ON a.layer = b.layer AND {_MODES['open']}),
-  r(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a) SELECT id, min(other) AS component FROM r GROUP BY id""")
-def C1_components_whole(spark, d):
-    """Over all rectangles; SQL's transitive closure is quadratic, so that it is held against small tables."""
+    """Rectangles that overlap in a layer, directly or through others."""
     r = view(spark, d, "v_rects")
     edges = J.rect_join(r, r, "open", on=("layer",)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     return J.components(r.select("id"), edges)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import values as V
+from ..functions.buffers import buffered
 from ..functions.coords import BLOCK_SIZE, CELL_BLOCKS
 from ..operators import joins, marks, pyramid, windows
 from ..operators.borders import border_flags
@@ -65,23 +67,49 @@ JOBS["zombie_top"] = zombie
 
 @job
 def foraging(pixels: DataFrame, zones: DataFrame, colours: dict[str, str], form: str = "B42") -> DataFrame:
-    """Runs of equally zoned pixels of each raster row, in world coordinates; zones named `skip` have none."""
-    zoned = pixels.join(F.broadcast(zones.filter(F.col("pixel").between(0, 255))), "pixel")  # 256 rows at most
-    rows = windows.fill_runs(zoned, ["cx", "cy", "y"], "x", "zone")
-    css = V.lookup("zone", colours, "gray")
+    """Runs of equally zoned pixels of each raster row, in world coordinates.
+
+    Zones without a colour, or with `skip`, are not painted, nor are pixels without a zone; all of them end a run.
+    """
+    zoned = pixels.join(F.broadcast(zones.filter(F.col("pixel").between(0, 255))), "pixel", "left")  # 256 rows at most
+    rows = windows.fill_runs(zoned.withColumn("zone", F.coalesce("zone", F.lit(""))), ["cx", "cy", "y"], "x", "zone")  # null would be a wildcard
+    css = V.lookup("zone", colours)
     return rows.select((F.col("start") + F.col("cx") * _cell(form)).alias("x"), (F.col("y") + F.col("cy") * _cell(form)).alias("y"), F.col("length").alias("w"), F.lit(1).alias("h"), "zone", css.alias("color")).filter("color <> 'skip'")
 
 
 JOBS["foraging_top"] = foraging
 
 
+def object_rects(zones: DataFrame) -> DataFrame:
+    """(path, ord, x, y, w, h) of zones: rectangles as they are, polygons and buffered polylines as covers of their squares.
+
+    A square belongs to a shape if its middle does. Polylines without a width, and shapes without points, have none.
+    """
+    kind = F.coalesce("geometry", F.lit("rect"))
+    plain = zones.filter(kind == "rect").select("path", "ord", "x", "y", F.col("width").alias("w"), F.col("height").alias("h"))
+    points = G.array_to_points("points")
+    shapes = zones.filter(kind.isin("polygon", "polyline") & (F.size("points") >= 2)).select("path", "ord", F.when(kind == "polygon", points).otherwise(buffered(points, F.col("lineWidth").cast("double"))).alias("ring"))
+    shapes = shapes.filter(F.size("ring") > 0).withColumn("box", G.extent("ring"))
+    rows = shapes.select("path", "ord", "ring", F.explode(G.squares_of("box.x", "box.y", "box.w", "box.h")).alias("p"))
+    inside = rows.filter(G.in_polygon("ring", F.col("p.x") + 0.5, F.col("p.y") + 0.5)).select("path", "ord", "p.x", "p.y")
+    return plain.unionByName(windows.rect_cover(inside, ["path", "ord"]).select("path", "ord", "x", "y", "w", "h"))
+
+
 @job
 def objects(zones: DataFrame, colours: dict[str, str], layers: tuple[int, int] = (0, 1)) -> DataFrame:
-    """Rectangle zones of configured types as marks, with the cells that they lie in."""
+    """An area mark for each zone of a configured type: id, type, name, layer, color and rects, whatever its shape."""
     used = [k for k, v in colours.items() if v != "skip"]
-    rows = zones.filter(F.col("type").isin(*used) & (F.col("z") >= layers[0]) & (F.col("z") < layers[1]) & (F.coalesce("geometry", F.lit("rect")) == "rect"))
-    boxes = rows.select("ord", "type", "name", F.col("z").alias("layer"), "x", "y", F.col("width").alias("w"), F.col("height").alias("h"), V.lookup("type", colours).alias("color"))
-    return joins.cells_of(boxes, 256)
+    rows = zones.filter(F.col("type").isin(*used) & (F.col("z") >= layers[0]) & (F.col("z") < layers[1]))
+    rects = object_rects(rows).groupBy("path", "ord").agg(F.array_sort(F.collect_list(F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height")))).alias("rects"))  # of one zone
+    return rows.join(rects, ["path", "ord"]).select(F.hex(F.xxhash64("path", "ord")).alias("id"), F.lit("area").alias("type"), F.coalesce("name", F.lit("")).alias("name"), F.col("z").alias("layer"), V.lookup("type", colours).alias("color"), "rects")
+
+
+@job
+def object_cells(zones: DataFrame, colours: dict[str, str], layers: tuple[int, int] = (0, 1), form: str = "B42") -> DataFrame:
+    """The marks of objects() with each cell (cx, cy) that one of their rectangles lies in."""
+    marks_ = objects(zones, colours, layers)
+    boxes = marks_.select("*", F.explode("rects").alias("q")).select("*", "q.x", "q.y", F.col("q.width").alias("w"), F.col("q.height").alias("h"))
+    return joins.cells_of(boxes, _cell(form)).drop("q", "x", "y", "w", "h").distinct()
 
 
 @job

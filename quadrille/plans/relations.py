@@ -30,31 +30,16 @@ def J12_two_phase_locate(spark, d):
     return R.located(dictionary.withColumn("tile", F.col("tile").cast("string")), body, ["3", "14", "159"], ["square"]).select("square", "line", F.col("t").alias("tile"))
 
 
-@query("""WITH RECURSIVE r(root, node) AS (SELECT node, node FROM v_deps WHERE node % 97 = 0 UNION ALL SELECT r.root, v_deps.needs FROM r JOIN v_deps ON r.node = v_deps.node) SELECT root, node FROM r""")
-def J13_dependency_closure(spark, d):
-    e = view(spark, d, "v_deps")
-    return J.closure(e.filter("node % 97 = 0").select(F.col("node").alias("root")), e)
-
-
 @query("""WITH RECURSIVE r(root, node) AS (SELECT node, node FROM v_deps UNION ALL SELECT r.root, v_deps.needs FROM r JOIN v_deps ON r.node = v_deps.node) SELECT root, node FROM r""")
-def J13_dependency_closure_whole(spark, d):
+def J13_dependency_closure(spark, d):
     """From every node."""
     e = view(spark, d, "v_deps")
     return J.closure(e.select(F.col("node").alias("root")), e)
 
 
-@query("""SELECT coalesce(a.c, b.c) AS c, a.n AS orders, b.n AS customers, CASE WHEN a.c IS NULL THEN 'no order' WHEN b.c IS NULL THEN 'no customer' ELSE 'both' END AS state
-  FROM (SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_custkey % 4 <> 1 GROUP BY 1) a FULL JOIN (SELECT c_custkey AS c, count(*) AS n FROM customer WHERE c_custkey % 4 <> 2 GROUP BY 1) b ON a.c = b.c""")
-def J14_id_mapping(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_custkey % 4 <> 1").groupBy(F.col("o_custkey").alias("c")).agg(F.count("*").alias("orders"))
-    c = spark.read.parquet(f"{d}/customer.parquet").filter("c_custkey % 4 <> 2").groupBy(F.col("c_custkey").alias("c")).agg(F.count("*").alias("customers"))
-    state = F.when(F.col("orders").isNull(), "no order").when(F.col("customers").isNull(), "no customer").otherwise("both")
-    return o.join(c, "c", "full_outer").select("c", "orders", "customers", state.alias("state"))
-
-
 @query("""SELECT coalesce(a.c, b.c) AS c, a.n AS orders, b.n AS customers, CASE WHEN a.c IS NULL THEN 'no order' WHEN b.c IS NULL THEN 'no customer' ELSE 'both' END AS state
   FROM (SELECT CASE WHEN o_custkey % 4 = 1 THEN -1 - o_custkey ELSE o_custkey END AS c, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT c_custkey AS c, count(*) AS n FROM customer GROUP BY 1) b ON a.c = b.c""")
-def J14_id_mapping_whole(spark, d):
+def J14_id_mapping(spark, d):
     """All rows of both sides; keys on one side only come from mapping a quarter of the orders' keys below zero."""
     key = F.when(F.col("o_custkey") % 4 == 1, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
     o = spark.read.parquet(f"{d}/orders.parquet").groupBy(key.alias("c")).agg(F.count("*").alias("orders"))
@@ -113,16 +98,10 @@ def A17_extent(spark, d):
     return p.agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"), F.min("gx").alias("d1"), F.max("gx").alias("d2"), F.min("gy").alias("s1"), F.max("gy").alias("s2"))
 
 
-@query("SELECT o_orderstatus AS map, count(DISTINCT o_custkey % 1) = 1 AS uniform, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS versions FROM orders GROUP BY o_orderstatus")
+@query("SELECT o_custkey AS map, count(DISTINCT o_orderpriority) = 1 AS uniform, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS versions FROM orders GROUP BY o_custkey")
 def A18_version_check(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
-    return o.groupBy(F.col("o_orderstatus").alias("map")).agg((F.count_distinct(F.col("o_custkey") % 1) == 1).alias("uniform"), F.count_distinct("o_orderpriority").alias("versions"))
-
-
-@query("""WITH t AS (SELECT id, w >= 6 AS found, h >= 4 AS truth FROM v_rects) SELECT CAST(count(*) FILTER (WHERE found AND truth) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE found AND NOT truth) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE NOT found AND truth) AS BIGINT) AS fn FROM t""")
-def A23_precision_recall(spark, d):
-    t = view(spark, d, "v_rects").select((F.col("w") >= 6).alias("found"), (F.col("h") >= 4).alias("truth"))
-    return t.agg(F.count_if(F.col("found") & F.col("truth")).alias("tp"), F.count_if(F.col("found") & ~F.col("truth")).alias("fp"), F.count_if(~F.col("found") & F.col("truth")).alias("fn"))
+    return o.groupBy(F.col("o_custkey").alias("map")).agg((F.count_distinct("o_orderpriority") == 1).alias("uniform"), F.count_distinct("o_orderpriority").alias("versions"))
 
 
 _OLD = "o AS (SELECT ux, uy, max(mtime) AS mtime, string_agg(sig, ',' ORDER BY sig) AS sigs FROM v_old GROUP BY ux, uy)"
@@ -265,15 +244,8 @@ def S15_pixel_zones(spark, d):
 
 @query("""WITH t AS (SELECT conv_id AS key, lang, min(text) AS text FROM v_texts GROUP BY 1, 2) SELECT k.key, coalesce(a.text, b.text, CAST(k.key AS VARCHAR)) AS text FROM (SELECT DISTINCT conv_id * 2 // 3 AS key FROM v_texts) k LEFT JOIN t a ON a.key = k.key AND a.lang = 'system' LEFT JOIN t b ON b.key = k.key AND b.lang = 'assistant'""")
 def X15_localised(spark, d):
-    t = view(spark, d, "v_texts")
-    keys = t.select(F.expr("conv_id * 2 div 3").alias("key")).distinct()
-    return R.localised(keys, t.withColumnRenamed("conv_id", "key"), "system", "assistant")
-
-
-@query("""WITH t AS (SELECT conv_id AS key, lang, min(text) AS text FROM v_whole_texts GROUP BY 1, 2) SELECT k.key, coalesce(a.text, b.text, CAST(k.key AS VARCHAR)) AS text FROM (SELECT DISTINCT conv_id * 2 // 3 AS key FROM v_whole_texts) k LEFT JOIN t a ON a.key = k.key AND a.lang = 'system' LEFT JOIN t b ON b.key = k.key AND b.lang = 'assistant'""")
-def X15_localised_whole(spark, d):
     """Over whole texts."""
-    t = view(spark, d, "v_whole_texts")
+    t = view(spark, d, "v_texts")
     keys = t.select(F.expr("conv_id * 2 div 3").alias("key")).distinct()
     return R.localised(keys, t.withColumnRenamed("conv_id", "key"), "system", "assistant")
 
@@ -294,13 +266,6 @@ def X10_layer_range(spark, d):
     return runs(layers, ["g"], "layer").filter("start <= 0 and start + length > 0").select(F.col("start").alias("low"), (F.col("start") + F.col("length") - 1).alias("high"))
 
 
-@query(f"SELECT CAST(max(n) AS BIGINT) AS fan_in, CAST(count(*) AS BIGINT) AS tiles FROM (SELECT {_D('x', 8)} AS tx, {_D('y', 8)} AS ty, count(*) AS n FROM v_rects GROUP BY 1, 2)")
-def X25_tile_fan_in(spark, d):
-    t = view(spark, d, "v_rects").groupBy(C.floor_div("x", 8).alias("tx"), C.floor_div("y", 8).alias("ty")).agg(F.count("*").alias("n"))
-    return t.agg(F.max("n").alias("fan_in"), F.count("*").alias("tiles"))
-
-
-
 @query("""WITH t AS (SELECT ['americanholly', 'americanlinden', 'canadianhemlock', 'carolinasilverbell', 'cockspurhawthorn', 'dogwood', 'easternredbud', 'redmaple', 'riverbirch', 'virginiapine', 'yellowwood'] AS n)
   SELECT 'vegetation_foliage_01_' || i AS name, 'f_bushes_1_' || (i % 8) || ',f_bushes_1_' || (i % 8 + 48) || ',f_bushes_1_' || (i + 80) AS textures FROM range(16) r(i)
   UNION ALL SELECT 'vegetation_groundcover_01_' || i, 'd_plants_1_' || (i % 8 + 8) || ',d_plants_1_' || ((i % 24) // 8 * 16 + 24 + i % 8) FROM range(48) r(i)
@@ -357,9 +322,9 @@ def X17_json_or_null(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("try_parse_json(props) is not null").alias("valid"))
 
 
-@query("SELECT id, name AS map, 'a=b' AS q, CAST(x AS VARCHAR) AS x FROM v_rects")
+@query("SELECT id, name AS map, y || '=' || type || '=' AS q, CAST(x AS VARCHAR) AS x FROM v_rects")
 def X16_query_string(spark, d):
-    text = F.concat(F.lit("map="), "name", F.lit("&q=a=b&x="), "x")
+    text = F.concat(F.lit("map="), "name", F.lit("&q="), "y", F.lit("="), "type", F.lit("=&x="), "x")
     pairs = F.map_from_entries(F.transform(F.split(text, "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), p.substr(F.instr(p, "=") + 1, F.length(p)).alias("v"))))
     return view(spark, d, "v_rects").select("id", pairs.alias("m")).select("id", *(F.col("m")[k].alias(k) for k in ("map", "q", "x")))
 
@@ -394,10 +359,11 @@ def K14_map_listing(spark, d):
     return R.listing(view(spark, d, "v_rects").groupBy("type").agg(F.count("*").alias("n")), ["type", "n"])
 
 
-@query("""SELECT '{"sqr":1,"w":' || max(x) || ',"layers":' || (max(layer) + 1) || '}' AS json FROM v_rects""")
+@query("""SELECT '{"minlayer":' || min(layer) || ',"maxlayer":' || (max(layer) + 1) || ',"levels":' || max(w) || ',"tiles":' || count(*) || ',"sqr":1,"cell_size":256}' AS json FROM v_rects""")
 def K6_map_info(spark, d):
-    facts = view(spark, d, "v_rects").agg(F.max("x").alias("w"), (F.max("layer") + 1).alias("layers"))
-    return facts.select(F.to_json(F.struct(F.lit(1).alias("sqr"), "w", "layers")).alias("json"))
+    from ..operators.raster import map_info
+
+    return map_info(view(spark, d, "v_rects").select("layer", F.col("w").alias("level")), sqr=1, cell_size=256)
 
 
 @query("SELECT CAST(CASE WHEN greatest(abs(x1 - x0), abs(y1 - y0)) * 2 > 512 OR id % 16 > 12 THEN 0 WHEN greatest(abs(x1 - x0), abs(y1 - y0)) * 2 > 256 OR id % 16 > 8 THEN 1 ELSE 2 END AS BIGINT) AS class, CAST(count(*) AS BIGINT) AS n FROM v_segments GROUP BY 1")
@@ -439,12 +405,6 @@ def X11_relative_placement(spark, d):
     return placed.select("id", F.round((F.col("bx") - F.col("x")) * 4.0 / F.col("w"), 4).alias("dx"), F.round((F.col("b_y") - F.col("y")) * 4.0 / F.col("w"), 4).alias("dy"), F.round(F.col("bw") / F.col("w"), 4).alias("scale"))
 
 
-@query("""WITH t AS (SELECT CAST(floor(x / 8.0) AS BIGINT) AS tx, CAST(floor(y / 8.0) AS BIGINT) AS ty, id FROM v_rects) SELECT tx, ty, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS sources FROM t GROUP BY tx, ty""")
-def X24_tile_sources(spark, d):
-    t = view(spark, d, "v_rects").groupBy(C.floor_div("x", 8).alias("tx"), C.floor_div("y", 8).alias("ty")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return t.select("tx", "ty", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("sources"))
-
-
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS keeper FROM documents")
 def D10_keepers(spark, d):
     return R.first_copies(spark.read.parquet(f"{d}/documents.parquet"), "text", "doc_id")

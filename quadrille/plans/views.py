@@ -21,8 +21,7 @@ VIEWS: dict[str, tuple[str, list[str], str]] = {
     "v_blocks": ("orders", ["o_orderkey % 97 - 20 AS bx", "o_orderkey % 89 - 30 AS b_y", "o_custkey % 5 > 0 AS saved", "o_custkey % 3 = 0 AS selected"], ""),
     "v_marks": ("part", ["p_partkey AS id", "p_brand AS type", "p_name AS name", "(p_partkey * 37) % 211 AS x", "(p_partkey * 91) % 193 AS y", "CAST(1 + p_size % 12 AS BIGINT) AS w", "1 + p_partkey % 9 AS h", "CAST(p_partkey % 3 AS INT) AS layer", "CAST(p_size % 4 AS INT) AS visible_zoom_level"], ""),
     "v_heat": ("part", ["p_partkey AS id", "p_partkey * 7 % 256 AS z"], ""),
-    "v_texts": ("conversations", ["conv_id", "turn", "role AS lang", "substr(text, 1, 40) AS text"], ""),
-    "v_whole_texts": ("conversations", ["conv_id", "turn", "role AS lang", "text"], ""),
+    "v_texts": ("conversations", ["conv_id", "turn", "role AS lang", "text"], ""),
     "v_segments": ("orders", ["o_orderkey AS id", "CAST(o_orderkey * 37 % 400 - 200 AS DOUBLE) AS x0", "CAST(o_custkey * 91 % 300 - 150 AS DOUBLE) AS y0", "CAST(o_orderkey * 53 % 400 - 200 AS DOUBLE) AS x1", "CAST(o_custkey * 17 % 300 - 150 AS DOUBLE) AS y1"], ""),
     "v_intervals": ("orders", ["o_custkey % 50 AS grp", "o_orderkey AS id", "o_orderkey * 37 % 1000 AS s", "o_orderkey * 37 % 1000 + o_custkey % 9 AS e"], ""),
 }

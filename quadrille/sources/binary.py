@@ -168,9 +168,12 @@ def pack(data: bytes) -> Iterator[tuple]:
             yield page, alpha, *t, None if i else png
 
 
-def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """path, name, mtime (seconds), length and content of the files below a folder whose names match a regular expression."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def files(spark: SparkSession, path: str, pattern: str, glob: str = "*") -> DataFrame:
+    """path, name, mtime (seconds), length and content of the files below a folder whose names match a regular expression.
+
+    A glob of the names keeps other files from being listed and read; the expression alone only sorts out what was read.
+    """
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return df.withColumn("name", name).filter(F.col("name").rlike(pattern)).select("path", "name", F.col("modificationTime").cast("double").alias("mtime"), "length", "content")
 
@@ -208,13 +211,13 @@ BODY_NAME = r"^world_(\d+)_(\d+)\.lotpack$"
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """All cell headers below a folder, one row each."""
-    return _decoded(coordinates(files(spark, path, HEADER_NAME), HEADER_NAME), HEADER, lambda f: [header(f.content) | {"cx": f.cx, "cy": f.cy}])
+    return _decoded(coordinates(files(spark, path, HEADER_NAME, "*.lotheader"), HEADER_NAME), HEADER, lambda f: [header(f.content) | {"cx": f.cx, "cy": f.cy}])
 
 
 def read_squares(spark: SparkSession, path: str) -> DataFrame:
     """Tile codes of all squares of all cells, in world coordinates, in draw order `pos`."""
-    heads = coordinates(files(spark, path, HEADER_NAME), HEADER_NAME).select("cx", "cy", F.col("content").alias("head"))
-    bodies = coordinates(files(spark, path, BODY_NAME), BODY_NAME).join(heads, ["cx", "cy"])
+    heads = coordinates(files(spark, path, HEADER_NAME, "*.lotheader"), HEADER_NAME).select("cx", "cy", F.col("content").alias("head"))
+    bodies = coordinates(files(spark, path, BODY_NAME, "world_*.lotpack"), BODY_NAME).join(heads, ["cx", "cy"])
 
     def rows(f):
         head = header(f.head)
@@ -237,12 +240,12 @@ def population(headers: DataFrame) -> DataFrame:
 
 
 def read_prefabs(spark: SparkSession, path: str) -> DataFrame:
-    return _decoded(files(spark, path, r"\.pzby$"), PREFAB, lambda f: (dict(zip(("path", "bx", "by", "x", "y", "layer", "attribute", "pos", "tile"), (f.path, *r), strict=True)) for r in prefab(f.content)))
+    return _decoded(files(spark, path, r"\.pzby$", "*.pzby"), PREFAB, lambda f: (dict(zip(("path", "bx", "by", "x", "y", "layer", "attribute", "pos", "tile"), (f.path, *r), strict=True)) for r in prefab(f.content)))
 
 
-def read_packs(spark: SparkSession, path: str, pattern: str = r"\.pack$") -> DataFrame:
+def read_packs(spark: SparkSession, path: str, pattern: str = r"\.pack$", glob: str = "*.pack") -> DataFrame:
     """Textures of all packs below a folder (S10); names can be chosen by pattern."""
-    return _decoded(files(spark, path, pattern), PACK, lambda f: (dict(zip(("path", "page", "has_alpha", "name", "x", "y", "w", "h", "ox", "oy", "ow", "oh", "png"), (f.path, *r), strict=True)) for r in pack(f.content)))
+    return _decoded(files(spark, path, pattern, glob), PACK, lambda f: (dict(zip(("path", "page", "has_alpha", "name", "x", "y", "w", "h", "ox", "oy", "ow", "oh", "png"), (f.path, *r), strict=True)) for r in pack(f.content)))
 
 
 def save_blocks(files_: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def grey_pixels(png: bytes) -> tuple[int, int, bytes]:
     return w, h, bytes((299 * r + 587 * g + 114 * b) // 1000 for r, g, b in zip(flat[::channels], flat[1::channels], flat[2::channels], strict=True))
 
 
-def read_rasters(spark: SparkSession, path: str, pattern: str = r"biomemap_(\d+)_(\d+)\.png$") -> DataFrame:
+def read_rasters(spark: SparkSession, path: str, pattern: str = r"biomemap_(\d+)_(\d+)\.png$", glob: str = "*.png") -> DataFrame:
     """(cx, cy, x, y, pixel) of the raster images below a folder."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +160,7 @@ def read_rasters(spark: SparkSession, path: str, pattern: str = r"biomemap_(\d+)
                 w, h, flat = grey_pixels(bytes(f.content))
                 yield pd.DataFrame({"cx": f.cx, "cy": f.cy, "x": [i % w for i in range(w * h)], "y": [i // w for i in range(w * h)], "pixel": list(flat)})
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("path").rlike(pattern))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).filter(F.col("path").rlike(pattern))
     part = lambda i: F.regexp_extract("path", pattern, i).cast("int")
     return raw.select("content", part(1).alias("cx"), part(2).alias("cy")).mapInPandas(run, "cx int, cy int, x int, y int, pixel int")
 

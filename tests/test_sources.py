@@ -129,8 +129,32 @@ def test_table_literals(spark, tmp_path):
     rows = text.read_zones(spark, str(tmp_path)).orderBy("ord").collect()
     assert (rows[0].name, rows[0].x, rows[0].y, rows[0].properties) == ('a "b"', -3, 16, {"k": "v"})
     assert rows[1].points == [1.0, 2.5, 3.0, 4.0] and rows[1].lineWidth == 2
-    marks_ = JOBS["objects"](text.read_zones(spark, str(tmp_path)), {"Forest": "green", "Zone": "skip"}).collect()
-    assert {(r.cx, r.cy, r.color) for r in marks_} == {(-1, 0, "green"), (0, 0, "green")}
+    zones = text.read_zones(spark, str(tmp_path))
+    cells = JOBS["object_cells"](zones, {"Forest": "green", "Zone": "skip"}).collect()
+    assert {(r.cx, r.cy, r.color) for r in cells} == {(-1, 0, "green"), (0, 0, "green")}
+    marks_ = JOBS["objects"](zones, {"Forest": "green", "Zone": "skip"}).collect()
+    assert [[tuple(q) for q in r.rects] for r in marks_] == [[(-3, 16, 4, 5)]] and marks_[0].type == "area"
+
+
+def test_object_shapes(spark):
+    """Polygons and polylines as covers of the squares whose middles they hold; older cells have 300 squares."""
+    rows = [("f", 0, "F", "a", 1, 2, 0, 3, 4, None, None, None), ("f", 1, "F", None, None, None, 0, None, None, "polygon", [0.0, 0.0, 4.0, 0.0, 4.0, 2.0, 2.0, 2.0, 2.0, 4.0, 0.0, 4.0], None), ("f", 2, "F", "line", None, None, 0, None, None, "polyline", [298.0, 10.0, 303.0, 10.0], 2), ("f", 3, "F", "no width", None, None, 0, None, None, "polyline", [0.0, 0.0, 9.0, 0.0], None), ("f", 4, "G", "other type", 1, 2, 0, 3, 4, None, None, None), ("f", 5, "F", "above", 1, 2, 1, 3, 4, None, None, None)]
+    zones = spark.createDataFrame(rows, "path string, ord long, type string, name string, x long, y long, z long, width long, height long, geometry string, points array<double>, lineWidth long")
+    got = {r.name: [tuple(q) for q in r.rects] for r in JOBS["objects"](zones, {"F": "green", "G": "skip"}).collect()}
+    squares = lambda rects: {(x, y) for a, b, w, h in rects for x in range(a, a + w) for y in range(b, b + h)}
+    assert set(got) == {"a", "", "line"} and got["a"] == [(1, 2, 3, 4)]
+    assert squares(got[""]) == {(x, y) for x in range(4) for y in range(4) if x < 2 or y < 2}
+    assert squares(got["line"]) == {(x, y) for x in range(298, 303) for y in (9, 10)}
+    assert {r.cx for r in JOBS["object_cells"](zones.filter("ord = 2"), {"F": "green"}, form="B41").collect()} == {0, 1}
+    assert {r.cx for r in JOBS["object_cells"](zones.filter("ord = 2"), {"F": "green"}).collect()} == {1}
+
+
+def test_readers_list_only_their_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("1_2.lotheader", "world_1_2.lotpack", "sub/3_4.lotheader", "x.png"):
+        (tmp_path / name).write_bytes(b"none")
+    assert {f.rsplit("/", 1)[1] for f in binary.files(spark, str(tmp_path), binary.HEADER_NAME, "*.lotheader").inputFiles()} == {"1_2.lotheader", "3_4.lotheader"}
+    assert binary.read_headers(spark, str(tmp_path)).filter("error is not null").count() == 2
 
 
 def test_streets_and_rasters(spark, tmp_path):
@@ -146,7 +170,7 @@ def test_streets_and_rasters(spark, tmp_path):
     assert sorted((r.y, r.x, r.pixel) for r in pixels.collect()) == [(y, x, int(image[y, x])) for y in range(4) for x in range(6)]
     zones = spark.createDataFrame([(0, "F"), (1, "F"), (3, "F"), (4, "skip"), (7, "G")], "pixel int, zone string")
     runs = JOBS["foraging"](pixels, zones, {"F": "green", "skip": "skip"}).collect()
-    assert sorted((r.x - 256, r.y - 512, r.w, r.color) for r in runs) == [(0, 0, 4, "green"), (1, 1, 1, "gray")]
+    assert sorted((r.x - 256, r.y - 512, r.w, r.color) for r in runs) == [(0, 0, 2, "green"), (3, 0, 1, "green")]
 
 
 def test_png_filters():
