@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import reliable as cut
+from ..storage import shared_dir
+
 #: Text held at once by a Python stage, in characters; bounds a worker's memory whatever the batch size.
 CHUNK_CHARS = 1 << 20
 
@@ -18,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the setting is missing (tests, a laptop) a folder under /tmp/checkpoints is set.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        context.setCheckpointDir(folder)
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
 def free_name(name: str, docs: DataFrame, *taken: str) -> str:
     """name, with underscores behind it until docs has no such column (names differ by more than case) and it isn't taken."""
     used = {c.lower() for c in (*docs.columns, *taken)}
@@ -41,12 +29,6 @@ def free_name(name: str, docs: DataFrame, *taken: str) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lineage ends in files of the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read back: columnar, compressed and safe from lost executors."""
     spark = df.sparkSession

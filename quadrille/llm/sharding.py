@@ -6,7 +6,7 @@ to the next shard with room. As the rooms add up to all rows, numbers of rows di
 
 Which keys an arc keeps depends only on how many there are, so that the ring is walked over one count for each arc (a
 few thousand numbers, whatever the input), and rows look up their place: rank within the arc against the walk's ranges.
-Ranks come from ranks within a cell and the counts of the cells before, so that no arc or shard is sorted in one task.
+Ranks come from ranks within parts of a cell and the counts of the cells before, so that no arc or shard is sorted in one task.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import stored
 
 CELLS = 1 << 16
 POINTS = 64
+#: Parts of a cell that are ranked apart: all rows with a null doc_id are in one cell.
+PARTS = 16
 
 
 def ring(shards: int, points: int = POINTS) -> list[tuple[int, int]]:
@@ -74,13 +76,16 @@ def assign(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     size is the UTF-8 bytes of the text (a null text has none) plus `overhead`; text_crc32 is that of the text, of no
     bytes for a null text. slot numbers the rows of a shard from 0 without gaps. Numbers of rows in two shards differ
     by one at most; fewer rows than shards leave shards empty. The key of the ring is doc_id; rows with the same
-    doc_id, and all rows with a null one, share a cell and are ordered by size and checksum. An empty table gives no
-    rows. Other columns are not read.
+    doc_id, and all rows with a null one, share a cell, in which they are ordered by parts (a hash of doc_id, size and
+    checksum), then by these three. Rows with equal texts are told apart by doc_id alone and need not share a shard.
+    With one shard more, 0.047 to 0.064 of the rows move (40 to 41): under this law loads have no slack, so that half of
+    them move between shards that were there before. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + overhead).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = stored(rows.withColumn("cell", cell_of(F.col("doc_id"))), "shard-keys")
+    part = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(PARTS)).cast("int")
+    rows = stored(rows.withColumn("cell", cell_of(F.col("doc_id"))).withColumn("part", part), "shard-keys")
 
     nodes = ring(shards)
     ends = [cell for cell, _ in nodes]
@@ -92,10 +97,10 @@ def assign(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     bounds = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({a}, {lo}, {hi})" for a, lo, hi in _ranges(arcs)) + " AS t(arc, low, high)")
     cells = F.broadcast(bounds.select("arc", F.explode(F.sequence("low", "high")).alias("cell")))  # CELLS rows
 
-    # a cell's first rank: keys of the arc in cells before. At most CELLS counts.
-    counts = rows.groupBy("cell").agg(F.count("*").alias("n")).join(cells, "cell")
-    before = F.sum("n").over(Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("cell", "arc", F.coalesce(before, F.lit(0)).alias("start"))
+    # the first rank of a part of a cell: keys of the arc in parts and cells before. At most CELLS x PARTS counts.
+    counts = rows.groupBy("cell", "part").agg(F.count("*").alias("n")).join(cells, "cell")
+    before = F.sum("n").over(Window.partitionBy("arc").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("cell", "part", "arc", F.coalesce(before, F.lit(0)).alias("start"))
 
     totals = {r["arc"]: r["n"] for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # a few thousand rows
     n = sum(totals.values())
@@ -103,8 +108,8 @@ def assign(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     runs = walk([totals.get(a, 0) for a in range(len(nodes))], [s for _, s in nodes], room) or [(0, 0, 0, 0, 0)]
     places = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({a}, {x}L, {y}L, {s}, {z}L)" for a, x, y, s, z in runs) + " AS t(arc, first, stop, shard, base)")
 
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "size", "text_crc32")) - 1
-    ranked = rows.withColumn("within", rank).join(F.broadcast(starts), "cell").withColumn("rank", F.col("start") + F.col("within"))
+    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("doc_id", "size", "text_crc32")) - 1
+    ranked = rows.withColumn("within", rank).join(starts, ["cell", "part"]).withColumn("rank", F.col("start") + F.col("within"))
     placed = ranked.join(F.broadcast(places), "arc").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("first")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
