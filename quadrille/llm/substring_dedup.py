@@ -244,10 +244,13 @@ def _find(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor bigint, seg bigint, doc_id bigint, text_key bigint, starts array<int>, n int")
 
 
-def _shared(distinct: DataFrame) -> DataFrame:
-    """Segments (anchor, seg, keeper, last) whose anchor several documents have, with the anchor's number of segments and least document."""
+def _shared(distinct: DataFrame, written: bool = False) -> DataFrame:
+    """Segments (anchor, seg, keeper, last) whose anchor several documents have, with the anchor's number of segments and least document.
+
+    Where distinct is a written table, so are the anchors: a join of two written tables can split hot keys.
+    """
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("segs"), F.min("keeper").alias("least"), F.max("last").alias("most")).filter("least < most").drop("most")
-    return distinct.join(shared, "anchor")
+    return distinct.join(stored(shared, "anchors") if written else shared, "anchor")
 
 
 def _spell(docs: DataFrame) -> DataFrame:
@@ -331,7 +334,7 @@ def _decided(spelled: DataFrame, level: int, group: int) -> DataFrame:
         return out
     parts = stored(_dealt_again(many, ANCHORS[level + 1]), "dealt-again")
     distinct = stored(parts.groupBy("anchor", "seg").agg(F.min("keeper").alias("keeper"), F.max("last").alias("last"), F.first("words").alias("words")), "distinct-again")
-    below = _decided(stored(_shared(distinct), "spelled-again"), level + 1, group)
+    below = _decided(stored(_shared(distinct, True), "spelled-again"), level + 1, group)
     found = parts.join(below.withColumnRenamed("keeper", "first"), ["anchor", "seg"])
     own = F.when(F.col("keeper") > F.col("first"), F.col("others")).otherwise(F.col("own"))
     found = found.select("whole_anchor", "whole_seg", "keeper", _shifted(own, F.col("place")).alias("own"), _shifted(F.col("others"), F.col("place")).alias("others"))
