@@ -1,4 +1,4 @@
-"""Images: tiles painted, composited, shrunk and written as PNG."""
+"""Images: textures, tiles composited, shrunk, cropped and written as PNG, and what lies beside them."""
 
 from __future__ import annotations
 
@@ -77,6 +77,142 @@ def paint(squares: DataFrame, tile: int) -> DataFrame:
     return rows.groupBy("layer", "tx", "ty").applyInPandas(draw, TILES)
 
 
+TEXTURES = "name string, ox int, oy int, w int, h int, rgba binary"
+
+
+def shapes(colours: DataFrame, w: int, h: int, diamond: bool = True) -> DataFrame:
+    """A texture for each colour (name, r, g, b, a): a diamond or a rectangle of w by h pixels about the square's middle.
+
+    A pixel is in the diamond if its middle is.
+    """
+    x, y = np.abs(2 * np.arange(w) + 1 - w) / w, np.abs(2 * np.arange(h) + 1 - h) / h
+    inside = (x[None, :] + y[:, None] <= 1) | (not diamond)
+
+    def draw(parts):
+        for part in parts:
+            rgba = [(inside[..., None] * np.array(c, np.uint8)).astype(np.uint8).tobytes() for c in zip(part.r, part.g, part.b, part.a, strict=True)]
+            yield pd.DataFrame({"name": part["name"], "ox": -(w // 2), "oy": -(h // 2), "w": w, "h": h, "rgba": rgba})
+
+    return colours.select("name", "r", "g", "b", "a").mapInPandas(draw, TEXTURES)
+
+
+def trimmed(textures: DataFrame) -> DataFrame:
+    """Textures without their transparent margins, offsets moved along; a wholly transparent one has no size."""
+
+    def trim(parts):
+        for part in parts:
+            out = []
+            for name, ox, oy, w, h, rgba in part[["name", "ox", "oy", "w", "h", "rgba"]].itertuples(index=False):
+                image = np.frombuffer(rgba, np.uint8).reshape(h, w, 4)
+                ys, xs = np.nonzero(image[..., 3])
+                if not len(xs):
+                    out.append([name, 0, 0, 0, 0, b""])
+                    continue
+                x, y = xs.min(), ys.min()
+                image = image[y : ys.max() + 1, x : xs.max() + 1]
+                out.append([name, ox + x, oy + y, image.shape[1], image.shape[0], image.tobytes()])
+            yield pd.DataFrame(out, columns=["name", "ox", "oy", "w", "h", "rgba"])
+
+    return textures.mapInPandas(trim, TEXTURES)
+
+
+def write_textures(textures: DataFrame, path: str) -> None:
+    """Trimmed textures as PNG with offsets and a digest of each, by which unchanged ones are known."""
+    image = F.pandas_udf(lambda w, h, rgba: pd.Series([png(np.frombuffer(d, np.uint8).reshape(b, a, 4)) if d else None for a, b, d in zip(w, h, rgba, strict=True)], dtype=object), T.BinaryType())
+    trimmed(textures).select("name", "ox", "oy", "w", "h", image("w", "h", "rgba").alias("png"), F.sha2("rgba", 256).alias("digest")).write.mode("overwrite").parquet(path)
+
+
+def compose(draws: DataFrame, textures: DataFrame, tile: int, order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """Tiles of level 0 from textures drawn at pixels; those later in `order` lie over earlier ones.
+
+    A draw (layer, px, py, name and the order's columns) puts its texture's corner at (px + ox, py + oy) and goes to each
+    tile that the texture touches; draws without a texture drop out. A task holds one tile's draws, and each of its
+    textures once, so that images don't travel with every draw. Tiles without draws don't exist.
+    """
+    sizes = textures.select("name", "ox", "oy", "w", "h").filter("w > 0 and h > 0")
+    placed = draws.join(sizes, "name").select("layer", "name", *order, (F.col("px") + F.col("ox")).alias("x"), (F.col("py") + F.col("oy")).alias("y"), "w", "h")
+    span = lambda at, n: F.explode(F.sequence(floor_div(at, tile), floor_div(F.col(at) + F.col(n) - 1, tile)))
+    key = ["layer", "tx", "ty"]
+    dealt = placed.withColumn("tx", span("x", "w")).withColumn("ty", span("y", "h"))
+    needed = dealt.select(*key, "name").distinct().join(textures.select("name", "w", "h", "rgba"), "name").select(*(F.col(c).alias(f"of_{c}") for c in (*key, "name", "w", "h", "rgba")))  # names of its own, for the grouping
+
+    def draw(at: tuple, rows: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
+        layer, tx, ty = at
+        known = {n: np.frombuffer(d, np.uint8).reshape(h, w, 4) for n, w, h, d in images[["of_name", "of_w", "of_h", "of_rgba"]].itertuples(index=False)}
+        out = np.zeros((tile, tile, 4), np.uint8)
+        rows = rows.sort_values(list(order), kind="stable")
+        for name, x, y in zip(rows["name"], rows.x - tx * tile, rows.y - ty * tile, strict=True):
+            image = known[name]
+            part = image[max(0, -y) : tile - y, max(0, -x) : tile - x]
+            x, y = max(0, x), max(0, y)
+            place = out[y : y + part.shape[0], x : x + part.shape[1]]
+            place[:] = over(place, part)
+        return pd.DataFrame([[layer, 0, tx, ty, tile, out.tobytes()]], columns=["layer", "level", "tx", "ty", "size", "rgba"])
+
+    return dealt.groupBy(*key).cogroup(needed.groupBy(*(f"of_{c}" for c in key))).applyInPandas(draw, TILES)
+
+
+def pixels(tiles: DataFrame) -> DataFrame:
+    """The pixels of tiles that aren't wholly transparent: (layer, level, x, y, colour), the colour as eight hexadecimal digits."""
+    byte = lambda at, n: F.substring("rgba", at, n)
+    seen = F.filter(F.sequence(F.lit(0), F.col("size") * F.col("size") - 1), lambda i: byte(i * 4 + 4, F.lit(1)) != F.lit(b"\0"))
+    own = F.transform(seen, lambda i: F.struct(i.alias("i"), F.lower(F.hex(byte(i * 4 + 1, F.lit(4)))).alias("colour")))
+    rows = tiles.select("layer", "level", "tx", "ty", "size", F.explode(own).alias("p"))
+    x, y = F.col("tx") * F.col("size") + F.col("p.i") % F.col("size"), F.col("ty") * F.col("size") + floor_div("p.i", "size")
+    return rows.select("layer", "level", x.alias("x"), y.alias("y"), "p.colour")
+
+
+def cropped(tiles: DataFrame, w: int, h: int, opaque_layers: tuple[int, ...] = ()) -> DataFrame:
+    """PNG of tiles cut to an image of w by h pixels at level 0, without alpha in some layers (K1, K2).
+
+    (layer, level, tx, ty, w, h, state, png): a tile that is transparent where the image is has the state `empty` and no
+    PNG, others are `saved`. An image's size is halved from level to level, rounded up.
+    """
+    inner = lambda n, at: F.greatest(F.lit(0), F.least(F.col("size").cast("bigint"), F.call_function("shiftright", F.lit(n - 1).cast("bigint"), F.col("level")) + 1 - F.col(at) * F.col("size"))).cast("int")
+    rows = tiles.select("layer", "level", "tx", "ty", inner(w, "tx").alias("w"), inner(h, "ty").alias("h"), "size", "rgba", F.col("layer").isin(*opaque_layers).alias("opaque") if opaque_layers else F.lit(False).alias("opaque"))
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(size: pd.Series, rgba: pd.Series, w: pd.Series, h: pd.Series, opaque: pd.Series) -> pd.Series:
+        out = []
+        for n, data, a, b, plain in zip(size, rgba, w, h, opaque, strict=True):
+            image = np.frombuffer(data, np.uint8).reshape(n, n, 4)[:b, :a]
+            out.append(png(image[..., :3] if plain else image) if image[..., 3].any() else None)
+        return pd.Series(out, dtype=object)
+
+    made = rows.withColumn("png", encode("size", "rgba", "w", "h", "opaque"))
+    return made.select("layer", "level", "tx", "ty", "w", "h", F.when(F.col("png").isNull(), "empty").otherwise("saved").alias("state"), "png")
+
+
+def without_tiles(tiles: DataFrame, gone: DataFrame, all_layers: bool = True) -> DataFrame:
+    """Tiles that aren't listed as gone, by (level, tx, ty), in all layers or in the listed one (K4)."""
+    key = ["level", "tx", "ty"] + ([] if all_layers else ["layer"])
+    return tiles.join(gone.select(*key).distinct(), key, "left_anti")
+
+
+def without_children(tiles: DataFrame, saved: DataFrame, skip: int) -> DataFrame:
+    """Tiles but for those below the `skip` most detailed levels' parents that were saved again (K4)."""
+    child = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c)
+    parents = saved.filter((F.col("level") >= 1) & (F.col("level") <= skip)).select("layer", (F.col("level") - 1).alias("level"), "tx", "ty")
+    return without_tiles(tiles, parents.select("layer", "level", child("tx"), "ty").select("layer", "level", "tx", child("ty")), all_layers=False)
+
+
+def skeleton(layers: DataFrame, w: int, h: int, tile: int, form: str = "png", ground: str = "png", skip: int = 0) -> DataFrame:
+    """(layer, path, content) of the image description of each layer of a pyramid (K5).
+
+    The size is that of the most detailed level that is kept; the ground layer may have a format of its own.
+    """
+    size = [((n - 1) >> skip) + 1 for n in (w, h)]
+    # fixed value: the image description in XML
+    xml = '<?xml version="1.0" encoding="UTF-8"?><Image xmlns="http://schemas.microsoft.com/deepzoom/2008" TileSize="%d" Overlap="0" Format="%s"><Size Width="%d" Height="%d"/></Image>'
+    text = F.format_string(xml, F.lit(tile), F.when(F.col("layer") == 0, ground).otherwise(form), F.lit(size[0]), F.lit(size[1]))
+    return layers.select("layer").distinct().select("layer", F.format_string("layer%d.dzi", "layer").alias("path"), text.alias("content"))
+
+
+def write_skeleton(rows: DataFrame, path: str) -> None:
+    """Image descriptions as text, a folder for each (K5)."""
+    rows.select("content", F.col("path").alias("file")).write.partitionBy("file").mode("overwrite").text(path)
+
+
 def shrink(tiles: DataFrame, levels: int = 3) -> DataFrame:
     """The next `levels` levels above tiles of one level, in one shuffle: a task builds the part of the pyramid above its 2^levels by 2^levels tiles."""
     top = 1 << levels
@@ -129,3 +265,13 @@ def map_info(tiles: DataFrame, **fixed) -> DataFrame:
 def write_marks(marks: DataFrame, path: str) -> None:
     """Marks as JSON, one object on a line (K7)."""
     marks.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
+def mark_array(marks: DataFrame, by: list[str], id_: str = "id") -> DataFrame:
+    """(by, json): the marks of each unit, such as a cell, as one JSON array with an object on each line, in order of id (K7).
+
+    The units bound the arrays; nothing is gathered over them.
+    """
+    one = F.to_json(F.struct(*(c for c in marks.columns if c not in by)))
+    lines = marks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(id_).alias("k"), one.alias("j")))).alias("l"))
+    return lines.select(*by, F.concat(F.lit("[\n"), F.array_join(F.transform("l", lambda e: e["j"]), ",\n"), F.lit("\n]")).alias("json"))

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
-    from . import coordinates, geometries, rasters, relations, stores  # noqa: F401
+    from . import coordinates, decoding, geometries, images, rasters, relations, stores  # noqa: F401
 
     return dict(QUERIES)
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import values as V
 from ..functions.buffers import buffered
-from ..functions.coords import BLOCK_SIZE, CELL_BLOCKS
-from ..operators import joins, marks, pyramid, windows
+from ..functions.coords import BLOCK_SIZE, CELL_BLOCKS, GRID_HEIGHT, GRID_ROWS_PER_LAYER, GRID_WIDTH, to_grid
+from ..operators import joins, marks, pyramid, raster, windows
 from ..operators.borders import border_flags
+from ..storage import reliable
 
 JOBS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -26,10 +27,24 @@ def _cell(form: str) -> int:
     return BLOCK_SIZE[form] * CELL_BLOCKS[form]
 
 
+def draws(squares: DataFrame, grid: tuple[int, int] = (GRID_WIDTH, GRID_HEIGHT)) -> DataFrame:
+    """(layer, px, py, gy, gx, pos, name): where the tiles of squares (layer, sx, sy, pos, tile) are drawn, from the back to the front.
+
+    A square's anchor is the middle of its lower edge; images of layers are moved so that layers lie over each other.
+    """
+    gx, gy = to_grid("sx", "sy")
+    lifted = gy - F.col("layer") * GRID_ROWS_PER_LAYER
+    return squares.select("layer", (gx * grid[0]).alias("px"), (lifted * grid[1] + grid[1]).alias("py"), gy.alias("gy"), gx.alias("gx"), "pos", F.col("tile").alias("name"))
+
+
 @job
-def base(squares: DataFrame, textures: DataFrame) -> DataFrame:
-    """Texture draws in order: squares (sx, sy, layer, pos, tile) with their textures; tiles without one drop out."""
-    return squares.join(textures, "tile").select("layer", "sx", "sy", F.col("pos").alias("ord"), *[c for c in textures.columns if c != "tile"])
+def base(squares: DataFrame, textures: DataFrame, tile: int = 1024, grid: tuple[int, int] = (GRID_WIDTH, GRID_HEIGHT), levels: int = 0) -> DataFrame:
+    """Tiles of the isometric image of squares (layer, sx, sy, pos, tile) and of `levels` levels above it; tiles without a texture drop out."""
+    tiles = raster.compose(draws(squares, grid), textures, tile, ("gy", "gx", "pos"))
+    if not levels:
+        return tiles
+    tiles = reliable(tiles)  # composed once, read by both
+    return tiles.union(raster.shrink(tiles, levels))
 
 
 @job

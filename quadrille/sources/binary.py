@@ -168,14 +168,14 @@ def pack(data: bytes) -> Iterator[tuple]:
             yield page, alpha, *t, None if i else png
 
 
-def files(spark: SparkSession, path: str, pattern: str, glob: str = "*") -> DataFrame:
-    """path, name, mtime (seconds), length and content of the files below a folder whose names match a regular expression.
+def files(spark: SparkSession, path: str, pattern: str, glob: str = "*", digest: bool = False) -> DataFrame:
+    """path, name, mtime (seconds), length, content and, if asked for, digest (SHA-256) of the files below a folder whose names match a regular expression.
 
     A glob of the names keeps other files from being listed and read; the expression alone only sorts out what was read.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return df.withColumn("name", name).filter(F.col("name").rlike(pattern)).select("path", "name", F.col("modificationTime").cast("double").alias("mtime"), "length", "content")
+    return df.withColumn("name", name).filter(F.col("name").rlike(pattern)).select("path", "name", F.col("modificationTime").cast("double").alias("mtime"), "length", "content", *([F.sha2("content", 256).alias("digest")] if digest else []))
 
 
 def coordinates(df: DataFrame, pattern: str) -> DataFrame:
@@ -209,15 +209,20 @@ HEADER_NAME = r"^(\d+)_(\d+)\.lotheader$"
 BODY_NAME = r"^world_(\d+)_(\d+)\.lotpack$"
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """All cell headers below a folder, one row each."""
-    return _decoded(coordinates(files(spark, path, HEADER_NAME, "*.lotheader"), HEADER_NAME), HEADER, lambda f: [header(f.content) | {"cx": f.cx, "cy": f.cy}])
+def headers(files_: DataFrame) -> DataFrame:
+    """Cell headers of files (path, name, content), one row each."""
+    return _decoded(coordinates(files_, HEADER_NAME), HEADER, lambda f: [header(f.content) | {"cx": f.cx, "cy": f.cy}])
 
 
-def read_squares(spark: SparkSession, path: str) -> DataFrame:
-    """Tile codes of all squares of all cells, in world coordinates, in draw order `pos`."""
-    heads = coordinates(files(spark, path, HEADER_NAME, "*.lotheader"), HEADER_NAME).select("cx", "cy", F.col("content").alias("head"))
-    bodies = coordinates(files(spark, path, BODY_NAME, "world_*.lotpack"), BODY_NAME).join(heads, ["cx", "cy"])
+def read_headers(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
+    """All cell headers below a folder, or any one of them."""
+    found = files(spark, path, HEADER_NAME, "*.lotheader")
+    return headers(found.limit(1) if first_only else found)
+
+
+def squares(bodies: DataFrame, heads: DataFrame) -> DataFrame:
+    """Tile codes of all squares of cells, in world coordinates, in draw order `pos`; files (path, name, content) of bodies and headers."""
+    heads = coordinates(heads, HEADER_NAME).select("cx", "cy", F.col("content").alias("head"))
 
     def rows(f):
         head = header(f.head)
@@ -225,7 +230,12 @@ def read_squares(spark: SparkSession, path: str) -> DataFrame:
         for sx, sy, layer, room, pos, code in body(f.content, head):
             yield {"cx": f.cx, "cy": f.cy, "sx": f.cx * cell + sx, "sy": f.cy * cell + sy, "layer": layer, "room": room, "pos": pos, "code": code}
 
-    return _decoded(bodies, SQUARES, rows)
+    return _decoded(coordinates(bodies, BODY_NAME).join(heads, ["cx", "cy"]), SQUARES, rows)
+
+
+def read_squares(spark: SparkSession, path: str) -> DataFrame:
+    """Tile codes of all cells below a folder."""
+    return squares(files(spark, path, BODY_NAME, "world_*.lotpack"), files(spark, path, HEADER_NAME, "*.lotheader"))
 
 
 def named(squares: DataFrame, headers: DataFrame) -> DataFrame:
@@ -239,13 +249,25 @@ def population(headers: DataFrame) -> DataFrame:
     return rows.filter("z > 0")
 
 
+def prefabs(files_: DataFrame) -> DataFrame:
+    """Attributes and tiles of prefab files (path, content), a row each."""
+    names = [f.name for f in _fields(files_.sparkSession, PREFAB)][:-1]
+    return _decoded(files_, PREFAB, lambda f: (dict(zip(names, (f.path, *r), strict=True)) for r in prefab(f.content)))
+
+
 def read_prefabs(spark: SparkSession, path: str) -> DataFrame:
-    return _decoded(files(spark, path, r"\.pzby$", "*.pzby"), PREFAB, lambda f: (dict(zip(("path", "bx", "by", "x", "y", "layer", "attribute", "pos", "tile"), (f.path, *r), strict=True)) for r in prefab(f.content)))
+    return prefabs(files(spark, path, r"\.pzby$", "*.pzby"))
+
+
+def packs(files_: DataFrame) -> DataFrame:
+    """Textures of pack files (path, content), a row each."""
+    names = [f.name for f in _fields(files_.sparkSession, PACK)][:-1]
+    return _decoded(files_, PACK, lambda f: (dict(zip(names, (f.path, *r), strict=True)) for r in pack(f.content)))
 
 
 def read_packs(spark: SparkSession, path: str, pattern: str = r"\.pack$", glob: str = "*.pack") -> DataFrame:
-    """Textures of all packs below a folder (S10); names can be chosen by pattern."""
-    return _decoded(files(spark, path, pattern, glob), PACK, lambda f: (dict(zip(("path", "page", "has_alpha", "name", "x", "y", "w", "h", "ox", "oy", "ow", "oh", "png"), (f.path, *r), strict=True)) for r in pack(f.content)))
+    """Textures of all packs below a folder; names can be chosen by pattern."""
+    return packs(files(spark, path, pattern, glob))
 
 
 def save_blocks(files_: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,16 +94,29 @@ def literal(source: str, name: str):
 ZONE = "type string, name string, x bigint, y bigint, z bigint, width bigint, height bigint, geometry string, points array<double>, lineWidth bigint, properties map<string,string>"
 
 
-def read_zones(spark: SparkSession, path: str, name: str = "objects") -> DataFrame:
-    """Zone objects of table-literal files below a folder, with path and ordinal `ord` in the file."""
+def zones(files_: DataFrame, name: str = "objects") -> DataFrame:
+    """Zone objects of table-literal files (path, content), with path and ordinal `ord` in the file.
+
+    A file that can't be read gives one row with its error and no zone.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f.path, i, json.dumps(o)) for f in batch.itertuples() for i, o in enumerate(literal(bytes(f.content).decode("utf-8", "replace"), name))]
-            yield pd.DataFrame(rows, columns=["path", "ord", "json"])
+            rows = []
+            for f in batch.itertuples():
+                try:
+                    rows += [(f.path, i, json.dumps(o), None) for i, o in enumerate(literal(bytes(f.content).decode("utf-8", "replace"), name))]
+                except (ValueError, IndexError, KeyError, TypeError) as e:
+                    rows.append((f.path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "ord", "json", "error"], dtype=object)
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.lua").load(path)
-    return raw.select("path", "content").mapInPandas(run, "path string, ord bigint, json string").select("path", "ord", F.from_json("json", ZONE).alias("z")).select("path", "ord", "z.*")
+    read = files_.select("path", "content").mapInPandas(run, "path string, ord bigint, json string, error string")
+    return read.select("path", "ord", F.from_json("json", ZONE).alias("z"), "error").select("path", "ord", "z.*", "error")
+
+
+def read_zones(spark: SparkSession, path: str, name: str = "objects") -> DataFrame:
+    """Zone objects of all table-literal files below a folder."""
+    return zones(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.lua").load(path), name)
 
 
 def pixel_zones(entries: DataFrame) -> DataFrame:
@@ -151,18 +165,34 @@ def grey_pixels(png: bytes) -> tuple[int, int, bytes]:
     return w, h, bytes((299 * r + 587 * g + 114 * b) // 1000 for r, g, b in zip(flat[::channels], flat[1::channels], flat[2::channels], strict=True))
 
 
-def read_rasters(spark: SparkSession, path: str, pattern: str = r"biomemap_(\d+)_(\d+)\.png$", glob: str = "*.png") -> DataFrame:
-    """(cx, cy, x, y, pixel) of the raster images below a folder."""
+RASTER = r"biomemap_(\d+)_(\d+)\.png$"
+
+
+def rasters(files_: DataFrame, pattern: str = RASTER) -> DataFrame:
+    """(cx, cy, x, y, pixel, error) of raster images (path, content) with two numbers in their names.
+
+    An image that can't be read gives one row with its error and no pixel.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for f in batch.itertuples():
-                w, h, flat = grey_pixels(bytes(f.content))
-                yield pd.DataFrame({"cx": f.cx, "cy": f.cy, "x": [i % w for i in range(w * h)], "y": [i // w for i in range(w * h)], "pixel": list(flat)})
+                try:
+                    w, h, flat = grey_pixels(bytes(f.content))
+                except (ValueError, IndexError, struct.error, zlib.error) as e:
+                    yield pd.DataFrame([[f.cx, f.cy, None, None, None, f"{type(e).__name__}: {e}"]], columns=["cx", "cy", "x", "y", "pixel", "error"], dtype=object)
+                    continue
+                at = np.arange(w * h)
+                yield pd.DataFrame({"cx": f.cx, "cy": f.cy, "x": at % w, "y": at // w, "pixel": np.frombuffer(flat, np.uint8), "error": None})
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).filter(F.col("path").rlike(pattern))
     part = lambda i: F.regexp_extract("path", pattern, i).cast("int")
-    return raw.select("content", part(1).alias("cx"), part(2).alias("cy")).mapInPandas(run, "cx int, cy int, x int, y int, pixel int")
+    named = files_.filter(F.col("path").rlike(pattern)).select("content", part(1).alias("cx"), part(2).alias("cy"))
+    return named.mapInPandas(run, "cx int, cy int, x int, y int, pixel int, error string")
+
+
+def read_rasters(spark: SparkSession, path: str, pattern: str = RASTER, glob: str = "*.png") -> DataFrame:
+    """Pixels of the raster images below a folder."""
+    return rasters(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path), pattern)
 
 
 def key_values(lines: DataFrame, by: list[str]) -> DataFrame:
