@@ -144,3 +144,16 @@ def affected_margin(margin: tuple[int, int, int, int], layers: tuple[int, int] =
     left, top, right, bottom = margin
     up, down = max(layers[1], 0) if layers[1] > 1 else 0, min(layers[0], 0)
     return -1 - right, -1 - bottom - up * GRID_ROWS_PER_LAYER, 1 - left, 1 - top - down * GRID_ROWS_PER_LAYER
+
+
+def tile_path(layer, level, tx, ty, ext) -> Column:
+    """Path of a tile below a pyramid's folder."""
+    return F.format_string("layer%d_files/%d/%d_%d.%s", col(layer), col(level), col(tx), col(ty), col(ext))
+
+
+def tile_of_path(path) -> Column:
+    """Layer, level, tx, ty and extension of a tile's path; null for other paths."""
+    pattern = r"(?:^|/)layer(-?\d+)_files/(\d+)/(\d+)_(\d+)\.(\w+)$"
+    part = lambda i: F.regexp_extract(col(path), pattern, i)
+    names = ("layer", "level", "tx", "ty")
+    return F.when(col(path).rlike(pattern), F.struct(*(part(i).cast("bigint").alias(n) for i, n in enumerate(names, 1)), part(5).alias("ext")))

@@ -159,3 +159,48 @@ def absolute_anchor(text) -> Column:
     pattern = r"^abs\((\d+),(\d+)\)$"
     part = lambda i: F.regexp_extract(col(text), pattern, i).cast("bigint")
     return F.when(col(text).rlike(pattern), F.struct(part(1).alias("x"), part(2).alias("y")))
+
+
+def label_position(how, rects) -> Column:
+    """Where the label of an area of rectangles (x, y, w, h) stands, by its text position.
+
+    `none` has no place, `centroid` is weighted by area, `top` is the least corner by x and y, `abs(x,y)` that point;
+    everything else is the middle of the bounding box.
+    """
+    how, rects = col(how), col(rects)
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    total = lambda one: F.aggregate(rects, F.lit(0.0), lambda s, r: s + one(r))
+    area = total(lambda r: r["w"] * r["h"])
+    mean = lambda at, n: total(lambda r: (r[at] + r[n] / 2) * r["w"] * r["h"]) / area
+    middle = lambda at, n: (F.array_min(F.transform(rects, lambda r: r[at])) + F.array_max(F.transform(rects, lambda r: r[at] + r[n]))) / 2
+    least, given = F.array_min(F.transform(rects, lambda r: F.struct(r["x"], r["y"]))), absolute_anchor(how)
+    placed = F.when(how == "centroid", point(mean("x", "w"), mean("y", "h"))).when(how == "top", point(least["x"], least["y"])).when(given.isNotNull(), point(given["x"], given["y"]))
+    return F.when(F.coalesce(how, F.lit("")) != "none", F.coalesce(placed, point(middle("x", "w"), middle("y", "h"))))
+
+
+def deep_merged(old, new) -> Column:
+    """Two nested options as maps from dotted paths to values, the newer put over the older.
+
+    Branches are merged; a value takes the place of an older branch at its path, and a branch that of an older value.
+    """
+    names = F.map_keys(col(new))
+    inside = lambda a, b: F.startswith(a, F.concat(b, F.lit(".")))
+    kept = F.map_filter(col(old), lambda k, v: ~F.exists(names, lambda n: (n == k) | inside(k, n) | inside(n, k)))
+    return F.map_concat(kept, col(new))
+
+
+def same_json(a, b) -> Column:
+    """Whether two JSON texts have equal values, whatever the order of their keys and their spacing; null for invalid ones.
+
+    As Spark parses JSON, text after a whole value is not looked at.
+    """
+    plain = lambda c: F.to_json(F.try_parse_json(col(c)))
+    return plain(a) == plain(b)
+
+
+def pack_chosen(name, allowed: tuple[str, ...] = ()) -> Column:
+    """Whether a file is a texture pack of full size, or matches one of the allowed patterns from its start."""
+    name = col(name)
+    if allowed:
+        return name.rlike("^(?:" + "|".join(f"(?:{p})" for p in allowed) + ")")
+    return F.endswith(name, F.lit(".pack")) & ~F.contains(name, F.lit("1x")) & ~F.contains(name, F.lit("temp"))

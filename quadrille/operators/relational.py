@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +96,50 @@ def write_languages(long: DataFrame, path: str) -> None:
 def quarantined(decoded: DataFrame, key: list[str]) -> DataFrame:
     """One row with its error for each unit that could not be decoded."""
     return decoded.filter("error is not null").dropDuplicates(key).select(*key, "error")
+
+
+def matching_saves(chunks: DataFrame, form: str) -> DataFrame:
+    """Saves (mode, save) of a format, by the versions of their chunks (X20): a save counts by its newest chunk."""
+    newest = chunks.groupBy("mode", "save").agg(F.max("version").alias("version"))
+    return newest.filter(F.when(F.col("version") <= 195, "B41").otherwise("B42") == form)
+
+
+def boxed_blocks(blocks: DataFrame, x1: int, y1: int, x2: int, y2: int, block: int = 8, per_cell: int = 32) -> DataFrame:
+    """Blocks (bx, by) that a box of squares touches, ends included and in either order, with their cells."""
+    from ..functions.coords import floor_div
+
+    low, high = (min(x1, x2), min(y1, y2)), (max(x1, x2), max(y1, y2))
+    inside = [F.col(c).between(a // block, b // block) for c, a, b in zip(("bx", "by"), low, high, strict=True)]
+    return blocks.filter(inside[0] & inside[1]).withColumns({"cx": floor_div("bx", per_cell), "cy": floor_div("by", per_cell)})
+
+
+def attempted(rows: DataFrame, value: str, work: Callable[[object], object], kind: str) -> DataFrame:
+    """Adds result and error of a Python function of a column for each row; a failure is kept as a value and the rest goes on."""
+
+    @F.pandas_udf(f"result {kind}, error string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            try:
+                out.append((work(v), None))
+            except Exception as e:  # whatever the work raises is its result
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["result", "error"], dtype=object)
+
+    return rows.withColumn("_done", run(value)).select(*rows.columns, "_done.*")
+
+
+def border_labels(squares: DataFrame) -> DataFrame:
+    """For each square (layer, x, y) of objects (layer, id, type, name, x, y) the borders and labels it has.
+
+    borders lists (id, type, open sides) of the objects whose border runs there; labels (id, type, name) of the named
+    objects whose anchor it is, the least x + y and then x. Both are in order of id.
+    """
+    from .borders import border_flags
+
+    by = ["layer", "id", "type", "name"]
+    sides = F.concat(*(F.when(F.col(s), "").otherwise(s) for s in "nesw"))
+    edge = border_flags(squares, by).select(*by, "x", "y", sides.alias("sides"))
+    anchor = squares.filter("name <> ''").groupBy(*by).agg(F.min(F.struct((F.col("x") + F.col("y")).alias("s"), "x", "y")).alias("a")).select(*by, "a.x", "a.y", F.lit(None).cast("string").alias("sides"))
+    item = lambda c, when: F.array_sort(F.collect_list(F.when(when, F.struct("id", "type", F.col(c).alias("value")))))
+    return edge.union(anchor).groupBy("layer", "x", "y").agg(item("sides", F.col("sides").isNotNull()).alias("borders"), item("name", F.col("sides").isNull()).alias("labels"))

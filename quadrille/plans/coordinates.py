@@ -272,3 +272,14 @@ def P37_margins(spark, d):
     a, b = C.affected_margin(C.render_margin(False)), C.affected_margin(C.render_margin(True), (-2, 8))
     names = [f"{k}_{s}" for k in "ab" for s in ("left", "top", "right", "bottom")]
     return spark.range(1).select(*(F.lit(v).cast("bigint").alias(n) for v, n in zip((*a, *b), names, strict=True)))
+
+
+@query("""SELECT id, 'a.b=' || CASE WHEN id % 3 = 1 THEN 'x' ELSE '1' END || ';' || CASE WHEN id % 3 = 0 THEN 'a.c.e=9;' ELSE 'a.c.d=2;' END || CASE WHEN id % 3 = 0 THEN 'f=' || w WHEN id % 3 = 1 THEN 'f.g=' || w ELSE 'f=3;h=' || w END AS merged FROM v_rects""")
+def P35_deep_merge(spark, d):
+    """Branches merge, a value replaces a branch and a branch a value."""
+    c, w = F.col("id") % 3, F.col("w").cast("string")
+    pairs = lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
+    old = F.when(c == 0, pairs("a.b", "1", "a.c", "2", "f.g", "3")).otherwise(pairs("a.b", "1", "a.c.d", "2", "f", "3"))
+    new = F.when(c == 0, pairs("a.c.e", "9", "f", w)).when(c == 1, pairs("f.g", w, "a.b", "x")).otherwise(pairs("h", w))
+    m = F.array_sort(F.transform(F.map_entries(V.deep_merged(old, new)), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return view(spark, d, "v_rects").select("id", F.array_join(m, ";").alias("merged"))

@@ -295,12 +295,6 @@ def T4_lower_half(spark, d):
     return ranked.filter("n <= (c + 1) div 2").select("type", "id")
 
 
-@query("SELECT layer, x, y, string_agg(type, ',' ORDER BY id) AS types, CAST(count(*) AS BIGINT) AS n FROM v_rects GROUP BY layer, x, y")
-def X1_square_labels(spark, d):
-    r = view(spark, d, "v_rects").groupBy("layer", "x", "y").agg(F.array_sort(F.collect_list(F.struct("id", "type"))).alias("l"))
-    return r.select("layer", "x", "y", F.array_join(F.transform("l", lambda e: e["type"]), ",").alias("types"), F.size("l").cast("bigint").alias("n"))
-
-
 @query("SELECT gx, gy, (gx + gy) // 2 AS sx, (gy - gx) // 2 AS sy FROM (SELECT i - 20 AS gx FROM range(50) a(i)), (SELECT j - 7 AS gy FROM range(33) b(j)) WHERE (gx + gy) % 2 = 0")
 def X6_visible_grid(spark, d):
     """Grid points of a screen that are squares: one parity."""
@@ -309,19 +303,6 @@ def X6_visible_grid(spark, d):
     return grid.select("gx", "gy", sx.alias("sx"), sy.alias("sy")).filter("sx is not null")
 
 
-@query("SELECT id, CASE WHEN id % 3 = 0 THEN x ELSE NULL END AS ax, CASE WHEN id % 3 = 0 THEN y ELSE NULL END AS ay FROM v_rects")
-def X13_label_anchor(spark, d):
-    from ..functions.values import absolute_anchor
-
-    text = F.when(F.col("id") % 3 == 0, F.format_string("abs(%d,%d)", "x", "y")).when(F.col("id") % 3 == 1, "centroid").otherwise("abs(1)")
-    return view(spark, d, "v_rects").select("id", absolute_anchor(text).alias("p")).select("id", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"))
-
-
-@query("SELECT event_id, CAST(json_valid(props) AS BOOLEAN) AS valid FROM events")
-def X17_json_or_null(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("try_parse_json(props) is not null").alias("valid"))
-
-
 @query("SELECT id, name AS map, y || '=' || type || '=' AS q, CAST(x AS VARCHAR) AS x FROM v_rects")
 def X16_query_string(spark, d):
     text = F.concat(F.lit("map="), "name", F.lit("&q="), "y", F.lit("="), "type", F.lit("=&x="), "x")
@@ -329,19 +310,6 @@ def X16_query_string(spark, d):
     return view(spark, d, "v_rects").select("id", pairs.alias("m")).select("id", *(F.col("m")[k].alias(k) for k in ("map", "q", "x")))
 
 
-@query("SELECT id, (type, layer) IN (SELECT (type, layer) FROM v_rects WHERE id < 5) AS known, CASE WHEN id % 2 = 0 THEN id * 10 ELSE -id END AS key FROM v_rects")
-def X20_X22_keys(spark, d):
-    r = view(spark, d, "v_rects")
-    known = r.filter("id < 5").select("type", "layer").distinct().withColumn("hit", F.lit(True))
-    return r.join(known, ["type", "layer"], "left").select("id", F.coalesce("hit", F.lit(False)).alias("known"), F.when(F.col("id") % 2 == 0, F.col("id") * 10).otherwise(-F.col("id")).alias("key"))
-
-
-@query("SELECT id, CASE WHEN w > 3 THEN ROUND(100.0 / w, 3) END AS result, CASE WHEN w <= 3 THEN 'too small' END AS error FROM v_rects")
-def X28_results_or_errors(spark, d):
-    """A parallel map that keeps failures as values."""
-    return view(spark, d, "v_rects").select("id", F.when(F.col("w") > 3, F.round(100.0 / F.col("w"), 3)).alias("result"), F.when(F.col("w") <= 3, "too small").alias("error"))
-
-
 @query("SELECT layer, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT x * 1000 + y) AS BIGINT) AS squares FROM v_points WHERE layer BETWEEN -2 AND 4 GROUP BY layer")
 def X21_layers_without_padding(spark, d):
     return view(spark, d, "v_points").filter(F.col("layer").between(-2, 4)).groupBy("layer").agg(F.count("*").alias("n"), F.count_distinct(F.col("x") * 1000 + F.col("y")).alias("squares"))
@@ -379,12 +347,6 @@ def F11_stash_coordinates(spark, d):
     return view(spark, d, "v_rects").filter(~((F.col("x") < 128) & (F.col("y") < 128))).select("id", "x", "y")
 
 
-@query("SELECT DISTINCT tile FROM v_packs WHERE regexp_matches(pack || '.pack', '[.]pack$') AND NOT regexp_matches(CAST(pack AS VARCHAR), '1') AND tile IN (SELECT tile FROM v_stacks)")
-def F10_pack_names(spark, d):
-    name = F.concat(F.col("pack").cast("string"), F.lit(".pack"))
-    return view(spark, d, "v_packs").filter(name.rlike("[.]pack$") & ~F.col("pack").cast("string").rlike("1")).select("tile").distinct().join(view(spark, d, "v_stacks"), "tile", "left_semi")
-
-
 @query("SELECT DISTINCT a.layer, a.x, a.y FROM v_rects a WHERE EXISTS (SELECT 1 FROM v_points p WHERE p.x = a.x AND p.y = a.y AND p.v > 10)")
 def F4_non_empty_sources(spark, d):
     full = view(spark, d, "v_points").filter("v > 10").select("x", "y")
@@ -408,3 +370,74 @@ def X11_relative_placement(spark, d):
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS keeper FROM documents")
 def D10_keepers(spark, d):
     return R.first_copies(spark.read.parquet(f"{d}/documents.parquet"), "text", "doc_id")
+
+
+@query("""WITH s AS (SELECT layer, id, type, CASE WHEN id % 3 > 0 THEN name ELSE '' END AS name, x + i AS x, y + j AS y, (CASE WHEN j = 0 THEN 'n' ELSE '' END) || (CASE WHEN i = w - 1 THEN 'e' ELSE '' END) || (CASE WHEN j = h - 1 THEN 's' ELSE '' END) || (CASE WHEN i = 0 THEN 'w' ELSE '' END) AS sides, i = 0 AND j = 0 AS anchor FROM v_rects, range(12) a(i), range(9) b(j) WHERE i < w AND j < h)
+  SELECT layer, x, y, string_agg(type || ':' || sides, ',' ORDER BY id) AS borders, coalesce(string_agg(type || ':' || name, ',' ORDER BY id) FILTER (WHERE anchor AND name <> ''), '') AS labels FROM s WHERE sides <> '' GROUP BY layer, x, y""")
+def X1_border_labels(spark, d):
+    from ..functions.geometry import squares_of
+
+    r = view(spark, d, "v_rects").withColumn("name", F.when(F.col("id") % 3 > 0, F.col("name")).otherwise(""))
+    squares = r.select("layer", "id", "type", "name", F.explode(squares_of("x", "y", "w", "h")).alias("p")).select("layer", "id", "type", "name", "p.x", "p.y")
+    text = lambda c: F.array_join(F.transform(c, lambda e: F.concat_ws(":", e["type"], e["value"])), ",").alias(c)
+    return R.border_labels(squares).select("layer", "x", "y", text("borders"), text("labels"))
+
+
+@query("""WITH r AS (SELECT id, x, y, w, h, ['none', 'centroid', 'top', 'abs(' || x || ',7)', 'middle'][1 + id % 5] AS how FROM v_rects)
+  SELECT id, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN round(((x + w / 2.0) * w * h + (x - 3 + 0.5) * 2) / (w * h + 2), 6) WHEN 2 THEN x - 3 WHEN 3 THEN x ELSE (x - 3 + x + w) / 2.0 END AS ax,
+  CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN round(((y + h / 2.0) * w * h + (y + 5 + 1.0) * 2) / (w * h + 2), 6) WHEN 2 THEN y + 5 WHEN 3 THEN 7 ELSE (y + greatest(y + h, y + 7)) / 2.0 END AS ay FROM r""")
+def X13_label_position(spark, d):
+    """Areas of two rectangles each, under all text positions."""
+    from ..functions.values import label_position
+
+    c = F.col("id") % 5
+    how = F.when(c == 0, "none").when(c == 1, "centroid").when(c == 2, "top").when(c == 3, F.format_string("abs(%d,7)", "x")).otherwise("middle")
+    rects = F.array(F.struct("x", "y", "w", "h"), F.struct((F.col("x") - 3).alias("x"), (F.col("y") + 5).alias("y"), F.lit(1).cast("bigint").alias("w"), F.lit(2).cast("bigint").alias("h")))
+    return view(spark, d, "v_rects").select("id", label_position(how, rects).alias("p")).select("id", F.round("p.x", 6).alias("ax"), F.round("p.y", 6).alias("ay"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 AS same, CASE WHEN event_id % 3 = 0 THEN NULL ELSE true END AS valid FROM events""")
+def X17_json_values(spark, d):
+    """A path of JSON, equality whatever the order of keys, and null for texts that aren't JSON."""
+    from ..functions.values import same_json
+
+    k = F.get_json_object("props", "$.k")
+    one, two = F.concat(F.lit('{"a": [1, 2], "k": '), k, F.lit("}")), F.concat(F.lit('{"k":'), (k.cast("bigint") - k.cast("bigint") % 2).cast("string"), F.lit(',"a":[1,2]}'))
+    broken = F.when(F.col("event_id") % 3 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", k.cast("bigint").alias("k"), same_json(one, two).alias("same"), same_json(broken, F.col("props")).alias("valid"))
+
+
+@query("SELECT type AS mode, CAST(x AS VARCHAR) AS save, max(150 + id % 100) AS version FROM v_rects GROUP BY 1, 2 HAVING max(150 + id % 100) <= 195")
+def X20_matching_saves(spark, d):
+    chunks = view(spark, d, "v_rects").select(F.col("type").alias("mode"), F.col("x").cast("string").alias("save"), (150 + F.col("id") % 100).alias("version"))
+    return R.matching_saves(chunks, "B41")
+
+
+@query("SELECT id, 'layer' || (layer - 1) || '_files/' || w || '/' || x || '_' || y || '.' || CASE WHEN id % 2 = 0 THEN 'png' ELSE 'empty' END AS path, CASE WHEN id % 3 > 0 THEN layer - 1 END AS layer, CASE WHEN id % 3 > 0 THEN x * 1000 + y END AS place, CASE WHEN id % 3 > 0 THEN CASE WHEN id % 2 = 0 THEN 'png' ELSE 'empty' END END AS ext FROM v_rects")
+def X22_tile_paths(spark, d):
+    """Paths of tiles, and tiles of paths; a third of the paths read back is of no tile."""
+    path = C.tile_path(F.col("layer") - 1, "w", "x", "y", F.when(F.col("id") % 2 == 0, "png").otherwise("empty"))
+    t = view(spark, d, "v_rects").select("id", path.alias("path"))
+    back = C.tile_of_path(F.when(F.col("id") % 3 > 0, F.concat(F.lit("/out/"), "path")).otherwise(F.regexp_replace("path", "_files", "")))
+    return t.select("id", "path", back.alias("t")).select("id", "path", "t.layer", (F.col("t.tx") * 1000 + F.col("t.ty")).alias("place"), "t.ext")
+
+
+@query("SELECT id, CASE WHEN w <> 3 THEN 100 // (w - 3) - CASE WHEN w < 3 AND 100 % (3 - w) > 0 THEN 1 ELSE 0 END END AS result, CASE WHEN w = 3 THEN 'ZeroDivisionError' END AS error FROM v_rects")
+def X28_results_or_errors(spark, d):
+    """A function of each row that fails for some; failures are values."""
+    return R.attempted(view(spark, d, "v_rects").select("id", "w"), "w", lambda w: 100 // (w - 3), "bigint").select("id", "result", F.substring_index("error", ":", 1).alias("error"))
+
+
+@query(f"""SELECT DISTINCT bx, b_y, {_D('bx', 32)} AS cx, {_D('b_y', 32)} AS cy FROM v_blocks WHERE bx BETWEEN -3 AND 37 AND b_y BETWEEN -13 AND 25""")
+def X36_boxed_blocks(spark, d):
+    blocks = view(spark, d, "v_blocks").select("bx", F.col("b_y").alias("by")).distinct()
+    return R.boxed_blocks(blocks, 300, -100, -20, 207).withColumnRenamed("by", "b_y")
+
+
+@query("""WITH p AS (SELECT DISTINCT CASE pack % 5 WHEN 0 THEN 'Tiles1x.' || pack || '.pack' WHEN 1 THEN 'temp' || pack || '.pack' WHEN 2 THEN pack || '.txt' ELSE 'Tiles' || pack || '.pack' END AS name FROM v_packs) SELECT name, name LIKE '%.pack' AND name NOT LIKE '%1x%' AND name NOT LIKE '%temp%' AS plain, name LIKE 'Tiles1%' OR name LIKE 'temp2%' AS listed FROM p""")
+def F10_pack_names(spark, d):
+    from ..functions.values import pack_chosen
+
+    c = F.col("pack")
+    name = F.when(c % 5 == 0, F.format_string("Tiles1x.%d.pack", "pack")).when(c % 5 == 1, F.format_string("temp%d.pack", "pack")).when(c % 5 == 2, F.format_string("%d.txt", "pack")).otherwise(F.format_string("Tiles%d.pack", "pack"))
+    return view(spark, d, "v_packs").select(name.alias("name")).distinct().select("name", pack_chosen("name").alias("plain"), pack_chosen("name", ("Tiles1", "temp2")).alias("listed"))
