@@ -192,9 +192,15 @@ def deep_merged(old, new) -> Column:
 def same_json(a, b) -> Column:
     """Whether two JSON texts have equal values, whatever the order of their keys and their spacing; null for invalid ones.
 
-    As Spark parses JSON, text after a whole value is not looked at.
+    Spark doesn't look at text behind a whole value, so that a text has to be one item of a list and one entry of an object.
     """
-    plain = lambda c: F.to_json(F.try_parse_json(col(c)))
+
+    def plain(c) -> Column:
+        item = F.try_parse_json(F.concat(F.lit("["), col(c), F.lit("]")))
+        entry = F.try_parse_json(F.concat(F.lit('{"a":'), col(c), F.lit("}")))
+        one = F.size(F.try_variant_get(item, "$", "array<variant>")) == 1
+        return F.when(one & entry.isNotNull(), F.to_json(item))
+
     return plain(a) == plain(b)
 
 

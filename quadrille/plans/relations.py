@@ -403,7 +403,7 @@ def X17_json_values(spark, d):
 
     k = F.get_json_object("props", "$.k")
     one, two = F.concat(F.lit('{"a": [1, 2], "k": '), k, F.lit("}")), F.concat(F.lit('{"k":'), (k.cast("bigint") - k.cast("bigint") % 2).cast("string"), F.lit(',"a":[1,2]}'))
-    broken = F.when(F.col("event_id") % 3 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    broken = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", k.cast("bigint").alias("k"), same_json(one, two).alias("same"), same_json(broken, F.col("props")).alias("valid"))
 
 

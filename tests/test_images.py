@@ -94,3 +94,11 @@ def test_mark_arrays(spark):
     m = spark.createDataFrame([(0, 2, "b", None), (0, 1, "a", 3), (1, 5, "", 0)], "cell long, id long, name string, w long")
     got = {r.cell: r.json for r in raster.mark_array(m, ["cell"]).collect()}
     assert got == {0: '[\n{"id":1,"name":"a","w":3},\n{"id":2,"name":"b"}\n]', 1: '[\n{"id":5,"name":"","w":0}\n]'}
+
+
+def test_equal_json(spark):
+    from quadrille.functions.values import same_json
+
+    rows = [('{"a":1,"b":[2]}', ' {"b": [2], "a": 1}', True), ("1", "2", False), ("null", "null", True), ("1}", "1", None), ("1,2", "1", None), ("1][2", "1", None), ("", "1", None), (None, "1", None), ('1,"b":2', "1", None)]
+    got = spark.createDataFrame(rows, "a string, b string, want boolean").select("a", same_json("a", "b").alias("got"), "want").collect()
+    assert [r for r in got if r.got is not r.want] == []
