@@ -77,8 +77,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    own = (op1_tool_calls, op2_language_id, op3_exact_topk, op4_sharding, op5_quality, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_byte_bpe, op10_simhash)
+    own = (op1_tool_calls, op2_language_id, op3_exact_topk, op4_sharding, op5_quality, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_byte_bpe, op10_simhash, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -118,6 +124,28 @@ lost AS (SELECT doc_id, list(p) AS ps, count(*) AS k FROM gone GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_words, CAST(coalesce(k, 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN k IS NULL THEN w ELSE list_filter(w, lambda x, p: NOT list_contains(ps, p)) END, ' ')) AS kept_sha256
 FROM n LEFT JOIN lost USING (doc_id)""",
+    "op13_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+  + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INTEGER) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+  + 16 * CAST(coalesce(doc_id > first, false) AS INTEGER) AS failed FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, failed),
+f(letter, own) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || g.letter || h.letter || i.letter AS filter_order, [a.own, b.own, g.own, h.own, i.own] AS owns
+  FROM f a, f b, f g, f h, f i WHERE (a.own | b.own | g.own | h.own | i.own) = 31),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, owns[step] AS own, CAST(coalesce(list_sum(owns[1 : step - 1]), 0) AS INTEGER) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, own,
+  CAST(coalesce(sum(n) FILTER ((failed & (before | own)) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER ((failed & before) = 0 AND (failed & own) <> 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER ((failed & before) <> 0 AND (failed & own) <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (failed = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER ((failed & before) = 0 AND (failed & own) <> 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER ((failed & before) = 0 AND (failed & own) <> 0), 0) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
 
 
