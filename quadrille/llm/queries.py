@@ -77,6 +77,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import filter_audit
 
@@ -84,7 +90,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_tool_calls, op2_language_id, op3_exact_topk, op4_sharding, op5_quality, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_byte_bpe, op10_simhash, op13_filter_audit)
+    own = (op1_tool_calls, op2_language_id, op3_exact_topk, op4_sharding, op5_quality, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_byte_bpe, op10_simhash, op11_collocations, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -124,6 +130,21 @@ lost AS (SELECT doc_id, list(p) AS ps, count(*) AS k FROM gone GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_words, CAST(coalesce(k, 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN k IS NULL THEN w ELSE list_filter(w, lambda x, p: NOT list_contains(ps, p)) END, ' ')) AS kept_sha256
 FROM n LEFT JOIN lost USING (doc_id)""",
+    "op11_collocations": """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')), '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM d),
+k AS (SELECT unnest(range(1, 6)) AS k),
+g AS (SELECT lang, k, w[i : i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM p, k WHERE len(w) >= k)),
+f AS (SELECT lang, k, p, count(*) AS f FROM g GROUP BY lang, k, p HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, p, k, f AS a, n, unnest(range(1, k)) AS cut FROM f JOIN n USING (lang) WHERE k > 1),
+s AS (SELECT c.lang, c.p, c.k, a, n, cut, x.f AS l, y.f AS r, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : cut] JOIN f y ON y.lang = c.lang AND y.p = c.p[cut + 1 : c.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+i AS (SELECT lang, p[j : j + m - 1] AS p, max(f) AS longer FROM (SELECT lang, p, f, m, unnest(range(1, k - m + 2)) AS j FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY 1, 2),
+o AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.p = b.p WHERE longer IS NULL OR longer < a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o
+QUALIFY rank <= 2000""",
     "op13_filter_audit": """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
