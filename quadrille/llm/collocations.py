@@ -23,13 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bitmaps import COUNTERS, bit, bitmap, counter_rows, merged
 from .common import chunks, gathered, mix64, stored
 
 #: Counters of the sketch, as a power of two, and bits that tell which words are common.
 BUCKETS = 28
 WORD_BITS = 24
-#: Counters that one row of a partial sketch spans, as a power of two.
-BLOCK = 16
 #: Places of phrases that a task sketches before it lets the counters out.
 HELD = 1 << 22
 #: Bytes of candidates in one automaton.
@@ -78,10 +77,6 @@ def _hashes(lang: str, distinct: list[bytes]) -> np.ndarray:
     return np.array([digest(w, seed) for w in distinct], np.uint64)
 
 
-def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
 def _levels(h: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """n, first words and sketch buckets of all runs of n common words, for n from 2."""
     first, value = np.flatnonzero(common), h[common]
@@ -115,55 +110,15 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
-    """2^bits bits on the driver from (block, bits) rows, one for each block with a bit set."""
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    size = (1 << BLOCK) // 8
-    for row in rows.toLocalIterator():
-        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
-def _merged(rows: DataFrame, least: int, bits: int) -> DataFrame:
-    """(block, bits): which counters of each block reach `least`; counters are added while rows stream by."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, low, n in zip(batch["block"].to_pylist(), batch["low"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                counters = sums.setdefault(block, np.zeros(1 << BLOCK, np.int64))
-                counters[np.frombuffer(low, np.uint16)] += np.frombuffer(n, np.uint32)
-        found = {b: np.packbits(c >= least, bitorder="little").tobytes() for b, c in sums.items() if c.max() >= least}
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.binary())], ["block", "bits"])
-
-    return rows.repartition(max(1, 1 << (bits - BLOCK - 6)), "block").mapInArrow(run, "block int, bits binary")
-
-
-def _counter_rows(buckets: np.ndarray) -> pa.RecordBatch:
-    """Counters of these buckets, a row for each block that has any: low bits and counts, sorted."""
-    at, n = np.unique(buckets, return_counts=True)
-    block = at >> BLOCK
-    start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(at) else np.zeros(0, np.int64)
-    ends = np.append(start, len(at))
-
-    def packed(values: np.ndarray) -> pa.Array:
-        return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
-
-    return pa.RecordBatch.from_arrays([pa.array(block[start], pa.int32()), packed((at & ((1 << BLOCK) - 1)).astype(np.uint16)), packed(n.astype(np.uint32))], ["block", "low", "n"])
-
-
-COUNTERS = "block int, low binary, n binary"
-
-
 def _common_words(words: DataFrame, least: int) -> np.ndarray:
     """Bits of the words that occur `least` times or more; a bit may stand for other words too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [xxhash.xxh64_intdigest(w, xxhash.xxh64_intdigest(lang)) >> (64 - WORD_BITS) for lang, w in zip(batch["lang"].to_pylist(), batch["word"].to_pylist(), strict=True)]
-            yield _counter_rows(np.array(at, np.int64))
+            yield counter_rows(np.array(at, np.int64))
 
-    return _bitmap(_merged(words.filter(F.col("n") >= least).select("lang", "word").mapInArrow(run, COUNTERS), 1, WORD_BITS), WORD_BITS)
+    return bitmap(merged(words.filter(F.col("n") >= least).select("lang", "word").mapInArrow(run, COUNTERS), 1, WORD_BITS), WORD_BITS)
 
 
 def _sketch(docs: DataFrame, common, least: int) -> np.ndarray:
@@ -174,18 +129,18 @@ def _sketch(docs: DataFrame, common, least: int) -> np.ndarray:
         for lang, texts in _by_language(batches):
             codes, distinct = _codes(tokens(texts))
             h = _hashes(lang, distinct)
-            known = _bit(common.value, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64))
+            known = bit(common.value, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64))
             known[0] = False
             for _, _, buckets in _levels(h[codes], known[codes]):
                 held.append(buckets)
                 total += len(buckets)
             if total > HELD:
-                yield _counter_rows(np.concatenate(held))
+                yield counter_rows(np.concatenate(held))
                 held, total = [], 0
         if held:
-            yield _counter_rows(np.concatenate(held))
+            yield counter_rows(np.concatenate(held))
 
-    return _bitmap(_merged(docs.mapInArrow(run, COUNTERS), least, BUCKETS), BUCKETS)
+    return bitmap(merged(docs.mapInArrow(run, COUNTERS), least, BUCKETS), BUCKETS)
 
 
 def _candidates(docs: DataFrame, common, heavy) -> DataFrame:
@@ -196,11 +151,11 @@ def _candidates(docs: DataFrame, common, heavy) -> DataFrame:
         for lang, texts in _by_language(batches):
             codes, distinct = _codes(tokens(texts))
             h = _hashes(lang, distinct)
-            known = _bit(common.value, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64))
+            known = bit(common.value, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64))
             known[0] = False
             kept, ids, found = np.ones(len(codes) + 1, bool), codes, []
             for n, first, buckets in _levels(h[codes], known[codes]):
-                ok = kept[first] & kept[first + 1] & _bit(heavy.value, buckets)  # the phrases without their last and first word
+                ok = kept[first] & kept[first + 1] & bit(heavy.value, buckets)  # the phrases without their last and first word
                 kept = np.zeros(len(codes) + 1, bool)
                 first = first[ok]
                 kept[first] = True

@@ -83,6 +83,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import filter_audit
 
@@ -90,7 +96,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_tool_calls, op2_language_id, op3_exact_topk, op4_sharding, op5_quality, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_byte_bpe, op10_simhash, op11_collocations, op13_filter_audit)
+    own = (op1_tool_calls, op2_language_id, op3_exact_topk, op4_sharding, op5_quality, op6_decontamination, op7_token_counts, op8_substring_dedup, op9_byte_bpe, op10_simhash, op11_collocations, op12_suffix_dedup, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -145,6 +151,19 @@ i AS (SELECT lang, p[j : j + m - 1] AS p, max(f) AS longer FROM (SELECT lang, p,
 o AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.p = b.p WHERE longer IS NULL OR longer < a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o
 QUALIFY rank <= 2000""",
+    "op12_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, i, sha256(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM n WHERE n >= 100)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM r)),
+x AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, g),
+y AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS c FROM x),
+z AS (SELECT doc_id, h, n, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(h, 2 * max(b) + 1) AS kept
+  FROM y JOIN n USING (doc_id) GROUP BY doc_id, h, n)
+SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, n.h))) AS kept_sha256
+FROM n LEFT JOIN z USING (doc_id)""",
     "op13_filter_audit": """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quadrille.llm import collocations
+from quadrille.llm import bitmaps, collocations
 
 from .conftest import ODD
 
@@ -68,7 +68,7 @@ def test_collocations(spark, seed, least, top):
 def test_narrow_sketch_and_small_blocks(spark, monkeypatch):
     """A sketch whose counters are all heavy, many automata and early flushes change nothing."""
     monkeypatch.setattr(collocations, "BUCKETS", 17)
-    monkeypatch.setattr(collocations, "BLOCK", 9)
+    monkeypatch.setattr(bitmaps, "BLOCK", 9)
     monkeypatch.setattr(collocations, "WORD_BITS", 16)
     monkeypatch.setattr(collocations, "HELD", 50)
     monkeypatch.setattr(collocations, "MEMO", 20)
