@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,16 +13,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coords import floor_div
+from ..storage import reliable
 
 
-def png(image: np.ndarray) -> bytes:
-    """8-bit RGBA, RGB or grey image as PNG."""
+def _filtered(image: np.ndarray, how: np.ndarray) -> np.ndarray:
+    """Lines (h, w, channels) behind filters of these kinds: what each pixel differs from a guess by its neighbours."""
+    data = image.astype(np.int16)
+    left, up = np.zeros_like(data), np.zeros_like(data)
+    left[:, 1:], up[1:] = data[:, :-1], data[:-1]
+    corner = np.zeros_like(data)
+    corner[1:, 1:] = data[:-1, :-1]
+    away = np.stack([abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)])
+    nearest = np.choose(away.argmin(axis=0), [left, up, corner])
+    guess = np.choose(how[:, None, None], [np.zeros_like(data), left, up, (left + up) >> 1, nearest])
+    return ((data - guess) & 255).astype(np.uint8)
+
+
+def png(image: np.ndarray, filters: np.ndarray | None = None) -> bytes:
+    """8-bit RGBA, RGB or grey image as PNG; filters has the kind (0 to 4) of each line's filter."""
     image = np.ascontiguousarray(image, np.uint8)
     h, w = image.shape[:2]
     channels = 1 if image.ndim == 2 else image.shape[2]
     kind = {1: 0, 3: 2, 4: 6}[channels]
     part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
-    lines = np.hstack([np.zeros((h, 1), np.uint8), image.reshape(h, -1)]).tobytes()
+    how = np.zeros(h, np.uint8) if filters is None else np.asarray(filters, np.uint8)
+    lines = np.hstack([how[:, None], _filtered(image.reshape(h, w, channels), how).reshape(h, -1) if how.any() else image.reshape(h, -1)]).tobytes()
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
 
 
@@ -33,6 +49,21 @@ def over(below: np.ndarray, above: np.ndarray) -> np.ndarray:
     return np.concatenate([np.rint(colour), np.rint(alpha * 255)], axis=-1).astype(np.uint8)
 
 
+def nearest_half(image: np.ndarray) -> np.ndarray:
+    """Image at half size: of each two by two pixels the upper left one."""
+    return np.ascontiguousarray(image[::2, ::2])
+
+
+def box_half(image: np.ndarray) -> np.ndarray:
+    """Image at half size: the mean of each two by two pixels, on premultiplied colours, rounded to the nearest."""
+    data = image.astype(np.int64)
+    alpha = data[..., 3:]
+    four = lambda a: a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]
+    weight = four(alpha)
+    colour = (2 * four(data[..., :3] * alpha) + weight) // np.maximum(2 * weight, 1)
+    return np.concatenate([np.where(weight > 0, colour, 0), (weight + 2) // 4], axis=-1).astype(np.uint8)
+
+
 def lanczos_half(image: np.ndarray) -> np.ndarray:
     """Image at half size by a separable Lanczos filter of three lobes, on premultiplied colours."""
     x = np.arange(-5.5, 6) / 2
@@ -213,8 +244,11 @@ def write_skeleton(rows: DataFrame, path: str) -> None:
     rows.select("content", F.col("path").alias("file")).write.partitionBy("file").mode("overwrite").text(path)
 
 
-def shrink(tiles: DataFrame, levels: int = 3) -> DataFrame:
-    """The next `levels` levels above tiles of one level, in one shuffle: a task builds the part of the pyramid above its 2^levels by 2^levels tiles."""
+def shrink(tiles: DataFrame, levels: int = 3, half: Callable = lanczos_half) -> DataFrame:
+    """The next `levels` levels above tiles of one level, in one shuffle: a task builds the part of the pyramid above its 2^levels by 2^levels tiles.
+
+    `half` makes an image of half the size. Many levels are made by `image_pyramid`, in steps.
+    """
     top = 1 << levels
     rows = tiles.withColumns({"px": floor_div("tx", top), "py": floor_div("ty", top)})
 
@@ -232,7 +266,7 @@ def shrink(tiles: DataFrame, levels: int = 3) -> DataFrame:
                         child = now.get((2 * tx + dx, 2 * ty + dy))
                         if child is not None:
                             whole[dy * size : (dy + 1) * size, dx * size : (dx + 1) * size] = child
-                above[tx, ty] = lanczos_half(whole)
+                above[tx, ty] = half(whole)
             now = above
             out += [[layer, level + step, tx, ty, size, image.tobytes()] for (tx, ty), image in now.items()]
         return pd.DataFrame(out, columns=["layer", "level", "tx", "ty", "size", "rgba"])
@@ -240,6 +274,25 @@ def shrink(tiles: DataFrame, levels: int = 3) -> DataFrame:
     return rows.groupBy("layer", "px", "py").applyInPandas(build, TILES)
 
 
+def image_pyramid(tiles: DataFrame, levels: int | None = None, half: Callable = lanczos_half, step: int = 3) -> DataFrame:
+    """Tiles of level 0 and all levels above them, up to one tile for each quadrant, or as many as are asked for.
+
+    Each step makes `step` levels in one shuffle, at most 4^step tiles in a task, and writes them to the shared folder; the
+    next step reads its tops alone, 1/4^step of what the last one read.
+    """
+    tiles = reliable(tiles)
+    if levels is None:
+        ends = tiles.agg(*(f(c) for c in ("tx", "ty") for f in (F.min, F.max))).first()
+        levels = max([0, *((-1 - v if v < 0 else v).bit_length() for v in ends if v is not None)])
+    out, tops, done = tiles, tiles, 0
+    while done < levels:
+        n = min(step, levels - done)
+        made = reliable(shrink(tops, n, half))
+        done += n
+        out, tops = out.union(made), made.filter(F.col("level") == done)
+    return out
+
+
 @F.pandas_udf(T.BinaryType())
 def to_png(size: pd.Series, rgba: pd.Series) -> pd.Series:
     """PNG of a tile; null for a wholly transparent one (K1, K2)."""

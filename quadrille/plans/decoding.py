@@ -22,7 +22,7 @@ from .views import view
 _C = "c AS (SELECT *, id // 64 % 50 AS cx, id // 64 // 50 AS cy, CAST(row_number() OVER (PARTITION BY id // 64 ORDER BY id) - 1 AS BIGINT) AS k, CAST(count(*) OVER (PARTITION BY id // 64) AS BIGINT) AS n FROM v_rects)"
 
 
-def _le(c) -> Column:
+def le(c) -> Column:
     """A number as four bytes, the least first, in hexadecimal digits."""
     digits = F.lpad(F.hex((c if isinstance(c, Column) else F.lit(c)).cast("bigint")), 16, "0")
     return F.concat(*(F.substring(digits, at, 2) for at in (15, 13, 11, 9)))
@@ -32,8 +32,8 @@ def _line(text) -> Column:
     return F.concat(F.hex(text), F.lit("0A"))
 
 
-def _sized(text) -> Column:
-    return F.concat(_le(F.octet_length(text)), F.hex(text))
+def sized(text) -> Column:
+    return F.concat(le(F.octet_length(text)), F.hex(text))
 
 
 def _all(items, one) -> Column:
@@ -42,7 +42,7 @@ def _all(items, one) -> Column:
 
 def _runs(items, place, payload, end: int) -> Column:
     """A run-length coded block of `end` squares with items at rising places; gaps are written as -1 and their length."""
-    gap = lambda g: F.when(g > 0, F.concat(_le(-1), _le(g))).otherwise("")
+    gap = lambda g: F.when(g > 0, F.concat(le(-1), le(g))).otherwise("")
     before = lambda k: F.when(k > 0, place(F.get(items, k - 1))).otherwise(-1)
     parts = F.transform(items, lambda r, k: F.concat(gap(place(r) - before(k) - 1), payload(r)))
     return F.concat(F.array_join(parts, ""), gap(end - 1 - before(F.size(items))))
@@ -65,13 +65,13 @@ def _head_files(spark, d):
     items, new = F.col("items"), F.col("version") == 1
     side = F.when(new, 32).otherwise(30)
     place = lambda k: F.floor(k / 4) * side + k % 4 * 7
-    rooms = _all(items, lambda r: F.concat(_line(r["name"]), _le(r["layer"]), _le(1), *(_le(r[c]) for c in "xywh"), _le(0)))
+    rooms = _all(items, lambda r: F.concat(_line(r["name"]), le(r["layer"]), le(1), *(le(r[c]) for c in "xywh"), le(0)))
     people = _all(items, lambda r: F.concat(F.repeat(F.lit("00"), (place(r["k"]) - F.when(r["k"] > 0, place(r["k"] - 1)).otherwise(-1) - 1).cast("int")), F.lpad(F.hex(F.when(r["id"] % 5 == 0, 0).otherwise(r["w"] * r["h"])), 2, "0")))
     rest = F.repeat(F.lit("00"), (side * side - 1 - place(F.size(items) - 1)).cast("int"))
     content = F.concat(
-        F.when(new, F.hex(F.lit("LOTH"))).otherwise(""), _le(F.col("version")), _le(F.size(items)), _all(items, lambda r: _line(r["name"])),
-        F.when(new, "").otherwise("00"), _le(8), _le(8), F.when(new, _le(0)).otherwise(""), F.when(new, _le(2)).otherwise(_le(3)),
-        _le(F.size(items)), rooms, _le(1), _le(F.size(items)), _all(items, lambda r: _le(r["k"])), people, rest)
+        F.when(new, F.hex(F.lit("LOTH"))).otherwise(""), le(F.col("version")), le(F.size(items)), _all(items, lambda r: _line(r["name"])),
+        F.when(new, "").otherwise("00"), le(8), le(8), F.when(new, le(0)).otherwise(""), F.when(new, le(2)).otherwise(le(3)),
+        le(F.size(items)), rooms, le(1), le(F.size(items)), _all(items, lambda r: le(r["k"])), people, rest)
     return _file(_cells(spark, d), "%d_%d.lotheader", content)
 
 
@@ -125,12 +125,12 @@ def _body_files(spark, d):
     items = F.col("items")
     blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: _runs(
         F.filter(items, lambda r: F.floor(r["k"] / 4) == b), lambda r: r["k"] % 4 * 16 + r["w"],
-        lambda r: F.concat(_le(r["layer"] + 2), _le(r["h"]), _all(F.sequence(F.lit(0).cast("bigint"), r["layer"]), lambda i: _le((r["k"] * 7 + i) % F.size(items)))), 192))
+        lambda r: F.concat(le(r["layer"] + 2), le(r["h"]), _all(F.sequence(F.lit(0).cast("bigint"), r["layer"]), lambda i: le((r["k"] * 7 + i) % F.size(items)))), 192))
     cells = _cells(spark, d).withColumn("blocks", blocks)
-    head = F.when(F.col("version") == 1, F.concat(F.hex(F.lit("LOTP")), _le(1))).otherwise("")
+    head = F.when(F.col("version") == 1, F.concat(F.hex(F.lit("LOTP")), le(1))).otherwise("")
     start = F.when(F.col("version") == 1, 140).otherwise(132)
-    table = F.array_join(F.transform("blocks", lambda b, k: F.concat(_le(start + F.aggregate(F.slice("blocks", F.lit(1), k), F.lit(0).cast("bigint"), lambda s, x: s + (F.length(x) / 2).cast("bigint"))), _le(0))), "")
-    return _file(cells, "world_%d_%d.lotpack", F.concat(head, _le(16), table, F.array_join("blocks", "")))
+    table = F.array_join(F.transform("blocks", lambda b, k: F.concat(le(start + F.aggregate(F.slice("blocks", F.lit(1), k), F.lit(0).cast("bigint"), lambda s, x: s + (F.length(x) / 2).cast("bigint"))), le(0))), "")
+    return _file(cells, "world_%d_%d.lotpack", F.concat(head, le(16), table, F.array_join("blocks", "")))
 
 
 #: Bodies are coded for three layers of 8 by 8 squares, the newer format; so that only its cells are read.
@@ -153,10 +153,10 @@ def S7_S8_cell_squares(spark, d):
   UNION ALL SELECT '/maps/' || f.u || '.pzby', f.k // 8, f.k % 8, NULL, i, trim(g.name) FROM f JOIN range(2) t(i) ON true JOIN f g ON g.u = f.u AND g.k = CASE i WHEN 0 THEN f.k ELSE 0 END WHERE f.k % 3 = 2""")
 def S9_prefabs(spark, d):
     items = F.col("items")
-    head = F.concat(F.hex(F.lit("PZBY")), _le(1), _le(F.size(items)), _all(items, lambda r: _line(r["name"])), _le(1), _le(1), _le(1), _le(0), _le(0))
-    attributes = _runs(F.filter(items, lambda r: r["k"] % 3 == 0), lambda r: r["k"], lambda r: F.concat(_le(2), _le(r["w"])), 64)
-    tiles = _runs(F.filter(items, lambda r: r["k"] % 3 == 2), lambda r: r["k"], lambda r: F.concat(_le(3), _le(r["k"]), _le(0)), 64)
-    p = B.prefabs(_file(_cells(spark, d), "%d_%d.pzby", F.concat(head, _le(F.length(head) / 2 + 8), _le(0), attributes, tiles)))
+    head = F.concat(F.hex(F.lit("PZBY")), le(1), le(F.size(items)), _all(items, lambda r: _line(r["name"])), le(1), le(1), le(1), le(0), le(0))
+    attributes = _runs(F.filter(items, lambda r: r["k"] % 3 == 0), lambda r: r["k"], lambda r: F.concat(le(2), le(r["w"])), 64)
+    tiles = _runs(F.filter(items, lambda r: r["k"] % 3 == 2), lambda r: r["k"], lambda r: F.concat(le(3), le(r["k"]), le(0)), 64)
+    p = B.prefabs(_file(_cells(spark, d), "%d_%d.pzby", F.concat(head, le(F.length(head) / 2 + 8), le(0), attributes, tiles)))
     return p.filter("error is null").select("path", *(F.col(c).cast("bigint").alias(c) for c in ("x", "y", "attribute", "pos")), "tile")
 
 
@@ -164,8 +164,8 @@ def S9_prefabs(spark, d):
 def S10_packs(spark, d):
     items, new = F.col("items"), F.col("version") == 1
     page, png = F.concat(F.lit("page"), F.col("cx")), F.concat(F.lit("PNG of "), F.col("cx"))
-    textures = _all(items, lambda r: F.concat(_sized(r["name"]), *(_le(r[c]) for c in "xywh"), _le(r["id"] % 7), _le(-3), _le(r["w"]), _le(r["h"])))
-    content = F.concat(F.when(new, F.concat(F.hex(F.lit("PZPK")), _le(1))).otherwise(""), _le(1), _sized(page), _le(F.size(items)), _le(F.col("cy") % 2), textures, F.when(new, _sized(png)).otherwise(F.concat(F.hex(png), F.lit("EFBEADDE"))))
+    textures = _all(items, lambda r: F.concat(sized(r["name"]), *(le(r[c]) for c in "xywh"), le(r["id"] % 7), le(-3), le(r["w"]), le(r["h"])))
+    content = F.concat(F.when(new, F.concat(F.hex(F.lit("PZPK")), le(1))).otherwise(""), le(1), sized(page), le(F.size(items)), le(F.col("cy") % 2), textures, F.when(new, sized(png)).otherwise(F.concat(F.hex(png), F.lit("EFBEADDE"))))
     p = B.packs(_file(_cells(spark, d), "%d_%d.pack", content)).filter("error is null")
     return p.select("path", "page", F.col("has_alpha").cast("bigint").alias("has_alpha"), "name", *(F.col(c).cast("bigint").alias(c) for c in ("x", "y", "w", "h", "ox", "oy")), F.decode("png", "utf-8").alias("png"))
 

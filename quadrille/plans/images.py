@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import raster
+from ..operators import raster, textures
+from ..sources import binary
 from .catalogue import query
+from .decoding import le, sized
 from .jobs import JOBS
 from .views import view
 
@@ -102,3 +107,98 @@ def X3_diamonds(spark, d):
 @query("""SELECT layer, x, y, '[' || chr(10) || string_agg('{"id":' || id || ',"name":' || CAST(to_json(name) AS VARCHAR) || ',"w":' || w || '}', ',' || chr(10) ORDER BY id) || chr(10) || ']' AS json FROM v_rects GROUP BY layer, x, y""")
 def K7_mark_arrays(spark, d):
     return raster.mark_array(view(spark, d, "v_rects").select("layer", "x", "y", "id", "name", "w"), ["layer", "x", "y"])
+
+
+#: Pages of the packs: 64 parts on a page, in eight columns of 12 by 9 pixels; the first line and the left column of every
+#: fifth part are transparent, and so is every seventh pixel; names are shared by parts of many packs.
+_PAGE = """pg AS (SELECT id // 64 AS pack, id, 'tile_' || id % 700 AS name, w, h, id % 7 AS ox, id % 5 AS oy, i, j, (id * 7 + i * 3) % 256 AS r, (id * 13 + j * 5) % 256 AS g, id * 29 % 256 AS b
+  FROM v_rects, range(12) a(i), range(9) b(j) WHERE i < w AND j < h AND NOT (id % 5 = 0 AND (i = 0 OR j = 0)) AND (i + 2 * j + id) % 7 <> 0),
+  lib AS (SELECT name, arg_max(id, id) AS id FROM (SELECT 'tile_' || id % 700 AS name, id FROM v_rects) GROUP BY name)"""
+
+
+def _pack_files(spark, d):
+    """A pack of one page for each 64 parts, in both versions of the format; lines of the images have all kinds of filters."""
+    r = view(spark, d, "v_rects").withColumn("pack", F.expr("id div 64")).withColumn("k", F.col("id") % 64)
+
+    @F.pandas_udf(T.BinaryType())
+    def page(parts: pd.Series) -> pd.Series:
+        out = []
+        for rows in parts:
+            image = np.zeros((72, 96, 4), np.uint8)
+            for t in rows:
+                n, w, h = t["id"], t["w"], t["h"]
+                i, j = np.arange(w)[None, :], np.arange(h)[:, None]
+                seen = ((i + 2 * j + n) % 7 != 0) & ~((n % 5 == 0) & ((i == 0) | (j == 0)))
+                colour = np.stack(np.broadcast_arrays((n * 7 + i * 3) % 256, (n * 13 + j * 5) % 256, n * 29 % 256, 255), axis=-1)
+                image[t["k"] // 8 * 9 :, t["k"] % 8 * 12 :][:h, :w] = colour * seen[..., None]
+            out.append(raster.png(image, np.arange(72) % 5))
+        return pd.Series(out)
+
+    items = r.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("id", "k", "w", "h"))).alias("items"))  # 64 at most
+    place = lambda t: (t["k"] % 8 * 12, F.floor(t["k"] / 8) * 9, t["w"], t["h"], t["id"] % 7, t["id"] % 5, t["w"], t["h"])
+    textures = F.array_join(F.transform("items", lambda t: F.concat(sized(F.concat(F.lit("tile_"), t["id"] % 700)), *(le(c) for c in place(t)))), "")
+    new, png = F.col("pack") % 2 == 1, F.hex(page("items"))
+    start = F.concat(F.when(new, F.concat(F.hex(F.lit("PZPK")), le(1))).otherwise(""), le(1), sized(F.lit("page")), le(F.size("items")), le(1), textures)
+    content = F.concat(start, F.when(new, F.concat(le(F.length(png) / 2), png)).otherwise(F.concat(png, F.lit("EFBEADDE"))))
+    return items.select(F.format_string("/packs/%d.pack", "pack").alias("path"), F.unhex(content).alias("content"))
+
+
+def _pack_number(frame_path: str = "path"):
+    return F.regexp_extract(frame_path, r"(\d+)\.pack$", 1).cast("bigint")
+
+
+def _library(spark, d):
+    return textures.library(textures.cut(binary.pages(_pack_files(spark, d)).filter("error is null")), _pack_number())
+
+
+@query(f"""WITH {_PAGE} SELECT '/packs/' || pack || '.pack' AS path, name, id // 64 * 64 = id AS first, min(i) + any_value(ox) - any_value(w) // 2 AS ox, min(j) + any_value(oy) - any_value(h) AS oy, max(i) - min(i) + 1 AS w, max(j) - min(j) + 1 AS h,
+  CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(g) AS BIGINT) AS sum_g, CAST(sum(b) AS BIGINT) AS sum_b, count(*) AS n FROM pg GROUP BY pack, name, id""")
+def S10_A1_textures_of_pages(spark, d):
+    """Textures cut from decoded pages: where they are trimmed to, and their colour sums."""
+    cut = textures.cut(binary.pages(_pack_files(spark, d)).filter("error is null")).filter("error is null and w > 0")
+    key = F.concat_ws("|", "path", "ord", "name")
+    sums = textures.colour_sums(cut.withColumn("name", key))
+    rows = cut.withColumn("key", key).join(sums.withColumnRenamed("name", "key"), "key")
+    return rows.select("path", "name", (F.col("ord") == 0).alias("first"), *(F.col(c).cast("bigint").alias(c) for c in ("ox", "oy", "w", "h")), "sum_r", "sum_g", "sum_b", "n")
+
+
+@query(f"""WITH {_PAGE} SELECT l.name, CAST(coalesce(sum(r), 0) AS BIGINT) AS sum_r, CAST(coalesce(sum(g), 0) AS BIGINT) AS sum_g, CAST(coalesce(sum(b), 0) AS BIGINT) AS sum_b, greatest(count(r), 1) AS n FROM lib l LEFT JOIN pg ON pg.id = l.id GROUP BY l.name""")
+def A1_A2_library_sums(spark, d):
+    """Colour sums of the textures that win in a library of all packs, later packs over earlier ones."""
+    return textures.colour_sums(_library(spark, d))
+
+
+@query("""WITH l AS (SELECT 'tile_' || id % 700 AS name, arg_max(id, id) AS id FROM v_rects GROUP BY 1)
+  SELECT l.name, id // 64 AS page_id, id % 8 * 12 AS x, id % 64 // 8 * 9 AS y, w, h, id % 7 - w // 2 AS ox, id % 5 - h AS oy FROM l JOIN v_rects USING (id)""")
+def X26_atlas_pages(spark, d):
+    a = textures.atlas(binary.pages(_pack_files(spark, d)).filter("error is null"), _pack_number())
+    return a.select("name", *(F.col(c).cast("bigint").alias(c) for c in ("page_id", "x", "y", "w", "h", "ox", "oy")))
+
+
+@query(f"""WITH {_PAGE}, q AS (SELECT s.layer, s.id AS ord, (s.x - s.y) * 4 + t.ox - t.w // 2 + t.i AS x, (s.x + s.y - 6 * s.layer) * 2 + 2 + t.oy - t.h + t.j AS y, s.x + s.y AS gy, s.x - s.y AS gx, printf('%02x%02x%02xff', t.r, t.g, t.b) AS colour
+  FROM v_rects s JOIN lib l ON l.name = 'tile_' || s.id % 700 JOIN pg t ON t.id = l.id)
+  SELECT layer, x, y, arg_max(colour, (gy + 1000) * 10000000000000 + (gx + 1000) * 1000000000 + ord) AS colour FROM q GROUP BY layer, x, y""")
+def job_base_from_packs(spark, d):
+    """The isometric image with textures out of packs: decoded, cut, overridden, trimmed and composited."""
+    squares = view(spark, d, "v_rects").select("layer", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("id").alias("pos"), F.concat(F.lit("tile_"), F.col("id") % 700).alias("tile"))
+    return raster.pixels(JOBS["base"](squares, _library(spark, d), TILE, (4, 2))).select("layer", "x", "y", "colour")
+
+
+@query(f"""WITH {_DRAWN}, p AS (SELECT layer, x, y, arg_max(colour, id) AS colour FROM d GROUP BY layer, x, y)
+  SELECT layer, CAST(k AS BIGINT) AS level, CAST(floor(x / pow(2, k)) AS BIGINT) AS x, CAST(floor(y / pow(2, k)) AS BIGINT) AS y, colour FROM p, range(0, 7) t(k) WHERE x % (1 << k) = 0 AND y % (1 << k) = 0""")
+def A13_image_pyramid(spark, d):
+    """Six levels above tiles of eight pixels, in three steps: a pixel of a level is the upper left one below it."""
+    draws = view(spark, d, "v_rects").select("layer", F.col("x").alias("px"), F.col("y").alias("py"), F.col("id").alias("ord"), F.col("id").cast("string").alias("name"))
+    tiles = raster.image_pyramid(raster.compose(draws, _textures(spark, d), 8), 6, raster.nearest_half, step=2)
+    return raster.pixels(tiles).withColumn("level", F.col("level").cast("bigint"))
+
+
+@query(f"""WITH {_DRAWN}, p AS (SELECT layer, x, y, arg_max(colour, id) AS colour FROM d WHERE x > -1 AND y > -1 GROUP BY layer, x, y), s AS (SELECT layer, k, x >> k AS x, y >> k AS y FROM p, range(0, 6) t(k) WHERE x % (1 << k) = 0 AND y % (1 << k) = 0)
+  SELECT layer, CAST(k AS BIGINT) AS level, x >> 3 AS tx, y >> 3 AS ty, greatest(0, least(8, (199 >> k) + 1 - (x >> 3) * 8)) AS w, greatest(0, least(8, (149 >> k) + 1 - (y >> 3) * 8)) AS h
+  FROM s WHERE x <= 199 >> k AND y <= 149 >> k GROUP BY ALL""")
+def K1_crops_of_levels(spark, d):
+    """Tiles of all levels cut to an image of 200 by 150 pixels, halved from level to level; those that have something to see."""
+    draws = view(spark, d, "v_rects").select("layer", F.col("x").alias("px"), F.col("y").alias("py"), F.col("id").alias("ord"), F.col("id").cast("string").alias("name"))
+    tiles = raster.image_pyramid(raster.compose(draws, _textures(spark, d), 8).filter("tx >= 0 and ty >= 0"), 5, raster.nearest_half)
+    t = raster.cropped(tiles, 200, 150).filter("state = 'saved'")
+    return t.select("layer", *(F.col(c).cast("bigint").alias(c) for c in ("level", "tx", "ty", "w", "h")))

@@ -41,10 +41,7 @@ def draws(squares: DataFrame, grid: tuple[int, int] = (GRID_WIDTH, GRID_HEIGHT))
 def base(squares: DataFrame, textures: DataFrame, tile: int = 1024, grid: tuple[int, int] = (GRID_WIDTH, GRID_HEIGHT), levels: int = 0) -> DataFrame:
     """Tiles of the isometric image of squares (layer, sx, sy, pos, tile) and of `levels` levels above it; tiles without a texture drop out."""
     tiles = raster.compose(draws(squares, grid), textures, tile, ("gy", "gx", "pos"))
-    if not levels:
-        return tiles
-    tiles = reliable(tiles)  # composed once, read by both
-    return tiles.union(raster.shrink(tiles, levels))
+    return raster.image_pyramid(tiles, levels) if levels else tiles
 
 
 @job

@@ -25,6 +25,7 @@ RECT = "struct<x:int,y:int,w:int,h:int>"
 HEADER = f"cx int, cy int, version int, tiles array<string>, width bigint, height bigint, minlayer int, maxlayer int, rooms array<struct<id:int,name:binary,layer:int,rects:array<{RECT}>,objects:array<struct<type:int,x:int,y:int>>>>, buildings array<struct<id:int,rooms:array<bigint>>>, zpop array<array<int>>, error string"
 SQUARES = "cx int, cy int, sx int, sy int, layer int, room int, pos int, code int, error string"
 PREFAB = "path string, bx int, by int, x int, y int, layer int, attribute int, pos int, tile string, error string"
+PAGE = "path string, page_no int, page string, has_alpha int, textures array<struct<name:string,x:int,y:int,w:int,h:int,ox:int,oy:int,ow:int,oh:int>>, png binary, error string"
 PACK = "path string, page string, has_alpha int, name string, x int, y int, w int, h int, ox int, oy int, ow int, oh int, png binary, error string"
 
 
@@ -154,8 +155,8 @@ def prefab(data: bytes) -> Iterator[tuple]:
                 yield bx, by, x, y, layer, None, pos, tiles[code]
 
 
-def pack(data: bytes) -> Iterator[tuple]:
-    """(page, has_alpha, name, x, y, w, h, ox, oy, ow, oh, png) of a texture pack (S10); the image is on a page's first row."""
+def pack_pages(data: bytes) -> Iterator[tuple]:
+    """(page, has_alpha, textures, png) of each page of a texture pack; a texture is (name, x, y, w, h, ox, oy, ow, oh)."""
     c = Cursor(data)
     version = c.uint() if c.magic(PACK_MAGIC) else 0
     if version not in (0, 1):
@@ -163,7 +164,12 @@ def pack(data: bytes) -> Iterator[tuple]:
     for _ in range(c.uint()):
         page, count, alpha = c.sized().decode(), c.uint(), c.uint()
         textures = [(c.sized().decode(), *c.ints(8)) for _ in range(count)]
-        png = c.until(PAGE_END) if version == 0 else c.sized()
+        yield page, alpha, textures, c.until(PAGE_END) if version == 0 else c.sized()
+
+
+def pack(data: bytes) -> Iterator[tuple]:
+    """(page, has_alpha, name, x, y, w, h, ox, oy, ow, oh, png) of a texture pack (S10); the image is on a page's first row."""
+    for page, alpha, textures, png in pack_pages(data):
         for i, t in enumerate(textures):
             yield page, alpha, *t, None if i else png
 
@@ -265,6 +271,16 @@ def packs(files_: DataFrame) -> DataFrame:
     return _decoded(files_, PACK, lambda f: (dict(zip(names, (f.path, *r), strict=True)) for r in pack(f.content)))
 
 
+def pages(files_: DataFrame) -> DataFrame:
+    """Pages of pack files (path, content), a row each: number in the pack, image, and where its textures are."""
+
+    def rows(f):
+        for k, (page, alpha, textures, png) in enumerate(pack_pages(f.content)):
+            yield {"path": f.path, "page_no": k, "page": page, "has_alpha": alpha, "textures": textures, "png": png}
+
+    return _decoded(files_, PAGE, rows)
+
+
 def read_packs(spark: SparkSession, path: str, pattern: str = r"\.pack$", glob: str = "*.pack") -> DataFrame:
     """Textures of all packs below a folder; names can be chosen by pattern."""
     return packs(files(spark, path, pattern, glob))

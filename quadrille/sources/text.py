@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import png
+
 TOKEN = re.compile(r"""\s+|--\[\[.*?\]\]|--[^\n]*|(?P<text>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<number>-?(?:0x[0-9a-fA-F]+|\d+\.?\d*(?:[eE][-+]?\d+)?))|(?P<name>[A-Za-z_]\w*)|(?P<mark>[{}\[\]=,;().:])""", re.S)
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -134,35 +136,11 @@ def read_streets(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("_name").alias("name"), F.col("_width").alias("width"), points.alias("points"))
 
 
-def grey_pixels(png: bytes) -> tuple[int, int, bytes]:
-    """Width, height and row-major bytes of an 8-bit greyscale or RGB(A) PNG without interlacing."""
-    at, data, size = 8, b"", None
-    while at < len(png):
-        n, kind = struct.unpack(">I4s", png[at : at + 8])
-        part = png[at + 8 : at + 8 + n]
-        size = struct.unpack(">IIBBBBB", part) if kind == b"IHDR" else size
-        data += part if kind == b"IDAT" else b""
-        at += 12 + n
-    if not size or size[2] != 8 or size[3] not in (0, 2, 4, 6) or size[6]:
-        raise ValueError("only 8-bit images without interlacing")
-    w, h, channels = size[0], size[1], {0: 1, 2: 3, 4: 2, 6: 4}[size[3]]
-    raw, stride, rows, before = zlib.decompress(data), size[0] * channels, [], bytes(size[0] * channels)
-    for y in range(h):
-        how, line = raw[y * (stride + 1)], bytearray(raw[y * (stride + 1) + 1 : (y + 1) * (stride + 1)])
-        for i in range(stride):
-            left, up, corner = line[i - channels] if i >= channels else 0, before[i], before[i - channels] if i >= channels else 0
-            if how == 4:
-                p = left + up - corner
-                guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-            else:
-                guess = (0, left, up, (left + up) // 2)[how]
-            line[i] = (line[i] + guess) & 255
-        before = bytes(line)
-        rows.append(before)
-    flat = b"".join(rows)
-    if channels <= 2:
-        return w, h, flat[::channels]
-    return w, h, bytes((299 * r + 587 * g + 114 * b) // 1000 for r, g, b in zip(flat[::channels], flat[1::channels], flat[2::channels], strict=True))
+def grey_pixels(image: bytes) -> tuple[int, int, bytes]:
+    """Width, height and row-major grey values of a PNG; colours by their luma."""
+    rgba = png.decode(image).astype(np.int64)
+    grey = (299 * rgba[..., 0] + 587 * rgba[..., 1] + 114 * rgba[..., 2]) // 1000
+    return grey.shape[1], grey.shape[0], grey.astype(np.uint8).tobytes()
 
 
 RASTER = r"biomemap_(\d+)_(\d+)\.png$"
