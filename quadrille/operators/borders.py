@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import reliable
+
 # directions: north, east, south, west
 SIDES = (("n", 0, -1), ("e", 1, 0), ("s", 0, 1), ("w", -1, 0))
 
@@ -41,49 +40,93 @@ def edge_segments(flags: DataFrame, by: list[str], w: int, h: int, pad_x: int, p
     return flags.select(*by, "x", "y", F.explode(F.array_compact(parts)).alias("e")).select(*by, "x", "y", "e.*")
 
 
-def rings(edges: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed rings of directed unit edges with the inside on their right, corners only.
+#: Sides in clockwise order: the way a side runs, and where its outside is (fixed by the directions above).
+_RUNS = ((1, 0), (0, 1), (-1, 0), (0, -1))
+_OUTSIDE = tuple((dx, dy) for _, dx, dy in SIDES)
+
 
-    At a place where two rings touch, the sharpest right turn is taken, so that rings don't cross.
+def edges(squares: DataFrame, by: list[str]) -> DataFrame:
+    """(by, edge, next) of the unit sides of squares that border on the outside, inside on their right.
+
+    An edge is (y, x, side) of its square, sides counted clockwise from north. The next one turns right where it can, so
+    that rings which touch at a corner don't cross; it is known from the eight squares around, which announce themselves
+    in one shuffle, so that edges needn't be joined by their ends.
     """
-    after = defaultdict(list)
-    for x1, y1, x2, y2 in edges:
-        after[x1, y1].append((x2, y2))
-    out = []
-    for start in sorted(after):
-        while after[start]:
-            ring, at, step = [start], start, None
-            while True:
-                options = after[at]
-                if step and len(options) > 1:
-                    options.sort(key=lambda p: -(step[0] * (p[1] - at[1]) - step[1] * (p[0] - at[0])))
-                to = options.pop(0)
-                step, at = (to[0] - at[0], to[1] - at[1]), to
-                if at == start:
-                    break
-                ring.append(at)
-            n = len(ring)
-            corner = lambda i: (ring[i][0] - ring[i - 1][0], ring[i][1] - ring[i - 1][1]) != (ring[(i + 1) % n][0] - ring[i][0], ring[(i + 1) % n][1] - ring[i][1])  # noqa: B023, E731
-            out.append([ring[i] for i in range(n) if corner(i)])
-    return out
+    around = [(0, 0), *((dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy)]
+    told = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y")) for k, (dx, dy) in enumerate(around)))
+    rows = squares.select(*by, F.explode(told).alias("t")).select(*by, "t.*")
+    seen = rows.groupBy(*by, "x", "y").agg(*(F.bool_or(F.col("k") == k).alias(f"at{k}") for k in range(9))).filter("at0")
+    at = lambda dx, dy: F.col(f"at{around.index((dx, dy))}")
+    place = lambda dx, dy, side: F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(side).alias("side"))
+    parts = []
+    for side, ((dx, dy), (ox, oy)) in enumerate(zip(_RUNS, _OUTSIDE, strict=True)):
+        after = F.when(~at(dx, dy), place(0, 0, (side + 1) % 4)).when(~at(dx + ox, dy + oy), place(dx, dy, side)).otherwise(place(dx + ox, dy + oy, (side + 3) % 4))
+        parts.append(F.when(~at(ox, oy), F.struct(place(0, 0, side).alias("edge"), after.alias("next"))))
+    return seen.select(*by, F.explode(F.array_compact(F.array(*parts))).alias("e")).select(*by, "e.*")
+
+
+def ring_order(chain: DataFrame, by: list[str]) -> DataFrame:
+    """chain (by, edge, next) with each edge's ring, named by its least edge, and place in it, from 0.
+
+    Pointer doubling: in each round an edge looks as far again as it did before, and keeps the least edge in sight and how
+    far that is. When a round finds nothing less anywhere, all have seen the whole of their rings. Rounds are joins
+    of all edges, as many as the logarithm of the longest ring; no ring or group is gathered.
+    """
+    now = reliable(chain.select(*by, "edge", F.col("next").alias("to"), F.col("edge").alias("least"), F.lit(0).cast("bigint").alias("far")))
+    step = 1
+    while True:
+        there = now.select(*by, F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"), F.col("far").alias("far2"))
+        less = F.col("least2") < F.col("least")
+        now = reliable(now.join(there, [*by, "to"]).select(*by, "edge", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), F.when(less, F.col("far2") + step).otherwise(F.col("far")).alias("far"), less.alias("less")))
+        step *= 2
+        if now.filter("less").isEmpty():
+            break
+    size = now.groupBy(*by, "least").agg(F.count("*").alias("n"))
+    rows = now.join(size, [*by, "least"]).select(*by, "edge", F.col("least").alias("ring"), ((F.col("n") - F.col("far")) % F.col("n")).alias("pos"))
+    return rows.join(chain, [*by, "edge"])
+
+
+def ring_corners(squares: DataFrame, by: list[str]) -> DataFrame:
+    """(by, outer, ring, kind, pos, x, y): the corners of all rings around the squares of each group.
+
+    Rings run clockwise around squares and the other way around holes, from their least edge on; pos rises along a ring.
+    outer is the ring around the component that a hole is in, and an outer ring's own name. A group may have any number
+    of components. Which ring a hole lies in is told by the border above it: the squares over a hole's top edge reach up
+    to an edge of the outer ring or of a higher hole, which is followed in turn.
+    """
+    ordered = reliable(ring_order(edges(squares, by), by))
+    x1, y1 = F.col("edge.x") + F.when(F.col("edge.side").isin(1, 2), 1).otherwise(0), F.col("edge.y") + F.when(F.col("edge.side").isin(2, 3), 1).otherwise(0)
+    run = lambda axis: F.element_at(F.array(*(F.lit(r[axis]) for r in _RUNS)), F.col("edge.side") + 1)
+    area = ordered.groupBy(*by, "ring").agg(F.sum(x1 * run(1) - y1 * run(0)).alias("twice"))
+    kinds = area.select(*by, "ring", F.when(F.col("twice") > 0, "outer").otherwise("hole").alias("kind"))
+    # of each column, the borders to the north and the top edges of holes from top to bottom: a hole's last border is above it
+    north = ordered.filter("edge.side = 0").select(*by, F.col("edge.x").alias("x"), F.col("edge.y").alias("y"), F.lit(0).alias("k"), F.col("ring").alias("above"), F.lit(None).cast(ordered.schema["ring"].dataType).alias("ring"))
+    tops = kinds.filter("kind = 'hole'").select(*by, F.col("ring.x").alias("x"), F.col("ring.y").alias("y"), F.lit(1).alias("k"), F.lit(None).cast(ordered.schema["ring"].dataType).alias("above"), "ring")
+    column = Window.partitionBy(*by, "x").orderBy("y", "k")
+    above = north.unionByName(tops).withColumn("above", F.last("above", ignorenulls=True).over(column)).filter("ring is not null").select(*by, "ring", "above")
+    root = kinds.filter("kind = 'outer'").select(*by, "ring", F.col("ring").alias("outer"))
+    open_ = reliable(above)
+    while not open_.isEmpty():  # as many rounds as the logarithm of the longest way up over holes
+        met = open_.join(root.select(*by, F.col("ring").alias("above"), "outer"), [*by, "above"], "left")
+        root = reliable(root.unionByName(met.filter("outer is not null").select(*by, "ring", "outer")))
+        rest = met.filter("outer is null").drop("outer")
+        hop = open_.select(*by, F.col("ring").alias("above"), F.col("above").alias("further"))
+        open_ = reliable(rest.join(hop, [*by, "above"], "left").select(*by, "ring", F.coalesce("further", "above").alias("above")))
+    turns = ordered.filter("edge.side <> next.side").select(*by, "ring", "pos", (x1 + run(0)).alias("x"), (y1 + run(1)).alias("y"))
+    return turns.join(kinds, [*by, "ring"]).join(root, [*by, "ring"]).select(*by, "outer", "ring", "kind", "pos", "x", "y")
 
 
 def polygons(squares: DataFrame, by: list[str]) -> DataFrame:
-    """Rings around the squares of each group, the one with the largest box as outer ring, the rest as holes.
-
-    A group should be one component of touching squares: its border is chained in one task.
-    """
-    edges = edge_segments(border_flags(squares, by), by, 1, 1, 0, 0)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in squares.schema if f.name in by)
+    """Rings of `ring_corners` as arrays of points, a row for each ring."""
+    points = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return ring_corners(squares, by).groupBy(*by, "outer", "ring", "kind").agg(points.alias("points"))  # the corners of one ring
 
-    def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = rings(list(zip(rows.x1, rows.y1, rows.x2, rows.y2, strict=True)))
-        area = lambda r: (max(p[0] for p in r) - min(p[0] for p in r)) * (max(p[1] for p in r) - min(p[1] for p in r))
-        found.sort(key=lambda r: (-area(r), r))
-        rows = [(*key, i, "outer" if i == 0 else "hole", [{"x": int(x), "y": int(y)} for x, y in r]) for i, r in enumerate(found)]
-        return pd.DataFrame(rows, columns=[*by, "ring", "kind", "points"])
 
-    return edges.groupBy(*by).applyInPandas(chain, f"{schema}, ring int, kind string, points array<struct<x:bigint,y:bigint>>")
+def outlines(rings: DataFrame, by: list[str]) -> DataFrame:
+    """(by, outer, path): an SVG path of each outer ring with its holes, whose other direction leaves them unfilled."""
+    line = F.concat(F.lit("M"), F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"], p["y"])), "L"), F.lit("Z"))
+    parts = rings.select(*by, "outer", F.struct((F.col("kind") == "hole").alias("hole"), "ring", line.alias("line")).alias("p"))
+    return parts.groupBy(*by, "outer").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["line"]), "").alias("path"))
 
 
 def disjoint_cover(rects: DataFrame, by: list[str]) -> DataFrame:

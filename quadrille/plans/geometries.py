@@ -318,6 +318,28 @@ def C1_components(spark, d):
 
 
 _BY_TYPE = "s AS (SELECT DISTINCT type, x, unnest(range(y, y + h)) AS y FROM (SELECT type, unnest(range(x, x + w)) AS x, y, h FROM v_rects))"
+#: Border edges of each type's squares and their followers, as numbers ((y * 10000 + x) * 4 + side); then walks from each
+#: edge over greater ones, which go full circle from the least edge of a ring alone.
+_RINGS = f"""{_BY_TYPE}, d(side, dx, dy, ox, oy) AS (VALUES (0, 1, 0, 0, -1), (1, 0, 1, 1, 0), (2, -1, 0, 0, 1), (3, 0, -1, -1, 0)),
+  e AS (SELECT s.type, s.x, s.y, side, CAST((s.y * 10000 + s.x) * 4 + side AS BIGINT) AS id, CAST(CASE WHEN a.x IS NULL THEN (s.y * 10000 + s.x) * 4 + (side + 1) % 4 WHEN g.x IS NULL THEN ((s.y + dy) * 10000 + s.x + dx) * 4 + side ELSE ((s.y + dy + oy) * 10000 + s.x + dx + ox) * 4 + (side + 3) % 4 END AS BIGINT) AS nxt
+    FROM s JOIN d ON true LEFT JOIN s o ON o.type = s.type AND o.x = s.x + ox AND o.y = s.y + oy LEFT JOIN s a ON a.type = s.type AND a.x = s.x + dx AND a.y = s.y + dy LEFT JOIN s g ON g.type = s.type AND g.x = s.x + dx + ox AND g.y = s.y + dy + oy WHERE o.x IS NULL),
+  walk(type, start, id, nxt, pos) AS (SELECT type, id, id, nxt, 0 FROM e UNION ALL SELECT w.type, w.start, e.id, e.nxt, w.pos + 1 FROM walk w JOIN e ON e.type = w.type AND e.id = w.nxt WHERE w.nxt > w.start),
+  full_ AS (SELECT DISTINCT type, start FROM walk WHERE nxt = start),
+  r AS (SELECT w.type, w.start AS ring, w.pos, e.side, e.x, e.y, w.nxt % 4 AS turn FROM walk w JOIN full_ USING (type, start) JOIN e ON e.type = w.type AND e.id = w.id)"""
+_CORNER = "x + CASE WHEN side IN (0, 1) THEN 1 ELSE 0 END AS x, y + CASE WHEN side IN (1, 2) THEN 1 ELSE 0 END AS y"
+_number = lambda c: ((F.col(f"{c}.y") * 10000 + F.col(f"{c}.x")) * 4 + F.col(f"{c}.side")).cast("bigint").alias(c)
+
+
+def _squares_by_type(spark, d):
+    return view(spark, d, "v_rects").select("type", F.explode(G.squares_of("x", "y", "w", "h")).alias("p")).select("type", "p.x", "p.y").distinct()
+
+
+@query(f"WITH RECURSIVE {_RINGS}, k AS (SELECT type, ring, CASE WHEN sum((x + CASE WHEN side IN (1, 2) THEN 1 ELSE 0 END) * CASE side WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END - (y + CASE WHEN side IN (2, 3) THEN 1 ELSE 0 END) * CASE side WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END) > 0 THEN 'outer' ELSE 'hole' END AS kind FROM r GROUP BY type, ring) SELECT type, ring, kind, CAST(pos AS BIGINT) AS pos, {_CORNER} FROM r JOIN k USING (type, ring) WHERE side <> turn")
+def G14_G15_ring_corners(spark, d):
+    """The corners of all rings around each type's squares, in order; many components and holes to a type."""
+    from ..operators.borders import ring_corners
+
+    return ring_corners(_squares_by_type(spark, d), ["type"]).select("type", _number("ring"), "kind", "pos", "x", "y")
 
 
 @query(f"WITH {_BY_TYPE} SELECT type, CAST(count(*) AS BIGINT) AS area FROM s GROUP BY type")
@@ -325,12 +347,22 @@ def G16_polygon_areas(spark, d):
     """Rings around each type's squares; outer rings and holes turn opposite ways, so that their signed areas add up to the squares."""
     from ..operators.borders import polygons
 
-    squares = view(spark, d, "v_rects").select("type", F.explode(G.squares_of("x", "y", "w", "h")).alias("p")).select("type", "p.x", "p.y").distinct()
-    rings = polygons(squares, ["type"])
+    rings = polygons(_squares_by_type(spark, d), ["type"])
     cross = F.aggregate(F.zip_with("points", G.rotated("points"), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0).cast("bigint"), lambda s, v: s + v)
     return rings.withColumn("c", cross).groupBy("type").agg(F.call_function("div", F.sum("c"), F.lit(2)).alias("area"))
 
 
+@query()
+def G16_X35_component_areas(spark, d):
+    """Each component: its outer ring, its holes, the squares that they leave, and its SVG path's length (tested against flooding)."""
+    from ..operators.borders import outlines, polygons
+
+    rings = polygons(_squares_by_type(spark, d), ["type"])
+    cross = F.aggregate(F.zip_with("points", G.rotated("points"), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    parts = rings.withColumn("c", cross).groupBy("type", "outer").agg(F.call_function("div", F.sum("c"), F.lit(2)).alias("area"), F.count_if(F.col("kind") == "hole").alias("holes"))
+    return parts.join(outlines(rings, ["type"]), ["type", "outer"]).select("type", _number("outer"), "area", "holes", "path")
+
+
 @query(f"WITH {_BY_TYPE} SELECT type, CAST(count(*) AS BIGINT) AS area, CAST(count(*) AS BIGINT) AS squares, CAST(sum(x * 1000 + y) AS BIGINT) AS places FROM s GROUP BY type")
 def G18_disjoint_cover(spark, d):
     """The cover's area and the squares it holds: equal, as no square is covered twice."""
