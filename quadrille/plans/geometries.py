@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import coords as C
 from ..functions import geometry as G
 from ..operators import joins as J
+from ..operators import scans
 from ..operators import windows as W
 from .catalogue import query
 from .views import view
@@ -288,7 +289,7 @@ def W1_runs(spark, d):
   i AS (SELECT p, v, sum(c) OVER (ORDER BY p) AS i FROM k) SELECT v, min(p) AS start, max(p) - min(p) + 1 AS length FROM i GROUP BY i, v""")
 def W2_fill_runs(spark, d):
     v = view(spark, d, "v_rects").select(F.lit(0).alias("g"), F.col("id").alias("at"), F.when(F.col("id") % 4 != 1, F.expr("(id div 7) % 3")).alias("v"))
-    return W.fill_runs(v, ["g"], "at", "v").drop("g")
+    return scans.fill_runs(v, ["g"], "at", "v").drop("g")
 
 
 @query("""SELECT type, min(id) AS first_id, max(id) AS last_id FROM v_rects GROUP BY type""")
@@ -300,7 +301,15 @@ def W3_first_last(spark, d):
 
 @query("""WITH e AS (SELECT grp, s AS p, 1 AS o FROM v_intervals UNION ALL SELECT grp, e, -1 FROM v_intervals), a AS (SELECT grp, o, coalesce(sum(o) OVER (PARTITION BY grp ORDER BY p, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM e) SELECT grp, CAST(sum(n) AS BIGINT) AS cost FROM a WHERE o = 1 GROUP BY grp""")
 def W5_sweep_cost(spark, d):
-    return W.sweep_cost(view(spark, d, "v_intervals"), ["grp"])
+    return scans.sweep_cost(view(spark, d, "v_intervals"), ["grp"])
+
+
+@query("""WITH v AS (SELECT id * 13 AS s, id * 13 + o AS e FROM (SELECT o_orderkey AS id, o_custkey % 60 AS o FROM orders)), m AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM v),
+  i AS (SELECT s, e, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m) SELECT min(s) AS s, max(e) AS e FROM i GROUP BY i""")
+def W4_merged_in_one_order(spark, d):
+    """All orders as intervals of one line, merged without a task that holds the line."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") * 13).alias("s"), (F.col("o_orderkey") * 13 + F.col("o_custkey") % 60).alias("e"))
+    return scans.merge_intervals(o.withColumn("g", F.lit(0)), ["g"]).drop("g")
 
 
 @query("SELECT type, id, CAST(ntile(7) OVER (PARTITION BY type ORDER BY id) AS BIGINT) AS slice FROM v_rects")

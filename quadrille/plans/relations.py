@@ -286,6 +286,15 @@ def T2_task_order(spark, d):
     return view(spark, d, "v_marks").select("id", F.row_number().over(order).cast("bigint").alias("task"))
 
 
+@query("SELECT id, row_number() OVER (ORDER BY visible_zoom_level DESC, (SELECT CAST(list_sum(list_transform(range(0, 9), lambda i: ((m.x >> i) & 1) * (1 << (2 * i)) + ((m.y >> i) & 1) * (1 << (2 * i + 1)))) AS BIGINT)), id) - 1 AS task FROM v_marks m")
+def T2_tasks_in_one_order(spark, d):
+    """The order of all tasks, over ranges of it."""
+    from ..operators.scans import ranked
+
+    keyed = view(spark, d, "v_marks").select("id", (-F.col("visible_zoom_level")).alias("zoom"), C.morton("x", "y").alias("z"))
+    return ranked(keyed, "zoom", "z", "id", name="task").select("id", "task")
+
+
 @query("SELECT type, id FROM (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY w * h, id) AS n, count(*) OVER (PARTITION BY type) AS c FROM v_rects) WHERE n <= (c + 1) // 2")
 def T4_lower_half(spark, d):
     from pyspark.sql import Window

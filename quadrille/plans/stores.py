@@ -143,3 +143,33 @@ def X7_range_contains(spark, d):
     diff, total = C.to_grid("x", "y")
     m = view(spark, d, "v_marks").withColumn("diff", diff).withColumn("total", total - F.col("layer") * C.GRID_ROWS_PER_LAYER)
     return m.filter(F.col("diff").between(-30, 80) & F.col("total").between(60, 220)).select("id", (F.col("x") + F.col("w") - F.col("y") >= -20).alias("right_of"), "diff", "total")
+
+
+_STR = """n AS (SELECT CAST(ceil(count(*) / 16.0) AS BIGINT) AS leaves FROM v_marks), k AS (SELECT CASE WHEN leaves > 1 THEN CAST(floor(sqrt(leaves - 1)) AS BIGINT) + 1 ELSE 1 END AS strips FROM n),
+  a AS (SELECT *, (row_number() OVER (ORDER BY 2 * x + w, id) - 1) // (strips * 16) AS strip FROM v_marks, k), b AS (SELECT *, (row_number() OVER (ORDER BY strip, 2 * y + h, id) - 1) AS rank FROM a),
+  o AS (SELECT level, CAST(rank // CAST(pow(16, level + 1) AS BIGINT) AS BIGINT) AS node, min(x) AS x1, min(y) AS y1, max(x + w) AS x2, max(y + h) AS y2 FROM b, range(0, 12) t(level) WHERE level = 0 OR pow(16, level - 1) < (SELECT leaves FROM n) * 1.0 GROUP BY ALL)"""
+
+
+def _tree(spark, d):
+    from ..operators.packed_tree import load
+
+    return load(view(spark, d, "v_marks").select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2")))
+
+
+@query("""SELECT q.id AS q, m.id AS id FROM v_marks q JOIN v_marks m ON q.id % 23 = 0 AND m.x <= q.x + q.w + 5 AND q.x - 5 <= m.x + m.w AND m.y <= q.y + q.h + 5 AND q.y - 5 <= m.y + m.h""")
+def D7_J8_packed_tree_search(spark, d):
+    """Windows around marks whose id is divisible by 23, by way of the tree; the SQL scans all."""
+    from ..operators.packed_tree import search
+
+    w = view(spark, d, "v_marks").filter("id % 23 = 0").select(F.col("id").alias("q"), (F.col("x") - 5).alias("x1"), (F.col("y") - 5).alias("y1"), (F.col("x") + F.col("w") + 5).alias("x2"), (F.col("y") + F.col("h") + 5).alias("y2"))
+    return search(_tree(spark, d), w)
+
+
+@query(f"""WITH {_STR} SELECT CAST(level AS BIGINT) AS level, count(DISTINCT a) AS nodes, CAST(coalesce(sum(area), 0) AS BIGINT) AS overlap FROM (SELECT a.level, a.node AS a, CASE WHEN b.node IS NULL THEN 0 ELSE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) END AS area
+  FROM o a LEFT JOIN o b ON a.level = b.level AND a.node // 16 = b.node // 16 AND a.node < b.node) GROUP BY level""")
+def A22_sibling_overlap(spark, d):
+    """How much of each other the nodes below one parent cover, for each level of the packed tree."""
+    from ..operators.packed_tree import sibling_overlap
+
+    s = sibling_overlap(_tree(spark, d))
+    return s.select(*(F.col(c).cast("bigint").alias(c) for c in ("level", "nodes", "overlap")))
