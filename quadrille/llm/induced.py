@@ -26,7 +26,7 @@ ITEM = np.dtype({"names": ["key", "pos", "prev", "run", "lcp"], "formats": [np.i
 #: The same bytes as one number, as numpy moves numbers faster than records.
 WHOLE = np.complex128
 #: Tuples that a queue keeps in memory; texts of names up to this length are sorted in memory.
-MEMORY = 1 << 21
+MEMORY = 1 << 18
 #: A common prefix of stretches that are equal as far as they are known.
 SAME = 255
 #: In place of the symbol before: an S suffix of the sample, and nothing to induce.
@@ -494,7 +494,7 @@ def sort(text: np.ndarray, ends: int, cap: int = 100, memory: int = MEMORY, scra
     if inside and len(text) <= memory:
         yield _in_memory(text, ends, cap)
     else:
-        yield from Sorter(text, ends, cap, memory, scratch or Scratch(ITEM.itemsize * memory // 4))()
+        yield from Sorter(text, ends, cap, memory, scratch or Scratch(2 * ITEM.itemsize * memory))()
 
 
 def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,8 @@
 Shards are made by content: a window of WINDOW bytes has an anchor, the run of bytes in it with the least hash (the first
 of equals), and equal windows have equal anchors. Consecutive windows with one anchor are a segment. Anchors are counted
 first; only segments whose anchor occurs more than once are looked at again (a bitmap of fixed size tells which, and lets
-some others through). Equal segments (128 bits of hashes) count once: all but the first are removed whole.
+some others through). Equal segments (128 bits of hashes) count once: all but the first are removed whole. Only places are
+shuffled for this; bytes are sent for first segments that share their anchor with different ones.
 
 The different segments of an anchor go to one shard, whose suffixes induced.sort puts in order with their common
 prefixes; suffixes that share WINDOW bytes stand together, and all but the first of them in the corpus lose these bytes.
@@ -14,7 +15,7 @@ bytes have one segment each, so that groups are bounded whatever the text. Resul
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import induced
 from .bitmaps import COUNTERS, bitmap, counter_rows, merged
 from .bitmaps import bit as bit_of
-from .common import chunks, offsets, stored
+from .common import chunks, mix64, offsets, stored
 from .substring_dedup import BASE, Prefix, run_hashes
 
 WINDOW = 100
@@ -33,10 +34,11 @@ ANCHORS = (24, 60, 84, WINDOW)
 #: Different segments of an anchor that go to one shard.
 GROUP = 8192
 #: Bytes in a shard, about, and bits of the filter of shared anchors, as a power of two.
-SHARD = 6_000_000
+SHARD = 700_000
 FILTER = 27
 SPAN = 1 << 20
-SEGMENTS = "anchor bigint, seg bigint, doc_id bigint, text_key bigint, start bigint, n bigint, data binary"
+PLACES = "anchor bigint, seg bigint, doc_id bigint, text_key bigint, start bigint, n bigint"
+SEGMENTS = f"{PLACES}, data binary"
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,26 +58,46 @@ def anchors(data: np.ndarray, at: np.ndarray, anchor: int) -> tuple[np.ndarray,
     x = run_hashes(data.astype(np.uint64) + np.uint64(1), anchor, BASE)
     width = WINDOW - anchor + 1
     value = _least(x, width)
-    window = np.arange(len(value))
-    text = np.searchsorted(at, window, side="right") - 1
-    valid = window + WINDOW <= at[text + 1]
-    window, text, value = window[valid], text[valid], value[valid]
-    if not len(window):
+    valid = np.ones(len(value), bool)  # windows within one text
+    for end in at[1:-1].tolist():
+        valid[max(0, end - WINDOW + 1) : end] = False
+    change = valid.copy()
+    change[1:] &= (value[1:] != value[:-1]) | ~valid[:-1]
+    first = np.flatnonzero(change)
+    if not len(first):
         return none, none, none, none
-    first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])]))
-    last = np.append(first[1:], len(window)) - 1
-    place = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, width)[window[first[a : a + 4096]]].argmin(axis=1) for a in range(0, len(first), 4096)]) + window[first]
-    again = np.flatnonzero(window[last] > place)  # the value occurs again further on
+    last = _ends(first, valid)
+    place = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, width)[first[a : a + 4096]].argmin(axis=1) for a in range(0, len(first), 4096)]) + first
+    again = np.flatnonzero(last > place)  # the value occurs again further on
     if len(again):
         cuts = [first]
-        for k in again.tolist():
-            a, b = int(first[k]), int(last[k])
-            where = np.flatnonzero(x[window[a] : window[b] + width] == value[a]) + window[a]
-            own = where[np.searchsorted(where, window[a : b + 1])]
+        for a, b in zip(first[again].tolist(), last[again].tolist(), strict=True):
+            where = np.flatnonzero(x[a : b + width] == value[a]) + a
+            own = where[np.searchsorted(where, np.arange(a, b + 1))]
             cuts.append(a + 1 + np.flatnonzero(own[1:] != own[:-1]))
         first = np.unique(np.concatenate(cuts))
-        last = np.append(first[1:], len(window)) - 1
-    return value[first].view(np.int64), text[first], window[first], window[last]
+        last = _ends(first, valid)
+    return value[first].view(np.int64), np.searchsorted(at, first, side="right") - 1, first, last
+
+
+def _ends(first: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """The last window of each segment: before the next segment, and before windows that reach beyond their text."""
+    gaps = np.flatnonzero(~valid[1:] & valid[:-1]) + 1  # where such windows begin
+    behind = np.append(gaps, len(valid))[np.searchsorted(gaps, first, side="right")]
+    return np.minimum(np.append(first[1:], len(valid)), behind) - 1
+
+
+def _place(anchor: np.ndarray) -> np.ndarray:
+    """The bit of each anchor in the filter; anchors are least hashes, so that they are scattered anew."""
+    return (mix64(anchor.view(np.uint64)) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def _known(anchor, seg, doc_id, start) -> np.ndarray:
+    """The bit of a segment at its place in the filter of segments to be spelled."""
+    key = np.zeros(len(anchor), np.uint64)
+    for part in (anchor, seg, doc_id, start):
+        key = mix64((key * BASE) ^ np.asarray(part, np.int64).view(np.uint64))
+    return (key >> np.uint64(64 - FILTER)).astype(np.int64)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bytes]]:
@@ -97,43 +119,71 @@ def _shared_anchors(docs: DataFrame) -> np.ndarray:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield counter_rows((batch["anchor"].to_numpy().view(np.uint64) >> np.uint64(64 - FILTER)).astype(np.int64))
+            yield counter_rows(_place(batch["anchor"].to_numpy()))
 
     shared = docs.select("text").mapInArrow(count, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     return bitmap(merged(shared.mapInArrow(bits, COUNTERS), 1, FILTER), FILTER)
 
 
-def _rows(batch: pa.RecordBatch, raw: bytes, at, anchor, seg, text, first, end) -> pa.RecordBatch:
-    """Segments as rows of SEGMENTS; starts go on from the batch's own, where it has them."""
-    rows = batch.take(pa.array(text))
-    start = first - at[text] + (rows["start"].to_numpy() if "start" in batch.schema.names else 0)
-    data = [raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), rows["doc_id"], rows["text_key"], pa.array(start, pa.int64()), pa.array(end - first, pa.int64()), pa.array(data, pa.binary())], ["anchor", "seg", "doc_id", "text_key", "start", "n", "data"])
+def _rows(batch: pa.RecordBatch, raw: bytes | None, at, anchor, seg, text, first, end) -> pa.RecordBatch:
+    """Segments as rows of PLACES, or SEGMENTS with their bytes; starts go on from the batch's own, where it has them."""
+    ids, keys = (batch[c].to_numpy()[text] for c in ("doc_id", "text_key"))
+    start = first - at[text] + (batch["start"].to_numpy()[text] if "start" in batch.schema.names else 0)
+    columns = [pa.array(c, pa.int64()) for c in (anchor, seg, ids, keys, start, end - first)]
+    if raw is not None:
+        columns.append(pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["anchor", "seg", "doc_id", "text_key", "start", "n", "data"][: len(columns)])
 
 
 def _hash(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return Prefix(data.astype(np.uint64) + np.uint64(1))(first, end).view(np.int64)
 
 
+def _segments(batch: pa.RecordBatch, data, at, shared) -> tuple[np.ndarray, ...]:
+    """anchor, seg, text, first byte and end of the segments whose anchor may be shared."""
+    anchor, text, first, last = anchors(data, at, ANCHORS[0])
+    some = bit_of(shared, _place(anchor))
+    anchor, text, first, end = anchor[some], text[some], first[some], last[some] + WINDOW
+    return anchor, _hash(data, first, end), text, first, end
+
+
 def _find(docs: DataFrame, shared) -> DataFrame:
-    """Segments whose anchor is shared; those that a document has had before have no anchor and no data."""
+    """Places of segments whose anchor is shared; those that a document has had before have no anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at, raw in _batches(batches, "text"):
-            anchor, text, first, last = anchors(data, at, ANCHORS[0])
-            some = bit_of(shared.value, (anchor.view(np.uint64) >> np.uint64(64 - FILTER)).astype(np.int64))
-            anchor, text, first, end = anchor[some], text[some], first[some], last[some] + WINDOW
+        for batch, data, at, _ in _batches(batches, "text"):
+            anchor, seg, text, first, end = _segments(batch, data, at, shared.value)
             if not len(anchor):
                 continue
-            seg = _hash(data, first, end)
             order = np.lexsort((first, seg, anchor, text))
             anchor, seg, text, first, end = (v[order] for v in (anchor, seg, text, first, end))
             repeated = np.append(False, (np.diff(text) == 0) & (np.diff(anchor) == 0) & (np.diff(seg) == 0))
-            yield _rows(batch, raw, at, anchor[~repeated], seg[~repeated], text[~repeated], first[~repeated], end[~repeated])
+            yield _rows(batch, None, at, *(v[~repeated] for v in (anchor, seg, text, first, end)))
             if repeated.any():
-                own = _rows(batch, raw, at, anchor[repeated], seg[repeated], text[repeated], first[repeated], end[repeated])
+                own = _rows(batch, None, at, *(v[repeated] for v in (anchor, seg, text, first, end)))
                 gone = pa.nulls(own.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([gone, gone, *own.columns[2:6], pa.nulls(own.num_rows, pa.binary())], own.schema.names)
+                yield pa.RecordBatch.from_arrays([gone, gone, *own.columns[2:]], own.schema.names)
+
+    return docs.mapInArrow(run, PLACES)
+
+
+def _spelled(docs: DataFrame, shared, wanted: DataFrame) -> DataFrame:
+    """The wanted segments (anchor, seg, doc_id, start) with their bytes, by reading the texts again.
+
+    A filter of fixed size says which are wanted; what it lets through besides repeats or holds nothing that counts.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield counter_rows(_known(*(batch[c].to_numpy() for c in ("anchor", "seg", "doc_id", "start"))))
+
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(merged(wanted.select("anchor", "seg", "doc_id", "start").mapInArrow(bits, COUNTERS), 1, FILTER), FILTER))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, at, raw in _batches(batches, "text"):
+            anchor, seg, text, first, end = _segments(batch, data, at, shared.value)
+            some = bit_of(known.value, _known(anchor, seg, batch["doc_id"].to_numpy()[text], first - at[text]))
+            yield _rows(batch, raw, at, *(v[some] for v in (anchor, seg, text, first, end)))
 
     return docs.mapInArrow(run, SEGMENTS)
 
@@ -184,21 +234,28 @@ def _shard(held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(key[own]), pa.array(pos[first] - at[own] + start[own]), pa.array(pos[last] - pos[first] + WINDOW)], ["doc_id", "text_key", "start", "n"])
 
 
-def _decided(rows: DataFrame, level: int, group: int) -> DataFrame:
-    """(doc_id, text_key, start, n) of bytes that some earlier place has, from a written table of segments."""
+def _decided(rows: DataFrame, level: int, group: int, spell: Callable | None = None) -> DataFrame:
+    """(doc_id, text_key, start, n) of bytes that some earlier place has, from a written table of segments.
+
+    Their bytes are in the table, or `spell` finds those of wanted ones.
+    """
     place = ["doc_id", "text_key", "start"]
-    least = rows.groupBy("anchor", "seg").agg(F.min(F.struct(*place, "n", "data")).alias("m")).select("anchor", "seg", "m.*")
+    content = [] if spell else ["data"]
+    least = rows.groupBy("anchor", "seg").agg(F.min(F.struct(*place, "n", *content)).alias("m")).select("anchor", "seg", "m.*")
     least = stored(least, "distinct-segments")
     firsts = least.select("anchor", "seg", F.struct(*place).alias("first"))
-    out = rows.drop("data").join(firsts, ["anchor", "seg"]).filter(F.struct(*place) != F.col("first")).select(*place, "n")
+    out = rows.select("anchor", "seg", *place, "n").join(firsts, ["anchor", "seg"]).filter(F.struct(*place) != F.col("first")).select(*place, "n")
     counts = stored(least.groupBy("anchor").agg(F.count("*").alias("segs")).filter("segs > 1"), "shared-anchors")
-    several = stored(least.join(counts, "anchor"), "shared-segments")
+    if spell:
+        least = stored(spell(least.join(counts, "anchor")), "spelled")
+    several = least.join(counts, "anchor")
     few = several if level + 1 == len(ANCHORS) else several.filter(F.col("segs") <= group)  # anchors as long as a window have one segment
-    out = out.union(few.drop("segs", "seg", "n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, "doc_id bigint, text_key bigint, start bigint, n bigint"))
-    many = several.filter(F.col("segs") > group)
-    if level + 1 == len(ANCHORS) or many.isEmpty():
+    out = out.union(few.select("anchor", *place, "data").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, "doc_id bigint, text_key bigint, start bigint, n bigint"))
+    common = counts.filter(F.col("segs") > group)
+    if level + 1 == len(ANCHORS) or common.isEmpty():
         return out
-    return out.union(_decided(stored(_dealt_again(many.select("doc_id", "text_key", "start", "data"), ANCHORS[level + 1]), "segments-again"), level + 1, group))
+    many = several.filter(F.col("segs") > group).select(*place, "data")
+    return out.union(_decided(stored(_dealt_again(many, ANCHORS[level + 1]), "segments-again"), level + 1, group))
 
 
 def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -209,7 +266,7 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_shared_anchors(docs))
     rows = stored(_find(docs, shared), "segments")
     own = rows.filter("anchor is null").select("doc_id", "text_key", "start", "n")
-    found = stored(own.union(_decided(rows.filter("anchor is not null"), 0, group)), "repeated-bytes")
+    found = stored(own.union(_decided(rows.filter("anchor is not null"), 0, group, lambda wanted: _spelled(docs, shared, wanted))), "repeated-bytes")
     return found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))  # of one document
 
 
