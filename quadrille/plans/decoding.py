@@ -22,6 +22,10 @@ from .views import view
 _C = "c AS (SELECT *, id // 64 % 50 AS cx, id // 64 // 50 AS cy, CAST(row_number() OVER (PARTITION BY id // 64 ORDER BY id) - 1 AS BIGINT) AS k, CAST(count(*) OVER (PARTITION BY id // 64) AS BIGINT) AS n FROM v_rects)"
 
 
+#: Sizes of both formats: a block's side and a cell's, by the parity of cx.
+_B, _S = "(10 - cx % 2 * 2)", "(300 - cx % 2 * 44)"
+
+
 def le(c) -> Column:
     """A number as four bytes, the least first, in hexadecimal digits."""
     digits = F.lpad(F.hex((c if isinstance(c, Column) else F.lit(c)).cast("bigint")), 16, "0")
@@ -40,7 +44,7 @@ def _all(items, one) -> Column:
     return F.array_join(F.transform(items, one), "")
 
 
-def _runs(items, place, payload, end: int) -> Column:
+def _runs(items, place, payload, end) -> Column:
     """A run-length coded block of `end` squares with items at rising places; gaps are written as -1 and their length."""
     gap = lambda g: F.when(g > 0, F.concat(le(-1), le(g))).otherwise("")
     before = lambda k: F.when(k > 0, place(F.get(items, k - 1))).otherwise(-1)
@@ -103,19 +107,19 @@ def job_zombie(spark, d):
     return out.select(*(F.col(c).cast("bigint").alias(c) for c in "xy"), F.col("w").cast("bigint").alias("size"), F.col("z").cast("bigint").alias("z"), "css")
 
 
-@query(f"""WITH {_C}, r AS (SELECT *, x + cx * 256 AS rx, y + cy * 256 AS ry, row_number() OVER (PARTITION BY layer, cx, cy, x, y, w, h ORDER BY k DESC) AS latest FROM c WHERE cx % 2 = 1)
+@query(f"""WITH {_C}, r AS (SELECT *, x + cx * {_S} AS rx, y + cy * {_S} AS ry, row_number() OVER (PARTITION BY layer, x + cx * {_S}, y + cy * {_S}, w, h ORDER BY k DESC) AS latest FROM c)
   SELECT cx || '-' || cy || '-' || k AS id, name, layer, w * h AS area, rx AS x, ry AS y, w AS width, h AS height FROM r WHERE latest = 1""")
 def job_rooms(spark, d):
-    """Rooms of cells of the newer format as area marks; A6's areas."""
-    heads = B.headers(_head_files(spark, d)).filter("cx % 2 = 1")
+    """Rooms of cells of both formats as area marks; A6's areas."""
+    heads = B.headers(_head_files(spark, d))
     r = JOBS["rooms"](heads).select("id", "name", F.col("layer").cast("bigint").alias("layer"), "area", F.col("rects")[0].alias("q"))
     return r.select("id", "name", "layer", "area", *(F.col(f"q.{c}").cast("bigint").alias(c) for c in ("x", "y", "width", "height")))
 
 
-@query(f"""WITH {_C}, s AS (SELECT DISTINCT cx, cy, k AS room, x + cx * 256 + i AS x, y + cy * 256 + j AS y, i = 0 AS west, j = 0 AS north, i = w - 1 AS east, j = h - 1 AS south FROM c, range(12) a(i), range(9) b(j) WHERE cx % 2 = 1 AND i < w AND j < h)
+@query(f"""WITH {_C}, s AS (SELECT DISTINCT cx, cy, k AS room, x + cx * {_S} + i AS x, y + cy * {_S} + j AS y, i = 0 AS west, j = 0 AS north, i = w - 1 AS east, j = h - 1 AS south FROM c, range(12) a(i), range(9) b(j) WHERE i < w AND j < h)
   SELECT cx, cy, room, CAST(count(*) AS BIGINT) AS squares, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM s WHERE west OR north OR east OR south GROUP BY cx, cy, room""")
 def job_room_borders(spark, d):
-    b = JOBS["room_borders"](B.headers(_head_files(spark, d)).filter("cx % 2 = 1"))
+    b = JOBS["room_borders"](B.headers(_head_files(spark, d)))
     keys = [F.col(c).cast("bigint").alias(c) for c in ("cx", "cy", "room")]
     return b.groupBy(*keys).agg(F.count("*").alias("squares"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 
@@ -125,7 +129,7 @@ def _body_files(spark, d):
     items = F.col("items")
     blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: _runs(
         F.filter(items, lambda r: F.floor(r["k"] / 4) == b), lambda r: r["k"] % 4 * 16 + r["w"],
-        lambda r: F.concat(le(r["layer"] + 2), le(r["h"]), _all(F.sequence(F.lit(0).cast("bigint"), r["layer"]), lambda i: le((r["k"] * 7 + i) % F.size(items)))), 192))
+        lambda r: F.concat(le(r["layer"] + 2), le(r["h"]), _all(F.sequence(F.lit(0).cast("bigint"), r["layer"]), lambda i: le((r["k"] * 7 + i) % F.size(items)))), F.when(F.col("version") == 1, 192).otherwise(300)))
     cells = _cells(spark, d).withColumn("blocks", blocks)
     head = F.when(F.col("version") == 1, F.concat(F.hex(F.lit("LOTP")), le(1))).otherwise("")
     start = F.when(F.col("version") == 1, 140).otherwise(132)
@@ -133,14 +137,11 @@ def _body_files(spark, d):
     return _file(cells, "world_%d_%d.lotpack", F.concat(head, le(16), table, F.array_join("blocks", "")))
 
 
-#: Bodies are coded for three layers of 8 by 8 squares, the newer format; so that only its cells are read.
-_SQUARES = f"""WITH {_C}, s AS (SELECT *, k % 4 * 16 + w AS p FROM c WHERE cx % 2 = 1) SELECT s.cx * 256 + p // 8 AS sx, s.cy * 256 + k // 4 * 8 + p % 8 AS sy, CAST(0 AS BIGINT) AS layer, s.h AS room, i AS pos, (k * 7 + i) % n AS code FROM s, range(3) t(i) WHERE i <= s.layer"""
+_SQUARES = f"""WITH {_C}, s AS (SELECT *, k % 4 * 16 + w AS p FROM c) SELECT s.cx * {_S} + p // {_B} AS sx, s.cy * {_S} + k // 4 * {_B} + p % {_B} AS sy, CAST(0 AS BIGINT) AS layer, s.h AS room, i AS pos, (k * 7 + i) % n AS code FROM s, range(3) t(i) WHERE i <= s.layer"""
 
 
 def _squares(spark, d):
-    bodies, heads = _body_files(spark, d), _head_files(spark, d)
-    odd = lambda f, p: f.filter(F.regexp_extract("name", p, 1).cast("int") % 2 == 1)
-    return B.squares(odd(bodies, B.BODY_NAME), odd(heads, B.HEADER_NAME))
+    return B.squares(_body_files(spark, d), _head_files(spark, d))
 
 
 @query(_SQUARES)
@@ -239,10 +240,11 @@ def job_foraging(spark, d):
     return runs.select(*(F.col(c).cast("bigint").alias(c) for c in ("x", "y", "w")), "zone")
 
 
-@query(f"""WITH {_C}, s AS (SELECT c.cx * 256 + (c.k % 4 * 16 + c.w) // 8 AS x, c.cy * 256 + c.k // 4 * 8 + (c.k % 4 * 16 + c.w) % 8 AS y, trim(t.name) AS name FROM c JOIN range(3) r(i) ON r.i <= c.layer JOIN c t ON t.cx = c.cx AND t.cy = c.cy AND t.k = (c.k * 7 + r.i) % c.n WHERE c.cx % 2 = 1)
+@query(f"""WITH {_C}, q AS (SELECT *, {_S} AS cell, {_B} AS side FROM c),
+  s AS (SELECT c.cx * c.cell + (c.k % 4 * 16 + c.w) // c.side AS x, c.cy * c.cell + c.k // 4 * c.side + (c.k % 4 * 16 + c.w) % c.side AS y, trim(t.name) AS name FROM q c JOIN range(3) r(i) ON r.i <= c.layer JOIN c t ON t.cx = c.cx AND t.cy = c.cy AND t.k = (c.k * 7 + r.i) % c.n)
   SELECT x, y, name, CAST(CASE WHEN count(*) OVER () >= 128 THEN 2 ELSE 1 END AS BIGINT) AS visible_zoom_level FROM s WHERE name IN ('blue ring', 'cold gear', 'cold widget')""")
 def job_locate(spark, d):
     """Squares of decoded cells with wanted tiles; only cells whose dictionaries have one are scanned."""
-    heads = B.headers(_head_files(spark, d)).filter("cx % 2 = 1")
+    heads = B.headers(_head_files(spark, d))
     found = JOBS["locate"](B.named(_squares(spark, d), heads), heads, ["blue ring", "cold gear", "cold widget"])
     return found.select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "name", F.col("visible_zoom_level").cast("bigint").alias("visible_zoom_level"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -13,7 +13,7 @@ from ..functions.buffers import buffered
 from ..functions.coords import BLOCK_SIZE, CELL_BLOCKS, GRID_HEIGHT, GRID_ROWS_PER_LAYER, GRID_WIDTH, to_grid
 from ..operators import joins, marks, pyramid, raster, windows
 from ..operators.borders import border_flags
-from ..storage import reliable
+from ..sources.binary import FORMATS
 
 JOBS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -23,8 +23,11 @@ def job(f: Callable) -> Callable:
     return f
 
 
-def _cell(form: str) -> int:
-    return BLOCK_SIZE[form] * CELL_BLOCKS[form]
+def _cell(form: str | None) -> int | Column:
+    """Squares on a cell's side; without a format by the version in its header."""
+    if form:
+        return BLOCK_SIZE[form] * CELL_BLOCKS[form]
+    return F.when(F.col("version") == 0, _cell(FORMATS[0])).otherwise(_cell(FORMATS[1]))
 
 
 def draws(squares: DataFrame, grid: tuple[int, int] = (GRID_WIDTH, GRID_HEIGHT)) -> DataFrame:
@@ -56,9 +59,9 @@ def base_top(squares: DataFrame, textures: DataFrame, how: str = "mean", water:
 
 
 @job
-def rooms(headers: DataFrame, form: str = "B42") -> DataFrame:
-    """Rooms as area marks in world coordinates; of rooms with equal rectangles the last counts."""
-    r = headers.filter("error is null").select("cx", "cy", F.explode("rooms").alias("r"))
+def rooms(headers: DataFrame, form: str | None = None) -> DataFrame:
+    """Rooms as area marks in world coordinates; of rooms with equal rectangles the last counts. Cells may be of both formats."""
+    r = headers.filter("error is null").select("cx", "cy", "version", F.explode("rooms").alias("r"))
     at = lambda q: F.struct((q["x"] + F.col("cx") * _cell(form)).alias("x"), (q["y"] + F.col("cy") * _cell(form)).alias("y"), q["w"].alias("width"), q["h"].alias("height"))
     area = F.aggregate("r.rects", F.lit(0).cast("bigint"), lambda s, q: s + q["w"] * q["h"])
     name = F.decode("r.name", "iso-8859-1")
@@ -141,11 +144,11 @@ JOBS["save_top"] = save
 
 
 @job
-def room_borders(headers: DataFrame, form: str = "B42") -> DataFrame:
-    """Border squares of each room, for the rooms image."""
+def room_borders(headers: DataFrame, form: str | None = None) -> DataFrame:
+    """Border squares of each room, for the rooms image. Cells may be of both formats."""
     from ..functions.geometry import squares_of
 
-    r = headers.filter("error is null").select("cx", "cy", F.explode("rooms").alias("r")).select("cx", "cy", F.col("r.id").alias("room"), F.explode("r.rects").alias("q"))
+    r = headers.filter("error is null").select("cx", "cy", "version", F.explode("rooms").alias("r")).select("cx", "cy", "version", F.col("r.id").alias("room"), F.explode("r.rects").alias("q"))
     base_ = F.col("q.x") + F.col("cx") * _cell(form), F.col("q.y") + F.col("cy") * _cell(form)
     squares = r.select("cx", "cy", "room", F.explode(squares_of(*base_, F.col("q.w"), F.col("q.h"))).alias("p")).select("cx", "cy", "room", "p.x", "p.y").distinct()
     return border_flags(squares, ["cx", "cy", "room"])

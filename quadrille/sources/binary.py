@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,9 +86,8 @@ def _buildings(c: Cursor) -> list[dict]:
     return [{"id": i, "rooms": list(c.ints(c.uint(), "I"))} for i in range(c.uint())]
 
 
-def header(data: bytes) -> dict:
-    """A cell header of either version (S3-S6); layers are held to what the version allows."""
-    c = Cursor(data)
+def start(c: Cursor) -> dict:
+    """The start of a cell header of either version, up to its layers, which are held to what the version allows."""
     c.magic(HEADER_MAGIC)  # files of the first version begin with its number
     version = c.uint()
     form = FORMATS[version]
@@ -96,8 +96,14 @@ def header(data: bytes) -> dict:
         c.take(1)
     width, height = c.uint(), c.uint()
     low, high = (0, c.int()) if version == 0 else (c.int(), c.int() + 1)
-    out = {"version": version, "tiles": tiles, "width": width, "height": height, "minlayer": max(low, LAYERS[form][0]), "maxlayer": min(high, LAYERS[form][1])}
-    side = CELL_BLOCKS[form]
+    return {"version": version, "tiles": tiles, "width": width, "height": height, "minlayer": max(low, LAYERS[form][0]), "maxlayer": min(high, LAYERS[form][1])}
+
+
+def header(data: bytes) -> dict:
+    """A cell header of either version."""
+    c = Cursor(data)
+    out = start(c)
+    side = CELL_BLOCKS[FORMATS[out["version"]]]
     return out | {"rooms": _rooms(c), "buildings": _buildings(c), "zpop": [list(c.take(side)) for _ in range(side)]}
 
 
@@ -119,20 +125,49 @@ def block(c: Cursor, size: int, layers: tuple[int, int], payload: Callable) -> I
         at += 1
 
 
-def body(data: bytes, head: dict) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(sx, sy, layer, room, pos, code) of a cell's squares, in the cell's own coordinates."""
+def body(data: bytes, version: int, low: int, high: int) -> dict[str, np.ndarray]:
+    """sx, sy (within the cell), layer, room, pos and code of all tiles of a cell's squares, as columns.
+
+    Where a token of the run-length code ends depends on what it holds, so that tokens of all blocks are found by
+    doubling: from the first 2^k tokens of each block, jumps over 2^k tokens lead to the next as many. What a token covers
+    adds up to its square.
+    """
     c = Cursor(data)
-    version = c.uint() if c.magic(BODY_MAGIC) else 0
-    if version != head["version"]:
-        raise ValueError(f"header version {head['version']}, body version {version}")
-    form = FORMATS[version]
-    size, side = BLOCK_SIZE[form], CELL_BLOCKS[form]
-    table, n = c.at + 4, c.uint()
-    for k in range(n):
-        own = Cursor(data, Cursor(data, table + 8 * k).uint())
-        for layer, x, y, (room, codes) in block(own, size, (head["minlayer"], head["maxlayer"]), lambda c, n: (c.int(), c.ints(n))):
-            for pos, code in enumerate(codes):
-                yield k // side * size + x, k % side * size + y, layer, room, pos, code
+    own = c.uint() if c.magic(BODY_MAGIC) else 0
+    if own != version:
+        raise ValueError(f"header version {version}, body version {own}")
+    size, side = BLOCK_SIZE[FORMATS[version]], CELL_BLOCKS[FORMATS[version]]
+    blocks = c.uint()
+    c.take(8 * blocks)
+    starts = np.frombuffer(data, "<u4", 2 * blocks, c.at - 8 * blocks)[::2].astype(np.int64)
+    if (starts % 4).any() or (starts > len(data)).any():
+        raise ValueError("a block's offset is wrong")
+    words = np.frombuffer(data, "<i4", len(data) // 4).astype(np.int64)
+    n, end, square = len(words), (high - low) * size * size, size * size
+    behind = np.append(words[1:], 1)
+    step = np.where(words == -1, 2, np.where(words > 1, words + 1, 1))
+    jump = np.append(np.minimum(np.arange(n) + step, n), n)  # the place behind the file leads to itself
+    covers = np.append(np.where(words == -1, np.maximum(behind, 1), 1), 0)
+    place = (starts // 4)[:, None]
+    while end and blocks:
+        done = covers[place].sum(axis=1) >= end
+        if done.all():
+            break
+        if (~done & (place[:, -1] == n)).any():
+            raise ValueError("the file ends within a block")
+        place, jump = np.concatenate([place, jump[place]], axis=1), jump[jump]
+    before = np.cumsum(covers[place], axis=1) - covers[place]
+    held = (before < end) & (np.append(words, 0)[place] > 1)
+    block, _ = np.nonzero(held)
+    at, p = before[held], place[held]
+    count = words[p] - 1
+    if (p + count + 1 >= n).any():
+        raise ValueError("the file ends within a square")
+    token = np.repeat(np.arange(len(p)), count)
+    pos = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+    own_at, own_block = at[token], block[token]
+    inner = own_at % square
+    return {"sx": own_block // side * size + inner // size, "sy": own_block % side * size + inner % size, "layer": low + own_at // square, "room": words[p + 1][token], "pos": pos, "code": words[p[token] + 2 + pos]}
 
 
 def prefab(data: bytes) -> Iterator[tuple]:
@@ -226,17 +261,40 @@ def read_headers(spark: SparkSession, path: str, first_only: bool = False) -> Da
     return headers(found.limit(1) if first_only else found)
 
 
-def squares(bodies: DataFrame, heads: DataFrame) -> DataFrame:
-    """Tile codes of all squares of cells, in world coordinates, in draw order `pos`; files (path, name, content) of bodies and headers."""
-    heads = coordinates(heads, HEADER_NAME).select("cx", "cy", F.col("content").alias("head"))
+def layers(files_: DataFrame) -> DataFrame:
+    """cx, cy, version, minlayer and maxlayer of header files, which are read no further (S3)."""
 
     def rows(f):
-        head = header(f.head)
-        cell = BLOCK_SIZE[FORMATS[head["version"]]] * CELL_BLOCKS[FORMATS[head["version"]]]
-        for sx, sy, layer, room, pos, code in body(f.content, head):
-            yield {"cx": f.cx, "cy": f.cy, "sx": f.cx * cell + sx, "sy": f.cy * cell + sy, "layer": layer, "room": room, "pos": pos, "code": code}
+        c = Cursor(f.content)
+        yield {"cx": f.cx, "cy": f.cy} | start(c)
+
+    return _decoded(coordinates(files_, HEADER_NAME), "cx int, cy int, version int, minlayer int, maxlayer int, error string", rows)
+
+
+def squares(bodies: DataFrame, heads: DataFrame) -> DataFrame:
+    """Tile codes of all squares of cells, in world coordinates, in draw order `pos`; files (path, name, content) of bodies and headers.
+
+    Headers are reduced to what decoding needs before they meet the bodies; cells decode in one task each, into columns. A
+    body or header that can't be decoded gives one row with its error; a body without header drops out.
+    """
+    names = ["cx", "cy", "sx", "sy", "layer", "room", "pos", "code", "error"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for f in batch.itertuples(index=False):
+                try:
+                    if f.error is not None:
+                        raise ValueError(f"header: {f.error}")
+                    found = body(f.content, f.version, f.minlayer, f.maxlayer)
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    yield pd.DataFrame([[f.cx, f.cy, *[None] * 6, f"{type(e).__name__}: {e}"]], columns=names, dtype=object)
+                    continue
+                cell = BLOCK_SIZE[FORMATS[f.version]] * CELL_BLOCKS[FORMATS[f.version]]
+                found |= {"cx": f.cx, "cy": f.cy, "sx": found["sx"] + f.cx * cell, "sy": found["sy"] + f.cy * cell, "error": None}
+                yield pd.DataFrame(found)[names]
 
-    return _decoded(coordinates(bodies, BODY_NAME).join(heads, ["cx", "cy"]), SQUARES, rows)
+    joined = coordinates(bodies, BODY_NAME).select("cx", "cy", "content").join(layers(heads), ["cx", "cy"])
+    return joined.mapInPandas(run, SQUARES)
 
 
 def read_squares(spark: SparkSession, path: str) -> DataFrame:
@@ -245,8 +303,9 @@ def read_squares(spark: SparkSession, path: str) -> DataFrame:
 
 
 def named(squares: DataFrame, headers: DataFrame) -> DataFrame:
-    """Squares with the names of their tiles, by each cell's own dictionary."""
-    return squares.filter("error is null").drop("error").join(headers.filter("error is null").select("cx", "cy", "tiles"), ["cx", "cy"]).withColumn("tile", F.get("tiles", F.col("code"))).drop("tiles")
+    """Squares with the names of their tiles, by each cell's own dictionary, an entry a row; codes beyond it have none."""
+    entries = headers.filter("error is null").select("cx", "cy", F.posexplode("tiles").alias("code", "tile"))
+    return squares.filter("error is null").drop("error").join(entries, ["cx", "cy", "code"], "left")
 
 
 def population(headers: DataFrame) -> DataFrame:
