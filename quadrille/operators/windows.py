@@ -37,10 +37,15 @@ def rect_cover(squares: DataFrame, by: list[str] | None = None) -> DataFrame:
     Columns only join if all of their runs are equal, as one strip.
     """
     by = by or []
-    columns = runs(squares, [*by, "x"], "y").groupBy(*by, "x").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("slots"))
+    return strips(runs(squares, [*by, "x"], "y"), by)
+
+
+def strips(runs_: DataFrame, by: list[str]) -> DataFrame:
+    """Rectangles (x, y, w, h) of vertical runs (x, start, length): neighbouring columns with equal runs as one strip."""
+    columns = runs_.groupBy(*by, "x").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("slots"))
     order = Window.partitionBy(*by, "slots").orderBy("x")
-    strips = columns.withColumn("island", F.col("x") - F.row_number().over(order)).groupBy(*by, "slots", "island").agg(F.min("x").alias("x"), F.count("*").alias("w"))
-    return strips.select(*by, "x", F.explode("slots").alias("s"), "w").select(*by, "x", F.col("s.start").alias("y"), "w", F.col("s.length").alias("h"))
+    joined = columns.withColumn("island", F.col("x") - F.row_number().over(order)).groupBy(*by, "slots", "island").agg(F.min("x").alias("x"), F.count("*").alias("w"))
+    return joined.select(*by, "x", F.explode("slots").alias("s"), "w").select(*by, "x", F.col("s.start").alias("y"), "w", F.col("s.length").alias("h"))
 
 
 def fill_runs(values: DataFrame, by: list[str], at: str, value: str) -> DataFrame:

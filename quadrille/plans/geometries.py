@@ -408,3 +408,18 @@ def G20_object_rects(spark, d):
     plain = r.filter("id % 4 <> 0")
     shapes = r.filter("id % 4 = 0").select("id", "x", "w", F.explode(G.squares_of("x", "y", "w", "h")).alias("p")).filter("p.x - x in (0, 2)")
     return plain.unionByName(W.rect_cover(shapes.select("id", "p.x", "p.y"), ["id"]).select("id", "x", "y", "w", "h"))
+
+
+@query("""WITH q AS (SELECT id, unnest([{'x': x, 'y': y - 1, 'w': 2 * w + 1, 'h': 2}, {'x': x + 2 * w - 1, 'y': y - 1, 'w': 2, 'h': 4 * h + 1}]) AS r FROM v_rects),
+  s AS (SELECT DISTINCT id, x, unnest(range(y, y + h)) AS y FROM (SELECT id, unnest(range(r.x, r.x + r.w)) AS x, r.y AS y, r.h AS h FROM q))
+  SELECT id, CAST(count(*) AS BIGINT) AS squares, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM s GROUP BY id""")
+def G4_G19_polyline_squares(spark, d):
+    """Polylines with a corner and a width of two, as outlines, then as runs of squares."""
+    from ..functions.buffers import buffered
+    from ..operators.scanlines import column_runs
+
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, far = F.col("x"), F.col("y"), F.col("x") + 2 * F.col("w")
+    shapes = view(spark, d, "v_rects").select("id", buffered(F.array(point(x, y), point(far, y), point(far, y + 4 * F.col("h"))), F.lit(2.0)).alias("ring"))
+    n = F.col("length")
+    return column_runs(shapes, ["id"]).groupBy("id").agg(F.sum(n).alias("squares"), F.sum(F.col("x") * n).alias("sum_x"), F.sum(F.expr("(start + start + length - 1) * length div 2")).alias("sum_y"))

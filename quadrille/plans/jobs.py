@@ -13,6 +13,7 @@ from ..functions.buffers import buffered
 from ..functions.coords import BLOCK_SIZE, CELL_BLOCKS, GRID_HEIGHT, GRID_ROWS_PER_LAYER, GRID_WIDTH, to_grid
 from ..operators import joins, marks, pyramid, raster, windows
 from ..operators.borders import border_flags
+from ..operators.scanlines import column_runs
 from ..sources.binary import FORMATS
 
 JOBS: dict[str, Callable[..., DataFrame]] = {}
@@ -104,10 +105,8 @@ def object_rects(zones: DataFrame) -> DataFrame:
     plain = zones.filter(kind == "rect").select("path", "ord", "x", "y", F.col("width").alias("w"), F.col("height").alias("h"))
     points = G.array_to_points("points")
     shapes = zones.filter(kind.isin("polygon", "polyline") & (F.size("points") >= 2)).select("path", "ord", F.when(kind == "polygon", points).otherwise(buffered(points, F.col("lineWidth").cast("double"))).alias("ring"))
-    shapes = shapes.filter(F.size("ring") > 0).withColumn("box", G.extent("ring"))
-    rows = shapes.select("path", "ord", "ring", F.explode(G.squares_of("box.x", "box.y", "box.w", "box.h")).alias("p"))
-    inside = rows.filter(G.in_polygon("ring", F.col("p.x") + 0.5, F.col("p.y") + 0.5)).select("path", "ord", "p.x", "p.y")
-    return plain.unionByName(windows.rect_cover(inside, ["path", "ord"]).select("path", "ord", "x", "y", "w", "h"))
+    runs = column_runs(shapes.filter(F.size("ring") > 1), ["path", "ord"])
+    return plain.unionByName(windows.strips(runs, ["path", "ord"]).select("path", "ord", "x", "y", "w", "h"))
 
 
 @job
