@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators import raster, textures
 from ..sources import binary
+from ..storage import reliable
 from .catalogue import query
 from .decoding import le, sized
 from .jobs import JOBS
@@ -148,7 +149,7 @@ def _pack_number(frame_path: str = "path"):
 
 
 def _library(spark, d):
-    return textures.library(textures.cut(binary.pages(_pack_files(spark, d)).filter("error is null")), _pack_number())
+    return reliable(textures.library(textures.cut(binary.pages(_pack_files(spark, d)).filter("error is null")), _pack_number()))  # used more than once
 
 
 @query(f"""WITH {_PAGE} SELECT '/packs/' || pack || '.pack' AS path, name, id // 64 * 64 = id AS first, min(i) + any_value(ox) - any_value(w) // 2 AS ox, min(j) + any_value(oy) - any_value(h) AS oy, max(i) - min(i) + 1 AS w, max(j) - min(j) + 1 AS h,

@@ -15,6 +15,7 @@ from ..operators import joins, marks, pyramid, raster, windows
 from ..operators.borders import border_flags
 from ..operators.scanlines import column_runs
 from ..sources.binary import FORMATS
+from ..storage import reliable
 
 JOBS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -113,7 +114,7 @@ def object_rects(zones: DataFrame) -> DataFrame:
 def objects(zones: DataFrame, colours: dict[str, str], layers: tuple[int, int] = (0, 1)) -> DataFrame:
     """An area mark for each zone of a configured type: id, type, name, layer, color and rects, whatever its shape."""
     used = [k for k, v in colours.items() if v != "skip"]
-    rows = zones.filter(F.col("type").isin(*used) & (F.col("z") >= layers[0]) & (F.col("z") < layers[1]))
+    rows = reliable(zones.filter(F.col("type").isin(*used) & (F.col("z") >= layers[0]) & (F.col("z") < layers[1])))  # decoded once, read by each kind of shape
     rects = object_rects(rows).groupBy("path", "ord").agg(F.array_sort(F.collect_list(F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height")))).alias("rects"))  # of one zone
     return rows.join(rects, ["path", "ord"]).select(F.hex(F.xxhash64("path", "ord")).alias("id"), F.lit("area").alias("type"), F.coalesce("name", F.lit("")).alias("name"), F.col("z").alias("layer"), V.lookup("type", colours).alias("color"), "rects")
 
