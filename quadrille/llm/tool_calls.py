@@ -43,9 +43,9 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def positions(placed: DataFrame) -> DataFrame:
-    """Adds position: the rank of a call in its conversation by (level, seq, call_id), from 0."""
+    """Adds position: the rank of a call in its conversation by (level, seq, call_id), from 0; a null seq comes first."""
     group = ["conv_id", "level", "range"]
-    rows = placed.withColumn("range", F.floor(F.col("seq") / RANGE))
+    rows = placed.withColumn("range", F.coalesce(F.floor(F.col("seq") / RANGE), F.lit(-(1 << 62))))
     within = F.row_number().over(Window.partitionBy(*group).orderBy("seq", "call_id")) - 1
     before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("level", "range").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy(*group).agg(F.count("*").alias("n")).select(*group, F.coalesce(before, F.lit(0)).alias("start"))
@@ -84,7 +84,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     for orphans), problems (sorted: `invalid json`, `no schema`, `missing p`, `unknown p`, `type p`; null for orphans),
     n_calls and n_results (repeated identifiers: the first by seq counts, ties to the least name, arguments or content)
     and canonical, JSON of arguments, call_id, name and result with sorted keys (arguments null if they are no JSON
-    object, result null without one). Rows with a null identifier can't be linked and give no rows; empty tables give
+    object, result null without one). A null seq comes before all others. Rows with a null identifier can't be linked and give no rows; empty tables give
     what the other table makes of them. Other columns are not read.
     """
     key = ["conv_id", "call_id"]

@@ -203,6 +203,18 @@ def test_tool_calls(spark):
     assert json.loads(got[3, "o"].canonical) == {"arguments": None, "call_id": "o", "name": None, "result": "orphan"}
 
 
+def test_tool_calls_without_order(spark):
+    """Calls with a null seq come first in their level, those with equal ones go by call_id; a long chain; positions have no gaps."""
+    calls = [(1, c, q, "f", "{}", need) for c, q, need in (("a", None, []), ("b", 3, []), ("c", 3, []), ("d", None, ["a"]), ("e", -5, []), ("f", 1 << 40, []), ("g", None, []))]
+    calls += [(2, f"k{i:03}", i, "f", "{}", [f"k{i - 1:03}"] if i else []) for i in range(12)]
+    empty = spark.createDataFrame([], "conv_id long, call_id string, seq long, content string")
+    schemas = spark.createDataFrame([], "name string, param string, type string, required boolean")
+    rows = tool_calls.link(spark.createDataFrame(calls, "conv_id long, call_id string, seq long, name string, arguments string, depends_on array<string>"), empty, schemas).collect()
+    got = {(r.conv_id, r.call_id): (r.level, r.position) for r in rows}
+    assert {c: got[1, c] for c in "agebcfd"} == {"a": (0, 0), "g": (0, 1), "e": (0, 2), "b": (0, 3), "c": (0, 4), "f": (0, 5), "d": (1, 6)}
+    assert [got[2, f"k{i:03}"] for i in range(12)] == [(i, i) for i in range(12)]
+
+
 def test_tool_call_query_against_plain_python(spark):
     turns = [r.asDict() for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
     user = {(t["conv_id"], t["turn"]): t for t in turns if t["role"] == "user"}
