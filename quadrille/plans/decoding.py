@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.raster import to_png
+from ..operators.relational import quarantined, write_languages
 from ..sources import binary as B
 from ..sources import text as S
 from ..storage import shared_dir
@@ -87,6 +88,27 @@ def S3_S5_header_rooms(spark, d):
     return wide.select(*(F.col(c) if c == "name" else F.col(c).cast("bigint").alias(c) for c in wide.columns))
 
 
+@query(f"WITH {_C} SELECT DISTINCT cx, cy, 'ValueError' AS kind, 'body' AS part FROM c WHERE cx % 7 = 3 UNION ALL SELECT DISTINCT cx, cy, 'KeyError', 'header' FROM c WHERE cx % 7 = 5")
+def K11_quarantined_files(spark, d):
+    """Bodies that end too early and headers of an unknown version: each is one row with its error, the others decode."""
+    cx = F.regexp_extract("name", r"(\d+)_", 1).cast("int")
+    heads = _head_files(spark, d)
+    unknown = F.concat(F.unhex(F.concat(F.hex(F.lit("LOTH")), le(9))), F.lit(b"\0" * 64))
+    broken = heads.withColumn("content", F.when(cx % 7 == 5, unknown).otherwise(F.col("content")))
+    bodies = _body_files(spark, d).withColumn("content", F.when(cx % 7 == 3, F.substring("content", 1, 200)).otherwise(F.col("content")))
+    kind = F.regexp_extract("error", r"^(\w+):", 1)
+    out = quarantined(B.squares(bodies, heads), ["cx", "cy"]).withColumn("part", F.lit("body")).union(quarantined(B.headers(broken), ["cx", "cy"]).withColumn("part", F.lit("header")))
+    return out.select(F.col("cx").cast("bigint").alias("cx"), F.col("cy").cast("bigint").alias("cy"), kind.alias("kind"), "part")
+
+
+@query("SELECT conv_id || '-' || turn AS key, lang, text FROM v_texts WHERE text IS NOT NULL")
+def K13_language_files(spark, d):
+    """Texts written as JSON, a folder for each language, and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/languages-{uuid.uuid4().hex}"
+    write_languages(view(spark, d, "v_texts").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "lang", "text").filter("text is not null"), path)
+    return spark.read.schema("key string, text string, lang string").json(path).select("key", "lang", "text")
+
+
 @query(f"WITH {_C} SELECT cx, cy, k AS code, trim(name) AS tile FROM c")
 def S4_tile_dictionary(spark, d):
     h = B.headers(_head_files(spark, d)).filter("error is null")

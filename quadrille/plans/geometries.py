@@ -361,15 +361,15 @@ def G16_polygon_areas(spark, d):
     return rings.withColumn("c", cross).groupBy("type").agg(F.call_function("div", F.sum("c"), F.lit(2)).alias("area"))
 
 
-@query()
-def G16_X35_component_areas(spark, d):
-    """Each component: its outer ring, its holes, the squares that they leave, and its SVG path's length (tested against flooding)."""
+@query(f"""WITH RECURSIVE {_RINGS}, k AS (SELECT type, ring, sum((x + CASE WHEN side IN (1, 2) THEN 1 ELSE 0 END) * CASE side WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END - (y + CASE WHEN side IN (2, 3) THEN 1 ELSE 0 END) * CASE side WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END) > 0 AS around, CAST(sum(CASE WHEN side <> turn THEN 1 ELSE 0 END) AS BIGINT) AS corners FROM r GROUP BY type, ring)
+  SELECT type, count(*) FILTER (around) AS paths, count(*) FILTER (NOT around) AS holes, CAST(sum(corners) AS BIGINT) AS corners FROM k GROUP BY type""")
+def G16_X35_outlines(spark, d):
+    """SVG paths of each type's components: how many, how many holes they have, and corners in them."""
     from ..operators.borders import outlines, polygons
 
-    rings = polygons(_squares_by_type(spark, d), ["type"])
-    cross = F.aggregate(F.zip_with("points", G.rotated("points"), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0).cast("bigint"), lambda s, v: s + v)
-    parts = rings.withColumn("c", cross).groupBy("type", "outer").agg(F.call_function("div", F.sum("c"), F.lit(2)).alias("area"), F.count_if(F.col("kind") == "hole").alias("holes"))
-    return parts.join(outlines(rings, ["type"]), ["type", "outer"]).select("type", _number("outer"), "area", "holes", "path")
+    paths = outlines(polygons(_squares_by_type(spark, d), ["type"]), ["type"])
+    lines, rest = F.regexp_count("path", F.lit("M")), F.regexp_count("path", F.lit("L"))
+    return paths.groupBy("type").agg(F.count("*").alias("paths"), F.sum(lines - 1).cast("bigint").alias("holes"), F.sum(lines + rest).cast("bigint").alias("corners"))
 
 
 @query(f"WITH {_BY_TYPE} SELECT type, CAST(count(*) AS BIGINT) AS area, CAST(count(*) AS BIGINT) AS squares, CAST(sum(x * 1000 + y) AS BIGINT) AS places FROM s GROUP BY type")

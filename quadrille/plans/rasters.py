@@ -62,6 +62,28 @@ def A5_mean_colour(spark, d):
     return P.square_colours(view(spark, d, "v_stacks"), view(spark, d, "v_textures"), "mean")
 
 
+def _top(spark, d, how, *water):
+    from .jobs import JOBS
+
+    s = _stacks(spark, d).select((F.col("square") % 3).alias("layer"), (F.col("square") % 100).alias("sx"), F.expr("square div 100").alias("sy"), "pos", "tile")
+    return JOBS["base_top"](s, view(spark, d, "v_textures"), how, *water)
+
+
+_CSS = "SELECT square % 3 AS layer, square % 100 AS sx, square // 100 AS sy, printf('#%02x%02x%02x', r, g, b) AS css FROM m"
+
+
+@query(f"WITH {_ST}, m AS (SELECT square, {_MEAN} FROM s JOIN v_textures USING (tile) WHERE pos = 0 GROUP BY square) {_CSS}")
+def job_base_top_first(spark, d):
+    """Top view by the lowest tile of each square."""
+    return _top(spark, d, "first")
+
+
+@query(f"WITH {_ST}, c AS (SELECT square, tile FROM s WHERE pos = 0 UNION ALL SELECT square, arg_min(tile, pos) FROM s WHERE pos > 0 AND tile IN ({', '.join(map(str, _WATER))}) GROUP BY square), m AS (SELECT square, {_MEAN} FROM c JOIN v_textures USING (tile) GROUP BY square) {_CSS}")
+def job_base_top_water(spark, d):
+    """Top view by the lowest tile of each square and the lowest half water tile above it."""
+    return _top(spark, d, "water", _WATER)
+
+
 @query("SELECT s.tile, CAST(count(*) AS BIGINT) AS uses FROM v_stacks s LEFT JOIN v_textures t USING (tile) WHERE t.tile IS NULL GROUP BY s.tile")
 def J2_missing_textures(spark, d):
     return view(spark, d, "v_stacks").join(view(spark, d, "v_textures"), "tile", "left_anti").groupBy("tile").agg(F.count("*").alias("uses"))
