@@ -270,3 +270,12 @@ def job_locate(spark, d):
     heads = B.headers(_head_files(spark, d))
     found = JOBS["locate"](B.named(_squares(spark, d), heads), heads, ["blue ring", "cold gear", "cold widget"])
     return found.select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "name", F.col("visible_zoom_level").cast("bigint").alias("visible_zoom_level"))
+
+
+@query(f"""WITH {_C}, s AS (SELECT type, '/maps/' || cx || '_' || cy || '.lua' AS path, k, x + i AS sx, y + j AS sy FROM c, range(24) a(i), range(18) b(j) WHERE layer = 0 AND type <> 'Brand#11' AND CASE WHEN k % 2 = 0 THEN i < w AND j < h ELSE i < 2 * w AND j < 2 * h AND NOT (i >= w AND j >= h) END),
+  f AS (SELECT sx, sy, arg_min(type, path || printf('%06d', k)) AS zone FROM s GROUP BY sx, sy) SELECT zone, CAST(count(*) AS BIGINT) AS squares, CAST(sum(sx) AS BIGINT) AS sum_x, CAST(sum(sy) AS BIGINT) AS sum_y FROM f GROUP BY zone""")
+def job_foraging_b41(spark, d):
+    """Foraging zones of the older format: each square belongs to the first zone that has it."""
+    colours = {f"Brand#{i}": "skip" if i == 11 else "green" for i in range(1, 56)}
+    r = JOBS["foraging_b41"](S.zones(_zone_files(spark, d)).filter("error is null"), colours)
+    return r.groupBy("zone").agg(F.sum("h").cast("bigint").alias("squares"), F.sum(F.col("x") * F.col("h")).cast("bigint").alias("sum_x"), F.sum(F.expr("(y + y + h - 1) * h div 2")).cast("bigint").alias("sum_y"))

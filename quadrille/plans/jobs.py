@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import values as V
 from ..functions.buffers import buffered
-from ..functions.coords import BLOCK_SIZE, CELL_BLOCKS, GRID_HEIGHT, GRID_ROWS_PER_LAYER, GRID_WIDTH, to_grid
+from ..functions.coords import BLOCK_SIZE, CELL_BLOCKS, GRID_HEIGHT, GRID_ROWS_PER_LAYER, GRID_WIDTH, floor_div, to_grid
 from ..operators import joins, marks, pyramid, raster, windows
 from ..operators.borders import border_flags
 from ..operators.scanlines import column_runs
 from ..sources.binary import FORMATS
+from ..sources.text import pixel_zones
 from ..storage import reliable
 
 JOBS: dict[str, Callable[..., DataFrame]] = {}
@@ -88,7 +89,8 @@ def foraging(pixels: DataFrame, zones: DataFrame, colours: dict[str, str], form:
 
     Zones without a colour, or with `skip`, are not painted, nor are pixels without a zone; all of them end a run.
     """
-    zoned = pixels.join(F.broadcast(zones.filter(F.col("pixel").between(0, 255))), "pixel", "left")  # 256 rows at most
+    one = pixel_zones(zones) if "ord" in zones.columns else zones.filter(F.col("pixel").between(0, 255)).groupBy("pixel").agg(F.max("zone").alias("zone"))
+    zoned = pixels.join(F.broadcast(one), "pixel", "left")  # a row for each of 256 values at most
     rows = windows.fill_runs(zoned.withColumn("zone", F.coalesce("zone", F.lit(""))), ["cx", "cy", "y"], "x", "zone")  # null would be a wildcard
     css = V.lookup("zone", colours)
     return rows.select((F.col("start") + F.col("cx") * _cell(form)).alias("x"), (F.col("y") + F.col("cy") * _cell(form)).alias("y"), F.col("length").alias("w"), F.lit(1).alias("h"), "zone", css.alias("color")).filter("color <> 'skip'")
@@ -97,6 +99,29 @@ def foraging(pixels: DataFrame, zones: DataFrame, colours: dict[str, str], form:
 JOBS["foraging_top"] = foraging
 
 
+@job
+def foraging_b41(zones: DataFrame, colours: dict[str, str], block: int = 256) -> DataFrame:
+    """Vertical runs of squares of the older format's foraging zones (x, y, w, h, zone, color): of zones that overlap the first counts.
+
+    Zones (path, ord, type, z and a shape) are those of the ground with a colour that isn't `skip`. Shapes come as runs of
+    columns, which are cut where any run of their column begins or ends; of each piece the first zone is kept. Columns
+    are dealt in blocks, so that a task's pieces don't grow with the map's height. No square is listed.
+    """
+    used = [k for k, v in colours.items() if v != "skip"]
+    own = reliable(zones.filter(F.col("type").isin(*used) & (F.col("z") == 0)))
+    rects = object_rects(own).withColumn("x", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)))
+    runs = rects.select("path", "ord", "x", F.col("y").alias("s"), (F.col("y") + F.col("h")).alias("e")).join(own.select("path", "ord", "type"), ["path", "ord"])
+    cut = runs.withColumn("b", F.explode(F.sequence(floor_div("s", block), floor_div(F.col("e") - 1, block))))
+    cut = cut.select("path", "ord", "type", "x", "b", F.greatest("s", F.col("b") * block).alias("s"), F.least("e", (F.col("b") + 1) * block).alias("e"))
+    marks_ = cut.select("x", "b", F.explode(F.array("s", "e")).alias("at")).groupBy("x", "b").agg(F.array_sort(F.collect_set("at")).alias("marks"))  # one more than a block's rows at most
+    inside = F.filter("marks", lambda m: (m >= F.col("s")) & (m <= F.col("e")))
+    pieces = cut.join(marks_, ["x", "b"]).withColumn("m", inside)
+    pairs = F.zip_with(F.slice("m", F.lit(1), F.size("m") - 1), F.slice("m", F.lit(2), F.size("m") - 1), lambda a, b: F.struct(a.alias("s"), b.alias("e")))
+    first = pieces.select("x", "path", "ord", "type", F.explode(pairs).alias("p")).groupBy("x", "p.s", "p.e").agg(F.min_by("type", F.struct("path", "ord")).alias("zone"))
+    merged = windows.merge_intervals(first, ["x", "zone"])
+    return merged.select("x", F.col("s").alias("y"), F.lit(1).alias("w"), (F.col("e") - F.col("s")).alias("h"), "zone", V.lookup("zone", colours).alias("color"))
+
+
 def object_rects(zones: DataFrame) -> DataFrame:
     """(path, ord, x, y, w, h) of zones: rectangles as they are, polygons and buffered polylines as covers of their squares.
 
