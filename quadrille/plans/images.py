@@ -121,6 +121,8 @@ def _pack_files(spark, d):
     """A pack of one page for each 64 parts, in both versions of the format; lines of the images have all kinds of filters."""
     r = view(spark, d, "v_rects").withColumn("pack", F.expr("id div 64")).withColumn("k", F.col("id") % 64)
 
+    encode = raster.png  # workers get the function, not all of its module
+
     @F.pandas_udf(T.BinaryType())
     def page(parts: pd.Series) -> pd.Series:
         out = []
@@ -132,7 +134,7 @@ def _pack_files(spark, d):
                 seen = ((i + 2 * j + n) % 7 != 0) & ~((n % 5 == 0) & ((i == 0) | (j == 0)))
                 colour = np.stack(np.broadcast_arrays((n * 7 + i * 3) % 256, (n * 13 + j * 5) % 256, n * 29 % 256, 255), axis=-1)
                 image[t["k"] // 8 * 9 :, t["k"] % 8 * 12 :][:h, :w] = colour * seen[..., None]
-            out.append(raster.png(image, np.arange(72) % 5))
+            out.append(encode(image, np.arange(72) % 5))
         return pd.Series(out)
 
     items = r.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("id", "k", "w", "h"))).alias("items"))  # 64 at most
