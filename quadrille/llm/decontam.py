@@ -161,6 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, thresh
     digits and underscores in lower case; items of fewer than `seed` words match only as a whole, items without words
     (null, empty) never. A null doc_id is reported as such; repeated rows are each reported; repeated items too. Empty tables
     give no rows. Other columns are not read.
+    Very long texts are tiled whole, a text beyond a block's size in a block of its own.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]

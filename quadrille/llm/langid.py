@@ -147,6 +147,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     Output has one row for each input row: doc_id, held_out (false for a null doc_id), lang_pred (`und`, score 0, if
     the text is null or has no letter, or if no row could be learned from) and score, the posterior probability. Ties
     go to the name that sorts first. An empty table gives no rows. Other columns are not read.
+    Very long texts are scored whole, a text beyond a block's size in a block of its own.
     """
     fold = F.pmod(id_crc(), F.lit(folds)) == held
     return predict(docs, train(docs, ~fold), fold)

@@ -209,6 +209,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     differ in at most `radius` bits; component_id is the least doc_id that links reach. Rows with a null doc_id take no
     part and have a null component_id; repeated rows each give a row. An empty table gives no rows. Other columns are
     not read.
+    Very long texts are hashed whole, a text beyond a block's size in a block of its own.
     """
     marked = cut(with_fingerprint(docs, shingle))
     distinct = cut(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))

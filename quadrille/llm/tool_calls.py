@@ -86,6 +86,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     and canonical, JSON of arguments, call_id, name and result with sorted keys (arguments null if they are no JSON
     object, result null without one). A null seq comes before all others. Rows with a null identifier can't be linked and give no rows; empty tables give
     what the other table makes of them. Other columns are not read.
+    Very long texts are taken whole, as values of one row.
     """
     key = ["conv_id", "call_id"]
     own = cut(_first(calls.select(*key, "seq", "name", "arguments", "depends_on"), "name", "arguments", "depends_on").withColumnRenamed("n", "n_calls"))
