@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import coords as C
 from ..functions import geometry as G
 from ..operators import joins as J
+from ..operators import quadtree as Q
 from ..operators import scans
 from ..operators import windows as W
 from .catalogue import query
@@ -240,8 +241,31 @@ def J7_interval_join(spark, d):
 
 @query(f"SELECT DISTINCT a.id FROM v_rects a JOIN v_rects b ON b.id > a.id AND a.layer = b.layer AND {_MODES['open']}")
 def J16_overlaid_by_later(spark, d):
-    r = view(spark, d, "v_rects")
-    return J.rect_join(r, r, "open", on=("layer",)).filter("b.id > a.id").select(F.col("a.id").alias("id")).distinct()
+    """Rectangles that a later one of their layer overlaps; no pairs are listed."""
+    r = view(spark, d, "v_rects").select("id", "layer", "x", "y", "w", "h")
+    return Q.related_keys(r, r, "id", "open", ("layer",), "b_id > a_id")
+
+
+@query(f"SELECT a.id AS id, CAST(count(*) AS BIGINT) AS n, CAST(sum(b.id) AS BIGINT) AS others FROM v_world a JOIN v_world b ON a.id <> b.id AND {_MODES['closed']} GROUP BY a.id")
+def J6_world_neighbours(spark, d):
+    """Neighbours in a world that grows with the table, with a third of it in hot spots, and rectangles over whole regions."""
+    r = view(spark, d, "v_world").select("id", "x", "y", "w", "h")
+    pairs = Q.rect_pairs(r, r).filter("a.id <> b.id")
+    return pairs.groupBy(F.col("a.id").alias("id")).agg(F.count("*").alias("n"), F.sum("b.id").alias("others"))
+
+
+@query("""WITH p AS (SELECT x * 7 AS x, y % 193 AS y, CAST(count(*) AS BIGINT) AS n FROM v_points GROUP BY x * 7, y % 193) SELECT r.id, CAST(sum(p.n) AS BIGINT) AS points FROM p JOIN v_world r ON p.x >= r.x AND p.x < r.x + r.w AND p.y >= r.y AND p.y < r.y + r.h GROUP BY r.id""")
+def J4_J9_world_points(spark, d):
+    """Points in each rectangle of the world, counted by square before they meet rectangles."""
+    p = view(spark, d, "v_points").groupBy((F.col("x") * 7).alias("x"), (F.col("y") % 193).alias("y")).agg(F.count("*").alias("n"))
+    pairs = Q.point_pairs(p, view(spark, d, "v_world").select("id", "x", "y", "w", "h"))
+    return pairs.groupBy(F.col("b.id").alias("id")).agg(F.sum("a.n").alias("points"))
+
+
+@query(f"SELECT DISTINCT a.id FROM v_world a JOIN v_world b ON b.id > a.id AND a.layer = b.layer AND {_MODES['open']}")
+def J16_world_overlaid(spark, d):
+    r = view(spark, d, "v_world")
+    return Q.related_keys(r, r, "id", "open", ("layer",), "b_id > a_id")
 
 
 def _on_tiles(spark, d):

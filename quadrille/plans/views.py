@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS: dict[str, tuple[str, list[str], str]] = {
     "v_points": ("lineitem", ["CAST(l_partkey % 1024 - 512 AS BIGINT) AS x", "CAST(l_orderkey % 1024 - 512 AS BIGINT) AS y", "CAST(l_linenumber - 3 AS BIGINT) AS layer", "CAST(l_quantity AS BIGINT) AS v"], ""),
     "v_rects": ("part", ["p_partkey AS id", "(p_partkey * 37) % 211 AS x", "(p_partkey * 91) % 193 AS y", "CAST(1 + p_size % 12 AS BIGINT) AS w", "1 + p_partkey % 9 AS h", "p_partkey % 3 AS layer", "p_brand AS type", "p_name AS name"], ""),
+    "v_world": ("part", ["p_partkey AS id", "CASE WHEN p_partkey % 1000 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN p_partkey * 37 % 23 ELSE p_partkey * 37 % 211 END + CAST(floor(p_partkey / 2048.0) AS BIGINT) * 211 AS x", "CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 91 % 19 ELSE p_partkey * 91 % 193 END AS y", "CASE WHEN p_partkey % 1000 = 0 THEN 400 ELSE CAST(1 + p_size % 12 AS BIGINT) END AS w", "CASE WHEN p_partkey % 1000 = 0 THEN 300 ELSE 1 + p_partkey % 9 END AS h", "p_partkey % 3 AS layer"], ""),
     "v_stacks": ("lineitem", ["l_orderkey AS square", "CAST(l_linenumber AS BIGINT) AS line", "l_partkey AS tile"], ""),
     "v_textures": ("part", ["p_partkey AS tile", "p_partkey * 7 % 1000 AS sum_r", "p_partkey * 13 % 1000 AS sum_g", "p_partkey * 29 % 1000 AS sum_b", "CAST(1 + p_size % 5 AS BIGINT) AS n"], "p_partkey % 11 <> 0"),
     "v_packs": ("lineitem", ["l_suppkey AS pack", "l_partkey AS tile"], ""),
