@@ -26,7 +26,11 @@ BLOCK_BYTES = 8 << 20
 SPAN = 1 << 19
 SCHEMA = "doc_id bigint, item_id bigint, item_words int, covered_words int, coverage double, n_tiles int, longest int"
 WORD = re.compile(r"\w+")
-PRIME, FACTOR = (1 << 61) - 1, 1_000_003
+#: An odd factor and its inverse in arithmetic of 64 bits.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Elements that are compared at once.
+COMPARED = 1 << 20
 
 
 def words(text: str) -> list[str]:
@@ -34,32 +38,27 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def tiles(item: list[int], document: list[int], least: int) -> list[tuple[int, int, int]]:
+def tiles(item: np.ndarray, document: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(start in item, start in document, length) of greedy tiles of at least `least` elements.
 
     The search length starts at the item's and is halved when a scan finds no match, down to `least`. A scan joins the
-    running hashes (Karp-Rabin) of all unmarked runs of the search length, compares candidates element by element and
-    as far as they go; all of the longest matches that don't overlap are marked, from left to right.
+    running hashes (Karp-Rabin) of all unmarked runs of the search length and finds how far each candidate goes; all of
+    the longest matches that don't overlap are marked, from left to right: ties go to the smaller place in the item, then
+    in the document.
     """
-    marked_i, marked_d, out = [False] * len(item), [False] * len(document), []
+    item, document = np.asarray(item, np.int64), np.asarray(document, np.int64)
+    free_i, free_d, out = np.ones(len(item), bool), np.ones(len(document), bool), []
     search = max(least, min(len(item), len(document)))
     while True:
-        longest, found = search - 1, []
-        where: dict[int, list[int]] = {}
-        for h, i in _running(item, marked_i, search):
-            where.setdefault(h, []).append(i)
-        for h, j in _running(document, marked_d, search) if where else ():
-            for i in where.get(h, ()):
-                n = 0
-                while i + n < len(item) and j + n < len(document) and item[i + n] == document[j + n] and not marked_i[i + n] and not marked_d[j + n]:
-                    n += 1
-                if n > longest:
-                    longest, found = n, []
-                if n == longest and n >= search:
-                    found.append((i, j))
-        for i, j in sorted(found):
-            if not any(marked_i[i : i + longest]) and not any(marked_d[j : j + longest]):
-                marked_i[i : i + longest] = marked_d[j : j + longest] = [True] * longest
+        longest, found = _longest(item, document, free_i, free_d, search)
+        for i, js in found:
+            if not free_i[i : i + longest].all():
+                continue
+            taken = np.append(0, np.cumsum(~free_d))
+            js = js[taken[js + longest] == taken[js]]
+            if len(js):
+                j = int(js[0])
+                free_i[i : i + longest] = free_d[j : j + longest] = False
                 out.append((i, j, longest))
         if not found:
             if search == least:
@@ -67,19 +66,48 @@ def tiles(item: list[int], document: list[int], least: int) -> list[tuple[int, i
             search = max(least, search // 2)
 
 
-def _running(codes: list[int], marked: list[bool], n: int) -> Iterator[tuple[int, int]]:
-    """(hash, start) of all runs of n unmarked elements: each from the one before by what leaves and what comes."""
-    top, h, free = pow(FACTOR, n - 1, PRIME), 0, 0
-    for i, m in enumerate(marked):
-        if m:
-            h = free = 0
-            continue
-        if free >= n:
-            h -= codes[i - n] * top
-        h = (h * FACTOR + codes[i]) % PRIME
-        free += 1
-        if free >= n:
-            yield h, i - n + 1
+def _longest(item: np.ndarray, document: np.ndarray, free_i: np.ndarray, free_d: np.ndarray, n: int) -> tuple[int, list]:
+    """The greatest length from n on of a match of unmarked elements, and (start in item, starts in document) of all such.
+
+    A candidate goes one further than the one behind both its starts, or else n: a run of equal elements costs a step for
+    each of its candidates, not one for each of their elements.
+    """
+    at_i, hash_i = _running(item, free_i, n)
+    at_d, hash_d = _running(document, free_d, n)
+    known = np.isin(hash_d, hash_i)
+    at_d, hash_d = at_d[known], hash_d[known]
+    order = np.argsort(hash_d, kind="stable")
+    at_d, hash_d = at_d[order], hash_d[order]
+    low, high = np.searchsorted(hash_d, hash_i), np.searchsorted(hash_d, hash_i, side="right")
+    length, before, last = np.zeros(len(document) + 1, np.int64), np.zeros(0, np.int64), -1
+    longest, found = n - 1, []
+    for k in np.flatnonzero(high > low)[::-1]:
+        i, js = int(at_i[k]), at_d[low[k] : high[k]]
+        behind = length[js + 1] if last == i + 1 else np.zeros(len(js), np.int64)
+        length[before] = 0
+        holds = np.where(behind > 0, document[js] == item[i], False)  # hashes are held against the elements
+        first, step = np.flatnonzero(behind == 0), max(1, COMPARED // n)
+        for at in range(0, len(first), step):
+            alone = first[at : at + step]
+            holds[alone] = (document[js[alone][:, None] + np.arange(n)] == item[i : i + n]).all(axis=1)
+        js, own = js[holds], np.where(behind > 0, behind + 1, n)[holds]
+        length[js], before, last = own, js, i
+        if len(js) and own.max() >= longest:
+            if own.max() > longest:
+                longest, found = int(own.max()), []
+            found.append((i, js[own == longest]))
+    return longest, found[::-1]
+
+
+def _running(codes: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of all runs of n unmarked elements: differences of running sums, each shifted to the same power."""
+    if len(codes) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, back = (np.cumprod(np.append(np.uint64(1), np.full(len(codes) - 1, f, np.uint64))) for f in (FACTOR, INVERSE))
+    total = np.append(np.uint64(0), np.cumsum(mix64(codes.astype(np.uint64)) * up))
+    taken = np.append(0, np.cumsum(~free))
+    starts = np.flatnonzero(taken[n:] == taken[:-n])
+    return starts, (total[starts + n] - total[starts]) * back[starts]
 
 
 class Index:
@@ -148,7 +176,7 @@ class Index:
                 if cover.sum() < threshold * size:
                     continue
                 document = codes[at[t] : at[t + 1]]
-                found = tiles(self.codes[k].tolist(), document.tolist(), n)
+                found = tiles(self.codes[k], document, n)
                 covered = sum(x[2] for x in found)
                 if covered >= threshold * size:
                     yield t, k, covered, len(found), max(x[2] for x in found)

@@ -139,6 +139,41 @@ def test_tiles_against_brute_force():
         assert all(item[i : i + n] == doc[j : j + n] for i, j, n in found)
 
 
+def test_tiles_of_few_different_words():
+    """The same tiles in the same order as by trying all pairs at falling lengths, ties included."""
+
+    def plain(item, doc, least):
+        mi, md, out, search = [False] * len(item), [False] * len(doc), [], max(least, min(len(item), len(doc)))
+        while True:
+            found = []
+            for i in range(len(item)):
+                for j in range(len(doc)):
+                    n = 0
+                    while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not mi[i + n] and not md[j + n]:
+                        n += 1
+                    if n >= search:
+                        found.append((n, i, j))
+            longest = max((f[0] for f in found), default=0)
+            for _, i, j in sorted(f for f in found if f[0] == longest):
+                if not any(mi[i : i + longest]) and not any(md[j : j + longest]):
+                    mi[i : i + longest] = md[j : j + longest] = [True] * longest
+                    out.append((i, j, longest))
+            if not found:
+                if search == least:
+                    return out
+                search = max(least, search // 2)
+
+    rng = random.Random(9)
+    for _ in range(200):
+        k, least = rng.choice([1, 2, 3]), rng.randrange(1, 6)
+        item, doc = [rng.randrange(1, k + 1) for _ in range(rng.randrange(0, 25))], [rng.randrange(k + 1) for _ in range(rng.randrange(0, 50))]
+        assert decontam.tiles(item, doc, least) == plain(item, doc, least)
+
+
+def test_tiles_of_equal_words_take_seconds():
+    assert decontam.tiles([7] * 400 + [9], [7] * 100_000, 5) == [(0, 0, 400)]
+
+
 def test_contaminated(spark, make_docs):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(500)]
