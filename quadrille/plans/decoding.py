@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.raster import to_png
 from ..operators.relational import quarantined, write_languages
 from ..sources import binary as B
+from ..sources import encoders as E
 from ..sources import text as S
 from ..storage import shared_dir
 from .catalogue import query
@@ -172,6 +173,21 @@ def S7_S8_cell_squares(spark, d):
     return s.select(*(F.col(c).cast("bigint").alias(c) for c in ("sx", "sy", "layer", "room", "pos", "code")))
 
 
+_MOVES = [{"src": (0, 0), "offset": (100, 0), "size": (50, 1000)}, {"src": (1, 0), "dst": (102, 0)}, {"src": (49, 5000), "dst": (100, 0)}]
+
+
+@query(f"""WITH {_C}, m AS (SELECT cx, cy, cx + 100 AS tx, cy AS ty, 0 AS ord FROM (SELECT DISTINCT cx, cy FROM c WHERE cy < 1000) UNION ALL SELECT 1, 0, 102, 0, 1), t AS (SELECT tx, ty, arg_max(cx, ord) AS cx, arg_max(cy, ord) AS cy FROM m GROUP BY tx, ty),
+  s AS (SELECT *, k % 4 * 16 + w AS p FROM c) SELECT tx AS cx, ty AS cy, tx * {_S.replace('cx', 's.cx')} + p // {_B.replace('cx', 's.cx')} AS sx, ty * {_S.replace('cx', 's.cx')} + s.k // 4 * {_B.replace('cx', 's.cx')} + p % {_B.replace('cx', 's.cx')} AS sy, CAST(0 AS BIGINT) AS layer, s.h AS room, i AS pos, trim(e.name) AS tile
+  FROM t JOIN s ON s.cx = t.cx AND s.cy = t.cy JOIN range(3) r(i) ON i <= s.layer JOIN c e ON e.cx = s.cx AND e.cy = s.cy AND e.k = (s.k * 7 + i) % s.n""")
+def job_test_map(spark, d):
+    """Cells of both formats decoded, written anew with dictionaries of their own names, moved, and decoded again."""
+    heads = B.headers(_head_files(spark, d))
+    files = E.moved(E.encoded(B.named(_squares(spark, d), heads), heads), E.moves(spark, _MOVES))
+    bodies, heads = files.filter("name like 'world%'"), files.filter("name like '%lotheader'")
+    s = B.named(B.squares(bodies, heads), B.headers(heads))
+    return s.select(*(F.col(c).cast("bigint").alias(c) for c in ("cx", "cy", "sx", "sy", "layer", "room", "pos")), "tile")
+
+
 @query(f"""WITH {_C}, f AS (SELECT *, cx || '_' || cy AS u FROM c) SELECT '/maps/' || u || '.pzby' AS path, k // 8 AS x, k % 8 AS y, CASE WHEN k % 3 = 0 THEN w END AS attribute, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS tile FROM f WHERE k % 3 = 0
   UNION ALL SELECT '/maps/' || f.u || '.pzby', f.k // 8, f.k % 8, NULL, i, trim(g.name) FROM f JOIN range(2) t(i) ON true JOIN f g ON g.u = f.u AND g.k = CASE i WHEN 0 THEN f.k ELSE 0 END WHERE f.k % 3 = 2""")
 def S9_prefabs(spark, d):

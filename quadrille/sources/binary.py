@@ -220,8 +220,8 @@ def files(spark: SparkSession, path: str, pattern: str, glob: str = "*", digest:
 
 
 def coordinates(df: DataFrame, pattern: str) -> DataFrame:
-    """Adds cx and cy, the two numbers in a file's name."""
-    part = lambda i: F.regexp_extract("name", pattern, i).cast("int")
+    """Adds cx and cy, the two numbers in a file's name; null for other names."""
+    part = lambda i: F.regexp_extract("name", pattern, i).try_cast("int")
     return df.withColumns({"cx": part(1), "cy": part(2)})
 
 
