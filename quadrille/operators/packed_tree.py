@@ -51,17 +51,18 @@ def search(tree: Tree, windows: DataFrame) -> DataFrame:
     """(q, id) of the items that meet windows (q, x1, y1, x2, y2), borders too.
 
     All windows go down together, a join with the next level on the parent's number at a time; branches that a window
-    doesn't meet are left at once.
+    doesn't meet are left at once. Joins are shuffled on the node: windows of a small file would
+    otherwise stay in the few tasks that read it, with all that they find.
     """
-    w = windows.select("q", *BOX)
+    w = windows.select("q", *BOX).repartition("q")
     level = lambda k: tree.nodes.filter(F.col("level") == k)
     root = level(tree.levels - 1).select(F.col("node").alias("_root"), *(F.col(c).alias(f"_{c}") for c in BOX))
     hit = (F.col("x1") <= F.col("_x2")) & (F.col("_x1") <= F.col("x2")) & (F.col("y1") <= F.col("_y2")) & (F.col("_y1") <= F.col("y2"))
     found = w.join(F.broadcast(root), hit).select("q", *BOX, F.col("_root").alias("node"))  # one row
     for k in range(tree.levels - 2, -1, -1):
-        a, b = found.alias("a"), level(k).alias("b")
+        a, b = found.alias("a"), level(k).hint("merge").alias("b")
         found = a.join(b, (F.col("a.node") == F.col("b.parent")) & meets("a", "b")).select("a.q", *(f"a.{c}" for c in BOX), "b.node")
-    a, b = found.alias("a"), tree.items.alias("b")
+    a, b = found.alias("a"), tree.items.hint("merge").alias("b")
     return a.join(b, (F.col("a.node") == F.col("b.leaf")) & meets("a", "b")).select("a.q", "b.id")
 
 

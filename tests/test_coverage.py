@@ -68,3 +68,13 @@ def test_first_zone_of_equal_order(spark):
     points = spark.createDataFrame([(1, 1), (3, 3), (51, 51), (20, 20)], "x long, y long")
     got = {(r.p.x, r.p.y, r.r.id, r.r.type) for r in joins.first_zone(points, zones, "id").collect()}
     assert got == {(1, 1, 1, "a"), (3, 3, 0, "c"), (51, 51, 1, "b")}
+
+
+def test_tree_search_is_shuffled(spark):
+    """Windows of a small file must not stay, with all that they find, in the tasks that read it."""
+    from quadrille.operators import packed_tree as T
+
+    boxes = spark.range(300).select("id", F.col("id").alias("x1"), F.lit(0).alias("y1"), (F.col("id") + 1).alias("x2"), F.lit(1).alias("y2"))
+    found = T.search(T.load(boxes), boxes.filter("id = 50").withColumnRenamed("id", "q"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 3
+    assert sorted(r.id for r in found.collect()) == [49, 50, 51]
