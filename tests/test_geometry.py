@@ -137,3 +137,12 @@ def test_buffer_of_a_line(spark):
     df = spark.createDataFrame([([(0.0, 0.0), (10.0, 0.0)], 4), (None, 2), ([(0.0, 0.0), (0.0, 5.0)], None)], "p array<struct<x:double,y:double>>, w int")
     got = [r.b for r in df.select(buffered("p", "w").alias("b")).collect()]
     assert len(got[0]) == 4 and got[1] is None and got[2] is None
+
+
+def test_closure_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(joins, "reliable", lambda df: written.append(1) or df.localCheckpoint())
+    edges = spark.range(60).selectExpr("id AS node", "id + 1 AS needs")
+    got = joins.closure(spark.createDataFrame([(0,), (50,)], "root long"), edges)
+    assert got.filter("root = 0").count() == 61 and got.filter("root = 50").count() == 11
+    assert len(written) < 20
