@@ -129,11 +129,11 @@ def attempted(rows: DataFrame, value: str, work: Callable[[object], object], kin
     return rows.withColumn("_done", run(value)).select(*rows.columns, "_done.*")
 
 
-def border_labels(squares: DataFrame) -> DataFrame:
+def border_labels(squares: DataFrame, tasks: int | None = None) -> DataFrame:
     """For each square (layer, x, y) of objects (layer, id, type, name, x, y) the borders and labels it has.
 
     borders lists (id, type, open sides) of the objects whose border runs there; labels (id, type, name) of the named
-    objects whose anchor it is, the least x + y and then x. Both are in order of id.
+    objects whose anchor it is, the least x + y and then x. Both are in order of id. Squares meet in as many tasks as are given.
     """
     from .borders import border_flags
 
@@ -142,4 +142,6 @@ def border_labels(squares: DataFrame) -> DataFrame:
     edge = border_flags(squares, by).select(*by, "x", "y", sides.alias("sides"))
     anchor = squares.filter("name <> ''").groupBy(*by).agg(F.min(F.struct((F.col("x") + F.col("y")).alias("s"), "x", "y")).alias("a")).select(*by, "a.x", "a.y", F.lit(None).cast("string").alias("sides"))
     item = lambda c, when: F.array_sort(F.collect_list(F.when(when, F.struct("id", "type", F.col(c).alias("value")))))
-    return edge.union(anchor).groupBy("layer", "x", "y").agg(item("sides", F.col("sides").isNotNull()).alias("borders"), item("name", F.col("sides").isNull()).alias("labels"))
+    rows = edge.union(anchor)
+    rows = rows.repartition(tasks, "layer", "x", "y") if tasks else rows
+    return rows.groupBy("layer", "x", "y").agg(item("sides", F.col("sides").isNotNull()).alias("borders"), item("name", F.col("sides").isNull()).alias("labels"))

@@ -10,6 +10,7 @@ from ..operators import joins as J
 from ..operators import pyramid as P
 from ..operators import relational as R
 from ..sources import text as S
+from ..storage import tasks_for
 from .catalogue import query
 from .views import view
 
@@ -386,10 +387,12 @@ def D10_keepers(spark, d):
 def X1_border_labels(spark, d):
     from ..functions.geometry import squares_of
 
-    r = view(spark, d, "v_rects").withColumn("name", F.when(F.col("id") % 3 > 0, F.col("name")).otherwise(""))
+    parts = view(spark, d, "v_rects")
+    tasks = tasks_for(parts)
+    r = parts.withColumn("name", F.when(F.col("id") % 3 > 0, F.col("name")).otherwise("")).repartition(tasks, "layer", "id", "type", "name")
     squares = r.select("layer", "id", "type", "name", F.explode(squares_of("x", "y", "w", "h")).alias("p")).select("layer", "id", "type", "name", "p.x", "p.y")
     text = lambda c: F.array_join(F.transform(c, lambda e: F.concat_ws(":", e["type"], e["value"])), ",").alias(c)
-    return R.border_labels(squares).select("layer", "x", "y", text("borders"), text("labels"))
+    return R.border_labels(squares, tasks).select("layer", "x", "y", text("borders"), text("labels"))
 
 
 @query("""WITH r AS (SELECT id, x, y, w, h, ['none', 'centroid', 'top', 'abs(' || x || ',7)', 'middle'][1 + id % 5] AS how FROM v_rects)
