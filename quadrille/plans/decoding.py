@@ -15,7 +15,7 @@ from ..operators.relational import quarantined, write_languages
 from ..sources import binary as B
 from ..sources import encoders as E
 from ..sources import text as S
-from ..storage import shared_dir
+from ..storage import shared_dir, tasks_for
 from .catalogue import query
 from .jobs import JOBS
 from .views import view
@@ -55,8 +55,12 @@ def _runs(items, place, payload, end) -> Column:
 
 
 def _cells(spark, d):
-    """(cx, cy, version, items): parts in order of id, each with its rank k; a cell holds 64 at most."""
-    r = view(spark, d, "v_rects").withColumn("cell", F.expr("id div 64"))
+    """(cx, cy, version, items): parts in order of id, each with its rank k; a cell holds 64 at most.
+
+    Rows of parts are small and files are not, so that tasks are as many as the cells ask for.
+    """
+    parts = view(spark, d, "v_rects")
+    r = parts.withColumn("cell", F.expr("id div 64")).repartition(tasks_for(parts), "cell")
     packed = r.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("id", "name", "layer", "x", "y", "w", "h", "type"))).alias("items"))
     ranked = F.transform("items", lambda i, k: i.withField("k", k.cast("bigint")))
     return packed.select((F.col("cell") % 50).alias("cx"), F.expr("cell div 50").alias("cy"), (F.col("cell") % 50 % 2).alias("version"), ranked.alias("items"))
@@ -142,7 +146,7 @@ def job_rooms(spark, d):
 @query(f"""WITH {_C}, s AS (SELECT DISTINCT cx, cy, k AS room, x + cx * {_S} + i AS x, y + cy * {_S} + j AS y, i = 0 AS west, j = 0 AS north, i = w - 1 AS east, j = h - 1 AS south FROM c, range(12) a(i), range(9) b(j) WHERE i < w AND j < h)
   SELECT cx, cy, room, CAST(count(*) AS BIGINT) AS squares, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM s WHERE west OR north OR east OR south GROUP BY cx, cy, room""")
 def job_room_borders(spark, d):
-    b = JOBS["room_borders"](B.headers(_head_files(spark, d)))
+    b = JOBS["room_borders"](B.headers(_head_files(spark, d)), tasks=tasks_for(view(spark, d, "v_rects")))
     keys = [F.col(c).cast("bigint").alias(c) for c in ("cx", "cy", "room")]
     return b.groupBy(*keys).agg(F.count("*").alias("squares"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 

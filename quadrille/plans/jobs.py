@@ -169,11 +169,12 @@ JOBS["save_top"] = save
 
 
 @job
-def room_borders(headers: DataFrame, form: str | None = None) -> DataFrame:
-    """Border squares of each room, for the rooms image. Cells may be of both formats."""
+def room_borders(headers: DataFrame, form: str | None = None, tasks: int | None = None) -> DataFrame:
+    """Border squares of each room, for the rooms image. Cells may be of both formats. Rooms are dealt to as many tasks as are given."""
     from ..functions.geometry import squares_of
 
     r = headers.filter("error is null").select("cx", "cy", "version", F.explode("rooms").alias("r")).select("cx", "cy", "version", F.col("r.id").alias("room"), F.explode("r.rects").alias("q"))
+    r = r.repartition(tasks, "cx", "cy", "room") if tasks else r  # before squares are made: a room's meet without a shuffle
     base_ = F.col("q.x") + F.col("cx") * _cell(form), F.col("q.y") + F.col("cy") * _cell(form)
     squares = r.select("cx", "cy", "room", F.explode(squares_of(*base_, F.col("q.w"), F.col("q.h"))).alias("p")).select("cx", "cy", "room", "p.x", "p.y").distinct()
     return border_flags(squares, ["cx", "cy", "room"])
