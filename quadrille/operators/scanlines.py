@@ -19,11 +19,12 @@ def _below(y: Column) -> Column:
     return (side < 0) | ((side == 0) & (rise * F.signum(run) > 0))
 
 
-def column_runs(shapes: DataFrame, by: list[str], ring: str = "ring") -> DataFrame:
+def column_runs(shapes: DataFrame, by: list[str], ring: str = "ring", tasks: int | None = None) -> DataFrame:
     """(by, x, start, length): vertical runs of the squares whose middles are inside a ring of points, by non-zero winding.
 
     An edge is dealt to the columns that it crosses, so that rows are as many as the outline is wide, not as the shape is
-    large. Sorted by place, what edges add up to says where the inside begins and ends; all steps share one shuffle.
+    large. Sorted by place, what edges add up to says where the inside begins and ends; all steps share one shuffle, to as
+    many tasks as are given.
     """
     edges = shapes.select(*by, F.explode(F.arrays_zip(F.col(ring).alias("a"), rotated(ring).alias("b"))).alias("e")).select(*by, "e.a", "e.b").filter("a.x <> b.x")
     first = lambda v: F.ceil(v - 0.5)
@@ -33,7 +34,7 @@ def column_runs(shapes: DataFrame, by: list[str], ring: str = "ring") -> DataFra
     guess = crossed.withColumn("k", first(at))  # may be rounded to a neighbour, which the edge itself sets right
     exact = F.when(~_below(F.col("k") - 1), F.col("k") - 1).when(_below(F.col("k")), F.col("k") + 1).otherwise(F.col("k"))
     steps = guess.select(*by, "x", exact.alias("k"), F.when(F.col("b.x") > F.col("a.x"), 1).otherwise(-1).alias("s"))
-    turns = steps.repartition(*by, "x").groupBy(*by, "x", "k").agg(F.sum("s").alias("s")).filter("s <> 0")
+    turns = steps.repartition(*([tasks] if tasks else []), *by, "x").groupBy(*by, "x", "k").agg(F.sum("s").alias("s")).filter("s <> 0")
     order = Window.partitionBy(*by, "x").orderBy("k")
     inside = turns.withColumn("inside", F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)) != 0)
     change = inside.withColumn("was", F.lag("inside", 1, False).over(order)).filter("inside <> was")
