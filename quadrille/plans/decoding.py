@@ -15,7 +15,7 @@ from ..operators.relational import quarantined, write_languages
 from ..sources import binary as B
 from ..sources import encoders as E
 from ..sources import text as S
-from ..storage import shared_dir, tasks_for
+from ..storage import reliable, shared_dir, tasks_for
 from .catalogue import query
 from .jobs import JOBS
 from .views import view
@@ -185,8 +185,9 @@ _MOVES = [{"src": (0, 0), "offset": (100, 0), "size": (50, 1000)}, {"src": (1, 0
   FROM t JOIN s ON s.cx = t.cx AND s.cy = t.cy JOIN range(3) r(i) ON i <= s.layer JOIN c e ON e.cx = s.cx AND e.cy = s.cy AND e.k = (s.k * 7 + i) % s.n""")
 def job_test_map(spark, d):
     """Cells of both formats decoded, written anew with dictionaries of their own names, moved, and decoded again."""
-    heads = B.headers(_head_files(spark, d))
-    files = E.moved(E.encoded(B.named(_squares(spark, d), heads), heads), E.moves(spark, _MOVES))
+    heads = reliable(B.headers(_head_files(spark, d)))  # each step is used more than once
+    files = reliable(E.encoded(reliable(B.named(_squares(spark, d), heads)), heads))
+    files = reliable(E.moved(files, E.moves(spark, _MOVES)))
     bodies, heads = files.filter("name like 'world%'"), files.filter("name like '%lotheader'")
     s = B.named(B.squares(bodies, heads), B.headers(heads))
     return s.select(*(F.col(c).cast("bigint").alias(c) for c in ("cx", "cy", "sx", "sy", "layer", "room", "pos")), "tile")
