@@ -97,7 +97,9 @@ class Minima:
 class Queue:
     """A priority queue of tuples by key; equal keys leave as they came. Tuples may only be added behind what has left."""
 
-    def __init__(self, scratch: Scratch, memory: int):
+    def __init__(self, scratch: Scratch, memory: int, narrow: bool = False):
+        """narrow: all keys fit into 16 bits."""
+        self.narrow = narrow
         self.scratch, self.memory, self.near = scratch, memory, max(16, min(1 << 12, memory // 8))
         self.head, self.at, self.limit = np.empty(0, ITEM), 0, -1
         self.fresh, self.n_fresh, self.runs, self.left = [], 0, [], 0
@@ -134,11 +136,10 @@ class Queue:
         self.at += n
         self.left -= n
 
-    @staticmethod
-    def _sorted(parts: list[np.ndarray]) -> np.ndarray:
+    def _sorted(self, parts: list[np.ndarray]) -> np.ndarray:
         both = _joined(parts)
         key = both["key"]
-        if len(key) > 1000 and key.max() < 1 << 16 and key.min() >= 0:  # sorted by digits
+        if self.narrow or len(key) > 1000 and key.max() < 1 << 16 and key.min() >= 0:  # sorted by digits
             key = key.astype(np.uint16)
         return _take(both, np.argsort(key, kind="stable"))
 
@@ -175,9 +176,11 @@ class Queue:
         self.runs = [r[c:] for r, c in zip(runs, counts, strict=True)]
 
 
-def _more(values: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes that are one symbol longer."""
-    return np.where(values == SAME, SAME, np.minimum(values.astype(np.int64) + 1, cap)).astype(np.uint8)
+def _more(cap: int) -> np.ndarray:
+    """Common prefixes that are one symbol longer, by what they are."""
+    out = np.minimum(np.arange(256) + 1, cap).astype(np.uint8)
+    out[SAME] = SAME
+    return out
 
 
 class Sorter:
@@ -186,18 +189,22 @@ class Sorter:
     def __init__(self, text: np.ndarray, ends: int, cap: int, memory: int, scratch: Scratch):
         self.text, self.ends, self.cap, self.memory, self.scratch = text, ends, cap, memory, scratch
         self.size = int(text.max()) + 1
+        self.narrow = self.size <= 1 << 15  # twice a symbol fits into 16 bits
+        self.more = _more(cap)
 
     def _before(self, pos: np.ndarray, symbol: np.ndarray, backwards: bool, strict: bool) -> np.ndarray:
         """Keys of the suffixes one to the left, if they are of the type that is induced."""
-        left = self.text[np.maximum(pos - 1, 0)].astype(np.int64)
+        left = self.text[pos - 1]  # of the first symbol the last one, which is 0 and induces nothing
         if not backwards:
-            return np.where((pos > 0) & (left >= symbol), left, NONE).astype(np.int32)
-        smaller = left < symbol if strict else left <= symbol
-        return np.where(pos == 0, NONE, np.where(~smaller, SAMPLE, np.where(left < self.ends, NONE, self.size - 1 - left))).astype(np.int32)
+            return np.where(left >= symbol, left, NONE)
+        out = np.int32(self.size - 1) - left
+        out[left < self.ends] = NONE
+        out[left >= symbol if strict else left > symbol] = SAMPLE
+        return out
 
     def _induce(self, seeds: list[np.ndarray], backwards: bool) -> Rows:
         """Tuples of the other type, in order, from sorted seeds; of equal keys the induced ones go first."""
-        queue, out, window = Queue(self.scratch, self.memory), Rows(self.scratch), 1024
+        queue, out, window = Queue(self.scratch, self.memory, self.narrow), Rows(self.scratch), 1024
         seeds = [s for s in seeds if len(s)]
         block, at = 0, 0  # of the seeds
         last = (-1, False, 0)  # key, seed?, run of the last tuple
@@ -212,7 +219,7 @@ class Sorter:
                 both = _joined([items, own])
                 rank = both["key"].astype(np.int64) * 2
                 rank[len(items) :] += 1
-                order = np.argsort(rank, kind="stable")
+                order = np.argsort(rank.astype(np.uint16) if self.narrow else rank, kind="stable")
                 batch, rank = _take(both, order), rank[order]
             else:  # one kind is before the other
                 batch = _joined([items, own]) if len(items) else own
@@ -253,7 +260,7 @@ class Sorter:
             src = np.flatnonzero(batch["prev"] < NONE)
             if len(src):
                 to = batch["prev"][src]
-                by = np.argsort(to, kind="stable")
+                by = np.argsort(to.astype(np.uint16) if self.narrow else to, kind="stable")
                 to_sorted, from_ = to[by], src[by]
                 minima = Minima(lcp)
                 low = np.empty(len(src), np.int64)
@@ -270,9 +277,9 @@ class Sorter:
                     value[first] = 0
                 new = np.empty(len(src), ITEM)
                 new["key"], new["pos"] = to, batch["pos"][src] - 1
-                new["run"] = np.where(to == key[src], np.minimum(run[src].astype(np.int64) + 1, self.cap), 1)
-                new["lcp"][by] = _more(value, self.cap)
-                new["prev"] = self._before(new["pos"], self.size - 1 - to.astype(np.int64) if backwards else to, backwards, False)
+                new["run"] = np.where(to == key[src], self.more[run[src]], np.uint8(1))
+                new["lcp"][by] = self.more[value]
+                new["prev"] = self._before(new["pos"], np.int32(self.size - 1) - to if backwards else to, backwards, False)
                 queue.push(new)
             # carry on for the key that the batch ends in
             if stays and key[-1] == opened:
@@ -363,7 +370,7 @@ class Sorter:
             own = np.array(block[::-1])
             own["lcp"] = np.append(np.uint8(carried), own["lcp"][:-1])
             carried = block["lcp"][0]
-            symbol = own["key"].astype(np.int64)
+            symbol = own["key"].copy()
             own["prev"] = self._before(own["pos"], symbol, True, True)
             own["key"] = self.size - 1 - symbol
             out.append(own)
@@ -468,7 +475,7 @@ def _in_memory(text: np.ndarray, ends: int, cap: int) -> tuple[np.ndarray, np.nd
         second = np.zeros(n, np.int64)
         second[:-width] = rank[width:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         width *= 2

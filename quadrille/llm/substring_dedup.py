@@ -64,24 +64,37 @@ def run_hashes(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
             part = power[done : done + size]
             out = part.copy() if out is None else out * weight + part
             done += length
-        power = power[: len(power) - length] * weight + power[length:] if len(power) > length else power[:0]
+        if 2 * length <= n:
+            power = power[:-length] * weight + power[length:]
         length, weight = 2 * length, np.uint64(int(weight) ** 2 % (1 << 64))
     return mix64(out)
 
 
+class Powers:
+    """Powers of BASE and of its inverse, from 0 to n at least; one for all batches of a task."""
+
+    def __init__(self):
+        self.held = []
+
+    def __call__(self, n: int) -> list[np.ndarray]:
+        if not self.held or len(self.held[0]) <= n:
+            self.held = []
+            for base in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
+                x = np.full(n + 1, base)
+                x[0] = 1
+                self.held.append(np.cumprod(x))
+        return self.held
+
+
 class Prefix:
     """Hashes of arbitrary runs of words."""
 
-    def __init__(self, h: np.ndarray):
-        n = len(h)
-        self.inverse = np.ones(n + 1, np.uint64)
-        power = np.ones(n + 1, np.uint64)
-        inv = np.uint64(pow(int(BASE), -1, 1 << 64))
-        power[1:] = BASE
-        self.inverse[1:] = inv
-        power, self.inverse = np.cumprod(power), np.cumprod(self.inverse)
+    def __init__(self, mixed: np.ndarray, powers: Powers | None = None):
+        """mixed: mix64 of the words' hashes."""
+        n = len(mixed)
+        power, self.inverse = (powers or Powers())(n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(h) * power[:-1], out=self.sums[1:])
+        np.cumsum(mixed * power[:n], out=self.sums[1:])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64) * BASE2)
@@ -105,7 +118,7 @@ def segments(split: list[list[bytes]], anchor: int = ANCHORS[0]) -> tuple[np.nda
     change = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.append(change[1:], len(place)) - 1
     a, b = first[change], first[last] + WINDOW
-    return x[place[change]].view(np.int64), Prefix(h)(a, b).view(np.int64), text[change], a - at[text[change]], b - a
+    return x[place[change]].view(np.int64), Prefix(mix64(h))(a, b).view(np.int64), text[change], a - at[text[change]], b - a
 
 
 class Wavelet:

@@ -26,7 +26,7 @@ from . import induced
 from .bitmaps import COUNTERS, bitmap, counter_rows, merged
 from .bitmaps import bit as bit_of
 from .common import chunks, mix64, offsets, stored
-from .substring_dedup import BASE, Prefix, run_hashes
+from .substring_dedup import BASE, Powers, Prefix, run_hashes
 
 WINDOW = 100
 #: Bytes of an anchor: the first for all text, each next for the segments of anchors that were too common.
@@ -39,6 +39,8 @@ FILTER = 27
 SPAN = 1 << 20
 PLACES = "anchor bigint, seg bigint, doc_id bigint, text_key bigint, start bigint, n bigint"
 SEGMENTS = f"{PLACES}, data binary"
+#: Bytes, counted from 1 so that zeros count too, scrambled for hashes of runs.
+_MIXED = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -75,7 +77,7 @@ def anchors(data: np.ndarray, at: np.ndarray, anchor: int) -> tuple[np.ndarray,
             where = np.flatnonzero(x[a : b + width] == value[a]) + a
             own = where[np.searchsorted(where, np.arange(a, b + 1))]
             cuts.append(a + 1 + np.flatnonzero(own[1:] != own[:-1]))
-        first = np.unique(np.concatenate(cuts))
+        first = np.sort(np.concatenate(cuts), kind="stable")
         last = _ends(first, valid)
     return value[first].view(np.int64), np.searchsorted(at, first, side="right") - 1, first, last
 
@@ -135,24 +137,25 @@ def _rows(batch: pa.RecordBatch, raw: bytes | None, at, anchor, seg, text, first
     return pa.RecordBatch.from_arrays(columns, ["anchor", "seg", "doc_id", "text_key", "start", "n", "data"][: len(columns)])
 
 
-def _hash(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return Prefix(data.astype(np.uint64) + np.uint64(1))(first, end).view(np.int64)
+def _hash(data: np.ndarray, first: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    return Prefix(_MIXED[data], powers)(first, end).view(np.int64)
 
 
-def _segments(batch: pa.RecordBatch, data, at, shared) -> tuple[np.ndarray, ...]:
+def _segments(batch: pa.RecordBatch, data, at, shared, powers: Powers) -> tuple[np.ndarray, ...]:
     """anchor, seg, text, first byte and end of the segments whose anchor may be shared."""
     anchor, text, first, last = anchors(data, at, ANCHORS[0])
     some = bit_of(shared, _place(anchor))
     anchor, text, first, end = anchor[some], text[some], first[some], last[some] + WINDOW
-    return anchor, _hash(data, first, end), text, first, end
+    return anchor, _hash(data, first, end, powers), text, first, end
 
 
 def _find(docs: DataFrame, shared) -> DataFrame:
     """Places of segments whose anchor is shared; those that a document has had before have no anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch, data, at, _ in _batches(batches, "text"):
-            anchor, seg, text, first, end = _segments(batch, data, at, shared.value)
+            anchor, seg, text, first, end = _segments(batch, data, at, shared.value, powers)
             if not len(anchor):
                 continue
             order = np.lexsort((first, seg, anchor, text))
@@ -180,8 +183,9 @@ def _spelled(docs: DataFrame, shared, wanted: DataFrame) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(bitmap(merged(wanted.select("anchor", "seg", "doc_id", "start").mapInArrow(bits, COUNTERS), 1, FILTER), FILTER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch, data, at, raw in _batches(batches, "text"):
-            anchor, seg, text, first, end = _segments(batch, data, at, shared.value)
+            anchor, seg, text, first, end = _segments(batch, data, at, shared.value, powers)
             some = bit_of(known.value, _known(anchor, seg, batch["doc_id"].to_numpy()[text], first - at[text]))
             yield _rows(batch, raw, at, *(v[some] for v in (anchor, seg, text, first, end)))
 
@@ -192,9 +196,10 @@ def _dealt_again(rows: DataFrame, anchor: int) -> DataFrame:
     """Segments of segments, by anchors of so many bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch, data, at, raw in _batches(batches, "data"):
             own, text, first, last = anchors(data, at, anchor)
-            yield _rows(batch, raw, at, own, _hash(data, first, last + WINDOW), text, first, last + WINDOW)
+            yield _rows(batch, raw, at, own, _hash(data, first, last + WINDOW, powers), text, first, last + WINDOW)
 
     return rows.mapInArrow(run, SEGMENTS)
 

@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from quadrille.llm import induced, suffix_dedup
+from quadrille.llm import induced, substring_dedup, suffix_dedup
+from quadrille.llm.common import mix64
 
 from .conftest import ODD
 
@@ -106,3 +107,21 @@ def test_group_of_copies_and_empty_table(make_docs):
     rows = [(i, text) for i in range(300)] + [(500 + i, f"{i} {text} {i}") for i in range(40)]
     assert run(make_docs, rows, 8) == brute(rows)
     assert run(make_docs, []) == []
+
+
+def test_hashes_of_runs_share_their_powers():
+    """Powers are made once for all batches of a task, and hashes by them are those of plain sums; no run of bytes is built beyond its length."""
+    rng = np.random.default_rng(3)
+    powers, m = substring_dedup.Powers(), 1 << 64
+    base, inverse = int(substring_dedup.BASE), pow(int(substring_dedup.BASE), -1, 1 << 64)
+    for n in (50, 7, 80):
+        mixed = mix64(rng.integers(1, 257, n).astype(np.uint64))
+        prefix = substring_dedup.Prefix(mixed, powers)
+        a, b = np.array([0, 2, n // 2]), np.array([n, 5, n])
+        want = [sum(int(mixed[i]) * pow(base, i, m) for i in range(x, y)) * pow(inverse, x, m) + (y - x) * int(substring_dedup.BASE2) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        assert prefix(a, b).tolist() == mix64(np.array([w % m for w in want], np.uint64)).tolist()
+    assert powers(60) is powers(7) and len(powers(60)[0]) == 81
+    h = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    for n in (1, 2, 3, 24, 31, 40):
+        want = [sum(int(h[i + j]) * pow(base, n - 1 - j, m) for j in range(n)) % m for i in range(40 - n + 1)]
+        assert substring_dedup.run_hashes(h, n, substring_dedup.BASE).tolist() == mix64(np.array(want, np.uint64)).tolist()
