@@ -71,6 +71,24 @@ def _words(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndar
     return codes, list(distinct), at, again
 
 
+def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of each text and how often it has them: views of two arrays of the narrowest types that fit, as a sample's are all held."""
+    codes, distinct, at, again = _words(texts)
+    bucket, by_word = _word_buckets(distinct)
+    indexes, counts = [], []
+    for i in range(len(texts)):
+        own, often = np.unique(codes[at[i] : at[i + 1]], return_counts=True)
+        features = np.concatenate([[REPEAT], *(bucket[by_word[w] : by_word[w + 1]] for w in own)]).astype(np.int64)
+        times = np.concatenate([[again[at[i] : at[i + 1]].sum()], np.repeat(often, by_word[own + 1] - by_word[own])])
+        index, inverse = np.unique(features, return_inverse=True)
+        indexes.append(index.astype(np.int32))
+        counts.append(np.bincount(inverse, weights=times).astype(np.int64))
+    ends = offsets([len(x) for x in indexes])
+    index, count = np.concatenate(indexes), np.concatenate(counts)
+    count = count.astype(np.min_scalar_type(count.max()))
+    return [(index[a:b], count[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 class Classifier:
     """Two classes; learned vectors and softmax layer."""
 
@@ -82,20 +100,13 @@ class Classifier:
     def fit(self, texts: list[str], labels: np.ndarray) -> None:
         documents = []
         for a, b in chunks(map(len, texts), SPAN):
-            codes, distinct, at, again = _words(texts[a:b])
-            bucket, by_word = _word_buckets(distinct)
-            for i in range(b - a):
-                own, often = np.unique(codes[at[i] : at[i + 1]], return_counts=True)
-                features = np.concatenate([[REPEAT], *(bucket[by_word[w] : by_word[w + 1]] for w in own)]).astype(np.int64)
-                weights = np.concatenate([[again[at[i] : at[i + 1]].sum()], np.repeat(often, by_word[own + 1] - by_word[own])])
-                index, inverse = np.unique(features, return_inverse=True)
-                weight = np.bincount(inverse, weights=weights)
-                documents.append((index, (weight / max(weight.sum(), 1)).astype(np.float32)))
+            documents += _features(texts[a:b])
         steps, total = 0, EPOCHS * len(texts)
         for _ in range(EPOCHS):
             for i in self.rng.permutation(len(texts)):
                 rate, steps = RATE * (1 - steps / total), steps + 1
                 index, weight = documents[i]
+                weight = (weight / max(int(weight.sum()), 1)).astype(np.float32)
                 mean = weight @ self.vectors[index]
                 logits = self.layer @ mean + self.bias
                 p = np.exp(logits - logits.max())

@@ -126,3 +126,16 @@ def test_training_against_plain_descent(monkeypatch):
             for f, n in often.items():
                 vectors[f] -= rate * n / max(often.values()) * back
     assert np.allclose(c.layer, layer, atol=1e-4) and np.allclose(c.bias, bias, atol=1e-4) and np.allclose(c.vectors, vectors, atol=1e-4)
+
+
+def test_features_of_a_sample_are_held_narrow():
+    """The driver holds six bytes at most for each feature of usual texts, in one array for many texts; counts that need more get more."""
+    words = [f"word{k}" for k in range(3000)]
+    texts = [" ".join(words[k : k + 300]) for k in range(0, 2700, 30)]
+    held = quality._features(texts)
+    index, count = held[0]
+    assert index.dtype == np.int32 and count.dtype.itemsize <= 2
+    assert index.base is held[-1][0].base and count.base is held[-1][1].base
+    assert [len(i) for i, _ in held] == [len(c) for _, c in held]
+    _, often = quality._features(["a " * 70000])[0]
+    assert often.max() >= 69999
