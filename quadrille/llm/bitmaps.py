@@ -41,14 +41,15 @@ def merged(rows: DataFrame, least: int, bits: int) -> DataFrame:
     return rows.repartition(max(1, 1 << (bits - BLOCK - 6)), "block").mapInArrow(run, "block int, bits binary")
 
 
-def counter_rows(buckets: np.ndarray) -> pa.RecordBatch:
-    """Counters of these buckets, a row for each block that has any: low bits and counts, sorted."""
+def counter_rows(buckets: np.ndarray, bits: int | None = None) -> pa.RecordBatch:
+    """Counters of these buckets, a row for each block (of 2^bits or 2^BLOCK) that has any: low bits and counts, sorted."""
+    bits = BLOCK if bits is None else bits
     at, n = np.unique(buckets, return_counts=True)
-    block = at >> BLOCK
+    block = at >> bits
     start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(at) else np.zeros(0, np.int64)
     ends = np.append(start, len(at))
 
     def packed(values: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
-    return pa.RecordBatch.from_arrays([pa.array(block[start], pa.int32()), packed((at & ((1 << BLOCK) - 1)).astype(np.uint16)), packed(n.astype(np.uint32))], ["block", "low", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(block[start], pa.int32()), packed((at & ((1 << bits) - 1)).astype(np.uint16)), packed(n.astype(np.uint32))], ["block", "low", "n"])

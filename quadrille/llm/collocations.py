@@ -31,8 +31,13 @@ BUCKETS = 28
 WORD_BITS = 24
 #: Places of phrases that a task sketches before it lets the counters out.
 HELD = 1 << 22
+#: Numbers of an automaton's phrases whose counters one row spans, as a power of two.
+NUMBERS = 12
 #: Bytes of candidates in one automaton.
 AUTOMATON = 4 << 20
+#: One text in so many is read first for candidates, and bytes of what it has that other tasks hold.
+FIRST = 32
+KNOWN = 4 << 20
 SPAN = 1 << 20
 LONGEST = 5
 #: Parts into which a language's phrases are dealt, so that a common language isn't one task.
@@ -143,11 +148,14 @@ def _sketch(docs: DataFrame, common, least: int) -> np.ndarray:
     return bitmap(merged(docs.mapInArrow(run, COUNTERS), least, BUCKETS), BUCKETS)
 
 
-def _candidates(docs: DataFrame, common, heavy) -> DataFrame:
-    """(phrase) of all phrases of common words whose bucket, and whose parts' buckets, are heavy in some language."""
+def _listed(docs: DataFrame, common, heavy, had) -> DataFrame:
+    """(phrase) of all phrases of common words whose bucket, and whose parts' buckets, are heavy in some language, but those of `had`.
+
+    Each task lists its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        given, seen = frozenset(p.encode() for p in had.value), set()
         for lang, texts in _by_language(batches):
             codes, distinct = _codes(tokens(texts))
             h = _hashes(lang, distinct)
@@ -165,17 +173,34 @@ def _candidates(docs: DataFrame, common, heavy) -> DataFrame:
                 ids = np.zeros(len(codes), np.int64)
                 ids[first] = number
                 found += [b" ".join([distinct[c] for c in run_]) for run_ in codes[first[where][:, None] + np.arange(n)].tolist()]
-            new = [p for p in found if p not in seen]
+            new = [p for p in found if p not in seen and p not in given]
             seen.update(new)
             if len(seen) > MEMO:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([p.decode() for p in new], pa.string())], ["phrase"])
 
-    return docs.mapInArrow(run, "phrase string").distinct()
+    return docs.mapInArrow(run, "phrase string")
 
 
-def _occurrences(docs: DataFrame, phrases) -> DataFrame:
-    """(lang, phrase, a) of partial counts of the broadcast phrases, by one automaton in each task."""
+def _candidates(docs: DataFrame, common, heavy) -> DataFrame:
+    """(phrase) of all candidates, each listed by few tasks.
+
+    A phrase that occurs often occurs in nearly all tasks, each of which would list it. One text in FIRST is read before, in
+    as many times fewer tasks, and what it has is listed no more: a phrase that it lacks is rare and lies in few tasks. Tasks
+    hold KNOWN bytes of it at most; what is known beyond is listed anew, which costs rows and no phrase.
+    """
+    context = docs.sparkSession.sparkContext
+    own = docs.filter(F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0)
+    early = stored(_listed(own.repartition(-(-docs.rdd.getNumPartitions() // FIRST)), common, heavy, context.broadcast([])).distinct(), "phrase-candidates")
+    size = early.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
+    parts = max(1, -(-size // KNOWN))
+    given = context.broadcast(early.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == 0).toPandas()["phrase"].tolist())
+    late = _listed(docs, common, heavy, given).distinct()
+    return early.union(late if parts == 1 else late.join(early, "phrase", "left_anti"))
+
+
+def _places(docs: DataFrame, phrases) -> DataFrame:
+    """(lang, block, low, n) counters of the broadcast phrases by their numbers, by one automaton in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -187,25 +212,49 @@ def _occurrences(docs: DataFrame, phrases) -> DataFrame:
         if not names:
             return
         automaton.make_automaton()
-        sums: dict[str, Counter] = defaultdict(Counter)
+        held, total = defaultdict(list), 0
 
         def out():
-            for lang, counter in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), pa.array([names[k] for k in counter], pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "phrase", "a"])
-            sums.clear()
+            for lang, hits in held.items():
+                rows = counter_rows(np.concatenate(hits), NUMBERS)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows.num_rows, pa.string()), *rows.columns], ["lang", *rows.schema.names])
+            held.clear()
 
         for lang, texts in _by_language(batches):
             text = f" {b' '.join(tokens(texts)).decode()} "
             hits = np.fromiter((k for _, k in automaton.iter(text)), np.int64)
-            at, n = np.unique(hits, return_counts=True)
-            counter = sums[lang]
-            for k, m in zip(at.tolist(), n.tolist(), strict=True):
-                counter[k] += m
-            if sum(map(len, sums.values())) > MEMO:
+            held[lang].append(hits)
+            total += len(hits)
+            if total > HELD:
                 yield from out()
+                total = 0
         yield from out()
 
-    return docs.mapInArrow(run, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    return docs.mapInArrow(run, f"lang string, {COUNTERS}")
+
+
+def _occurrences(docs: DataFrame, phrases) -> DataFrame:
+    """(lang, phrase, a) of the broadcast phrases that occur; counters of one block are added up at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, key, counters = phrases.value, None, np.zeros(1 << NUMBERS, np.int64)
+
+        def out():
+            some = np.flatnonzero(counters)
+            found = [names[(key[1] << NUMBERS) + k] for k in some.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(counters[some])], ["lang", "phrase", "a"])
+
+        for batch in batches:
+            for lang, block, low, n in zip(*(batch[c].to_pylist() for c in ("lang", "block", "low", "n")), strict=True):
+                if (lang, block) != key:
+                    if key:
+                        yield out()
+                    key, counters = (lang, block), np.zeros(1 << NUMBERS, np.int64)
+                counters[np.frombuffer(low, np.uint16)] += np.frombuffer(n, np.uint32)
+        if key:
+            yield out()
+
+    return _places(docs, phrases).repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(run, "lang string, phrase string, a bigint")
 
 
 def _counted(docs: DataFrame, candidates: DataFrame, automaton: int) -> DataFrame:

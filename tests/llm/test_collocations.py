@@ -86,3 +86,33 @@ def test_overlaps_and_wide_numbers(spark):
 def test_nothing_common(spark):
     assert mined(spark, [], 1) == []
     assert mined(spark, [("a b c", "x")], 2) == []
+
+
+@pytest.mark.parametrize("known", [collocations.KNOWN, 500])
+def test_common_phrases_are_listed_by_few_tasks(spark, monkeypatch, known):
+    """Each of 64 tasks holds all phrases: what two of them have listed isn't listed again, and no phrase is lost."""
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choices("abcdefgh", k=30)), "en") for _ in range(1500)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id bigint, text string, lang string").repartition(64)
+    listed, counts = collocations._listed, []
+
+    def counted(*args):
+        out = listed(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations, "_listed", counted)
+    monkeypatch.setattr(collocations, "KNOWN", known)
+    found = sorted(tuple(r) for r in collocations.mine(docs, 20).collect())
+    assert found == brute(rows, 20, 2000)
+    assert len(counts) == 2
+    if known > 500:
+        assert sum(counts) < 5000  # some 27000 if each task lists all that it has
+
+
+def test_counts_leave_tasks_as_counters(spark):
+    """32 tasks that hold 64 phrases each give a row a task, not one for each phrase."""
+    docs = spark.createDataFrame([(" ".join(f"a{k} b" for k in range(64)), "en")] * 640, "text string, lang string").repartition(32)
+    phrases = spark.sparkContext.broadcast([f"a{k} b" for k in range(64)])
+    assert collocations._places(docs, phrases).count() <= 32
+    assert sorted(tuple(r) for r in collocations._occurrences(docs, phrases).collect()) == sorted(("en", p, 640) for p in phrases.value)
