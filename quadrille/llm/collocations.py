@@ -2,19 +2,19 @@
 
 Counts of all word sequences would be several times the corpus. So words are counted exactly first; a sketch of fixed
 width then gives an upper bound for each phrase of common words; phrases whose bound (and whose parts' bounds) reach the
-threshold are candidates. Candidates are compiled into Aho-Corasick automata, guarded by a space at both ends, that count
-all their occurrences, overlapping ones too, in shards of the corpus. Sums of these counts are exact, and thresholds are
-applied to them alone: a narrow sketch costs time and no row.
+threshold are candidates. One scan counts all their occurrences, overlapping ones too, by a 64-bit hash of language and
+phrase, however many candidates there are. All that is counted is listed by its words as well, so that hashes which several
+candidates share are known: these candidates are compiled into Aho-Corasick automata, guarded by a space at both ends, and
+counted by their words. So sums are exact, and thresholds are applied to them alone: a narrow sketch costs time and no row.
 
-What tasks hold does not grow with the corpus: the sketch has BUCKETS counters, broadcast as bits (32 MB), and an automaton
-AUTOMATON bytes of candidates. Where there are more candidates, the corpus is scanned once for each block of them.
+What tasks hold does not grow with the corpus: the sketch has BUCKETS counters, broadcast as bits (32 MB), counters of hashes
+leave a task by HELD places, and an automaton has AUTOMATON bytes of candidates.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bitmaps import COUNTERS, bit, bitmap, counter_rows, merged
-from .common import chunks, gathered, mix64, stored
+from .bitmaps import COUNTERS, bit, bitmap, counter_rows, hash_rows, hash_sums, merged
+from .common import chunks, gathered, mix64, offsets, stored
 
 #: Counters of the sketch, as a power of two, and bits that tell which words are common.
 BUCKETS = 28
 WORD_BITS = 24
-#: Places of phrases that a task sketches before it lets the counters out.
+#: Bits of the hash that stands for a phrase while it is counted.
+HASHED = 64
+#: Places of phrases that a task sketches or counts before it lets the counters out.
 HELD = 1 << 22
 #: Numbers of an automaton's phrases whose counters one row spans, as a power of two.
 NUMBERS = 12
@@ -68,29 +70,72 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[
                 yield lang, texts[a:b]
 
 
-def _codes(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """A number for each word and the distinct words by number; 0 is the end of a piece."""
-    known = defaultdict(count().__next__)
-    known[b"."]
-    codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return codes, list(known)
+def _cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words in order, with nothing between them, and where each begins, with the end of the last; a full stop is a word where a piece ends or begins."""
+    raw = np.frombuffer(b".".join([b"", *(t.encode() for t in texts)]).translate(TABLE), np.uint8)
+    kept = raw != 32
+    data = raw[kept]
+    first = data == 46
+    first[1:] |= first[:-1].copy()
+    gaps = np.flatnonzero(~kept)
+    behind = gaps - np.arange(len(gaps))
+    first[behind[behind < len(data)]] = True
+    return data, np.append(np.flatnonzero(first), len(data))
 
 
-def _hashes(lang: str, distinct: list[bytes]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang)
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, seed) for w in distinct], np.uint64)
+def _hashes(data: np.ndarray, starts: np.ndarray, seed) -> np.ndarray:
+    """A hash of each word, by eight bytes at a time; seed is one number or one for each word."""
+    size = np.diff(starts)
+    lanes = np.ndarray(len(data), np.uint64, np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    h = np.uint64(seed) ^ size.astype(np.uint64) * STEP
+    live, at, left = np.flatnonzero(size), starts[:-1][size > 0], size[size > 0]
+    while len(live):
+        own = lanes[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64))
+        h[live] = mix64(h[live] * STEP + own)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
 
 
-def _levels(h: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """n, first words and sketch buckets of all runs of n common words, for n from 2."""
+def _numbered(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each word, and the distinct words by number."""
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    _, at, text = words.dictionary.buffers()
+    at, text = np.frombuffer(at, np.int64, len(words.dictionary) + 1).tolist(), text.to_pybytes()
+    return words.indices.to_numpy().astype(np.int64), [text[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang)
+
+
+def _places_of(lang: str, data: np.ndarray, starts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and which are common ones; no full stop is."""
+    h = _hashes(data, starts, _seed(lang))
+    return h, bit(common, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)) & (data[starts[:-1]] != 46)
+
+
+def _levels(h: np.ndarray, common: np.ndarray, heavy: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """n, first words, hashes and sketch buckets of all runs of n common words, for n from 2; only runs whose bucket, and whose parts' buckets, are set in `heavy`, if given."""
     first, value = np.flatnonzero(common), h[common]
     padded, hashes = np.append(common, np.zeros(LONGEST, bool)), np.append(h, np.zeros(LONGEST, np.uint64))
+    kept = np.ones(len(h) + 1, bool)
     for n in range(2, LONGEST + 1):
-        keep = padded[first + n - 1]
+        keep = padded[first + n - 1] & kept[first + 1]
         first, value = first[keep], value[keep]
         value = mix64(value * STEP + hashes[first + n - 1])
-        yield n, first, (value >> np.uint64(64 - BUCKETS)).astype(np.int64)
+        buckets = (value >> np.uint64(64 - BUCKETS)).astype(np.int64)
+        if heavy is not None:
+            ok = bit(heavy, buckets)
+            first, value, buckets = first[ok], value[ok], buckets[ok]
+            kept = np.zeros(len(h) + 1, bool)
+            kept[first] = True  # the phrases without their last word go on as first, those without their first word by this
+        yield n, first, value, buckets
+
+
+def _hashed(value: np.ndarray) -> np.ndarray:
+    """The hash that a phrase is counted by."""
+    return value >> np.uint64(64 - HASHED) << np.uint64(64 - HASHED)
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -101,12 +146,13 @@ def _words(docs: DataFrame) -> DataFrame:
 
         def out():
             for lang, counter in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), pa.array([w.decode() for w in counter], pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), pa.array(list(counter), pa.binary()).cast(pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "word", "n"])
             held.clear()
 
         for lang, texts in _by_language(batches):
+            codes, distinct = _numbered(*_cut(texts))
             counter = held[lang]
-            counter.update(tokens(texts))
+            counter.update(dict(zip(distinct, np.bincount(codes).tolist(), strict=True)))
             del counter[b"."]
             if sum(map(len, held.values())) > MEMO:
                 yield from out()
@@ -120,8 +166,9 @@ def _common_words(words: DataFrame, least: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [xxhash.xxh64_intdigest(w, xxhash.xxh64_intdigest(lang)) >> (64 - WORD_BITS) for lang, w in zip(batch["lang"].to_pylist(), batch["word"].to_pylist(), strict=True)]
-            yield counter_rows(np.array(at, np.int64))
+            words = [w.encode() for w in batch["word"].to_pylist()]
+            h = _hashes(np.frombuffer(b"".join(words), np.uint8), offsets([*map(len, words)]), np.array([*map(_seed, batch["lang"].to_pylist())], np.uint64))
+            yield counter_rows((h >> np.uint64(64 - WORD_BITS)).astype(np.int64))
 
     return bitmap(merged(words.filter(F.col("n") >= least).select("lang", "word").mapInArrow(run, COUNTERS), 1, WORD_BITS), WORD_BITS)
 
@@ -132,11 +179,7 @@ def _sketch(docs: DataFrame, common, least: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for lang, texts in _by_language(batches):
-            codes, distinct = _codes(tokens(texts))
-            h = _hashes(lang, distinct)
-            known = bit(common.value, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64))
-            known[0] = False
-            for _, _, buckets in _levels(h[codes], known[codes]):
+            for _, _, _, buckets in _levels(*_places_of(lang, *_cut(texts), common.value)):
                 held.append(buckets)
                 total += len(buckets)
             if total > HELD:
@@ -149,41 +192,38 @@ def _sketch(docs: DataFrame, common, least: int) -> np.ndarray:
 
 
 def _listed(docs: DataFrame, common, heavy, had) -> DataFrame:
-    """(phrase) of all phrases of common words whose bucket, and whose parts' buckets, are heavy in some language, but those of `had`.
+    """(lang, phrase, hash) of all phrases of common words whose bucket, and whose parts' buckets, are heavy, but those of `had`.
 
     Each task lists its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, seen = frozenset(p.encode() for p in had.value), set()
+        given, seen = {lang: frozenset(p.encode() for p in phrases) for lang, phrases in had.value.items()}, defaultdict(set)
         for lang, texts in _by_language(batches):
-            codes, distinct = _codes(tokens(texts))
-            h = _hashes(lang, distinct)
-            known = bit(common.value, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64))
-            known[0] = False
-            kept, ids, found = np.ones(len(codes) + 1, bool), codes, []
-            for n, first, buckets in _levels(h[codes], known[codes]):
-                ok = kept[first] & kept[first + 1] & bit(heavy.value, buckets)  # the phrases without their last and first word
-                kept = np.zeros(len(codes) + 1, bool)
-                first = first[ok]
-                kept[first] = True
+            cut = _cut(texts)
+            codes, distinct = _numbered(*cut)
+            ids, new, hashes = codes, [], []
+            for n, first, value, _ in _levels(*_places_of(lang, *cut, common.value), heavy.value):
                 if not len(first):
                     break
                 _, where, number = np.unique(ids[first] * len(distinct) + codes[first + n - 1], return_index=True, return_inverse=True)  # exact numbers of phrases
                 ids = np.zeros(len(codes), np.int64)
                 ids[first] = number
-                found += [b" ".join([distinct[c] for c in run_]) for run_ in codes[first[where][:, None] + np.arange(n)].tolist()]
-            new = [p for p in found if p not in seen and p not in given]
-            seen.update(new)
-            if len(seen) > MEMO:
+                found = (b" ".join([distinct[c] for c in run_]) for run_ in codes[first[where][:, None] + np.arange(n)].tolist())
+                for phrase, key in zip(found, _hashed(value[where]).view(np.int64).tolist(), strict=True):
+                    if phrase not in seen[lang] and phrase not in given.get(lang, ()):
+                        new.append(phrase)
+                        hashes.append(key)
+            seen[lang].update(new)
+            if sum(map(len, seen.values())) > MEMO:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([p.decode() for p in new], pa.string())], ["phrase"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.string()), pa.array([p.decode() for p in new], pa.string()), pa.array(hashes, pa.int64())], ["lang", "phrase", "hash"])
 
-    return docs.mapInArrow(run, "phrase string")
+    return docs.mapInArrow(run, "lang string, phrase string, hash bigint")
 
 
 def _candidates(docs: DataFrame, common, heavy) -> DataFrame:
-    """(phrase) of all candidates, each listed by few tasks.
+    """(lang, phrase, hash) of all candidates, each listed by few tasks.
 
     A phrase that occurs often occurs in nearly all tasks, each of which would list it. One text in FIRST is read before, in
     as many times fewer tasks, and what it has is listed no more: a phrase that it lacks is rare and lies in few tasks. Tasks
@@ -191,12 +231,31 @@ def _candidates(docs: DataFrame, common, heavy) -> DataFrame:
     """
     context = docs.sparkSession.sparkContext
     own = docs.filter(F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0)
-    early = stored(_listed(own.repartition(-(-docs.rdd.getNumPartitions() // FIRST)), common, heavy, context.broadcast([])).distinct(), "phrase-candidates")
+    early = stored(_listed(own.repartition(-(-docs.rdd.getNumPartitions() // FIRST)), common, heavy, context.broadcast({})).distinct(), "phrase-candidates")
     size = early.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
     parts = max(1, -(-size // KNOWN))
-    given = context.broadcast(early.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == 0).toPandas()["phrase"].tolist())
+    known = early.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == 0).select("lang", "phrase").toPandas()
+    given = context.broadcast({lang: rows.tolist() for lang, rows in known.groupby("lang")["phrase"]})
     late = _listed(docs, common, heavy, given).distinct()
-    return early.union(late if parts == 1 else late.join(early, "phrase", "left_anti"))
+    return early.union(late if parts == 1 else late.join(early, ["lang", "phrase"], "left_anti"))
+
+
+def _sums(docs: DataFrame, common, heavy, least: int) -> DataFrame:
+    """(hash, a) of all hashes of candidates whose places are `least` or more; one scan, whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for lang, texts in _by_language(batches):
+            for _, _, value, _ in _levels(*_places_of(lang, *_cut(texts), common.value), heavy.value):
+                held.append(_hashed(value))
+                total += len(value)
+            if total > HELD:
+                yield hash_rows(np.concatenate(held))
+                held, total = [], 0
+        if held:
+            yield hash_rows(np.concatenate(held))
+
+    return hash_sums(docs.mapInArrow(run, COUNTERS), least).withColumnRenamed("n", "a")
 
 
 def _places(docs: DataFrame, phrases) -> DataFrame:
@@ -257,8 +316,23 @@ def _occurrences(docs: DataFrame, phrases) -> DataFrame:
     return _places(docs, phrases).repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(run, "lang string, phrase string, a bigint")
 
 
-def _counted(docs: DataFrame, candidates: DataFrame, automaton: int) -> DataFrame:
-    """Exact (lang, phrase, a) of all candidates, in blocks of about `automaton` bytes of them."""
+def _counted(docs: DataFrame, candidates: DataFrame, common, heavy, least: int, automaton: int) -> DataFrame:
+    """Exact (lang, phrase, a) of all candidates that occur `least` times or more.
+
+    Candidates are all that the sums hold, so that a hash of one candidate has its count; those that share one are counted apart.
+    """
+    sums = _sums(docs, common, heavy, least)
+    shared = candidates.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    if shared.isEmpty():
+        return candidates.join(sums, "hash").select("lang", "phrase", "a")
+    alone = candidates.join(shared, "hash", "left_anti").join(sums, "hash").select("lang", "phrase", "a")
+    clashing = stored(candidates.join(shared, "hash", "left_semi").select("lang", "phrase"), "phrase-clashes")
+    apart = _counted_apart(docs, clashing.select("phrase").distinct(), automaton).filter(F.col("a") >= least)
+    return alone.union(apart.join(clashing, ["lang", "phrase"]))
+
+
+def _counted_apart(docs: DataFrame, candidates: DataFrame, automaton: int) -> DataFrame:
+    """Exact (lang, phrase, a) of these phrases by their words, in blocks of about `automaton` bytes of them."""
     context = docs.sparkSession.sparkContext
     size = candidates.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
     blocks = max(1, -(-size // automaton))
@@ -299,7 +373,7 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000, automaton: int = AU
     common = context.broadcast(_common_words(words, least))
     heavy = context.broadcast(_sketch(docs, common, least))
     candidates = stored(_candidates(docs, common, heavy), "phrase-candidates")
-    found = stored(_counted(docs, candidates, automaton).filter(F.col("a") >= least), "phrases")
+    found = stored(_counted(docs, candidates, common, heavy, least, automaton), "phrases")
 
     own = found.withColumn("w", F.split("phrase", " "))
     size = F.size("w")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quadrille.llm import bitmaps, collocations
@@ -116,3 +117,36 @@ def test_counts_leave_tasks_as_counters(spark):
     phrases = spark.sparkContext.broadcast([f"a{k} b" for k in range(64)])
     assert collocations._places(docs, phrases).count() <= 32
     assert sorted(tuple(r) for r in collocations._occurrences(docs, phrases).collect()) == sorted(("en", p, 640) for p in phrases.value)
+
+
+def test_one_scan_counts_all_candidates(spark, monkeypatch):
+    """Candidates of many automata are counted at once."""
+    scans, rows = [], texts(4, 60)
+    monkeypatch.setattr(collocations, "_occurrences", lambda *_: scans.append(1))
+    assert mined(spark, rows, 4, automaton=900) == brute(rows, 4, 2000)
+    assert not scans
+
+
+@pytest.mark.parametrize("hashed", [6, 64])
+def test_phrases_that_share_a_hash(spark, monkeypatch, hashed):
+    """With hashes of few bits nearly all candidates are counted by their words."""
+    monkeypatch.setattr(collocations, "HASHED", hashed)
+    monkeypatch.setattr(bitmaps, "SUMMED", 3)
+    rows = texts(5, 60)
+    assert mined(spark, rows, 4, automaton=2000) == brute(rows, 4, 2000)
+
+
+def test_long_words_and_zero_bytes(spark):
+    """Words of more than eight bytes, and words that differ by their length or by zero bytes alone."""
+    rows = [("a a\x00 b a\x00\x00 b\x01 abcdefghi abcdefghij abcdefgh\x00 abcdefgh " * k, "x") for k in (1, 2, 5)]
+    assert mined(spark, rows, 2) == brute(rows, 2, 2000)
+
+
+def test_blocks_of_bits_are_made_in_one_job(spark):
+    """The driver reads what tasks have written, and doesn't run the 64 tasks one after the other."""
+    rows = bitmaps.merged(spark.range(100).mapInArrow(lambda batches: (bitmaps.counter_rows(b["id"].to_numpy() << 21) for b in batches), bitmaps.COUNTERS), 1, 28)
+    spark.sparkContext.setJobGroup("bits", "bits")
+    bits = bitmaps.bitmap(rows, 28)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [k for k in range(128) if bitmaps.bit(bits, np.array([k << 21]))[0]] == list(range(100))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bits")) < 32
