@@ -39,6 +39,43 @@ def test_random_rects(spark):
         assert got == sorted((a[0], b[0]) for a in rects for b in rects if a[0] != b[0] and near(a, b, mode))
 
 
+def _shuffled_rows(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_neighbours_are_shuffled_once(spark):
+    """What is shuffled grows with the rectangles: a few rows for each, not one for each bucket, side and way to meet."""
+    rng = random.Random(3)
+    rects = [(i, rng.randrange(60), rng.randrange(60), rng.randrange(1, 13), rng.randrange(1, 10)) for i in range(3000)]
+    df = frame(spark, rects).repartition(1).localCheckpoint()
+    before = _shuffled_rows(spark)
+    joins.neighbours(df).write.format("noop").mode("overwrite").save()
+    assert 0 < _shuffled_rows(spark) - before < 5 * len(rects)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_crowded_buckets_are_cut(spark, monkeypatch, kind):
+    """Slices of a bucket, blocks of several buckets and steps of few pairs list each pair once; odd rows too."""
+    for name, value in (("SLICE", 16), ("TOGETHER", 24), ("CELLS", 64), ("TRIED", 4)):
+        monkeypatch.setattr(joins, name, value)
+    rng = random.Random(12)
+    rects = [(str(i % 190) if kind == "string" else i % 190, rng.choice([0, rng.randrange(-30, 30)]), rng.choice([1, rng.randrange(-30, 30)]), rng.randrange(0, 9), rng.randrange(0, 9), rng.choice([0, 1, None])) for i in range(200)]
+    rects += [(rects[0][0], 0, 1, -3, 4, 0), (rects[1][0], 0, 1, 4, -1, 0), (None, 0, 1, 4, 4, 0), (rects[2][0], None, 1, 4, 4, 0), (rects[3][0], 1 << 40, 1, 4, 4, 0), (rects[4][0], 2 + (1 << 40), 1, 4, 4, 0)]
+    df = spark.createDataFrame(rects, f"id {kind}, x long, y long, w long, h long, layer int")
+
+    def near(a, b, mode):
+        x, y = (min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k]) for k in (1, 2))
+        return {"closed": x >= 0 and y >= 0, "no_corner": x >= 0 and y >= 0 and (x > 0 or y > 0), "no_edge": (x > 0 and y > 0) or (x == 0 and y == 0), "open": x > 0 and y > 0}[mode]
+
+    whole = [r for r in rects if None not in r[:5]]
+    for mode, on in zip(geometry.RELATIONS, ((), ("layer",), ("layer",), ()), strict=True):
+        got = sorted(tuple(r) for r in joins.neighbours(df, mode, 16, on).collect())
+        assert got == sorted((a[0], b[0]) for a in whole for b in whole if a[0] != b[0] and near(a, b, mode) and (not on or a[5] == b[5] is not None))
+
+
 def test_window_flag(spark):
     from quadrille.operators.marks import boxed, in_window
 
